@@ -187,3 +187,189 @@ def key_skew(max_ratio: int = 10) -> str:
                          f"{res(d, a)} AS result, {a} AS is_anomaly FROM (SELECT max(n) AS top, count(*) AS k, "
                          f"CAST(sum(n) AS BIGINT) AS total FROM (SELECT count(*) AS n FROM {t} GROUP BY \"{c}\"))")
     return _union(parts)
+
+
+# -- footer metadata (DuckDB reads the same files' footers) ----------------------------------
+SF01 = "/root/testdata/sf0.01"
+TABLE_LIST = ", ".join(q(t) for t in TEST_SCHEMA)
+
+
+def chunks_cte(folder: str = SF01) -> str:
+    return (f"chunks AS (SELECT regexp_extract(file_name, '([^/]+)\\.parquet$', 1) AS table_id, "
+            f"file_name AS file_path, row_group_id, row_group_num_rows, row_group_bytes, column_id, "
+            f"replace(path_in_schema, ', ', '.') AS path_in_schema, type, encodings, compression, num_values, "
+            f"total_compressed_size, total_uncompressed_size, stats_null_count, file_offset, data_page_offset, "
+            f"dictionary_page_offset FROM parquet_metadata('{folder}/*.parquet'))")
+
+
+def columns_cte(folder: str = SF01) -> str:
+    return (f"ps AS (SELECT regexp_extract(file_name, '([^/]+)\\.parquet$', 1) AS table_id, name, repetition_type "
+            f"FROM parquet_schema('{folder}/*.parquet')), "
+            f"cols AS (SELECT c.table_name AS table_id, c.column_name, c.ordinal_position AS ordinal, "
+            f"CASE c.data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' "
+            f"WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT[]' THEN 'array<float>' "
+            f"ELSE lower(c.data_type) END AS data_type, ps.repetition_type = 'OPTIONAL' AS nullable, "
+            f"CAST(NULL AS VARCHAR) AS comment FROM information_schema.columns c "
+            f"JOIN ps ON ps.table_id = c.table_name AND ps.name = c.column_name "
+            f"WHERE c.table_name IN ({TABLE_LIST}))")
+
+
+def footer_chunks() -> str:
+    return (f"WITH {chunks_cte()} SELECT table_id, regexp_extract(file_path, '[^/]+$') AS file_name, row_group_id, "
+            f"row_group_num_rows, row_group_bytes, column_id, path_in_schema, type, encodings, compression, "
+            f"num_values, total_compressed_size, total_uncompressed_size, stats_null_count, file_offset, "
+            f"data_page_offset, dictionary_page_offset FROM chunks")
+
+
+def _chk(rule: str, detail: str, anomaly: str, column: str = "CAST(NULL AS VARCHAR)") -> str:
+    return (f"SELECT '{rule}' AS rule_id, table_id AS table_name, {column} AS column_name, "
+            f"{res(detail, anomaly)} AS result, coalesce({anomaly}, false) AS is_anomaly")
+
+
+def compression_ratio() -> str:
+    d = f"'Column ' || path_in_schema || ': ' || {v('c')} || ' of ' || {v('u')} || ' bytes after compression (' || {pct('c', 'u')} || ')'"
+    return (f"WITH {chunks_cte()} {_chk('L11', d, '(u >= 1048576 AND c * 100 > u * 90)', 'path_in_schema')} "
+            f"FROM (SELECT table_id, path_in_schema, sum(total_compressed_size) AS c, "
+            f"sum(total_uncompressed_size) AS u FROM chunks GROUP BY ALL)")
+
+
+def dictionary_encoding() -> str:
+    d = f"'Column ' || path_in_schema || ': ' || {v('d')} || ' of ' || {v('n')} || ' column chunks dictionary-encoded'"
+    return (f"WITH {chunks_cte()} {_chk('L13', d, '(type = ' + q('BYTE_ARRAY') + ' AND d = 0)', 'path_in_schema')} "
+            f"FROM (SELECT table_id, path_in_schema, count_if(encodings LIKE '%DICTIONARY%') AS d, count(*) AS n, "
+            f"max(type) AS type FROM chunks GROUP BY ALL)")
+
+
+def _rg() -> str:
+    return ("(SELECT table_id, count(*) AS rg, count(DISTINCT file_path) AS files, sum(r) AS rows, sum(b) AS bytes "
+            "FROM (SELECT table_id, file_path, row_group_id, max(row_group_num_rows) AS r, max(row_group_bytes) AS b "
+            "FROM chunks GROUP BY ALL) GROUP BY table_id)")
+
+
+def row_group_sizing() -> str:
+    d = (f"{v('rg')} || ' row groups in ' || {v('files')} || ' files; average ' || {v('rows // rg')} || "
+         f"' rows and ' || {v('bytes // rg')} || ' bytes per row group'")
+    return f"WITH {chunks_cte()} {_chk('L14', d, '(rg > 1 AND bytes < rg * 16777216)')} FROM {_rg()}"
+
+
+def read_parallelism() -> str:
+    d = f"{v('rg')} || ' row groups for 8 read slots; ' || {v('bytes')} || ' bytes'"
+    return f"WITH {chunks_cte()} {_chk('L15', d, '(bytes >= 134217728 AND rg < 8)')} FROM {_rg()}"
+
+
+def chunk_statistics() -> str:
+    d = f"{v('s')} || ' of ' || {v('n')} || ' column chunks carry statistics'"
+    return (f"WITH {chunks_cte()} {_chk('L19', d, 's < n')} FROM (SELECT table_id, "
+            f"count_if(stats_null_count IS NOT NULL) AS s, count(*) AS n FROM chunks GROUP BY table_id)")
+
+
+def null_ratio() -> str:
+    d = (f"'Column ' || path_in_schema || ': ' || coalesce({v('nulls')}, 'unknown') || ' NULL of ' || {v('vals')} || "
+         f"' values (' || {pct('coalesce(nulls, 0)', 'vals')} || ')'")
+    return (f"WITH {chunks_cte()} {_chk('L21', d, '(nulls * 100 > vals * 50)', 'path_in_schema')} FROM (SELECT "
+            f"table_id, path_in_schema, sum(stats_null_count) AS nulls, sum(num_values) AS vals FROM chunks GROUP BY ALL)")
+
+
+def offset_continuity() -> str:
+    d = f"{v('gaps')} || ' gaps or overlaps between ' || {v('n')} || ' column chunks'"
+    return (f"WITH {chunks_cte()}, s AS (SELECT table_id, file_path, row_group_id, column_id, total_compressed_size, "
+            f"CASE WHEN dictionary_page_offset IS NOT NULL AND dictionary_page_offset < data_page_offset "
+            f"THEN dictionary_page_offset ELSE data_page_offset END AS st FROM chunks), "
+            f"w AS (SELECT table_id, st, lag(st + total_compressed_size) OVER (PARTITION BY file_path, row_group_id "
+            f"ORDER BY st, column_id) AS pe FROM s) "
+            f"{_chk('L22', d, 'gaps > 0')} FROM (SELECT table_id, count_if(pe IS NOT NULL AND pe <> st) AS gaps, "
+            f"count(*) AS n FROM w GROUP BY table_id)")
+
+
+def file_sizes() -> str:
+    d = f"{v('files')} || ' files, ' || {v('bytes')} || ' bytes; ' || {v('small')} || ' below 32 MiB'"
+    return (f"{_chk('L10', d, '(files > 1 AND small * 2 > files)')} FROM (SELECT "
+            f"regexp_extract(filename, '([^/]+)\\.parquet$', 1) AS table_id, count(*) AS files, sum(size) AS bytes, "
+            f"count_if(size < 33554432) AS small FROM read_blob('{SF01}/*.parquet') GROUP BY 1)")
+
+
+SNAKE_CASE = r"^[a-z][a-z0-9_]*$"
+AUDIT_COLUMN = r"(?i)^(created|updated|modified|inserted|loaded|ingested)_(at|on|date|ts|time|by)$"
+SENSITIVE_NAME = (r"(?i)(e_?mail|phone|mobile|ssn|social_security|passport|credit_?card|card_?number"
+                  r"|iban|birth|dob|address|salary|password|secret|token)")
+RESERVED = ("all and any as between by case column current date day end foreign from group hour index join key "
+            "level minute month order primary references second select start table time timestamp union user "
+            "value values where year").split()
+
+
+def column_naming() -> str:
+    ok = f"regexp_matches(column_name, {q(SNAKE_CASE)})"
+    d = f"'Column ' || column_name || CASE WHEN {ok} THEN ' follows snake_case' ELSE ' is not snake_case' END"
+    return f"WITH {columns_cte()} {_chk('L4', d, f'NOT {ok}', 'column_name')} FROM cols"
+
+
+def naming_standard() -> str:
+    ok = f"regexp_matches(column_name, {q(SNAKE_CASE)})"
+    rsv = f"lower(column_name) IN ({', '.join(q(w) for w in RESERVED)})"
+    d = (f"'Column ' || column_name || CASE WHEN {rsv} THEN ' is a reserved word' WHEN NOT {ok} "
+         f"THEN ' is not snake_case' ELSE ' follows the naming standard' END")
+    return f"WITH {columns_cte()} {_chk('Q11', d, f'({rsv} OR NOT {ok})', 'column_name')} FROM cols"
+
+
+def sensitive_names() -> str:
+    hit = f"regexp_matches(column_name, {q(SENSITIVE_NAME)})"
+    d = (f"'Column ' || column_name || CASE WHEN {hit} THEN ' name suggests sensitive data' "
+         f"ELSE ' name suggests no sensitive data' END")
+    return f"WITH {columns_cte()} {_chk('Q8N', d, hit, 'column_name')} FROM cols"
+
+
+def audit_columns() -> str:
+    d = f"'Table has ' || {v('a')} || ' audit columns among ' || {v('n')} || ' columns'"
+    return (f"WITH {columns_cte()} {_chk('L7', d, 'a = 0')} FROM (SELECT table_id, "
+            f"count_if(regexp_matches(column_name, {q(AUDIT_COLUMN)})) AS a, count(*) AS n FROM cols GROUP BY table_id)")
+
+
+def column_docs() -> str:
+    d = f"{v('d')} || ' of ' || {v('n')} || ' columns documented'"
+    return (f"WITH {columns_cte()} {_chk('L16', d, 'd * 100 < n * 50')} FROM (SELECT table_id, "
+            f"count_if(comment IS NOT NULL AND trim(comment) <> '') AS d, count(*) AS n FROM cols GROUP BY table_id)")
+
+
+def wide_tables() -> str:
+    d = (f"'Table has ' || {v('n')} || ' columns' || CASE WHEN n > 50 THEN chr(10) || "
+         f"'WARNING: Wide table detected. Consider splitting into multiple tables.' ELSE '' END")
+    return f"WITH {columns_cte()} {_chk('L23', d, 'n > 50')} FROM (SELECT table_id, count(*) AS n FROM cols GROUP BY table_id)"
+
+
+def nullability() -> str:
+    d = (f"'Column ' || column_name || CASE WHEN nullable THEN ' is nullable' ELSE ' is NOT NULL' END || "
+         f"' and holds ' || coalesce({v('nulls')}, 'unknown') || ' NULL values'")
+    return (f"WITH {chunks_cte()}, {columns_cte()}, n AS (SELECT table_id, split_part(path_in_schema, '.', 1) AS column_name, "
+            f"sum(stats_null_count) AS nulls, count_if(stats_null_count IS NULL) AS no_stats FROM chunks GROUP BY ALL) "
+            f"{_chk('L5', d, '(nullable AND nulls = 0 AND no_stats = 0)', 'column_name')} "
+            f"FROM cols LEFT JOIN n USING (table_id, column_name)")
+
+
+def deprecated_types() -> str:
+    d = (f"'Column ' || column_name || ' uses physical type ' || types || "
+         f"CASE WHEN dep > 0 THEN ' (deprecated)' ELSE '' END")
+    return (f"WITH {chunks_cte()} {_chk('Q13', d, 'dep > 0', 'column_name')} FROM (SELECT table_id, "
+            f"split_part(path_in_schema, '.', 1) AS column_name, count_if(type IN ('INT96')) AS dep, "
+            f"string_agg(DISTINCT type, ', ' ORDER BY type) AS types FROM chunks GROUP BY ALL)")
+
+
+def gzip_rule() -> str:
+    return (f"WITH {chunks_cte()} SELECT 'L24' AS rule_id, table_id, CAST(NULL AS VARCHAR) AS column_name, "
+            f"{res(gz_text('n'), 'n > 0')} AS result, n > 0 AS is_anomaly FROM (SELECT table_id, "
+            f"count(DISTINCT CASE WHEN compression = 'GZIP' THEN path_in_schema END) AS n FROM chunks GROUP BY table_id)")
+
+
+def gz_text(n: str) -> str:
+    return (f"CASE WHEN {n} = 0 THEN 'No GZIP compression found. All columns use efficient compression.' "
+            f"ELSE 'Found ' || {n} || ' columns using GZIP compression. SNAPPY is recommended for better read performance.' END")
+
+
+def column_codec_rule() -> str:
+    a = "max(CASE WHEN compression = 'GZIP' THEN 1 ELSE 0 END) = 1"
+    return (f"WITH {chunks_cte()} SELECT 'L24' AS rule_id, table_id, path_in_schema AS column_name, "
+            f"{res(q('Codec ') + ' || string_agg(DISTINCT compression, ' + q(', ') + ' ORDER BY compression)', a)} "
+            f"AS result, {a} AS is_anomaly FROM chunks GROUP BY table_id, path_in_schema")
+
+
+def scalar_rule(sql_on_df: str) -> str:
+    return f"WITH {chunks_cte()}, df AS (SELECT * FROM chunks) SELECT * FROM ({sql_on_df.strip().rstrip(';')}) LIMIT 1"

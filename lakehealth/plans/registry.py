@@ -75,3 +75,117 @@ def wh_fk_orphans(spark, sf_dir):
 @register("lk_skew", oracle_sql.key_skew())
 def lk_skew(spark, sf_dir):
     return check_view(quality.key_skew(load_tables(spark, sf_dir), dataset.SKEW_KEYS))
+
+
+# -- footer metadata, storage and schema checks ----------------------------------------------
+
+from ..operators import schema as schema_ops  # noqa: E402
+from ..operators import storage  # noqa: E402
+from . import lakehouse  # noqa: E402
+from .evaluate import metadata_rule  # noqa: E402
+
+CHUNK_COLUMNS = ["table_id", "file_name", "row_group_id", "row_group_num_rows", "row_group_bytes", "column_id",
+                 "path_in_schema", "type", "encodings", "compression", "num_values", "total_compressed_size",
+                 "total_uncompressed_size", "stats_null_count", "file_offset", "data_page_offset",
+                 "dictionary_page_offset"]
+
+
+def _md(spark, sf_dir, **kw):
+    return lakehouse.folder_metadata(spark, sf_dir, **kw)
+
+
+@register("footer_chunks", oracle_sql.footer_chunks())
+def footer_chunks(spark, sf_dir):
+    return _md(spark, sf_dir).chunks.select(*CHUNK_COLUMNS)
+
+
+@register("footer_topn_files", oracle_sql.footer_chunks())
+def footer_topn_files(spark, sf_dir):
+    """S6 with the reference's cap of 5 files per table (each test table has one file)."""
+    return _md(spark, sf_dir, max_files_per_table=5).chunks.select(*CHUNK_COLUMNS)
+
+
+def _storage(key, fn, oracle):
+    register(key, oracle)(lambda spark, sf_dir: check_view(fn(_md(spark, sf_dir))))
+
+
+_storage("lk_compression_ratio", lambda m: storage.compression_ratio(m.chunks), oracle_sql.compression_ratio())
+_storage("lk_encoding", lambda m: storage.dictionary_encoding(m.chunks), oracle_sql.dictionary_encoding())
+_storage("lk_row_groups", lambda m: storage.row_group_sizing(m.chunks), oracle_sql.row_group_sizing())
+_storage("lk_parallelism", lambda m: storage.read_parallelism(m.chunks), oracle_sql.read_parallelism())
+_storage("lk_data_skipping", lambda m: storage.chunk_statistics(m.chunks), oracle_sql.chunk_statistics())
+_storage("lk_null_ratio", lambda m: storage.null_ratio(m.chunks), oracle_sql.null_ratio())
+_storage("lk_offset_continuity", lambda m: storage.offset_continuity(m.chunks), oracle_sql.offset_continuity())
+_storage("lk_file_sizes", lambda m: storage.file_sizes(m.files), oracle_sql.file_sizes())
+_storage("lk_naming", lambda m: schema_ops.column_naming(m.columns), oracle_sql.column_naming())
+_storage("wh_naming", lambda m: schema_ops.naming_standard(m.columns), oracle_sql.naming_standard())
+_storage("wh_sensitive_names", lambda m: schema_ops.sensitive_names(m.columns), oracle_sql.sensitive_names())
+_storage("lk_audit_columns", lambda m: schema_ops.audit_columns(m.columns), oracle_sql.audit_columns())
+_storage("lk_column_docs", lambda m: schema_ops.column_docs(m.columns), oracle_sql.column_docs())
+_storage("rule_wide_table", lambda m: schema_ops.wide_tables(m.columns), oracle_sql.wide_tables())
+_storage("lk_nullability", lambda m: schema_ops.nullability(m.columns, m.chunks), oracle_sql.nullability())
+_storage("wh_deprecated_types", lambda m: schema_ops.deprecated_types(m.chunks), oracle_sql.deprecated_types())
+
+
+# -- catalog SQL rules over metadata views (R3, R4, T3) ---------------------------------------
+
+GZIP_RULE = {"rule_id": "L24", "level": "column", "sql": storage.GZIP_RULE_SQL}
+CODEC_COLUMN_SQL = """
+SELECT table_id, path_in_schema AS column_name,
+  concat('Codec ', concat_ws(', ', array_sort(collect_set(compression))), '\\n\\nIndicator: ',
+         CASE WHEN max(CASE WHEN compression = 'GZIP' THEN 1 ELSE 0 END) = 1
+              THEN 'Anomaly - ERR_1001' ELSE 'Optimized - OPT_2001' END) AS result
+FROM chunks GROUP BY table_id, path_in_schema
+"""
+
+# The sample metadata rule as users write it today: one scalar over a view named df.
+LEGACY_GZIP_SQL = """WITH gzip_cols AS (
+  SELECT DISTINCT path_in_schema
+  FROM df
+  WHERE compression = 'GZIP'
+)
+SELECT
+  CONCAT(
+    CASE
+      WHEN (SELECT COUNT(*) FROM gzip_cols) = 0 THEN
+        'No GZIP compression found. All columns use efficient compression.'
+      ELSE
+        'Found ' || (SELECT COUNT(*) FROM gzip_cols) || ' columns using GZIP compression. '
+        || 'SNAPPY is recommended for better read performance.'
+    END,
+    '
+
+',
+    'Indicator: ',
+    CASE
+      WHEN (SELECT COUNT(*) FROM gzip_cols) = 0 THEN 'Optimized - OPT_2001'
+      ELSE 'Anomaly - ERR_1001'
+    END
+  ) AS output;"""
+
+
+def _rule_setup(spark, sf_dir):
+    md = _md(spark, sf_dir)
+    lakehouse.register_metadata_views(md)
+    return md
+
+
+@register("rule_gzip", oracle_sql.gzip_rule())
+def rule_gzip(spark, sf_dir):
+    md = _rule_setup(spark, sf_dir)
+    return metadata_rule(spark, {**GZIP_RULE, "level": "table"}, lakehouse.tables_of(md))
+
+
+@register("rule_column_level", oracle_sql.column_codec_rule())
+def rule_column_level(spark, sf_dir):
+    md = _rule_setup(spark, sf_dir)
+    return metadata_rule(spark, {**GZIP_RULE, "column_sql": CODEC_COLUMN_SQL}, lakehouse.tables_of(md))
+
+
+@register("rule_scalar", oracle_sql.scalar_rule(LEGACY_GZIP_SQL))
+def rule_scalar(spark, sf_dir):
+    """First cell of the first row of a legacy rule run over the whole lake's chunks as ``df``."""
+    md = _md(spark, sf_dir)
+    md.chunks.createOrReplaceTempView("df")
+    out = spark.sql(LEGACY_GZIP_SQL.strip().rstrip(";"))
+    return out.select(out.columns[0]).limit(1)
