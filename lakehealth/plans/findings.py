@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.location import mask_by_level, qualified_name, remediation
-from ..functions.text import NOT_AVAILABLE, result_text, scan_date
+from ..functions.text import DEFAULT_SCHEMA, NOT_AVAILABLE, result_text, scan_date
 
 
 def conform(df: DataFrame, schema) -> DataFrame:
@@ -64,13 +64,14 @@ def assemble(checks: DataFrame, rules: DataFrame, *, scan_ts: datetime | str,
         source = dict(source or {})
         f = f.withColumns({k: F.lit(source.get(k)).cast("string") for k in
                            ("workspace_name", "workspace_id", "source_name", "source_id", "table_path")})
-    f = f.withColumn("result", result_text("detail", "is_anomaly"))
+    f = f.withColumn("schema_name", F.coalesce("schema_name", F.lit(DEFAULT_SCHEMA)))
+    f = f.withColumn("result", F.coalesce(F.col("result"), result_text("detail", "is_anomaly")))
     # column-level rows keep their column; everything else is masked by level (F2).
     keep = (F.col("level") == "column") & F.col("column_name").isNotNull()
     f = mask_by_level(f.withColumns({"_keep": keep, "_s": F.col("schema_name"),
                                      "_t": F.col("table_name"), "_c": F.col("column_name")}))
     f = f.withColumns({
-        "schema_name": F.when(F.col("_keep"), F.coalesce("_s", F.lit("dbo"))).otherwise(F.col("schema_name")),
+        "schema_name": F.when(F.col("_keep"), F.col("_s")).otherwise(F.col("schema_name")),
         "table_name": F.when(F.col("_keep"), F.col("_t")).otherwise(F.col("table_name")),
         "column_name": F.when(F.col("_keep"), F.col("_c")).otherwise(F.col("column_name")),
     })

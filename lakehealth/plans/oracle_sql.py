@@ -373,3 +373,56 @@ def column_codec_rule() -> str:
 
 def scalar_rule(sql_on_df: str) -> str:
     return f"WITH {chunks_cte()}, df AS (SELECT * FROM chunks) SELECT * FROM ({sql_on_df.strip().rstrip(';')}) LIMIT 1"
+
+
+# -- whole findings table ----------------------------------------------------------------------
+
+def _rules_values() -> str:
+    from .catalog import BUILTIN_RULES
+
+    def lit(x):
+        return "CAST(NULL AS VARCHAR)" if x is None else (str(x) if isinstance(x, int) else q(x))
+    rows = [f"({lit(r['rule_id'])}, {lit(r['category'])}, {lit(r['description'])}, {lit(r['recommendation'])}, "
+            f"{r['severity']}, {lit(r['content'])}, {lit(r['level'])}, {lit(r['remediation_template'])})"
+            for r in BUILTIN_RULES]
+    return ("r(rule_id, category, description, recommendation, severity, content, level, tpl) AS (VALUES "
+            + ", ".join(rows) + ")")
+
+
+def _fill(tpl: str, tn: str, cn: str, src: str) -> str:
+    out = tpl
+    for key, val in (("table_name", tn), ("column_name", cn), ("lakehouse_name", src),
+                     ("warehouse_name", src),
+                     ("full_table_name", f"coalesce({src}, 'unknown') || '.' || coalesce({tn}, 'unknown')")):
+        out = f"replace({out}, '{{{key}}}', coalesce({val}, ''))"
+    return out
+
+
+def findings(check_sqls: list[str], source_name: str, scan_date: str) -> str:
+    """Findings from check rows (rule_id, table_name, column_name, result, is_anomaly)."""
+    checks = " UNION ALL ".join(f"SELECT * FROM ({s})" for s in check_sqls)
+    src = q(source_name)
+    return (
+        f"WITH c AS ({checks}), {_rules_values()}, "
+        f"j AS (SELECT c.rule_id, c.table_name AS t0, c.column_name AS c0, c.result, c.is_anomaly, r.category, "
+        f"r.description, r.recommendation, r.severity, r.content, r.level, r.tpl, "
+        f"(r.level = 'column' AND c.column_name IS NOT NULL) AS keep FROM c JOIN r ON c.rule_id = r.rule_id), "
+        f"m AS (SELECT *, CASE WHEN keep THEN 'dbo' WHEN level IN ('lakehouse', 'database') THEN 'N/A' ELSE 'dbo' END AS sn, "
+        f"CASE WHEN keep THEN t0 WHEN level IN ('lakehouse', 'database', 'schema') THEN 'N/A' ELSE t0 END AS tn, "
+        f"CASE WHEN keep THEN c0 ELSE 'N/A' END AS cn FROM j) "
+        f"SELECT rule_id, level, CAST(NULL AS VARCHAR) AS workspace_name, CAST(NULL AS VARCHAR) AS workspace_id, "
+        f"{src} AS source_name, 'N/A' AS source_id, sn AS schema_name, tn AS table_name, cn AS column_name, "
+        f"category, description, recommendation, severity, content, result, is_anomaly, {q(scan_date)} AS scan_date, "
+        f"CASE WHEN is_anomaly AND tpl IS NOT NULL AND tpl <> '' THEN {_fill('tpl', 'tn', 'cn', src)} END "
+        f"AS remediation_script, CAST(NULL AS VARCHAR) AS table_path FROM m")
+
+
+def folder_findings() -> str:
+    checks = [null_values(), column_sizing(), column_stats(), cardinality(), text_types(), data_retention(),
+              duplicates(), fk_orphans(), key_skew(),
+              compression_ratio(), dictionary_encoding(), row_group_sizing(), read_parallelism(),
+              chunk_statistics(), null_ratio(), offset_continuity(), file_sizes(),
+              column_naming(), naming_standard(), sensitive_names(), audit_columns(), column_docs(),
+              wide_tables(), nullability(), deprecated_types(),
+              f"SELECT rule_id, table_id AS table_name, column_name, result, is_anomaly FROM ({gzip_rule()})"]
+    return findings(checks, "testdata", "2025-01-01T00:00:00.000Z")

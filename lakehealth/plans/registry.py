@@ -189,3 +189,20 @@ def rule_scalar(spark, sf_dir):
     md.chunks.createOrReplaceTempView("df")
     out = spark.sql(LEGACY_GZIP_SQL.strip().rstrip(";"))
     return out.select(out.columns[0]).limit(1)
+
+
+# -- the whole findings table (flagship) -------------------------------------------------------
+
+from .scan import folder_findings  # noqa: E402
+
+FIXED_SCAN_TS = "2025-01-01 00:00:00.000"
+FINDING_COLUMNS = ["rule_id", "level", "workspace_name", "workspace_id", "source_name", "source_id",
+                   "schema_name", "table_name", "column_name", "category", "description", "recommendation",
+                   "severity", "content", "result", "is_anomaly", "scan_date", "remediation_script", "table_path"]
+
+
+@register("findings_all", oracle_sql.folder_findings())
+def findings_all(spark, sf_dir):
+    """Every check over every table, one findings table (fixed scan time)."""
+    f = folder_findings(spark, sf_dir, scan_ts=FIXED_SCAN_TS, source_name="testdata")
+    return f.select(*FINDING_COLUMNS)

@@ -24,7 +24,8 @@ RULES = _struct(("rule_id", S), ("category", S), ("description", S), ("recommend
 
 # What every check operator returns: one row per (location, check).
 CHECKS = _struct(("rule_id", S), ("table_id", S), ("schema_name", S), ("table_name", S),
-                 ("column_name", S), ("detail", S), ("is_anomaly", B), ("dynamic_remediation", S))
+                 ("column_name", S), ("detail", S), ("is_anomaly", B), ("dynamic_remediation", S),
+                 ("result", S))
 
 FINDINGS = _struct(("rule_id", S), ("level", S), ("workspace_name", S), ("workspace_id", S),
                    ("source_name", S), ("source_id", S), ("schema_name", S), ("table_name", S),
