@@ -109,67 +109,110 @@ def _checks(df: DataFrame, rule_id: str, detail: Column, anomaly: Column,
                      detail.alias("detail"), anomaly.alias("is_anomaly"))
 
 
-def null_values(profile: DataFrame, max_null_share_bp: int = 0) -> DataFrame:
+# A per-column check over the profile: (rule_id, applies-to, detail, anomaly).
+Entry = tuple[str, Column, Column, Column]
+
+
+def null_values_entry(max_null_share_bp: int = 0) -> Entry:
     """Q1: NULL count per column; anomaly when the NULL share exceeds the bound (default: any NULL)."""
     detail = F.concat(F.lit("Column "), F.col("column_name"), F.lit(" has "), num("nulls"),
                       F.lit(" NULL values in "), num("rows"), F.lit(" rows ("),
                       pct_text("nulls", "rows"), F.lit(")"))
     share_bp = F.when(F.col("rows") > 0, idiv(F.col("nulls") * 10000, F.col("rows"))).otherwise(0)
-    anomaly = (F.col("nulls") > 0) & (share_bp >= max_null_share_bp)
-    return _checks(profile, "Q1", detail, anomaly)
+    return "Q1", F.lit(True), detail, (F.col("nulls") > 0) & (share_bp >= max_null_share_bp)
 
 
-def column_sizing(profile: DataFrame, max_text_length: int = 8000) -> DataFrame:
+def column_sizing_entry(max_text_length: int = 8000) -> Entry:
     """Q6: observed max and average text length; anomaly above ``max_text_length`` characters."""
-    p = profile.filter(F.col("kind") == "string")
     avg = F.when(F.col("nonnull") > 0, idiv("sum_len", "nonnull")).otherwise(0)
     detail = F.concat(F.lit("Column "), F.col("column_name"), F.lit(": max length "),
                       F.coalesce(num("max_len"), F.lit("0")), F.lit(", average length "), num(avg),
                       F.lit(" over "), num("nonnull"), F.lit(" values"))
-    anomaly = F.coalesce(F.col("max_len") > max_text_length, F.lit(False))
-    return _checks(p, "Q6", detail, anomaly)
+    return ("Q6", F.col("kind") == "string", detail,
+            F.coalesce(F.col("max_len") > max_text_length, F.lit(False)))
 
 
-def column_stats(profile: DataFrame) -> DataFrame:
+def column_stats_entry() -> Entry:
     """Q7: statistics profile of each atomic column (informational, never an anomaly)."""
-    p = profile.filter(F.col("kind") != "complex")
     detail = F.concat(
         F.lit("Column "), F.col("column_name"), F.lit(": rows "), num("rows"),
         F.lit(", nulls "), num("nulls"), F.lit(", distinct "), num("ndv"),
         F.when(F.col("min_text").isNotNull(),
                F.concat(F.lit(", min "), F.col("min_text"), F.lit(", max "), F.col("max_text")))
         .otherwise(F.lit("")))
-    return _checks(p, "Q7", detail, F.lit(False))
+    return "Q7", F.col("kind") != "complex", detail, F.lit(False)
 
 
-def cardinality(profile: DataFrame) -> DataFrame:
+def cardinality_entry() -> Entry:
     """Distinct values per column; a constant column (one value, several rows) is an anomaly."""
-    p = profile.filter(F.col("kind") != "complex")
     detail = F.concat(F.lit("Column "), F.col("column_name"), F.lit(" has "), num("ndv"),
                       F.lit(" distinct values in "), num("rows"), F.lit(" rows ("),
                       pct_text("ndv", "rows"), F.lit(")"))
-    anomaly = (F.col("ndv") <= 1) & (F.col("rows") > 1)
-    return _checks(p, "L20", detail, anomaly)
+    return "L20", F.col("kind") != "complex", detail, (F.col("ndv") <= 1) & (F.col("rows") > 1)
 
 
-def text_types(profile: DataFrame) -> DataFrame:
+def text_types_entry() -> Entry:
     """Text columns whose every non-NULL value is numeric- or date-shaped."""
-    p = profile.filter(F.col("kind") == "string")
     detail = F.concat(F.lit("Column "), F.col("column_name"), F.lit(": "), num("numeric_like"),
                       F.lit(" numeric and "), num("date_like"), F.lit(" date-shaped of "),
                       num("nonnull"), F.lit(" values"))
     anomaly = (F.col("nonnull") > 0) & ((F.col("numeric_like") == F.col("nonnull"))
                                        | (F.col("date_like") == F.col("nonnull")))
-    return _checks(p, "L6", detail, anomaly)
+    return "L6", F.col("kind") == "string", detail, anomaly
 
 
-def data_retention(profile: DataFrame, older_than: str = "1996-01-01") -> DataFrame:
+def data_retention_entry(older_than: str = "1996-01-01") -> Entry:
     """Q17: rows of each date/timestamp column older than the retention horizon."""
-    p = profile.filter(F.col("kind") == "temporal")
     detail = F.concat(F.lit("Column "), F.col("column_name"), F.lit(": "), num("older"),
                       F.lit(" of "), num("rows"), F.lit(" rows older than "), F.lit(older_than),
                       F.lit(" ("), pct_text("older", "rows"), F.lit(")"))
-    return _checks(p, "Q17", detail, F.col("older") > 0)
+    return "Q17", F.col("kind") == "temporal", detail, F.col("older") > 0
+
+
+def _one(profile: DataFrame, entry: Entry) -> DataFrame:
+    rid, applies, detail, anomaly = entry
+    return _checks(profile.filter(applies), rid, detail, anomaly)
+
+
+def null_values(profile: DataFrame, max_null_share_bp: int = 0) -> DataFrame:
+    return _one(profile, null_values_entry(max_null_share_bp))
+
+
+def column_sizing(profile: DataFrame, max_text_length: int = 8000) -> DataFrame:
+    return _one(profile, column_sizing_entry(max_text_length))
+
+
+def column_stats(profile: DataFrame) -> DataFrame:
+    return _one(profile, column_stats_entry())
+
+
+def cardinality(profile: DataFrame) -> DataFrame:
+    return _one(profile, cardinality_entry())
+
+
+def text_types(profile: DataFrame) -> DataFrame:
+    return _one(profile, text_types_entry())
+
+
+def data_retention(profile: DataFrame, older_than: str = "1996-01-01") -> DataFrame:
+    return _one(profile, data_retention_entry(older_than))
+
+
+def profile_checks(profile: DataFrame, entries: list[Entry]) -> DataFrame:
+    """Several per-column checks in one projection over a single profile reference.
+
+    Each profile row fans out to the checks that apply to it (``explode`` of
+    an array of structs), so the profile aggregate is planned and executed
+    once however many checks read it.
+    """
+    structs = [F.when(applies, F.struct(F.lit(rid).alias("rule_id"), detail.alias("detail"),
+                                        anomaly.alias("is_anomaly")))
+               for rid, applies, detail, anomaly in entries]
+    x = profile.select("table_name", "column_name", F.explode(F.array(*structs)).alias("e")) \
+        .filter(F.col("e").isNotNull())
+    return x.select(F.col("e.rule_id").alias("rule_id"), F.col("table_name").alias("table_id"),
+                    F.lit("dbo").alias("schema_name"), "table_name", "column_name",
+                    F.col("e.detail").alias("detail"), F.col("e.is_anomaly").alias("is_anomaly"))
 
 
 def _key_label(keys: Sequence[str]) -> str:

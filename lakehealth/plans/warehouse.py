@@ -29,10 +29,10 @@ def data_checks(tables: Mapping[str, DataFrame], *, older_than: str = "1996-01-0
     fks = dataset.FOREIGN_KEYS if fks is None else fks
     skew_keys = dataset.SKEW_KEYS if skew_keys is None else skew_keys
     prof = quality.column_profile(tables, exact_distinct=exact_distinct, older_than=older_than)
-    parts = [
-        quality.null_values(prof), quality.column_sizing(prof), quality.column_stats(prof),
-        quality.cardinality(prof), quality.text_types(prof), quality.data_retention(prof, older_than),
-    ]
+    parts = [quality.profile_checks(prof, [
+        quality.null_values_entry(), quality.column_sizing_entry(), quality.column_stats_entry(),
+        quality.cardinality_entry(), quality.text_types_entry(), quality.data_retention_entry(older_than),
+    ])]
     present = set(tables)
     k = {t: v for t, v in keys.items() if t in present}
     if k:

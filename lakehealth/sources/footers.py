@@ -9,15 +9,21 @@ work therefore grows with the number of files, one small ranged read each.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
 
+# The executor-side readers below use only the standard library and pyarrow;
+# shipping this module by value means executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def list_files(spark: SparkSession, root: str, *, recursive: bool = False,
                pattern: str = "*.parquet") -> DataFrame:
@@ -97,8 +103,13 @@ def _chunk_rows(table_id: str, path: str) -> list[dict]:
     return rows
 
 
-def _read_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    arrow_schema = _arrow_schema(schemas.CHUNKS)
+def _chunk_reader(arrow_schema: pa.Schema):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _read_chunks(batches, arrow_schema)
+    return read
+
+
+def _read_chunks(batches: Iterator[pa.RecordBatch], arrow_schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for b in batches:
         d = b.to_pydict()
         for tid, path in zip(d["table_id"], d["file_path"]):
@@ -132,9 +143,14 @@ def spark_type_name(t: pa.DataType) -> str:
     return _SPARK_NAMES.get(str(t), str(t))
 
 
-def _read_schemas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _schema_reader(arrow_schema: pa.Schema):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _read_schemas(batches, arrow_schema)
+    return read
+
+
+def _read_schemas(batches: Iterator[pa.RecordBatch], arrow_schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     import pyarrow.parquet as pq
-    arrow_schema = _arrow_schema(schemas.FILE_SCHEMA)
     for b in batches:
         d = b.to_pydict()
         for tid, path in zip(d["table_id"], d["file_path"]):
@@ -170,13 +186,13 @@ def _spread(files: DataFrame, tasks_per_core: int) -> DataFrame:
 def footer_chunks(files: DataFrame, tasks_per_core: int = 2) -> DataFrame:
     """Column-chunk metadata of every file in ``files`` (needs ``table_id``, ``file_path``)."""
     return _spread(files.select("table_id", "file_path"), tasks_per_core) \
-        .mapInArrow(_read_chunks, schemas.CHUNKS)
+        .mapInArrow(_chunk_reader(_arrow_schema(schemas.CHUNKS)), schemas.CHUNKS)
 
 
 def file_schemas(files: DataFrame, tasks_per_core: int = 2) -> DataFrame:
     """Top-level schema of every file: (table_id, file_path, ordinal, column_name, data_type, nullable)."""
     return _spread(files.select("table_id", "file_path"), tasks_per_core) \
-        .mapInArrow(_read_schemas, schemas.FILE_SCHEMA)
+        .mapInArrow(_schema_reader(_arrow_schema(schemas.FILE_SCHEMA)), schemas.FILE_SCHEMA)
 
 
 def table_columns(file_schema: DataFrame) -> DataFrame:
