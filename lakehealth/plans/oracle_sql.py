@@ -426,3 +426,88 @@ def folder_findings() -> str:
               wide_tables(), nullability(), deprecated_types(),
               f"SELECT rule_id, table_id AS table_name, column_name, result, is_anomaly FROM ({gzip_rule()})"]
     return findings(checks, "testdata", "2025-01-01T00:00:00.000Z")
+
+
+# -- finding shaping ---------------------------------------------------------------------------
+
+def _blank(x: str) -> str:
+    return f"({x} IS NULL OR {x} = '')"
+
+
+def _unset(x: str) -> str:
+    return f"({x} IS NULL OR {x} IN ('N/A', 'None', ''))"
+
+
+def hierarchy() -> str:
+    return (
+        "WITH i AS (SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'schema' WHEN 'AUTOMOBILE' THEN 'column' "
+        "ELSE 'table' END AS lv, CASE c_mktsegment WHEN 'MACHINERY' THEN 'sales' WHEN 'FURNITURE' THEN 'None' END AS s0, "
+        "CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 'crm.' || c_name WHEN 'FURNITURE' THEN '' WHEN 'AUTOMOBILE' THEN NULL "
+        "ELSE c_name END AS t0, CASE WHEN c_nationkey < 5 THEN 'c_acctbal' WHEN c_nationkey < 10 THEN 'None' END AS c0 "
+        "FROM customer), "
+        f"a AS (SELECT *, (NOT {_blank('t0')} AND contains(t0, '.') AND {_blank('s0')}) AS dotted, "
+        f"(NOT {_blank('t0')} AND NOT contains(t0, '.') AND {_blank('s0')} AND lv = 'schema') AS sl FROM i), "
+        "b AS (SELECT c_custkey, c0, CASE WHEN dotted THEN split_part(t0, '.', 1) WHEN sl THEN t0 ELSE s0 END AS s1, "
+        "CASE WHEN dotted THEN substr(t0, strpos(t0, '.') + 1) WHEN sl THEN NULL ELSE t0 END AS t1 FROM a), "
+        f"c AS (SELECT *, CASE WHEN NOT {_blank('c0')} AND {_unset('t1')} THEN 'N/A' ELSE t1 END AS t2 FROM b), "
+        f"d AS (SELECT *, CASE WHEN NOT {_blank('t2')} AND NOT {_unset('t2')} AND {_unset('s1')} THEN 'dbo' "
+        "ELSE s1 END AS s2 FROM c) "
+        "SELECT c_custkey, CASE WHEN s2 IS NULL OR s2 IN ('', 'None') THEN 'N/A' ELSE s2 END AS schema_name, "
+        "CASE WHEN t2 IS NULL OR t2 IN ('', 'None') THEN 'N/A' ELSE t2 END AS table_name, "
+        "CASE WHEN c0 IS NULL OR c0 IN ('', 'None') THEN 'N/A' ELSE c0 END AS column_name FROM d")
+
+
+def level_masking() -> str:
+    return (
+        "WITH i AS (SELECT c_custkey, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'lakehouse' WHEN 'BUILDING' THEN 'database' "
+        "WHEN 'FURNITURE' THEN 'schema' WHEN 'HOUSEHOLD' THEN 'table' ELSE 'column' END AS level, "
+        "'seg_' || lower(c_mktsegment) AS s, c_name AS t FROM customer) "
+        "SELECT c_custkey, level, CASE WHEN level IN ('lakehouse', 'database') THEN 'N/A' ELSE s END AS schema_name, "
+        "CASE WHEN level IN ('lakehouse', 'database', 'schema') THEN 'N/A' ELSE t END AS table_name, "
+        "'N/A' AS column_name FROM i")
+
+
+def remediation() -> str:
+    tpl = ("CASE o_orderpriority WHEN '1-URGENT' THEN 'OPTIMIZE {full_table_name}' "
+           "WHEN '2-HIGH' THEN 'ALTER TABLE {table_name} ALTER COLUMN {column_name}' WHEN '3-MEDIUM' THEN '' "
+           "WHEN '4-NOT SPECIFIED' THEN NULL ELSE 'VACUUM {lakehouse_name}.{table_name} -- {column_name}' END")
+    return (
+        f"WITH i AS (SELECT o_orderkey, o_orderstatus = 'F' AS a, {tpl} AS tpl, "
+        "CASE WHEN o_orderpriority = '2-HIGH' THEN 'DYNAMIC ' || CAST(o_orderkey AS VARCHAR) END AS dyn, "
+        "'orders_' || CAST(o_custkey AS VARCHAR) AS t, CASE WHEN o_orderpriority = '5-LOW' THEN NULL "
+        "ELSE 'o_totalprice' END AS c, 'lh_' || o_orderstatus AS lh FROM orders) "
+        "SELECT o_orderkey, CASE WHEN a THEN coalesce(CASE WHEN dyn <> '' THEN dyn END, "
+        "CASE WHEN tpl IS NOT NULL AND tpl <> '' THEN "
+        "replace(replace(replace(replace(tpl, '{table_name}', coalesce(t, '')), '{column_name}', coalesce(c, '')), "
+        "'{lakehouse_name}', coalesce(lh, '')), '{full_table_name}', coalesce(lh, 'unknown') || '.' || "
+        "coalesce(t, 'unknown')) END) END AS remediation_script FROM i")
+
+
+def _raw_result() -> str:
+    return ("CASE c_mktsegment WHEN 'BUILDING' THEN c_name || chr(10) || chr(10) || 'Indicator: Anomaly - ERR_1001' "
+            "WHEN 'AUTOMOBILE' THEN c_name || chr(10) || chr(10) || 'Indicator: Optimized - OPT_2001' "
+            "WHEN 'FURNITURE' THEN '  ' || c_name || ' ' || chr(10) ELSE c_name END")
+
+
+def indicator_default() -> str:
+    s = f"regexp_replace({_raw_result()}, '^\\s+|\\s+$', '', 'g')"
+    return (f"SELECT c_custkey, CASE WHEN contains({s}, 'Indicator:') THEN {s} ELSE {s} || chr(10) || chr(10) || "
+            f"'Indicator: Optimized - OPT_2001' END AS result FROM customer")
+
+
+def anomaly_flag() -> str:
+    return f"SELECT c_custkey, coalesce(contains({_raw_result()}, 'Anomaly - ERR_1001'), false) AS is_anomaly FROM customer"
+
+
+def scan_date() -> str:
+    return ("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.') || "
+            "lpad(CAST(microsecond(o_orderdate) // 1000 AS VARCHAR), 3, '0') || 'Z' AS scan_date FROM orders")
+
+
+def stringify() -> str:
+    return ("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, "
+            "c_mktsegment FROM customer")
+
+
+def order_columns() -> str:
+    return ("SELECT 'Q0' AS rule_id, 'dbo' AS schema_name, n_name AS table_name, n_nationkey, n_regionkey FROM nation")

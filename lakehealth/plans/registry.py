@@ -206,3 +206,112 @@ def findings_all(spark, sf_dir):
     """Every check over every table, one findings table (fixed scan time)."""
     f = folder_findings(spark, sf_dir, scan_ts=FIXED_SCAN_TS, source_name="testdata")
     return f.select(*FINDING_COLUMNS)
+
+
+# -- finding shaping operators over rows derived from the test tables --------------------------
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from ..functions import location as loc  # noqa: E402
+from ..functions import text as tx  # noqa: E402
+from .findings import order_columns as _order_columns  # noqa: E402
+from .findings import stringify as _stringify  # noqa: E402
+
+
+def _t(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def hierarchy_input(customer):
+    seg = F.col("c_mktsegment")
+    return customer.select(
+        "c_custkey",
+        F.when(seg == "BUILDING", "schema").when(seg == "AUTOMOBILE", "column").otherwise("table").alias("level"),
+        F.when(seg == "MACHINERY", F.lit("sales")).when(seg == "FURNITURE", F.lit("None")).alias("schema_name"),
+        F.when(seg == "HOUSEHOLD", F.concat(F.lit("crm."), F.col("c_name"))).when(seg == "FURNITURE", F.lit(""))
+        .when(seg == "AUTOMOBILE", F.lit(None)).otherwise(F.col("c_name")).alias("table_name"),
+        F.when(F.col("c_nationkey") < 5, F.lit("c_acctbal")).when(F.col("c_nationkey") < 10, F.lit("None"))
+        .alias("column_name"))
+
+
+@register("finding_hierarchy", oracle_sql.hierarchy())
+def finding_hierarchy(spark, sf_dir):
+    """F1 over one row per customer."""
+    out = loc.normalize_hierarchy(hierarchy_input(_t(spark, sf_dir, "customer")))
+    return out.select("c_custkey", "schema_name", "table_name", "column_name")
+
+
+@register("level_masking", oracle_sql.level_masking())
+def level_masking(spark, sf_dir):
+    """F2 over one row per customer (segment -> level)."""
+    seg = F.col("c_mktsegment")
+    level = (F.when(seg == "AUTOMOBILE", "lakehouse").when(seg == "BUILDING", "database")
+             .when(seg == "FURNITURE", "schema").when(seg == "HOUSEHOLD", "table").otherwise("column"))
+    rows = _t(spark, sf_dir, "customer").select(
+        "c_custkey", level.alias("level"), F.concat(F.lit("seg_"), F.lower(seg)).alias("schema_name"),
+        F.col("c_name").alias("table_name"), F.lit("c_acctbal").alias("column_name"))
+    return loc.mask_by_level(rows).select("c_custkey", "level", "schema_name", "table_name", "column_name")
+
+
+@register("remediation", oracle_sql.remediation())
+def remediation_query(spark, sf_dir):
+    """F3 / X5 over one row per order (status F = anomaly, priority picks template / dynamic script)."""
+    o = _t(spark, sf_dir, "orders")
+    pr = F.col("o_orderpriority")
+    tpl = (F.when(pr == "1-URGENT", F.lit("OPTIMIZE {full_table_name}"))
+           .when(pr == "2-HIGH", F.lit("ALTER TABLE {table_name} ALTER COLUMN {column_name}"))
+           .when(pr == "3-MEDIUM", F.lit("")).when(pr == "4-NOT SPECIFIED", F.lit(None))
+           .otherwise(F.lit("VACUUM {lakehouse_name}.{table_name} -- {column_name}")))
+    dyn = F.when(pr == "2-HIGH", F.concat(F.lit("DYNAMIC "), F.col("o_orderkey").cast("string")))
+    table = F.concat(F.lit("orders_"), F.col("o_custkey").cast("string"))
+    column = F.when(pr == "5-LOW", F.lit(None)).otherwise(F.lit("o_totalprice"))
+    lh = F.concat(F.lit("lh_"), F.col("o_orderstatus"))
+    values = {"table_name": table, "column_name": column, "lakehouse_name": lh,
+              "full_table_name": loc.qualified_name(lh, table)}
+    script = loc.remediation(F.col("o_orderstatus") == "F", tpl, values, dynamic=dyn)
+    return o.select("o_orderkey", script.alias("remediation_script"))
+
+
+def _raw_result(customer):
+    seg = F.col("c_mktsegment")
+    return (F.when(seg == "BUILDING", F.concat(F.col("c_name"), F.lit("\n\nIndicator: " + tx.ANOMALY)))
+            .when(seg == "AUTOMOBILE", F.concat(F.col("c_name"), F.lit("\n\nIndicator: " + tx.OPTIMIZED)))
+            .when(seg == "FURNITURE", F.concat(F.lit("  "), F.col("c_name"), F.lit(" \n")))
+            .otherwise(F.col("c_name")))
+
+
+@register("indicator_default", oracle_sql.indicator_default())
+def indicator_default(spark, sf_dir):
+    """R7 + X9: stripped rule output gets the Optimized indicator when it has none."""
+    c = _t(spark, sf_dir, "customer")
+    return c.select("c_custkey", tx.with_default_indicator(tx.strip_ws(_raw_result(c))).alias("result"))
+
+
+@register("anomaly_flag", oracle_sql.anomaly_flag())
+def anomaly_flag_query(spark, sf_dir):
+    """Anomaly iff the text carries the anomaly indicator."""
+    c = _t(spark, sf_dir, "customer")
+    return c.select("c_custkey", tx.anomaly_flag(_raw_result(c)).alias("is_anomaly"))
+
+
+@register("scan_date", oracle_sql.scan_date())
+def scan_date_query(spark, sf_dir):
+    """ISO-8601 text with milliseconds and Z, per order date."""
+    o = _t(spark, sf_dir, "orders")
+    return o.select("o_orderkey", F.date_format("o_orderdate", tx.SCAN_DATE_FORMAT).alias("scan_date"))
+
+
+@register("stringify", oracle_sql.stringify())
+def stringify_query(spark, sf_dir):
+    """every column as text."""
+    c = _t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    return _stringify(c)
+
+
+@register("order_columns", oracle_sql.order_columns())
+def order_columns_query(spark, sf_dir):
+    """Priority columns first, the rest in their original order."""
+    n = _t(spark, sf_dir, "nation").select(
+        F.col("n_name").alias("table_name"), "n_nationkey", F.lit("Q0").alias("rule_id"), "n_regionkey",
+        F.lit("dbo").alias("schema_name"))
+    return _order_columns(n)
