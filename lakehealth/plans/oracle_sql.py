@@ -511,3 +511,143 @@ def stringify() -> str:
 
 def order_columns() -> str:
     return ("SELECT 'Q0' AS rule_id, 'dbo' AS schema_name, n_name AS table_name, n_nationkey, n_regionkey FROM nation")
+
+
+# -- Delta logs derived from lineitem / orders (see sources/lake_fixture.py) ---------------------
+
+def _lake_ctes() -> str:
+    return (
+        "li AS (SELECT date_trunc('month', l_shipdate) AS m, l_returnflag AS fl, count(*) AS n FROM lineitem GROUP BY ALL), "
+        "lv AS (SELECT m, fl, n, date_diff('month', (SELECT min(m) FROM li), m) AS v FROM li), "
+        "lk AS (SELECT * FROM lv WHERE v <> 5), "
+        "vers AS (SELECT v, m, count(*) AS k, sum(n * 128 + 4096) AS bytes, "
+        "sum(CASE WHEN fl <> 'N' THEN n ELSE 0 END) AS recs FROM lk GROUP BY v, m), "
+        "vop AS (SELECT *, CASE WHEN v = 0 THEN 'CREATE TABLE' WHEN month(m) = 1 THEN 'OPTIMIZE' "
+        "WHEN month(m) = 7 THEN 'VACUUM END' ELSE 'WRITE' END AS op FROM vers), "
+        "od AS (SELECT o_orderstatus AS st, count(*) AS n FROM orders GROUP BY ALL)")
+
+
+def delta_log_scan() -> str:
+    return (f"WITH {_lake_ctes()} "
+            "SELECT 'lineitem' AS table_name, CAST(v AS BIGINT) AS version, "
+            "CAST(1 + k + CASE WHEN v = 0 THEN 2 ELSE 0 END + CASE WHEN v = 3 THEN 1 ELSE 0 END AS BIGINT) AS lines, "
+            "CAST(CASE WHEN v = 3 THEN 1 ELSE 0 END AS BIGINT) AS bad_lines FROM vers "
+            "UNION ALL SELECT 'sales/orders', 0, CAST(3 + count(*) AS BIGINT), 0 FROM od "
+            "UNION ALL SELECT 'empty_table', 0, 2, 0")
+
+
+def delta_actions_long() -> str:
+    path = "'l_returnflag=' || fl || '/part-' || lpad(CAST(v AS VARCHAR), 5, '0') || '-' || fl || '.snappy.parquet'"
+    n = "CAST(NULL AS VARCHAR)"
+    nb = "CAST(NULL AS BIGINT)"
+    return (
+        f"WITH {_lake_ctes()} "
+        f"SELECT 'lineitem' AS table_name, CAST(v AS BIGINT) AS version, 0 AS pos, 'commitInfo' AS action, op AS operation, "
+        f"{n} AS add_path, {nb} AS add_size FROM vop "
+        f"UNION ALL SELECT 'lineitem', 0, 1, 'protocol', {n}, {n}, {nb} "
+        f"UNION ALL SELECT 'lineitem', 0, 2, 'metaData', {n}, {n}, {nb} "
+        f"UNION ALL SELECT 'lineitem', CAST(v AS BIGINT), CAST(CASE WHEN v = 0 THEN 3 ELSE 1 END + "
+        f"row_number() OVER (PARTITION BY v ORDER BY fl) - 1 AS INTEGER), 'add', {n}, {path}, "
+        f"CAST(n * 128 + 4096 AS BIGINT) FROM lk "
+        f"UNION ALL SELECT 'lineitem', CAST(v AS BIGINT), CAST(1 + k AS INTEGER), {n}, {n}, {n}, {nb} FROM vers WHERE v = 3 "
+        f"UNION ALL SELECT 'sales/orders', 0, 0, 'commitInfo', 'CREATE TABLE', {n}, {nb} "
+        f"UNION ALL SELECT 'sales/orders', 0, 1, 'protocol', {n}, {n}, {nb} "
+        f"UNION ALL SELECT 'sales/orders', 0, 2, 'metaData', {n}, {n}, {nb} "
+        f"UNION ALL SELECT 'sales/orders', 0, CAST(2 + row_number() OVER (ORDER BY st) AS INTEGER), 'add', {n}, "
+        f"'o_orderstatus=' || st || '/part-0.parquet', CAST(n * 64 + 1024 AS BIGINT) FROM od "
+        f"UNION ALL SELECT 'empty_table', 0, 0, 'commitInfo', 'CREATE TABLE', {n}, {nb} "
+        f"UNION ALL SELECT 'empty_table', 0, 1, 'protocol', {n}, {n}, {nb}")
+
+
+def delta_commit_summary() -> str:
+    return (
+        f"WITH {_lake_ctes()} "
+        "SELECT 'lineitem' AS table_name, CAST(v AS BIGINT) AS version, epoch_ms(m) AS timestamp, op AS operation, "
+        "CAST(1 + k + CASE WHEN v = 0 THEN 2 ELSE 0 END + CASE WHEN v = 3 THEN 1 ELSE 0 END AS BIGINT) AS actions, "
+        "CAST(CASE WHEN v = 3 THEN 1 ELSE 0 END AS BIGINT) AS bad_lines, CAST(k AS BIGINT) AS adds, "
+        "CAST(bytes AS BIGINT) AS bytes_added, CAST(recs AS BIGINT) AS records_added FROM vop "
+        "UNION ALL SELECT 'sales/orders', 0, (SELECT epoch_ms(date_trunc('day', min(o_orderdate))) FROM orders), "
+        "'CREATE TABLE', CAST(3 + count(*) AS BIGINT), 0, CAST(count(*) AS BIGINT), CAST(sum(n * 64 + 1024) AS BIGINT), "
+        "CAST(sum(n) AS BIGINT) FROM od "
+        "UNION ALL SELECT 'empty_table', 0, (SELECT count(*) FROM nation), 'CREATE TABLE', 2, 0, 0, 0, 0")
+
+
+def delta_properties() -> str:
+    return ("SELECT * FROM (VALUES ('lineitem', 'delta.logRetentionDuration', 'interval 30 days'), "
+            "('lineitem', 'delta.deletedFileRetentionDuration', 'interval 7 days'), "
+            "('lineitem', 'delta.autoOptimize.optimizeWrite', 'true'), "
+            "('sales/orders', 'delta.logRetentionDuration', 'interval 60 days')) t(table_name, key, value)")
+
+
+def discover_tables() -> str:
+    return ("WITH loc AS (SELECT r_name AS w, n_name AS l FROM nation JOIN region ON n_regionkey = r_regionkey "
+            "ORDER BY n_nationkey LIMIT 1) "
+            "SELECT w AS workspace_name, l AS lakehouse_name, s AS schema_name, t AS table_name, p AS relative_path "
+            "FROM loc, (VALUES ('dbo', 'lineitem', 'lineitem'), ('sales', 'orders', 'sales/orders'), "
+            "('dbo', 'empty_table', 'empty_table')) x(s, t, p)")
+
+
+def _lchk(rule: str, body: str) -> str:
+    """Rows (t, d, a) -> check view."""
+    return (f"SELECT '{rule}' AS rule_id, t AS table_name, CAST(NULL AS VARCHAR) AS column_name, "
+            f"{res('d', 'a')} AS result, a AS is_anomaly FROM ({body})")
+
+
+def lk_partitioning() -> str:
+    d = lambda parts, files, b: (f"{v(parts)} || ' partitions over ' || {v(files)} || ' files; average ' || "
+                                 f"{v(f'({b}) // ({parts})')} || ' bytes per partition'")
+    return (f"WITH {_lake_ctes()} " + _lchk("L2",
+            f"SELECT 'lineitem' AS t, {d('count(DISTINCT fl)', 'count(*)', 'sum(n * 128 + 4096)')} AS d, "
+            f"count(DISTINCT fl) > 1 AND sum(n * 128 + 4096) < count(DISTINCT fl) * 1073741824 AS a FROM lk "
+            f"UNION ALL SELECT 'sales/orders', {d('count(*)', 'count(*)', 'sum(n * 64 + 1024)')}, "
+            f"count(*) > 1 AND sum(n * 64 + 1024) < count(*) * 1073741824 FROM od"))
+
+
+def lk_zorder() -> str:
+    return (f"WITH {_lake_ctes()} " + _lchk("L3",
+            "SELECT 'lineitem' AS t, CAST(count_if(op = 'OPTIMIZE') AS VARCHAR) || ' Z-ordered OPTIMIZE commits of ' || "
+            "CAST(count(*) AS VARCHAR) || ' commits' AS d, count_if(op = 'OPTIMIZE') = 0 AS a FROM vop "
+            "UNION ALL SELECT 'sales/orders', '0 Z-ordered OPTIMIZE commits of 1 commits', true "
+            "UNION ALL SELECT 'empty_table', '0 Z-ordered OPTIMIZE commits of 1 commits', true"))
+
+
+def lk_retention() -> str:
+    return _lchk("L8", "SELECT * FROM (VALUES "
+                 "('lineitem', 'Log retention 30 days, deleted-file retention 7 days', false), "
+                 "('sales/orders', 'Log retention 60 days, deleted-file retention unset', true), "
+                 "('empty_table', 'Log retention unset, deleted-file retention unset', true)) x(t, d, a) "
+                 "WHERE (SELECT count(*) FROM lineitem) > 0")
+
+
+def lk_vacuum() -> str:
+    days = "((max(epoch_ms(m)) - max(CASE WHEN op LIKE 'VACUUM%' THEN epoch_ms(m) END)) // 86400000)"
+    return (f"WITH {_lake_ctes()} " + _lchk("L9",
+            f"SELECT 'lineitem' AS t, 'Last VACUUM ' || CAST({days} AS VARCHAR) || ' days before the latest commit' AS d, "
+            f"{days} > 7 AS a FROM vop "
+            "UNION ALL SELECT 'sales/orders', 'No VACUUM in the log', true "
+            "UNION ALL SELECT 'empty_table', 'No VACUUM in the log', true"))
+
+
+def lk_checkpoints() -> str:
+    return (f"WITH {_lake_ctes()} " + _lchk("L17",
+            "SELECT 'lineitem' AS t, 'Latest version ' || CAST(max(v) AS VARCHAR) || ', last checkpoint none' AS d, "
+            "max(v) + 1 > 10 AS a FROM vers "
+            "UNION ALL SELECT 'sales/orders', 'Latest version 0, last checkpoint none', false "
+            "UNION ALL SELECT 'empty_table', 'Latest version 0, last checkpoint none', false"))
+
+
+def lk_auto_optimize() -> str:
+    return _lchk("L18", "SELECT * FROM (VALUES "
+                 "('lineitem', 'optimizeWrite=true, autoCompact=unset', false), "
+                 "('sales/orders', 'optimizeWrite=unset, autoCompact=unset', true), "
+                 "('empty_table', 'optimizeWrite=unset, autoCompact=unset', true)) x(t, d, a) "
+                 "WHERE (SELECT count(*) FROM lineitem) > 0")
+
+
+def lk_data_skipping_log() -> str:
+    return (f"WITH {_lake_ctes()} " + _lchk("L19",
+            "SELECT 'lineitem' AS t, CAST(count_if(fl <> 'N') AS VARCHAR) || ' of ' || CAST(count(*) AS VARCHAR) || "
+            "' live files carry statistics' AS d, count_if(fl <> 'N') < count(*) AS a FROM lk "
+            "UNION ALL SELECT 'sales/orders', CAST(count(*) AS VARCHAR) || ' of ' || CAST(count(*) AS VARCHAR) || "
+            "' live files carry statistics', false FROM od "
+            "UNION ALL SELECT 'empty_table', '0 of 0 live files carry statistics', false"))

@@ -315,3 +315,88 @@ def order_columns_query(spark, sf_dir):
         F.col("n_name").alias("table_name"), "n_nationkey", F.lit("Q0").alias("rule_id"), "n_regionkey",
         F.lit("dbo").alias("schema_name"))
     return _order_columns(n)
+
+
+# -- Delta logs over a lake derived from lineitem / orders ----------------------------------------
+
+from ..operators import delta as delta_ops  # noqa: E402
+from ..sources import delta_log, lake_fixture  # noqa: E402
+
+_LAKES: dict[tuple, str] = {}
+
+
+def lake_root(spark, sf_dir, with_data: bool = False) -> str:
+    """The derived lake of ``sf_dir`` (built once per Spark application)."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), with_data)
+    if key not in _LAKES:
+        _LAKES[key] = lake_fixture.build_lake(spark, sf_dir, with_data=with_data)
+    return _LAKES[key]
+
+
+def rel_table(col="table_id"):
+    """Table path relative to ``Tables/`` (``lineitem``, ``sales/orders``)."""
+    return F.regexp_extract(F.col(col), r"/Tables/(.*)$", 1)
+
+
+def _log(spark, sf_dir):
+    root = lake_root(spark, sf_dir)
+    return root, delta_log.read_log(spark, root)
+
+
+@register("delta_log_scan", oracle_sql.delta_log_scan())
+def delta_log_scan(spark, sf_dir):
+    """Every version file of every table; lines and malformed lines per version."""
+    _, log = _log(spark, sf_dir)
+    return log.groupBy(rel_table().alias("table_name"), "version").agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if(F.col("action").isNull()).alias("bad_lines"))
+
+
+@register("delta_actions_long", oracle_sql.delta_actions_long())
+def delta_actions_long(spark, sf_dir):
+    """One row per action with its position and type (long form)."""
+    _, log = _log(spark, sf_dir)
+    return log.select(rel_table().alias("table_name"), "version", "pos", "action",
+                      F.col("commit_info.operation").alias("operation"), F.col("add.path").alias("add_path"),
+                      F.col("add.size").alias("add_size"))
+
+
+@register("delta_commit_summary", oracle_sql.delta_commit_summary())
+def delta_commit_summary(spark, sf_dir):
+    """A4: per (table, version) commit attributes and add totals."""
+    _, log = _log(spark, sf_dir)
+    s = delta_log.commit_summary(log)
+    return s.select(rel_table().alias("table_name"), "version", "timestamp", "operation", "actions", "bad_lines",
+                    "adds", "bytes_added", "records_added")
+
+
+@register("delta_properties", oracle_sql.delta_properties())
+def delta_properties(spark, sf_dir):
+    """Latest table properties, one row per key."""
+    _, log = _log(spark, sf_dir)
+    return delta_log.table_properties(log).select(rel_table().alias("table_name"), "key", "value")
+
+
+@register("discover_tables", oracle_sql.discover_tables())
+def discover_tables(spark, sf_dir):
+    """Delta tables of the lake (flat and schema layouts; hidden and non-table folders skipped)."""
+    t = delta_log.discover_tables(spark, lake_root(spark, sf_dir))
+    return t.select("workspace_name", "lakehouse_name", "schema_name", "table_name",
+                    rel_table("table_path").alias("relative_path"))
+
+
+def _log_check(key, fn):
+    def q(spark, sf_dir):
+        root, log = _log(spark, sf_dir)
+        tables = delta_log.discover_tables(spark, root)
+        c = fn(root, log, tables, spark)
+        return check_view(c.withColumn("table_name", rel_table()))
+    register(key, getattr(oracle_sql, key)())(q)
+
+
+_log_check("lk_partitioning", lambda r, lg, t, s: delta_ops.partitioning(lg, t))
+_log_check("lk_zorder", lambda r, lg, t, s: delta_ops.zorder(lg, t))
+_log_check("lk_retention", lambda r, lg, t, s: delta_ops.retention(lg, t))
+_log_check("lk_vacuum", lambda r, lg, t, s: delta_ops.vacuum(lg, t))
+_log_check("lk_checkpoints", lambda r, lg, t, s: delta_ops.checkpoints(delta_log.log_listing(s, r), t))
+_log_check("lk_auto_optimize", lambda r, lg, t, s: delta_ops.auto_optimize(lg, t))
+_log_check("lk_data_skipping_log", lambda r, lg, t, s: delta_ops.file_statistics(lg, t))

@@ -1,0 +1,176 @@
+"""Test-input builder: a Delta-layout lake derived from the driver's tables.
+
+This is not an engine component. Production scans read logs that Delta
+writers produced; the tests need such logs *derived from the given tables*
+so that an independent SQL oracle can recompute every log-based result.
+
+Layout under ``root`` (one workspace, one lakehouse)::
+
+    <ws>/<lh>.Lakehouse/Tables/lineitem/            data (partitioned by l_returnflag) + log:
+        one commit per ship month (version = months since the first month);
+        version 3 has one malformed line, version 5 is missing
+    <ws>/<lh>.Lakehouse/Tables/sales/orders/        schema layout, one commit, adds per o_orderstatus
+    <ws>/<lh>.Lakehouse/Tables/empty_table/         log only, no data files
+    <ws>/<lh>.Lakehouse/Tables/_scratch/            hidden, must be skipped
+    <ws>/<lh>.Lakehouse/Tables/notes/               folder without a log, not a table
+
+Log lines are computed by Spark (grouped aggregates of the tables) and
+written with the text writer; the per-version part files are then renamed to
+``<20-digit version>.json`` with Hadoop FileSystem calls (metadata only).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import scratch_path
+
+BAD_VERSION = 3
+MISSING_VERSION = 5
+LINEITEM_CONF = {"delta.logRetentionDuration": "interval 30 days",
+                 "delta.deletedFileRetentionDuration": "interval 7 days",
+                 "delta.autoOptimize.optimizeWrite": "true"}
+ORDERS_CONF = {"delta.logRetentionDuration": "interval 60 days"}
+
+
+def _map(d: dict) -> Column:
+    if not d:
+        return F.create_map().cast("map<string,string>")
+    return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+
+
+def _line(name: str, payload: Column) -> Column:
+    return F.to_json(F.struct(payload.alias(name)))
+
+
+def _commit(ts_ms: Column, op: Column, params: Column) -> Column:
+    return _line("commitInfo", F.struct(ts_ms.alias("timestamp"), op.alias("operation"),
+                                        params.alias("operationParameters")))
+
+
+def _protocol() -> Column:
+    return _line("protocol", F.struct(F.lit(1).alias("minReaderVersion"), F.lit(2).alias("minWriterVersion")))
+
+
+def _metadata(table: str, schema_json: str, parts: list[str], conf: dict) -> Column:
+    return _line("metaData", F.struct(F.lit(f"{table}-id").alias("id"), F.lit(table).alias("name"),
+                                      F.lit(schema_json).alias("schemaString"),
+                                      F.array(*[F.lit(p) for p in parts]).cast("array<string>").alias("partitionColumns"),
+                                      _map(conf).alias("configuration")))
+
+
+def _add(path: Column, size: Column, pcol: str, pval: Column, stats: Column) -> Column:
+    return _line("add", F.struct(path.alias("path"), size.alias("size"),
+                                 F.create_map(F.lit(pcol), pval).alias("partitionValues"), stats.alias("stats")))
+
+
+def lineitem_log(lineitem: DataFrame, first_month) -> DataFrame:
+    """(table, version, pos, line) of the lineitem table's commits."""
+    month = F.trunc("l_shipdate", "month")
+    g = lineitem.groupBy(month.alias("month"), "l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+    g = g.withColumn("version", F.months_between("month", F.lit(first_month).cast("date")).cast("long"))
+    per_version = g.groupBy("version", "month").agg(F.count(F.lit(1)).alias("files"))
+    mon = F.month("month")
+    op = (F.when(F.col("version") == 0, "CREATE TABLE").when(mon == 1, "OPTIMIZE")
+          .when(mon == 7, "VACUUM END").otherwise("WRITE"))
+    params = (F.when(mon == 1, _map({"zOrderBy": '["l_shipdate"]'}))
+              .when(mon == 7, _map({})).otherwise(_map({"mode": "Append"})))
+    ts = F.unix_date("month").cast("long") * 86400000
+    commits = per_version.select("version", F.lit(0).alias("pos"), _commit(ts, op, params).alias("line"))
+    adds = g.select("version", (F.lit(10) + F.ascii("l_returnflag")).alias("pos"), _add(
+        F.concat(F.lit("l_returnflag="), F.col("l_returnflag"), F.lit("/part-"),
+                 F.lpad(F.col("version").cast("string"), 5, "0"), F.lit("-"), F.col("l_returnflag"),
+                 F.lit(".snappy.parquet")),
+        F.col("n") * 128 + 4096, "l_returnflag", F.col("l_returnflag"),
+        F.when(F.col("l_returnflag") != "N",
+               F.concat(F.lit('{"numRecords":'), F.col("n").cast("string"), F.lit("}")))).alias("line"))
+    bad = per_version.filter(F.col("version") == BAD_VERSION).select(
+        "version", F.lit(1000).alias("pos"), F.lit('{"add": {"path": ').alias("line"))
+    schema_json = lineitem.schema.json()
+    head = per_version.filter(F.col("version") == 0).select(
+        "version", F.explode(F.array(
+            F.struct(F.lit(1).alias("pos"), _protocol().alias("line")),
+            F.struct(F.lit(2).alias("pos"), _metadata("lineitem", schema_json, ["l_returnflag"],
+                                                      LINEITEM_CONF).alias("line")))).alias("h")
+    ).select("version", "h.pos", "h.line")
+    out = commits.unionByName(head).unionByName(adds).unionByName(bad)
+    return out.filter(F.col("version") != MISSING_VERSION).withColumn("table", F.lit("lineitem"))
+
+
+def orders_log(orders: DataFrame) -> DataFrame:
+    g = orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"),
+                                            F.min("o_orderdate").alias("first"))
+    adds = g.select(F.lit(0).cast("long").alias("version"), (F.lit(10) + F.ascii("o_orderstatus")).alias("pos"),
+                    _add(F.concat(F.lit("o_orderstatus="), F.col("o_orderstatus"), F.lit("/part-0.parquet")),
+                         F.col("n") * 64 + 1024, "o_orderstatus", F.col("o_orderstatus"),
+                         F.concat(F.lit('{"numRecords":'), F.col("n").cast("string"), F.lit("}"))).alias("line"))
+    head = orders.agg(F.min("o_orderdate").alias("first")).select(
+        F.lit(0).cast("long").alias("version"), F.explode(F.array(
+            F.struct(F.lit(0).alias("pos"), _commit(F.unix_date(F.to_date("first")).cast("long") * 86400000,
+                                                    F.lit("CREATE TABLE"), _map({})).alias("line")),
+            F.struct(F.lit(1).alias("pos"), _protocol().alias("line")),
+            F.struct(F.lit(2).alias("pos"), _metadata("orders", orders.schema.json(), ["o_orderstatus"],
+                                                      ORDERS_CONF).alias("line")))).alias("h")
+    ).select("version", "h.pos", "h.line")
+    return adds.unionByName(head).withColumn("table", F.lit("sales.orders"))
+
+
+def _empty_log(spark: SparkSession, table: str, nation: DataFrame) -> DataFrame:
+    # One commit without data; its timestamp comes from the nation table so the row is derived data.
+    return nation.agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(0).cast("long").alias("version"), F.explode(F.array(
+            F.struct(F.lit(0).alias("pos"), _commit(F.col("n").cast("long"), F.lit("CREATE TABLE"),
+                                                    _map({})).alias("line")),
+            F.struct(F.lit(1).alias("pos"), _protocol().alias("line")))).alias("h"),
+    ).select("version", "h.pos", "h.line", F.lit(table).alias("table"))
+
+
+def lake_location(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Workspace and lakehouse names: the first nation's region and name."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    r = spark.read.parquet(f"{sf_dir}/region.parquet")
+    row = (n.join(r, n.n_regionkey == r.r_regionkey).orderBy("n_nationkey")
+           .select("r_name", "n_name").first())
+    return row["r_name"], row["n_name"]
+
+
+def build_lake(spark: SparkSession, sf_dir: str, root: str | None = None, with_data: bool = True) -> str:
+    """Write the lake under ``root`` (default: a new folder in the shared checkpoint dir).
+
+    ``with_data=False`` writes only the logs (enough for log-based checks)."""
+    root = (root or scratch_path(spark, "lake")).rstrip("/")
+    ws, lh = lake_location(spark, sf_dir)
+    base = f"{root}/{ws}/{lh}.Lakehouse/Tables"
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    if with_data:
+        li.write.mode("overwrite").partitionBy("l_returnflag").parquet(f"{base}/lineitem")
+        orders.write.mode("overwrite").partitionBy("o_orderstatus").parquet(f"{base}/sales/orders")
+    spark.read.parquet(f"{sf_dir}/region.parquet").write.mode("overwrite").json(f"{base}/notes")
+    first_month = li.agg(F.min(F.trunc("l_shipdate", "month"))).first()[0]
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    lines = (lineitem_log(li, first_month).unionByName(orders_log(orders))
+             .unionByName(_empty_log(spark, "empty_table", nation))
+             .unionByName(_empty_log(spark, "_scratch", nation)))
+    staging = f"{root}/_staging_log"
+    (lines.repartition("table", "version").sortWithinPartitions("table", "version", "pos")
+     .select("table", "version", "line").write.mode("overwrite").partitionBy("table", "version").text(staging))
+    _publish(spark, staging, base)
+    return root
+
+
+def _publish(spark: SparkSession, staging: str, base: str) -> None:
+    """Rename ``table=t/version=v/part-*`` to ``<t as path>/_delta_log/<v:020d>.json``."""
+    from urllib.parse import unquote
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    path_cls = jvm.org.apache.hadoop.fs.Path
+    fs = path_cls(staging).getFileSystem(conf)
+    for st in fs.globStatus(path_cls(f"{staging}/table=*/version=*/part-*")):
+        p = st.getPath()
+        version = int(p.getParent().getName().split("=", 1)[1])
+        table = unquote(p.getParent().getParent().getName().split("=", 1)[1]).replace(".", "/")
+        log_dir = path_cls(f"{base}/{table}/_delta_log")
+        fs.mkdirs(log_dir)
+        fs.rename(p, path_cls(log_dir, f"{version:020d}.json"))
