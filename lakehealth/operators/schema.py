@@ -22,6 +22,7 @@ RESERVED_WORDS = ["all", "and", "any", "as", "between", "by", "case", "column",
                   "minute", "month", "order", "primary", "references", "second", "select", "start",
                   "table", "time", "timestamp", "union", "user", "value", "values", "where", "year"]
 DEPRECATED_PHYSICAL = ["INT96"]
+LAYER_PREFIX = r"(?i)^(bronze|silver|gold)_"
 WIDE_TABLE_WARNING = "WARNING: Wide table detected. Consider splitting into multiple tables."
 # -------------------------------------------------------------------------------
 
@@ -122,3 +123,13 @@ def deprecated_types(chunks: DataFrame) -> DataFrame:
     detail = F.concat(F.lit("Column "), F.col("column_name"), F.lit(" uses physical type "), F.col("types"),
                       F.when(F.col("dep") > 0, F.lit(" (deprecated)")).otherwise(F.lit("")))
     return _col_checks(g, "Q13", detail, F.col("dep") > 0)
+
+
+def layer_naming(tables: DataFrame) -> DataFrame:
+    """L1: table names carry a medallion layer prefix (``bronze_``, ``silver_``, ``gold_``)."""
+    ok = F.col("table_name").rlike(LAYER_PREFIX)
+    detail = F.concat(F.lit("Table "), F.col("table_name"),
+                      F.when(ok, F.lit(" has a layer prefix")).otherwise(F.lit(" has no layer prefix")))
+    return tables.select(F.lit("L1").alias("rule_id"), "table_id", F.lit(None).cast("string").alias("schema_name"),
+                         "table_name", F.lit(None).cast("string").alias("column_name"), detail.alias("detail"),
+                         (~ok).alias("is_anomaly"))

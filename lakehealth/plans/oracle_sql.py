@@ -651,3 +651,96 @@ def lk_data_skipping_log() -> str:
             "UNION ALL SELECT 'sales/orders', CAST(count(*) AS VARCHAR) || ' of ' || CAST(count(*) AS VARCHAR) || "
             "' live files carry statistics', false FROM od "
             "UNION ALL SELECT 'empty_table', '0 of 0 live files carry statistics', false"))
+
+
+# -- inventory (documents derived from nation / customer / supplier) ------------------------------
+
+def _lh_items() -> str:
+    return ("SELECT 'ws-' || CAST(n_nationkey AS VARCHAR) AS workspace_id, "
+            "CASE WHEN n_nationkey = 24 THEN 'PersonalWorkspace System' ELSE n_name END AS workspace_name, "
+            "'lh-' || CAST(c_custkey AS VARCHAR) AS id, "
+            "CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 'DataflowsStagingLakehouse' ELSE c_name END AS name, "
+            "c_mktsegment AS segment FROM customer JOIN nation ON c_nationkey = n_nationkey")
+
+
+def _wh_items() -> str:
+    return ("SELECT 'ws-' || CAST(n_nationkey AS VARCHAR) AS workspace_id, "
+            "CASE WHEN n_nationkey = 24 THEN 'PersonalWorkspace System' ELSE n_name END AS workspace_name, "
+            "'wh-' || CAST(s_suppkey AS VARCHAR) AS id, "
+            "CASE WHEN s_acctbal < 0 THEN 'DataflowsStaging_' || s_name "
+            "WHEN s_acctbal < 1000 THEN 'StagingWarehouseForDataflows_' || CAST(s_suppkey AS VARCHAR) "
+            "WHEN s_acctbal >= 5000 AND s_acctbal < 6000 THEN 'Display ' || s_name ELSE s_name END AS name "
+            "FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+
+
+_STAGING = "(name = 'DataflowsStagingLakehouse' OR workspace_name = 'PersonalWorkspace System')"
+
+
+def inv_lakehouse() -> str:
+    return (f"SELECT workspace_id, workspace_name, 'Lakehouse' AS item_type, 'Lakehouse' AS connection_type, id, name, "
+            f"segment FROM ({_lh_items()}) WHERE NOT {_STAGING}")
+
+
+def inv_all_items() -> str:
+    return (f"SELECT workspace_id, workspace_name, 'Lakehouse' AS item_type, id, name FROM ({_lh_items()}) "
+            f"UNION ALL SELECT workspace_id, workspace_name, 'warehouses', id, name FROM ({_wh_items()})")
+
+
+def filter_workspaces() -> str:
+    return (f"SELECT workspace_id, workspace_name, 'Lakehouse' AS item_type, 'Lakehouse' AS connection_type, id, name "
+            f"FROM ({_lh_items()}) WHERE NOT {_STAGING} AND ("
+            "workspace_name IN (SELECT n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'AMERICA') "
+            "OR workspace_id IN (SELECT 'ws-' || CAST(n_nationkey AS VARCHAR) FROM nation JOIN region "
+            "ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'))")
+
+
+def exclude_staging_eq() -> str:
+    return f"SELECT workspace_id, workspace_name, id, name FROM ({_lh_items()}) WHERE {_STAGING}"
+
+
+def exclude_staging_prefix() -> str:
+    return (f"SELECT workspace_id, id, name FROM ({_wh_items()}) WHERE NOT starts_with(name, 'DataflowsStaging') "
+            f"AND NOT starts_with(name, 'StagingWarehouseForDataflows')")
+
+
+def scan_summary() -> str:
+    return (f"SELECT item_type, count(*) AS items, count(DISTINCT workspace_id) AS workspaces FROM ("
+            f"SELECT 'Lakehouse' AS item_type, workspace_id FROM ({_lh_items()}) UNION ALL "
+            f"SELECT 'warehouses', workspace_id FROM ({_wh_items()})) GROUP BY item_type")
+
+
+def table_paths() -> str:
+    return ("SELECT c_custkey, 'abfss://' || n_name || '@store.example.net/' || c_name || '.Lakehouse/Tables/' || "
+            "lower(c_mktsegment) AS table_path, c_name || '.' || lower(c_mktsegment) AS full_table_name "
+            "FROM customer JOIN nation ON c_nationkey = n_nationkey")
+
+
+TABLE_PATH_PATTERN = r"abfss://([^@]+)@[^/]+/([^/]+)\.([^/]+)/Tables/([^/]+)/"
+
+
+def parse_table_path() -> str:
+    p = ("CASE c_mktsegment WHEN 'BUILDING' THEN 'abfss://' || n_name || '@store.example.net/' || c_name || "
+         "'.Lakehouse/Tables/dbo/' || lower(c_mktsegment) || '/_delta_log/' "
+         "WHEN 'AUTOMOBILE' THEN 'abfss://' || n_name || '@store.example.net/' || c_name || '.v2.Lakehouse/Tables/' || "
+         "lower(c_mktsegment) || '/_delta_log/' WHEN 'FURNITURE' THEN 'file:/data/' || c_name "
+         "ELSE 'abfss://' || n_name || '@store.example.net/' || c_name || '.Lakehouse/Tables/' || lower(c_mktsegment) "
+         "|| '/_delta_log/' END")
+    g = lambda i: f"nullif(regexp_extract(p, {q(TABLE_PATH_PATTERN)}, {i}), '')"
+    return (f"SELECT c_custkey, {g(1)} AS lakehouse_container, {g(2)} AS lakehouse_name, {g(3)} AS lakehouse_type, "
+            f"{g(4)} AS table_name FROM (SELECT c_custkey, {p} AS p FROM customer JOIN nation ON c_nationkey = n_nationkey)")
+
+
+def layer_naming() -> str:
+    ok = "regexp_matches(t, '(?i)^(bronze|silver|gold)_')"
+    d = f"'Table ' || t || CASE WHEN {ok} THEN ' has a layer prefix' ELSE ' has no layer prefix' END"
+    return (f"SELECT 'L1' AS rule_id, t AS table_name, CAST(NULL AS VARCHAR) AS column_name, {res(d, f'NOT {ok}')} "
+            f"AS result, NOT {ok} AS is_anomaly FROM (SELECT DISTINCT regexp_extract(filename, '([^/]+)\\.parquet$', 1) "
+            f"AS t FROM read_blob('{SF01}/*.parquet'))")
+
+
+def flatten_json() -> str:
+    return "SELECT event_id, json_extract_string(props, '$.k') AS props_k FROM events"
+
+
+def flatten_json_keys() -> str:
+    return "SELECT DISTINCT 'props' AS column_name, unnest(json_keys(props)) AS key FROM events"

@@ -400,3 +400,118 @@ _log_check("lk_vacuum", lambda r, lg, t, s: delta_ops.vacuum(lg, t))
 _log_check("lk_checkpoints", lambda r, lg, t, s: delta_ops.checkpoints(delta_log.log_listing(s, r), t))
 _log_check("lk_auto_optimize", lambda r, lg, t, s: delta_ops.auto_optimize(lg, t))
 _log_check("lk_data_skipping_log", lambda r, lg, t, s: delta_ops.file_statistics(lg, t))
+
+
+# -- inventory, paths, JSON -------------------------------------------------------------------------
+
+from ..functions import json as js  # noqa: E402
+from ..sources import inventory as inv  # noqa: E402
+from ..sources.footers import folder_files  # noqa: E402
+
+_PAYLOADS: dict[tuple, str] = {}
+
+
+def payload(spark, sf_dir):
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _PAYLOADS:
+        _PAYLOADS[key] = lake_fixture.write_payload(spark, sf_dir)
+    return inv.read_payload(spark, _PAYLOADS[key])
+
+
+INV_COLS = ["workspace_id", "workspace_name", "item_type", "connection_type", "id", "name"]
+
+
+@register("inv_lakehouse", oracle_sql.inv_lakehouse())
+def inv_lakehouse(spark, sf_dir):
+    """Lakehouse items of every workspace, staging and system items excluded."""
+    items = inv.lakehouse_items(payload(spark, sf_dir))
+    return items.select(*INV_COLS, F.col("ext")["segment"].alias("segment"))
+
+
+@register("inv_all_items", oracle_sql.inv_all_items())
+def inv_all_items(spark, sf_dir):
+    """Every list-valued item kind of every workspace."""
+    return inv.all_items(payload(spark, sf_dir)).select("workspace_id", "workspace_name", "item_type", "id", "name")
+
+
+@register("filter_workspaces", oracle_sql.filter_workspaces())
+def filter_workspaces(spark, sf_dir):
+    """Wanted workspaces given by name (nations of AMERICA) or id (nations of ASIA)."""
+    n = _t(spark, sf_dir, "nation")
+    r = _t(spark, sf_dir, "region")
+    nr = n.join(r, n.n_regionkey == r.r_regionkey)
+    wanted = (nr.filter(F.col("r_name") == "AMERICA").select(F.col("n_name").alias("value"))
+              .unionByName(nr.filter(F.col("r_name") == "ASIA")
+                           .select(F.concat(F.lit("ws-"), F.col("n_nationkey").cast("string")).alias("value"))))
+    items = inv.filter_workspaces(inv.lakehouse_items(payload(spark, sf_dir)), wanted)
+    return items.select(*INV_COLS)
+
+
+@register("exclude_staging_eq", oracle_sql.exclude_staging_eq())
+def exclude_staging_eq(spark, sf_dir):
+    """The items the equality rule drops (staging lakehouse, system workspace)."""
+    items = inv.lakehouse_items(payload(spark, sf_dir), exclude_staging=False)
+    return items.filter(inv.is_staging_lakehouse()).select("workspace_id", "workspace_name", "id", "name")
+
+
+@register("exclude_staging_prefix", oracle_sql.exclude_staging_prefix())
+def exclude_staging_prefix(spark, sf_dir):
+    """Warehouse items kept after the prefix exclusion."""
+    return inv.warehouse_items(inv.all_items(payload(spark, sf_dir))).select("workspace_id", "id", "name")
+
+
+@register("scan_summary", oracle_sql.scan_summary())
+def scan_summary(spark, sf_dir):
+    """A1/A2: items and distinct workspaces per item kind."""
+    return inv.scan_summary(inv.all_items(payload(spark, sf_dir)))
+
+
+@register("table_paths", oracle_sql.table_paths())
+def table_paths(spark, sf_dir):
+    """Table path and qualified name per (workspace, lakehouse, table) row."""
+    c = _t(spark, sf_dir, "customer")
+    n = _t(spark, sf_dir, "nation")
+    j = c.join(n, c.c_nationkey == n.n_nationkey)
+    t = F.lower("c_mktsegment")
+    return j.select("c_custkey", loc.table_path(F.col("n_name"), F.col("c_name"), t, lake_fixture.HOST).alias("table_path"),
+                    loc.qualified_name(F.col("c_name"), t).alias("full_table_name"))
+
+
+@register("parse_table_path", oracle_sql.parse_table_path())
+def parse_table_path(spark, sf_dir):
+    """Container, lakehouse, kind and table parsed from log paths of four shapes."""
+    c = _t(spark, sf_dir, "customer")
+    n = _t(spark, sf_dir, "nation")
+    j = c.join(n, c.c_nationkey == n.n_nationkey)
+    seg = F.col("c_mktsegment")
+    host = "@" + lake_fixture.HOST + "/"
+    t = F.lower(seg)
+    path = (F.when(seg == "BUILDING", F.concat(F.lit("abfss://"), F.col("n_name"), F.lit(host), F.col("c_name"),
+                                               F.lit(".Lakehouse/Tables/dbo/"), t, F.lit("/_delta_log/")))
+            .when(seg == "AUTOMOBILE", F.concat(F.lit("abfss://"), F.col("n_name"), F.lit(host), F.col("c_name"),
+                                                F.lit(".v2.Lakehouse/Tables/"), t, F.lit("/_delta_log/")))
+            .when(seg == "FURNITURE", F.concat(F.lit("file:/data/"), F.col("c_name")))
+            .otherwise(F.concat(F.lit("abfss://"), F.col("n_name"), F.lit(host), F.col("c_name"),
+                                F.lit(".Lakehouse/Tables/"), t, F.lit("/_delta_log/"))))
+    parts = loc.parse_table_path(path)
+    return j.select("c_custkey", *[v.alias(k) for k, v in parts.items()])
+
+
+@register("lk_layer_naming", oracle_sql.layer_naming())
+def lk_layer_naming(spark, sf_dir):
+    """L1 over the tables of the folder."""
+    t = folder_files(spark, sf_dir).select("table_id", F.col("table_id").alias("table_name")).distinct()
+    return check_view(schema_ops.layer_naming(t))
+
+
+@register("flatten_json", oracle_sql.flatten_json())
+def flatten_json(spark, sf_dir):
+    """Events.props flattened to one column per key."""
+    e = _t(spark, sf_dir, "events").select("event_id", "props")
+    return js.flatten_json(e, ["props"]).drop("props")
+
+
+@register("flatten_json_keys", oracle_sql.flatten_json_keys())
+def flatten_json_keys(spark, sf_dir):
+    """A3: union of JSON keys of events.props."""
+    return js.json_keys(_t(spark, sf_dir, "events"), ["props"])

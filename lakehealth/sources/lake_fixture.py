@@ -174,3 +174,53 @@ def _publish(spark: SparkSession, staging: str, base: str) -> None:
         log_dir = path_cls(f"{base}/{table}/_delta_log")
         fs.mkdirs(log_dir)
         fs.rename(p, path_cls(log_dir, f"{version:020d}.json"))
+
+
+# -- workspace scan documents -------------------------------------------------------------------
+
+HOST = "store.example.net"
+BATCH = 100  # items per scan document, like the service's request batching
+
+
+def workspace_name_col(n_nationkey: Column, n_name: Column) -> Column:
+    return F.when(n_nationkey == 24, F.lit("PersonalWorkspace System")).otherwise(n_name)
+
+
+def payload_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scan documents (JSON text): workspace = nation, lakehouses = its customers,
+    warehouses = its suppliers; each document holds one batch of at most 100 items."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    ws_id = F.concat(F.lit("ws-"), F.col("n_nationkey").cast("string"))
+    ws_name = workspace_name_col(F.col("n_nationkey"), F.col("n_name"))
+    lh = c.join(n, c.c_nationkey == n.n_nationkey).select(
+        ws_id.alias("wid"), ws_name.alias("wname"), F.call_function("div", F.col("c_custkey"), F.lit(BATCH)).alias("b"),
+        F.struct(F.concat(F.lit("lh-"), F.col("c_custkey").cast("string")).alias("id"),
+                 F.when(F.col("c_mktsegment") == "HOUSEHOLD", F.lit("DataflowsStagingLakehouse"))
+                 .otherwise(F.col("c_name")).alias("name"),
+                 F.create_map(F.lit("segment"), F.col("c_mktsegment")).alias("extendedProperties")).alias("item"))
+    bal = F.col("s_acctbal")
+    wh = s.join(n, s.s_nationkey == n.n_nationkey).select(
+        ws_id.alias("wid"), ws_name.alias("wname"), F.call_function("div", F.col("s_suppkey"), F.lit(BATCH)).alias("b"),
+        F.struct(F.concat(F.lit("wh-"), F.col("s_suppkey").cast("string")).alias("id"),
+                 F.when(bal < 0, F.concat(F.lit("DataflowsStaging_"), F.col("s_name")))
+                 .when(bal < 1000, F.concat(F.lit("StagingWarehouseForDataflows_"), F.col("s_suppkey").cast("string")))
+                 .when((bal >= 5000) & (bal < 6000), F.lit(None))
+                 .otherwise(F.col("s_name")).alias("name"),
+                 F.when((bal >= 5000) & (bal < 6000), F.concat(F.lit("Display "), F.col("s_name")))
+                 .alias("displayName")).alias("item"))
+
+    def docs(items: DataFrame, key: str) -> DataFrame:
+        g = items.groupBy("wid", "wname", "b").agg(F.collect_list("item").alias("items"))
+        ws = F.struct(F.col("wid").alias("id"), F.col("wname").alias("name"),
+                      F.lit("Active").alias("state"), F.col("items").alias(key))
+        return g.select(F.to_json(F.struct(F.array(ws).alias("workspaces"))).alias("doc"))
+
+    return docs(lh, "Lakehouse").unionByName(docs(wh, "warehouses"))
+
+
+def write_payload(spark: SparkSession, sf_dir: str, root: str | None = None) -> str:
+    path = (root or scratch_path(spark, "scan")).rstrip("/") + "/payload"
+    payload_docs(spark, sf_dir).write.mode("overwrite").text(path)
+    return path
