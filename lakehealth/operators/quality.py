@@ -243,14 +243,14 @@ def duplicates(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[Sequ
     return reduce(lambda a, b: a.unionByName(b), out)
 
 
-def fk_orphans(tables: Mapping[str, DataFrame],
-               fks: Sequence[tuple[str, Sequence[str], str, Sequence[str]]]) -> DataFrame:
-    """Child rows whose non-NULL key has no parent row.
+def fk_stats(tables: Mapping[str, DataFrame],
+             fks: Sequence[tuple[str, Sequence[str], str, Sequence[str]]]) -> DataFrame:
+    """Per foreign key: child rows, orphan rows, orphan keys and rows that reference a parent.
 
     The child is reduced to (key, rows) with a partial aggregate and the parent
     to its distinct keys; both come out hash-partitioned on the key, so the
     left join that follows needs no further exchange (or becomes a broadcast
-    join when AQE measures the parent keys as small).
+    join when AQE measures the parent keys as small). A hot key is one row.
     """
     out = []
     for child, ckeys, parent, pkeys in fks:
@@ -264,17 +264,26 @@ def fk_orphans(tables: Mapping[str, DataFrame],
         orphan = has_key & F.col("__hit").isNull()
         s = j.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("rows"),
                   F.coalesce(F.sum(F.when(orphan, F.col("n"))), F.lit(0)).cast("long").alias("orphans"),
-                  F.count_if(orphan).alias("orphan_keys"))
-        label = f"{child}({_key_label(ckeys)}) -> {parent}({_key_label(pkeys)})"
-        detail = F.concat(num("orphans"), F.lit(" of "), num("rows"), F.lit(" rows ("),
-                          num("orphan_keys"), F.lit(" distinct keys) in " + label + " have no parent row"))
-        out.append(s.select(F.lit("Q2").alias("rule_id"), F.lit(child).alias("table_id"),
-                            F.lit("dbo").alias("schema_name"), F.lit(child).alias("table_name"),
-                            F.lit(_key_label(ckeys)).alias("column_name"), detail.alias("detail"),
-                            (F.col("orphans") > 0).alias("is_anomaly")))
+                  F.count_if(orphan).alias("orphan_keys"),
+                  F.coalesce(F.sum(F.when(F.col("__hit"), F.col("n"))), F.lit(0)).cast("long").alias("matched"))
+        out.append(s.select(F.lit(child).alias("child"), F.lit(_key_label(ckeys)).alias("child_cols"),
+                            F.lit(parent).alias("parent"), F.lit(_key_label(pkeys)).alias("parent_cols"), "*"))
     return reduce(lambda a, b: a.unionByName(b), out)
 
 
+def fk_orphans(tables: Mapping[str, DataFrame],
+               fks: Sequence[tuple[str, Sequence[str], str, Sequence[str]]]) -> DataFrame:
+    """Child rows whose non-NULL key has no parent row."""
+    s = fk_stats(tables, fks)
+    label = F.concat(F.col("child"), F.lit("("), F.col("child_cols"), F.lit(") -> "), F.col("parent"), F.lit("("),
+                     F.col("parent_cols"), F.lit(")"))
+    detail = F.concat(num("orphans"), F.lit(" of "), num("rows"), F.lit(" rows ("), num("orphan_keys"),
+                      F.lit(" distinct keys) in "), label, F.lit(" have no parent row"))
+    return s.select(F.lit("Q2").alias("rule_id"), F.col("child").alias("table_id"), F.lit("dbo").alias("schema_name"),
+                    F.col("child").alias("table_name"), F.col("child_cols").alias("column_name"),
+                    detail.alias("detail"), (F.col("orphans") > 0).alias("is_anomaly"))
+
+
 def key_skew(tables: Mapping[str, DataFrame], skew_keys: Mapping[str, Sequence[str]],
              max_ratio: int = 10) -> DataFrame:
     """L12 (key frequency): rows of the most frequent value vs the average per value.

@@ -38,3 +38,9 @@ SKEW_KEYS: dict[str, list[str]] = {
     "documents": ["source"],
     "conversations": ["conv_id"],
 }
+
+# Schema of each table, for the cross-schema dependency check.
+SCHEMA_OF: dict[str, str] = {
+    "orders": "sales", "lineitem": "sales", "customer": "sales", "part": "catalog", "supplier": "catalog",
+    "nation": "geo", "region": "geo", "documents": "content", "labels": "content",
+}

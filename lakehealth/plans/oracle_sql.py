@@ -744,3 +744,80 @@ def flatten_json() -> str:
 
 def flatten_json_keys() -> str:
     return "SELECT DISTINCT 'props' AS column_name, unnest(json_keys(props)) AS key FROM events"
+
+
+# -- security and governance ----------------------------------------------------------------------
+
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+PHONE = r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}"
+CARD = r"[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}"
+
+
+def _sens_rows() -> str:
+    parts = []
+    for t, c, _ in _cols("s"):
+        parts.append(f"SELECT {q(t)} AS table_name, {q(c)} AS column_name, count(*) AS n, "
+                     f"count_if(regexp_matches(\"{c}\", {q(EMAIL)})) AS e, "
+                     f"count_if(regexp_matches(\"{c}\", {q(PHONE)})) AS p, "
+                     f"count_if(regexp_matches(\"{c}\", {q(CARD)})) AS cc FROM {t}")
+    return _union(parts)
+
+
+def sensitive_values() -> str:
+    d = (f"'Column ' || column_name || ': ' || {v('e')} || ' e-mail, ' || {v('p')} || ' phone and ' || {v('cc')} || "
+         f"' card-number shaped values in ' || {v('n')} || ' rows'")
+    return (f"SELECT 'Q8V' AS rule_id, table_name, column_name, {res(d, '(e + p + cc) > 0')} AS result, "
+            f"(e + p + cc) > 0 AS is_anomaly FROM ({_sens_rows()})")
+
+
+def policy_coverage() -> str:
+    pol = ("SELECT CASE WHEN r_name IN ('EUROPE', 'AMERICA') THEN 'conversations' WHEN r_name = 'ASIA' THEN 'pages' END "
+           "AS table_name, CASE WHEN r_name IN ('EUROPE', 'AMERICA') THEN 'text' WHEN r_name = 'ASIA' THEN 'html' END "
+           "AS column_name, 'mask_' || lower(r_name) AS policy FROM region")
+    d = ("'Column ' || s.column_name || ' holds sensitive data; ' || CASE WHEN pp.pol IS NULL THEN 'no masking policy' "
+         "ELSE 'policies: ' || pp.pol END")
+    return (f"WITH s AS (SELECT DISTINCT table_name, column_name FROM ({_sens_rows()}) WHERE e + p + cc > 0), "
+            f"pp AS (SELECT table_name, column_name, string_agg(DISTINCT policy, ', ' ORDER BY policy) AS pol "
+            f"FROM ({pol}) WHERE table_name IS NOT NULL GROUP BY ALL) "
+            f"SELECT 'Q9' AS rule_id, s.table_name, s.column_name, {res(d, 'pp.pol IS NULL')} AS result, "
+            f"pp.pol IS NULL AS is_anomaly FROM s LEFT JOIN pp USING (table_name, column_name)")
+
+
+def privileged_grants() -> str:
+    role = ("CASE c_mktsegment WHEN 'BUILDING' THEN 'db_owner' WHEN 'MACHINERY' THEN 'db_datareader' "
+            "WHEN 'AUTOMOBILE' THEN 'db_securityadmin' ELSE 'db_datawriter' END")
+    d = f"'Role ' || role || ' has ' || {v('n')} || ' members'"
+    return (f"SELECT 'Q10' AS rule_id, CAST(NULL AS VARCHAR) AS table_name, role AS column_name, {res(d, 'n > 3')} "
+            f"AS result, n > 3 AS is_anomaly FROM (SELECT {role} AS role, count(DISTINCT c_name) AS n FROM customer "
+            f"GROUP BY 1) WHERE role IN ('db_owner', 'db_securityadmin', 'db_accessadmin')")
+
+
+def cross_schema() -> str:
+    parts = []
+    for child, ck, parent, pk in dataset.FOREIGN_KEYS:
+        cond = " AND ".join(f'p."{b}" = c."{a}"' for a, b in zip(ck, pk))
+        parts.append(f"SELECT {q(dataset.SCHEMA_OF[child])} AS fs, {q(dataset.SCHEMA_OF[parent])} AS ts, "
+                     f"(SELECT count(*) FROM {child} c WHERE EXISTS (SELECT 1 FROM {parent} p WHERE {cond})) AS w")
+    d = f"'Schema ' || fs || ' -> ' || ts || ': ' || {v('deps')} || ' dependencies, ' || {v('w')} || ' referencing rows'"
+    return (f"SELECT 'Q15' AS rule_id, fs AS from_schema, ts AS to_schema, {res(d, 'fs <> ts')} AS result, "
+            f"fs <> ts AS is_anomaly FROM (SELECT fs, ts, count(*) AS deps, sum(w) AS w FROM ({_union(parts)}) GROUP BY ALL)")
+
+
+def settings_compliance() -> str:
+    rows = []
+    actual = {"lineitem": {"delta.logRetentionDuration": "interval 30 days",
+                           "delta.deletedFileRetentionDuration": "interval 7 days",
+                           "delta.autoOptimize.optimizeWrite": "true"},
+              "sales/orders": {"delta.logRetentionDuration": "interval 60 days"},
+              "empty_table": {}}
+    expected = {"delta.logRetentionDuration": "interval 30 days",
+                "delta.deletedFileRetentionDuration": "interval 7 days",
+                "delta.autoOptimize.optimizeWrite": "true"}
+    for t, conf in actual.items():
+        for k, e in expected.items():
+            a = conf.get(k)
+            rows.append(f"({q(t)}, {q(k)}, {q(e)}, {q(a) if a is not None else 'CAST(NULL AS VARCHAR)'})")
+    d = "'Setting ' || k || ' is ' || coalesce(a, 'unset') || ' (expected ' || e || ')'"
+    return (f"SELECT 'Q16' AS rule_id, t AS table_name, k AS column_name, {res(d, 'a IS DISTINCT FROM e')} AS result, "
+            f"a IS DISTINCT FROM e AS is_anomaly FROM (VALUES {', '.join(rows)}) x(t, k, e, a) "
+            f"WHERE (SELECT count(*) FROM lineitem) > 0")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import quality
 from ..sources.tables import load_tables
 from . import dataset, oracle_sql
+from ..functions.text import result_text
 from .warehouse import check_view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -515,3 +516,70 @@ def flatten_json(spark, sf_dir):
 def flatten_json_keys(spark, sf_dir):
     """A3: union of JSON keys of events.props."""
     return js.json_keys(_t(spark, sf_dir, "events"), ["props"])
+
+
+# -- security and governance ----------------------------------------------------------------------
+
+from ..operators import governance as gov  # noqa: E402
+
+EXPECTED_SETTINGS = {"delta.logRetentionDuration": "interval 30 days",
+                     "delta.deletedFileRetentionDuration": "interval 7 days",
+                     "delta.autoOptimize.optimizeWrite": "true"}
+
+
+@register("wh_sensitive_values", oracle_sql.sensitive_values())
+def wh_sensitive_values(spark, sf_dir):
+    """Q8 (values): e-mail / phone / card shapes in every text column, whole texts."""
+    return check_view(gov.sensitive_values(load_tables(spark, sf_dir)))
+
+
+def policies_from_regions(region):
+    """Policy rows derived from the region table."""
+    r = F.col("r_name")
+    tbl = F.when(r.isin("EUROPE", "AMERICA"), F.lit("conversations")).when(r == "ASIA", F.lit("pages"))
+    col = F.when(r.isin("EUROPE", "AMERICA"), F.lit("text")).when(r == "ASIA", F.lit("html"))
+    return region.select(tbl.alias("table_name"), col.alias("column_name"),
+                         F.concat(F.lit("mask_"), F.lower(r)).alias("policy")).filter(F.col("table_name").isNotNull())
+
+
+@register("wh_policy_coverage", oracle_sql.policy_coverage())
+def wh_policy_coverage(spark, sf_dir):
+    """Q9: sensitive columns without a masking policy."""
+    sens = gov.sensitive_values(load_tables(spark, sf_dir))
+    return check_view(gov.policy_coverage(sens, policies_from_regions(_t(spark, sf_dir, "region"))))
+
+
+def grants_from_customers(customer):
+    seg = F.col("c_mktsegment")
+    role = (F.when(seg == "BUILDING", "db_owner").when(seg == "MACHINERY", "db_datareader")
+            .when(seg == "AUTOMOBILE", "db_securityadmin").otherwise("db_datawriter"))
+    return customer.select(F.col("c_name").alias("principal"), role.alias("role"))
+
+
+@register("wh_privileged_grants", oracle_sql.privileged_grants())
+def wh_privileged_grants(spark, sf_dir):
+    """Q10: members of privileged roles (grants derived from customers)."""
+    return check_view(gov.privileged_grants(grants_from_customers(_t(spark, sf_dir, "customer"))))
+
+
+@register("wh_cross_schema", oracle_sql.cross_schema())
+def wh_cross_schema(spark, sf_dir):
+    """Q15: dependencies between schemas, weighted by the child rows that reference a parent."""
+    s = quality.fk_stats(load_tables(spark, sf_dir), dataset.FOREIGN_KEYS)
+    sch = F.create_map(*[F.lit(x) for kv in dataset.SCHEMA_OF.items() for x in kv])
+    edges = s.select(sch[F.col("child")].alias("from_schema"), F.col("child").alias("from_object"),
+                     sch[F.col("parent")].alias("to_schema"), F.col("parent").alias("to_object"),
+                     F.col("matched").alias("weight"))
+    return gov.cross_schema(edges).select("rule_id", F.col("schema_name").alias("from_schema"),
+                                          F.col("column_name").alias("to_schema"),
+                                          result_text("detail", "is_anomaly").alias("result"), "is_anomaly")
+
+
+@register("wh_settings_compliance", oracle_sql.settings_compliance())
+def wh_settings_compliance(spark, sf_dir):
+    """Q16: table settings of the lake vs the expected policy."""
+    root, log = _log(spark, sf_dir)
+    tables = delta_log.discover_tables(spark, root).select("table_id")
+    actual = tables.join(delta_log.latest_configuration(log), "table_id", "left") \
+        .select(rel_table().alias("source"), "settings")
+    return check_view(gov.settings_compliance(actual, EXPECTED_SETTINGS))

@@ -154,6 +154,13 @@ def commit_summary(log: DataFrame) -> DataFrame:
     )
 
 
+def latest_configuration(log: DataFrame) -> DataFrame:
+    """(table_id, settings): the ``configuration`` map of each table's latest metaData."""
+    md = log.filter(F.col("meta_data").isNotNull())
+    return md.groupBy("table_id").agg(
+        F.max_by(F.col("meta_data.configuration"), F.struct("version", "pos")).alias("settings"))
+
+
 def table_properties(log: DataFrame) -> DataFrame:
     """The latest ``metaData.configuration`` of each table, one row per key."""
     md = log.filter(F.col("meta_data").isNotNull())
