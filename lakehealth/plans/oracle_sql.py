@@ -821,3 +821,45 @@ def settings_compliance() -> str:
     return (f"SELECT 'Q16' AS rule_id, t AS table_name, k AS column_name, {res(d, 'a IS DISTINCT FROM e')} AS result, "
             f"a IS DISTINCT FROM e AS is_anomaly FROM (VALUES {', '.join(rows)}) x(t, k, e, a) "
             f"WHERE (SELECT count(*) FROM lineitem) > 0")
+
+
+# -- sample rule catalog (lakehealth/rules/warehouse_rules.json) ------------------------------------
+
+MISSING_TABLE_ERROR = ("Error executing query: [TABLE_OR_VIEW_NOT_FOUND] The table or view `audit_log` cannot be "
+                       "found. Verify the spelling and correctness of the schema and catalog.")
+
+
+def _ind(cond: str) -> str:
+    return (f"chr(10) || chr(10) || 'Indicator: ' || CASE WHEN {cond} THEN 'Anomaly - ERR_1001' "
+            f"ELSE 'Optimized - OPT_2001' END")
+
+
+def rule_table_sql() -> str:
+    nul = "CAST(NULL AS VARCHAR)"
+    wr001 = ("SELECT 'WR001' AS rule_id, 'column' AS level, 'sales' AS schema_name, 'orders' AS table_name, "
+             "'o_totalprice' AS column_name, 'Data Quality' AS category, 1 AS severity, "
+             "'Status ' || o_orderstatus || ': ' || CAST(count_if(o_totalprice <= 0) AS VARCHAR) || ' of ' || "
+             "CAST(count(*) AS VARCHAR) || ' orders have a non-positive total' || "
+             f"{_ind('count_if(o_totalprice <= 0) > 0')} AS result, count_if(o_totalprice <= 0) > 0 AS is_anomaly, "
+             "CASE WHEN count_if(o_totalprice <= 0) > 0 THEN 'DELETE FROM testdata.sales.orders WHERE o_totalprice <= 0' "
+             f"END AS remediation_script, {nul} AS extra FROM orders GROUP BY o_orderstatus")
+    wr002 = ("SELECT 'WR002', 'column', 'dbo', 'lineitem', 'l_discount', 'Data Quality', 2, 'Found issue with WR002', "
+             f"false, {nul}, '{{\"flag\":\"' || l_returnflag || '\",\"rows_over\":\"' || CAST(count(*) AS VARCHAR) || '\"}}' "
+             "FROM lineitem WHERE l_discount > 0.05 GROUP BY l_returnflag")
+    wr003 = ("SELECT 'WR003', 'schema', lower(c_mktsegment), 'N/A', 'N/A', 'Maintainability', 3, "
+             f"'Segment holds ' || CAST(count(*) AS VARCHAR) || ' customers' || {_ind('count(*) > 400')}, "
+             f"count(*) > 400, {nul}, {nul} FROM customer GROUP BY c_mktsegment")
+    wr004 = f"SELECT 'WR004', 'table', 'N/A', 'N/A', 'N/A', 'Data Quality', 2, {q(MISSING_TABLE_ERROR)}, false, {nul}, {nul}"
+    wr005 = ("SELECT 'WR005', 'database', 'N/A', 'N/A', 'N/A', 'Security', 1, 'General guidance - no query executed', "
+             f"false, {nul}, {nul}")
+    n = "(SELECT count(*) FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id))"
+    wr008 = (f"SELECT 'WR008', 'table', 'content', 'documents', 'doc_id', 'Data Quality', 2, "
+             f"CAST({n} AS VARCHAR) || ' documents have no label' || {_ind(f'{n} > 0')}, {n} > 0, "
+             f"CASE WHEN {n} > 0 THEN '-- label rows of content.documents in testdata' END, {nul}")
+    return _union([wr001, wr002, wr003, wr004, wr005, wr008])
+
+
+def source_error_finding() -> str:
+    return (f"SELECT 'testdata' AS source_name, rule_id, level, severity, category, count(*) AS findings, "
+            f"min(substr(result, 1, 18)) AS result_prefix FROM ({rule_table_sql()}) GROUP BY ALL "
+            f"UNION ALL SELECT 'offline', 'CONNECTION_ERROR', 'database', 1, 'System', 1, 'Connection error: '")

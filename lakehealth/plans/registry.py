@@ -583,3 +583,33 @@ def wh_settings_compliance(spark, sf_dir):
     actual = tables.join(delta_log.latest_configuration(log), "table_id", "left") \
         .select(rel_table().alias("source"), "settings")
     return check_view(gov.settings_compliance(actual, EXPECTED_SETTINGS))
+
+
+# -- catalog-driven table SQL rules ----------------------------------------------------------------
+
+from ..rules import WAREHOUSE_RULES  # noqa: E402
+from ..sources import catalog as cat  # noqa: E402
+from ..sources.tables import register_views  # noqa: E402
+from .rules_scan import scan_warehouses, warehouse_rule_findings  # noqa: E402
+
+RULE_COLUMNS = ["rule_id", "level", "schema_name", "table_name", "column_name", "category", "severity", "result",
+                "is_anomaly", "remediation_script"]
+
+
+@register("rule_table_sql", oracle_sql.rule_table_sql())
+def rule_table_sql(spark, sf_dir):
+    """The sample catalog against the test tables."""
+    register_views(load_tables(spark, sf_dir))
+    f = warehouse_rule_findings(spark, cat.read_rules(spark, WAREHOUSE_RULES), source_name="testdata",
+                                scan_ts=FIXED_SCAN_TS)
+    return f.select(*RULE_COLUMNS, F.to_json("extra").alias("extra"))
+
+
+@register("source_error_finding", oracle_sql.source_error_finding())
+def source_error_finding(spark, sf_dir):
+    """Two sources, one unreadable; the readable one still yields its rule findings."""
+    f = scan_warehouses(spark, {"testdata": sf_dir, "offline": sf_dir.rstrip("/") + "/offline_warehouse"},
+                        WAREHOUSE_RULES, scan_ts=FIXED_SCAN_TS)
+    return f.groupBy("source_name", "rule_id", "level", "severity", "category").agg(
+        F.count(F.lit(1)).alias("findings"),
+        F.min(F.substring("result", 1, 18)).alias("result_prefix"))
