@@ -127,9 +127,9 @@ def auto_optimize(log: DataFrame, tables: DataFrame) -> DataFrame:
 
 
 def file_statistics(log: DataFrame, tables: DataFrame) -> DataFrame:
-    """L19 (log part): live files whose add action carries statistics."""
+    """L19 (log part, id L19L): live files whose add action carries statistics."""
     lf = live_files(log)
     g = lf.groupBy("table_id").agg(F.count_if(F.col("stats").isNotNull()).alias("s"), F.count(F.lit(1)).alias("n"))
     t = _per_table(tables, g).fillna(0, ["s", "n"])
     detail = F.concat(num("s"), F.lit(" of "), num("n"), F.lit(" live files carry statistics"))
-    return _checks(t, "L19", detail, F.col("s") < F.col("n"))
+    return _checks(t, "L19L", detail, F.col("s") < F.col("n"))

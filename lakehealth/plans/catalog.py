@@ -48,6 +48,8 @@ BUILTIN_RULES: list[dict] = [
       "ALTER TABLE {full_table_name} SET TBLPROPERTIES ('delta.autoOptimize.optimizeWrite'='true')"),
     R("L19", "Delta Lake", "Files carry data-skipping statistics.",
       "Write files with statistics so readers can skip them.", 2, "table"),
+    R("L19L", "Delta Lake", "Live files carry statistics in their add actions.",
+      "Write files with statistics so readers can skip them.", 2, "table"),
     R("L21", "Data Quality", "Column NULL ratio from footer statistics.",
       "Investigate columns that are mostly NULL.", 3, "column"),
     R("L22", "Parquet File Structure", "Column chunks of a row group are contiguous in the file.",

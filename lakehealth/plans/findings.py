@@ -57,8 +57,8 @@ def assemble(checks: DataFrame, rules: DataFrame, *, scan_ts: datetime | str,
                             F.col("schema_name").alias("_t_schema"),
                             F.col("table_name").alias("_t_table"))
         f = (f.join(loc, "table_id", "left")
-             .withColumn("schema_name", F.coalesce("schema_name", "_t_schema"))
-             .withColumn("table_name", F.coalesce("table_name", "_t_table"))
+             .withColumn("schema_name", F.coalesce("_t_schema", "schema_name"))
+             .withColumn("table_name", F.coalesce("_t_table", "table_name"))
              .drop("_t_schema", "_t_table"))
     else:
         source = dict(source or {})

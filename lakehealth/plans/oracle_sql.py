@@ -645,7 +645,7 @@ def lk_auto_optimize() -> str:
 
 
 def lk_data_skipping_log() -> str:
-    return (f"WITH {_lake_ctes()} " + _lchk("L19",
+    return (f"WITH {_lake_ctes()} " + _lchk("L19L",
             "SELECT 'lineitem' AS t, CAST(count_if(fl <> 'N') AS VARCHAR) || ' of ' || CAST(count(*) AS VARCHAR) || "
             "' live files carry statistics' AS d, count_if(fl <> 'N') < count(*) AS a FROM lk "
             "UNION ALL SELECT 'sales/orders', CAST(count(*) AS VARCHAR) || ' of ' || CAST(count(*) AS VARCHAR) || "
@@ -863,3 +863,16 @@ def source_error_finding() -> str:
     return (f"SELECT 'testdata' AS source_name, rule_id, level, severity, category, count(*) AS findings, "
             f"min(substr(result, 1, 18)) AS result_prefix FROM ({rule_table_sql()}) GROUP BY ALL "
             f"UNION ALL SELECT 'offline', 'CONNECTION_ERROR', 'database', 1, 'System', 1, 'Connection error: '")
+
+
+def missing_metadata() -> str:
+    ok = f"{gz_text('0')} || {_ind('false')}"
+    return (f"SELECT * FROM (VALUES ('lineitem', {ok}, false), ('sales/orders', {ok}, false), "
+            f"('empty_table', 'Parquet metadata not available for this table', false)) x(table_name, result, is_anomaly) "
+            f"WHERE (SELECT count(*) FROM lineitem) > 0")
+
+
+def history_two_runs() -> str:
+    a = folder_findings()
+    b = a.replace("'2025-01-01T00:00:00.000Z' AS scan_date", "'2025-01-02T00:00:00.000Z' AS scan_date")
+    return f"SELECT * FROM ({a}) UNION ALL SELECT * FROM ({b})"

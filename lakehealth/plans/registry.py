@@ -613,3 +613,56 @@ def source_error_finding(spark, sf_dir):
     return f.groupBy("source_name", "rule_id", "level", "severity", "category").agg(
         F.count(F.lit(1)).alias("findings"),
         F.min(F.substring("result", 1, 18)).alias("result_prefix"))
+
+
+# -- whole lakehouse scan, R9, sinks -------------------------------------------------------------------
+
+from ..session import scratch_path  # noqa: E402
+from . import sink  # noqa: E402
+from .lakehouse_scan import lake_metadata, lakehouse_findings  # noqa: E402
+
+
+@register("missing_metadata", oracle_sql.missing_metadata())
+def missing_metadata(spark, sf_dir):
+    """R9/R3 over the lake: a table without data files gets the fixed 'metadata not available' text."""
+    root = lake_root(spark, sf_dir, with_data=True)
+    tables = delta_log.discover_tables(spark, root)
+    md = lake_metadata(spark, root, tables, persist=False)
+    lakehouse.register_metadata_views(md)
+    r = metadata_rule(spark, GZIP_RULE | {"level": "table"}, tables)
+    return r.select(rel_table().alias("table_name"), "result", "is_anomaly")
+
+
+@register("findings_lakehouse")
+def findings_lakehouse(spark, sf_dir):
+    """Every check over every discovered table of the lake, locations joined from ``tables``."""
+    root = lake_root(spark, sf_dir, with_data=True)
+    n, r = _t(spark, sf_dir, "nation"), _t(spark, sf_dir, "region")
+    inventory = n.join(r, n.n_regionkey == r.r_regionkey).select(   # workspace = region, lakehouse = nation
+        F.col("r_name").alias("workspace_name"), F.concat(F.lit("ws-r"), F.col("r_regionkey").cast("string"))
+        .alias("workspace_id"), F.col("n_name").alias("name"),
+        F.concat(F.lit("lh-n"), F.col("n_nationkey").cast("string")).alias("id"))
+    f = lakehouse_findings(spark, root, scan_ts=FIXED_SCAN_TS, inventory=inventory)
+    return f.select(*FINDING_COLUMNS)
+
+
+@register("sink_latest", oracle_sql.folder_findings())
+def sink_latest(spark, sf_dir):
+    """K1: the findings table written twice with overwrite; the latest snapshot read back."""
+    path = scratch_path(spark, "latest")
+    f = folder_findings(spark, sf_dir, scan_ts=FIXED_SCAN_TS, source_name="testdata").select(*FINDING_COLUMNS)
+    sink.write_latest(f, path)
+    sink.write_latest(spark.read.parquet(path), path)   # a snapshot derived from the current one
+    return spark.read.parquet(path)
+
+
+@register("sink_history", oracle_sql.history_two_runs())
+def sink_history(spark, sf_dir):
+    """K2: two runs appended (second run stamped one day later); all runs read back."""
+    latest, hist = scratch_path(spark, "latest"), scratch_path(spark, "history")
+    f = folder_findings(spark, sf_dir, scan_ts=FIXED_SCAN_TS, source_name="testdata").select(*FINDING_COLUMNS)
+    sink.write_latest(f, latest)
+    snap = spark.read.parquet(latest)
+    sink.append_history(snap, hist)
+    sink.append_history(snap.withColumn("scan_date", F.lit("2025-01-02T00:00:00.000Z")), hist)
+    return sink.read_history(spark, hist).drop("scan_day")
