@@ -107,7 +107,8 @@ def idiv(a: str | Column, b: str | Column) -> Column:
 
 def ratio_text(num_: str | Column, den: str | Column, suffix: str = "x") -> Column:
     """``12.34x`` = floor(100 * num / den) / 100, in decimal arithmetic (no overflow)."""
-    hundredths = idiv(col_(num_).cast("decimal(38,0)") * 100, col_(den).cast("decimal(38,0)"))
+    d = col_(den).cast("decimal(38,0)")
+    hundredths = F.when(d > 0, idiv(col_(num_).cast("decimal(38,0)") * 100, d)).otherwise(F.lit(0))
     return F.concat(idiv(hundredths, F.lit(100)).cast("string"), F.lit("."),
                     F.lpad((hundredths % 100).cast("string"), 2, "0"), F.lit(suffix))
 

@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The scanned system has no streaming operators (no watermarks, windows over
+event time, state or late data); every scan is a batch job. Findings history
+is an append-only sink (``plans.sink.append_history``), which a Structured
+Streaming reader can follow as a file source if a consumer needs it.
+"""
