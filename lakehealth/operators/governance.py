@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import num
+from ..sources.tables import spread_for_cpu
 
 # --- fixed values (RE2 / Java common subset) ------------------------------------
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -34,9 +35,10 @@ def sensitive_values(tables: Mapping[str, DataFrame]) -> DataFrame:
         aggs = [F.count(F.lit(1)).alias("__rows")]
         for i, c in enumerate(cols):
             x = F.col(f"`{c}`")
-            aggs += [F.count_if(x.rlike(EMAIL)).alias(f"e{i}"), F.count_if(x.rlike(PHONE)).alias(f"p{i}"),
+            # contains('@') is a cheap guard evaluated first, so the e-mail regex only scans candidates.
+            aggs += [F.count_if(x.contains("@") & x.rlike(EMAIL)).alias(f"e{i}"), F.count_if(x.rlike(PHONE)).alias(f"p{i}"),
                      F.count_if(x.rlike(CARD)).alias(f"c{i}")]
-        one = df.agg(*aggs)
+        one = spread_for_cpu(df.select(*[F.col(f"`{c}`") for c in cols])).agg(*aggs)
         rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"e{i}").alias("e"),
                                   F.col(f"p{i}").alias("p"), F.col(f"c{i}").alias("c")) for i, c in enumerate(cols)])
         parts.append(one.select(F.lit(name).alias("table_name"), F.col("__rows").alias("rows"), F.inline(rows)))
