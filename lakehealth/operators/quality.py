@@ -240,6 +240,16 @@ def profile_checks(profile: DataFrame, entries: list[Entry]) -> DataFrame:
                     F.col("e.detail").alias("detail"), F.col("e.is_anomaly").alias("is_anomaly"))
 
 
+def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows per key value: ``groupBy(keys).agg(count(1) as n)`` with the original names.
+
+    Duplicate, FK and skew checks all start from this shape, so when two checks
+    group the same table by the same keys their plans are identical and Spark
+    reuses one exchange for both.
+    """
+    return df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _key_label(keys: Sequence[str]) -> str:
     return ", ".join(keys)
 
@@ -254,7 +264,7 @@ def duplicates(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[Sequ
     for table, key_sets in keys.items():
         df = tables[table]
         for ks in key_sets:
-            counts = df.groupBy(*[F.col(f"`{k}`") for k in ks]).agg(F.count(F.lit(1)).alias("n"))
+            counts = key_counts(df, ks)
             dup = counts.agg(
                 F.count_if(F.col("n") > 1).alias("groups"),
                 F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n") - 1)), F.lit(0)).cast("long").alias("surplus"))
@@ -279,8 +289,8 @@ def fk_stats(tables: Mapping[str, DataFrame],
     """
     out = []
     for child, ckeys, parent, pkeys in fks:
-        c = tables[child].groupBy(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(ckeys)]) \
-            .agg(F.count(F.lit(1)).alias("n"))
+        c = key_counts(tables[child], ckeys).select(
+            *[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(ckeys)], "n")
         p = tables[parent].select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(pkeys)]) \
             .distinct().withColumn("__hit", F.lit(True))
         keycols = [f"__k{i}" for i in range(len(ckeys))]
@@ -319,7 +329,7 @@ def key_skew(tables: Mapping[str, DataFrame], skew_keys: Mapping[str, Sequence[s
     out = []
     for table, cols in skew_keys.items():
         for col in cols:
-            counts = tables[table].groupBy(F.col(f"`{col}`")).agg(F.count(F.lit(1)).alias("n"))
+            counts = key_counts(tables[table], [col])
             s = counts.agg(F.max("n").alias("top"), F.count(F.lit(1)).alias("keys"),
                            F.sum("n").cast("long").alias("total"))
             detail = F.concat(F.lit("Most frequent value holds "), num("top"), F.lit(" of "), num("total"),
