@@ -510,15 +510,15 @@ def stringify() -> str:
 
 
 def order_columns() -> str:
-    return ("SELECT 'Q0' AS rule_id, 'dbo' AS schema_name, n_name AS table_name, n_nationkey, n_regionkey FROM nation")
+    return ("SELECT 'Q0' AS rule_id, 'dbo' AS schema_name, c_name AS table_name, c_custkey, c_nationkey FROM customer")
 
 
 # -- Delta logs derived from lineitem / orders (see sources/lake_fixture.py) ---------------------
 
 def _lake_ctes() -> str:
     return (
-        "li AS (SELECT date_trunc('month', l_shipdate) AS m, l_returnflag AS fl, count(*) AS n FROM lineitem GROUP BY ALL), "
-        "lv AS (SELECT m, fl, n, date_diff('month', (SELECT min(m) FROM li), m) AS v FROM li), "
+        "li AS (SELECT date_trunc('month', l_shipdate) AS m, l_returnflag AS fl, l_suppkey AS sk, count(*) AS n FROM lineitem GROUP BY ALL), "
+        "lv AS (SELECT m, fl, sk, n, date_diff('month', (SELECT min(m) FROM li), m) AS v FROM li), "
         "lk AS (SELECT * FROM lv WHERE v <> 5), "
         "vers AS (SELECT v, m, count(*) AS k, sum(n * 128 + 4096) AS bytes, "
         "sum(CASE WHEN fl <> 'N' THEN n ELSE 0 END) AS recs FROM lk GROUP BY v, m), "
@@ -537,7 +537,8 @@ def delta_log_scan() -> str:
 
 
 def delta_actions_long() -> str:
-    path = "'l_returnflag=' || fl || '/part-' || lpad(CAST(v AS VARCHAR), 5, '0') || '-' || fl || '.snappy.parquet'"
+    path = ("'l_returnflag=' || fl || '/part-' || lpad(CAST(v AS VARCHAR), 5, '0') || '-' || fl || '-' || "
+            "CAST(sk AS VARCHAR) || '.snappy.parquet'")
     n = "CAST(NULL AS VARCHAR)"
     nb = "CAST(NULL AS BIGINT)"
     return (
@@ -547,7 +548,7 @@ def delta_actions_long() -> str:
         f"UNION ALL SELECT 'lineitem', 0, 1, 'protocol', {n}, {n}, {nb} "
         f"UNION ALL SELECT 'lineitem', 0, 2, 'metaData', {n}, {n}, {nb} "
         f"UNION ALL SELECT 'lineitem', CAST(v AS BIGINT), CAST(CASE WHEN v = 0 THEN 3 ELSE 1 END + "
-        f"row_number() OVER (PARTITION BY v ORDER BY fl) - 1 AS INTEGER), 'add', {n}, {path}, "
+        f"row_number() OVER (PARTITION BY v ORDER BY fl, sk) - 1 AS INTEGER), 'add', {n}, {path}, "
         f"CAST(n * 128 + 4096 AS BIGINT) FROM lk "
         f"UNION ALL SELECT 'lineitem', CAST(v AS BIGINT), CAST(1 + k AS INTEGER), {n}, {n}, {n}, {nb} FROM vers WHERE v = 3 "
         f"UNION ALL SELECT 'sales/orders', 0, 0, 'commitInfo', 'CREATE TABLE', {n}, {nb} "

@@ -312,10 +312,10 @@ def stringify_query(spark, sf_dir):
 @register("order_columns", oracle_sql.order_columns())
 def order_columns_query(spark, sf_dir):
     """Priority columns first, the rest in their original order."""
-    n = _t(spark, sf_dir, "nation").select(
-        F.col("n_name").alias("table_name"), "n_nationkey", F.lit("Q0").alias("rule_id"), "n_regionkey",
+    c = _t(spark, sf_dir, "customer").select(
+        F.col("c_name").alias("table_name"), "c_custkey", F.lit("Q0").alias("rule_id"), "c_nationkey",
         F.lit("dbo").alias("schema_name"))
-    return _order_columns(n)
+    return _order_columns(c)
 
 
 # -- Delta logs over a lake derived from lineitem / orders ----------------------------------------

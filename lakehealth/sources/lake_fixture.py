@@ -7,7 +7,8 @@ so that an independent SQL oracle can recompute every log-based result.
 Layout under ``root`` (one workspace, one lakehouse)::
 
     <ws>/<lh>.Lakehouse/Tables/lineitem/            data (partitioned by l_returnflag) + log:
-        one commit per ship month (version = months since the first month);
+        one commit per ship month (version = months since the first month),
+        one add action per (month, return flag, supplier);
         version 3 has one malformed line, version 5 is missing
     <ws>/<lh>.Lakehouse/Tables/sales/orders/        schema layout, one commit, adds per o_orderstatus
     <ws>/<lh>.Lakehouse/Tables/empty_table/         log only, no data files
@@ -68,7 +69,7 @@ def _add(path: Column, size: Column, pcol: str, pval: Column, stats: Column) ->
 def lineitem_log(lineitem: DataFrame, first_month) -> DataFrame:
     """(table, version, pos, line) of the lineitem table's commits."""
     month = F.trunc("l_shipdate", "month")
-    g = lineitem.groupBy(month.alias("month"), "l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+    g = lineitem.groupBy(month.alias("month"), "l_returnflag", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
     g = g.withColumn("version", F.months_between("month", F.lit(first_month).cast("date")).cast("long"))
     per_version = g.groupBy("version", "month").agg(F.count(F.lit(1)).alias("files"))
     mon = F.month("month")
@@ -78,15 +79,17 @@ def lineitem_log(lineitem: DataFrame, first_month) -> DataFrame:
               .when(mon == 7, _map({})).otherwise(_map({"mode": "Append"})))
     ts = F.unix_date("month").cast("long") * 86400000
     commits = per_version.select("version", F.lit(0).alias("pos"), _commit(ts, op, params).alias("line"))
-    adds = g.select("version", (F.lit(10) + F.ascii("l_returnflag")).alias("pos"), _add(
+    # one data file per (month, return flag, supplier): the log grows with the table
+    adds = g.select("version", (F.ascii("l_returnflag").cast("long") * 10 ** 12 + F.col("l_suppkey") + 10)
+                    .alias("pos"), _add(
         F.concat(F.lit("l_returnflag="), F.col("l_returnflag"), F.lit("/part-"),
                  F.lpad(F.col("version").cast("string"), 5, "0"), F.lit("-"), F.col("l_returnflag"),
-                 F.lit(".snappy.parquet")),
+                 F.lit("-"), F.col("l_suppkey").cast("string"), F.lit(".snappy.parquet")),
         F.col("n") * 128 + 4096, "l_returnflag", F.col("l_returnflag"),
         F.when(F.col("l_returnflag") != "N",
                F.concat(F.lit('{"numRecords":'), F.col("n").cast("string"), F.lit("}")))).alias("line"))
     bad = per_version.filter(F.col("version") == BAD_VERSION).select(
-        "version", F.lit(1000).alias("pos"), F.lit('{"add": {"path": ').alias("line"))
+        "version", F.lit(10 ** 15).alias("pos"), F.lit('{"add": {"path": ').alias("line"))
     schema_json = lineitem.schema.json()
     head = per_version.filter(F.col("version") == 0).select(
         "version", F.explode(F.array(
