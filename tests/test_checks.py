@@ -88,3 +88,11 @@ def test_retention_parsing(spark):
     df = spark.createDataFrame([("interval 30 days",), ("168 hours",), ("soon",), (None,)], "v string")
     assert [r.d for r in df.select(_days(F.col("v")).alias("d")).collect()] == [30, 7, None, None]
     assert delta_ops.GIB == 1024 ** 3
+
+
+def test_text_key_duplicates(spark):
+    t = spark.createDataFrame([("a" * 5000,), ("a" * 5000,), ("a" * 4999,), ("b",), ("b",), ("b",), (None,), (None,)],
+                              "txt string")
+    d = quality.duplicates({"t": t}, {"t": [["txt"]]}).first()
+    # groups: long text (2 rows), "b" (3 rows), NULL (2 rows) -> 3 groups, 4 surplus rows
+    assert d.detail.startswith("3 values of key (txt) occur more than once; 4 surplus rows")
