@@ -424,7 +424,8 @@ def folder_findings() -> str:
               chunk_statistics(), null_ratio(), offset_continuity(), file_sizes(),
               column_naming(), naming_standard(), sensitive_names(), audit_columns(), column_docs(),
               wide_tables(), nullability(), deprecated_types(),
-              f"SELECT rule_id, table_id AS table_name, column_name, result, is_anomaly FROM ({gzip_rule()})"]
+              f"SELECT rule_id, table_id AS table_name, column_name, result, is_anomaly FROM ({gzip_rule()})",
+              sensitive_values(), layer_naming()]
     return findings(checks, "testdata", "2025-01-01T00:00:00.000Z")
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators import storage
+from ..operators import governance, storage
+from ..operators.schema import layer_naming
 from ..sources.tables import load_tables
 from . import lakehouse
 from .catalog import builtin_rules
@@ -31,8 +32,10 @@ def folder_checks(spark: SparkSession, folder: str, *, persist: bool = True, **k
     lakehouse.register_metadata_views(md)
     gz = metadata_rule(spark, GZIP_RULE, lakehouse.tables_of(md)).select(
         "rule_id", "table_id", F.col("table_id").alias("table_name"), "column_name", "result", "is_anomaly")
+    names = lakehouse.tables_of(md).select("table_id", F.col("table_id").alias("table_name"))
     return union_all([
-        data_checks(tables, **kw), lakehouse.storage_checks(md), lakehouse.schema_checks_all(md), gz,
+        data_checks(tables, **kw), governance.sensitive_values(tables), layer_naming(names),
+        lakehouse.storage_checks(md), lakehouse.schema_checks_all(md), gz,
     ], schemas.CHECKS)
 
 
