@@ -86,23 +86,50 @@ def _profile_one(name: str, df: DataFrame, metrics: frozenset, exact_distinct: b
                           F.inline(F.array(*rows)))
 
 
-def _exact_ndv(name: str, df: DataFrame) -> DataFrame:
-    """Exact distinct count of every atomic column, one ``distinct`` branch per column.
-
-    Each branch reads a single column (columnar scan) and dedups map-side
-    before its shuffle, so the total I/O and shuffle equal those of Spark's
-    multi-distinct expansion, but the branches are independent stages that run
-    in parallel instead of one wide expansion per table.
+def _ndv_values(name: str, df: DataFrame) -> list[DataFrame]:
+    """One ``(table_name, column_name, vl, vd, vs)`` projection per atomic column (NULLs dropped).
+
+    All columns share one schema through typed slots: integers and booleans
+    in ``vl`` (long), floating point in ``vd`` (``-0.0`` normalised to ``0.0``,
+    as distinct counting does), text, dates, timestamps and decimals in ``vs``
+    (an injective text form). Only one slot is set per row, so ``distinct``
+    over the row equals distinct values of the column.
     """
     parts = []
     for f in df.schema.fields:
-        if kind_of(f.dataType) == "complex":
+        k = kind_of(f.dataType)
+        if k == "complex":
             continue
         c = F.col(f"`{f.name}`")
-        parts.append(df.select(c.alias("v")).where(F.col("v").isNotNull()).distinct()
-                     .agg(F.count(F.lit(1)).alias("ndv"))
-                     .select(F.lit(name).alias("table_name"), F.lit(f.name).alias("column_name"), "ndv"))
-    return reduce(lambda a, b: a.unionByName(b), parts) if parts else None
+        vl = vd = vs = None
+        if k == "fractional":
+            vd = F.when(c == 0, F.lit(0.0)).otherwise(c.cast("double"))
+        elif k == "boolean" or (k == "integral" and not isinstance(f.dataType, T.DecimalType)):
+            vl = c.cast("long")
+        else:
+            vs = c if k == "string" else c.cast("string")
+        parts.append(df.where(c.isNotNull()).select(
+            F.lit(name).alias("table_name"), F.lit(f.name).alias("column_name"),
+            (vl if vl is not None else F.lit(None).cast("long")).alias("vl"),
+            (vd if vd is not None else F.lit(None).cast("double")).alias("vd"),
+            (vs if vs is not None else F.lit(None).cast("string")).alias("vs")))
+    return parts
+
+
+def exact_ndv(tables: Mapping[str, DataFrame]) -> DataFrame | None:
+    """Exact distinct count of every atomic column of every table in two shuffles.
+
+    All single-column projections are unioned, so their scans form one map
+    stage whose tasks run in parallel (one or more per column) and dedup
+    map-side; one ``distinct`` and one ``groupBy(table, column).count()``
+    follow. Shuffle volume equals Spark's multi-distinct expansion, without
+    one wide expansion per table in a single task.
+    """
+    parts = [p for n, df in tables.items() for p in _ndv_values(n, df)]
+    if not parts:
+        return None
+    u = reduce(lambda a, b: a.unionByName(b), parts)
+    return u.distinct().groupBy("table_name", "column_name").agg(F.count(F.lit(1)).alias("ndv"))
 
 
 def column_profile(tables: Mapping[str, DataFrame], metrics: Iterable[str] = ALL_METRICS, *,
@@ -118,11 +145,13 @@ def column_profile(tables: Mapping[str, DataFrame], metrics: Iterable[str] = ALL
     parts = [_profile_one(n, df, metrics, exact_distinct, older_than) for n, df in tables.items()]
     prof = reduce(lambda a, b: a.unionByName(b), parts)
     if "ndv" in metrics and exact_distinct:
-        ndvs = [x for x in (_exact_ndv(n, df) for n, df in tables.items()) if x is not None]
-        if ndvs:
-            ndv = reduce(lambda a, b: a.unionByName(b), ndvs)
-            # one row per column on both sides: the join never multiplies rows
-            prof = prof.drop("ndv").join(ndv, ["table_name", "column_name"], "left")
+        ndv = exact_ndv(tables)
+        if ndv is not None:
+            # one row per column on both sides: the join never multiplies rows; a column
+            # with only NULLs has no row in ``ndv`` and gets 0
+            prof = (prof.drop("ndv").join(ndv, ["table_name", "column_name"], "left")
+                    .withColumn("ndv", F.when(F.col("kind") != "complex", F.coalesce("ndv", F.lit(0)))
+                                .cast("long")))
     return prof.withColumn("nulls", F.col("rows") - F.col("nonnull"))
 
 

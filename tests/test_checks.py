@@ -96,3 +96,13 @@ def test_text_key_duplicates(spark):
     d = quality.duplicates({"t": t}, {"t": [["txt"]]}).first()
     # groups: long text (2 rows), "b" (3 rows), NULL (2 rows) -> 3 groups, 4 surplus rows
     assert d.detail.startswith("3 values of key (txt) occur more than once; 4 surplus rows")
+
+
+def test_exact_ndv_edge_cases(spark):
+    import datetime as dt
+    t = spark.createDataFrame([(0.0, True, None, dt.datetime(2024, 1, 1), "a"), (-0.0, False, None, None, "a"),
+                               (1.5, True, None, dt.datetime(2024, 1, 1), "b")],
+                              "d double, b boolean, n string, ts timestamp, s string")
+    prof = quality.column_profile({"t": t}, {"ndv"})
+    got = {r.column_name: r.ndv for r in prof.collect()}
+    assert got == {"d": 2, "b": 2, "n": 0, "ts": 1, "s": 2}
