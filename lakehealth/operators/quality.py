@@ -86,34 +86,50 @@ def _profile_one(name: str, df: DataFrame, metrics: frozenset, exact_distinct: b
                           F.inline(F.array(*rows)))
 
 
+def _ndv_slots(f: T.StructField) -> tuple[Column, Column, Column] | None:
+    """Typed value slots (long, double, text) of one column; None for complex types.
+
+    Integers and booleans go to the long slot, floating point to the double
+    slot (``-0.0`` normalised to ``0.0``, as distinct counting does), text,
+    dates, timestamps and decimals to the text slot (an injective text form).
+    Only one slot is set per value, so distinct rows equal distinct values.
+    """
+    k = kind_of(f.dataType)
+    if k == "complex":
+        return None
+    c = F.col(f"`{f.name}`")
+    nl, nd, ns = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
+    if k == "fractional":
+        return nl, F.when(c == 0, F.lit(0.0)).otherwise(c.cast("double")), ns
+    if k == "boolean" or (k == "integral" and not isinstance(f.dataType, T.DecimalType)):
+        return c.cast("long"), nd, ns
+    return nl, nd, (c if k == "string" else c.cast("string"))
+
+
 def _ndv_values(name: str, df: DataFrame) -> list[DataFrame]:
-    """One ``(table_name, column_name, vl, vd, vs)`` projection per atomic column (NULLs dropped).
+    """``(table_name, column_name, vl, vd, vs)`` rows of every non-NULL atomic value.
 
-    All columns share one schema through typed slots: integers and booleans
-    in ``vl`` (long), floating point in ``vd`` (``-0.0`` normalised to ``0.0``,
-    as distinct counting does), text, dates, timestamps and decimals in ``vs``
-    (an injective text form). Only one slot is set per row, so ``distinct``
-    over the row equals distinct values of the column.
+    A table that already scans as at least as many splits as there are cores
+    is read once and unpivoted with ``explode`` (one scan, however wide the
+    table). An under-split table (e.g. a single row group) gets one
+    single-column projection per column instead, so its columns are deduped by
+    parallel tasks rather than in the one task that owns the split.
     """
-    parts = []
-    for f in df.schema.fields:
-        k = kind_of(f.dataType)
-        if k == "complex":
-            continue
-        c = F.col(f"`{f.name}`")
-        vl = vd = vs = None
-        if k == "fractional":
-            vd = F.when(c == 0, F.lit(0.0)).otherwise(c.cast("double"))
-        elif k == "boolean" or (k == "integral" and not isinstance(f.dataType, T.DecimalType)):
-            vl = c.cast("long")
-        else:
-            vs = c if k == "string" else c.cast("string")
-        parts.append(df.where(c.isNotNull()).select(
-            F.lit(name).alias("table_name"), F.lit(f.name).alias("column_name"),
-            (vl if vl is not None else F.lit(None).cast("long")).alias("vl"),
-            (vd if vd is not None else F.lit(None).cast("double")).alias("vd"),
-            (vs if vs is not None else F.lit(None).cast("string")).alias("vs")))
-    return parts
+    fields = [(f, _ndv_slots(f)) for f in df.schema.fields]
+    fields = [(f, sl) for f, sl in fields if sl is not None]
+    if not fields:
+        return []
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    head = [F.lit(name).alias("table_name")]
+    if df.rdd.getNumPartitions() >= cores:
+        structs = [F.when(F.col(f"`{f.name}`").isNotNull(), F.struct(
+            F.lit(f.name).alias("column_name"), sl[0].alias("vl"), sl[1].alias("vd"), sl[2].alias("vs")))
+            for f, sl in fields]
+        x = df.select(*head, F.explode(F.array(*structs)).alias("e")).where(F.col("e").isNotNull())
+        return [x.select("table_name", "e.column_name", "e.vl", "e.vd", "e.vs")]
+    return [df.where(F.col(f"`{f.name}`").isNotNull()).select(
+        *head, F.lit(f.name).alias("column_name"), sl[0].alias("vl"), sl[1].alias("vd"), sl[2].alias("vs"))
+        for f, sl in fields]
 
 
 def exact_ndv(tables: Mapping[str, DataFrame]) -> DataFrame | None:
