@@ -285,32 +285,86 @@ def profile_checks(profile: DataFrame, entries: list[Entry]) -> DataFrame:
                     F.col("e.detail").alias("detail"), F.col("e.is_anomaly").alias("is_anomaly"))
 
 
-def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows per key value: ``groupBy(keys).agg(count(1) as n)`` with the original names.
+def _unpivot(df: DataFrame, items: list[list[Column]]) -> DataFrame:
+    """Rows of ``items`` (each a list of aliased columns, same schema) for every input row.
 
-    Duplicate, FK and skew checks all start from this shape, so when two checks
-    group the same table by the same keys their plans are identical and Spark
-    reuses one exchange for both.
+    A table scanned as at least as many splits as there are cores is read once
+    and unpivoted with ``explode``. An under-split table (a single row group)
+    gets one projection per item instead, so the items are processed by
+    parallel tasks rather than by the one task that owns the split.
     """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(items) > 1 and df.rdd.getNumPartitions() >= cores:
+        x = df.select(F.explode(F.array(*[F.struct(*it) for it in items])).alias("__e"))
+        return x.select("__e.*")
+    return reduce(lambda a, b: a.unionByName(b), [df.select(*it) for it in items])
+
+
+def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows per key value: ``groupBy(keys).agg(count(1) as n)`` with the original names."""
     return df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _key_label(keys: Sequence[str]) -> str:
-    return ", ".join(keys)
+KeySet = tuple[str, tuple[str, ...]]
 
 
-def _dup_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows per key value for the keys that occur more than once, exactly.
+class KeyCounts:
+    """Rows per key value for many (table, key set) pairs, from one aggregate.
 
-    Numeric keys: one partial-aggregated ``groupBy``. Keys with a text column
-    are grouped in two phases so long values are not shuffled for every row:
-    (1) rows per ``xxhash64(keys)`` (8 bytes per row in the shuffle);
-    (2) only the rows whose hash occurs more than once are grouped by the real
-    key values. Every duplicate group shares one hash, and hash collisions
-    between different values are separated by phase 2, so the result is exact.
+    Every table is read once: its rows are unpivoted into one
+    ``(set_id, k0l, k0d, k0s, k1l, ...)`` row per key set it takes part in
+    (typed slots, so key sets of any column types share one schema), and one
+    ``groupBy`` counts rows per (set, key value) for all tables and sets. The
+    aggregation is partial per task, so a value holding a third of all rows
+    reaches the shuffle as one row per task. Duplicate, FK and skew checks all
+    read this one aggregate.
     """
-    if not any(isinstance(df.schema[k].dataType, T.StringType) for k in keys):
-        return key_counts(df, keys).filter(F.col("n") > 1)
+
+    def __init__(self, tables: Mapping[str, DataFrame], sets: Iterable[KeySet]):
+        uniq = sorted({(t, tuple(ks)) for t, ks in sets})
+        self.ids = {s: i for i, s in enumerate(uniq)}
+        self.width = max(len(ks) for _, ks in uniq)
+        self.slots = [f"k{i}{x}" for i in range(self.width) for x in ("l", "d", "s")]
+        parts = []
+        for table in sorted({t for t, _ in uniq}):
+            df = tables[table]
+            items = []
+            for (t, ks), sid in self.ids.items():
+                if t != table:
+                    continue
+                cols = [F.lit(sid).alias("set_id")]
+                for i in range(self.width):
+                    if i < len(ks):
+                        sl = _ndv_slots(df.schema[ks[i]])
+                        if sl is None:
+                            raise ValueError(f"key column {table}.{ks[i]} has a complex type")
+                    else:
+                        sl = (F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string"))
+                    cols += [sl[0].alias(f"k{i}l"), sl[1].alias(f"k{i}d"), sl[2].alias(f"k{i}s")]
+                items.append(cols)
+            parts.append(_unpivot(df, items))
+        u = reduce(lambda a, b: a.unionByName(b), parts)
+        self.counts = u.groupBy("set_id", *self.slots).agg(F.count(F.lit(1)).alias("n"))
+
+    def set_map(self, spark, rows: list[tuple], schema: str) -> DataFrame:
+        """Small mapping frame (bounded by the number of declared key sets / FKs)."""
+        return spark.createDataFrame(rows, schema)
+
+
+def _narrow(df: DataFrame, keys: Sequence[str]) -> bool:
+    return not any(isinstance(df.schema[k].dataType, T.StringType) for k in keys)
+
+
+def _key_label(keys: Sequence[str]) -> str:
+    return ", ".join(keys)
+
+
+def _wide_dup_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows per duplicated key value for keys with a text column, exactly, in two phases:
+    (1) rows per ``xxhash64(keys)`` (8 bytes per row in the shuffle); (2) only the
+    rows whose hash occurs more than once are grouped by the real key values.
+    Every duplicate group shares one hash, and collisions between different
+    values are separated by phase 2."""
     cols = [F.col(f"`{k}`") for k in keys]
     hashed = df.select(*cols, F.xxhash64(*cols).alias("__h"))
     hot = hashed.groupBy("__h").agg(F.count(F.lit(1)).alias("__hn")).filter(F.col("__hn") > 1).select("__h")
@@ -318,61 +372,89 @@ def _dup_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return key_counts(cand, keys).filter(F.col("n") > 1)
 
 
-def duplicates(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[Sequence[str]]]) -> DataFrame:
+def _dup_rows(table: str, label: str, dup: DataFrame) -> DataFrame:
+    detail = F.concat(num("groups"), F.lit(" values of key (" + label + ") occur more than once; "),
+                      num("surplus"), F.lit(" surplus rows"))
+    return dup.select(F.lit("Q4").alias("rule_id"), F.lit(table).alias("table_id"),
+                      F.lit("dbo").alias("schema_name"), F.lit(table).alias("table_name"),
+                      F.lit(label).alias("column_name"), detail.alias("detail"),
+                      (F.col("groups") > 0).alias("is_anomaly"))
+
+
+def duplicates(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[Sequence[str]]],
+               counts: KeyCounts | None = None) -> DataFrame:
     """Q4: key values that occur more than once, per (table, key set).
 
-    Grouping aggregates map-side first, so even a key holding a third of all
-    rows reaches the shuffle as one partial count per task.
+    Numeric / date keys come from the shared ``KeyCounts`` aggregate; text keys
+    use the two-phase hash grouping (``_wide_dup_counts``).
     """
+    narrow = [(t, tuple(ks)) for t, kss in keys.items() for ks in kss if _narrow(tables[t], ks)]
+    wide = [(t, tuple(ks)) for t, kss in keys.items() for ks in kss if not _narrow(tables[t], ks)]
     out = []
-    for table, key_sets in keys.items():
-        df = tables[table]
-        for ks in key_sets:
-            dup = _dup_counts(df, ks).agg(
-                F.count(F.lit(1)).alias("groups"),
-                F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("surplus"))
-            label = _key_label(ks)
-            detail = F.concat(num("groups"), F.lit(" values of key (" + label + ") occur more than once; "),
-                              num("surplus"), F.lit(" surplus rows"))
-            out.append(dup.select(F.lit("Q4").alias("rule_id"), F.lit(table).alias("table_id"),
-                                  F.lit("dbo").alias("schema_name"), F.lit(table).alias("table_name"),
-                                  F.lit(label).alias("column_name"), detail.alias("detail"),
-                                  (F.col("groups") > 0).alias("is_anomaly")))
+    if narrow:
+        kc = counts if counts is not None and all(s in counts.ids for s in narrow) else KeyCounts(tables, narrow)
+        spark = next(iter(tables.values())).sparkSession
+        m = kc.set_map(spark, [(kc.ids[s], s[0], _key_label(s[1])) for s in narrow],
+                       "set_id int, table_name string, label string")
+        g = (kc.counts.filter(F.col("n") > 1).groupBy("set_id")
+             .agg(F.count(F.lit(1)).alias("groups"), F.sum(F.col("n") - 1).cast("long").alias("surplus")))
+        d = F.broadcast(m).join(g, "set_id", "left").fillna(0, ["groups", "surplus"])
+        detail = F.concat(num("groups"), F.lit(" values of key ("), F.col("label"), F.lit(") occur more than once; "),
+                          num("surplus"), F.lit(" surplus rows"))
+        out.append(d.select(F.lit("Q4").alias("rule_id"), F.col("table_name").alias("table_id"),
+                            F.lit("dbo").alias("schema_name"), "table_name", F.col("label").alias("column_name"),
+                            detail.alias("detail"), (F.col("groups") > 0).alias("is_anomaly")))
+    for t, ks in wide:
+        dup = _wide_dup_counts(tables[t], ks).agg(
+            F.count(F.lit(1)).alias("groups"),
+            F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("surplus"))
+        out.append(_dup_rows(t, _key_label(ks), dup))
     return reduce(lambda a, b: a.unionByName(b), out)
 
 
 def fk_stats(tables: Mapping[str, DataFrame],
-             fks: Sequence[tuple[str, Sequence[str], str, Sequence[str]]]) -> DataFrame:
+             fks: Sequence[tuple[str, Sequence[str], str, Sequence[str]]],
+             counts: KeyCounts | None = None) -> DataFrame:
     """Per foreign key: child rows, orphan rows, orphan keys and rows that reference a parent.
 
-    The child is reduced to (key, rows) with a partial aggregate and the parent
-    to its distinct keys; both come out hash-partitioned on the key, so the
-    left join that follows needs no further exchange (or becomes a broadcast
-    join when AQE measures the parent keys as small). A hot key is one row.
+    Child and parent key counts come from the shared ``KeyCounts`` aggregate.
+    All foreign keys are resolved in ONE left join on ``(fk_id, key slots)``:
+    child sets and parent sets are tagged with their FK ids through small
+    broadcast mappings (bounded by the number of declared FKs). The parent side
+    is one row per key value, so the join never multiplies child rows.
     """
-    out = []
-    for child, ckeys, parent, pkeys in fks:
-        c = key_counts(tables[child], ckeys).select(
-            *[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(ckeys)], "n")
-        p = tables[parent].select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(pkeys)]) \
-            .distinct().withColumn("__hit", F.lit(True))
-        keycols = [f"__k{i}" for i in range(len(ckeys))]
-        has_key = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keycols])
-        j = c.join(p, keycols, "left")
-        orphan = has_key & F.col("__hit").isNull()
-        s = j.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("rows"),
-                  F.coalesce(F.sum(F.when(orphan, F.col("n"))), F.lit(0)).cast("long").alias("orphans"),
-                  F.count_if(orphan).alias("orphan_keys"),
-                  F.coalesce(F.sum(F.when(F.col("__hit"), F.col("n"))), F.lit(0)).cast("long").alias("matched"))
-        out.append(s.select(F.lit(child).alias("child"), F.lit(_key_label(ckeys)).alias("child_cols"),
-                            F.lit(parent).alias("parent"), F.lit(_key_label(pkeys)).alias("parent_cols"), "*"))
-    return reduce(lambda a, b: a.unionByName(b), out)
+    sets = [(c, tuple(ck)) for c, ck, _, _ in fks] + [(p, tuple(pk)) for _, _, p, pk in fks]
+    kc = counts if counts is not None and all(s in counts.ids for s in sets) else KeyCounts(tables, sets)
+    spark = next(iter(tables.values())).sparkSession
+    cmap = kc.set_map(spark, [(kc.ids[(c, tuple(ck))], i, c, _key_label(ck), p, _key_label(pk))
+                              for i, (c, ck, p, pk) in enumerate(fks)],
+                      "set_id int, fk_id int, child string, child_cols string, parent string, parent_cols string")
+    pmap = kc.set_map(spark, [(kc.ids[(p, tuple(pk))], i) for i, (_, _, p, pk) in enumerate(fks)],
+                      "set_id int, fk_id int")
+    child = kc.counts.join(F.broadcast(cmap), "set_id")
+    parent = kc.counts.join(F.broadcast(pmap), "set_id").select(
+        F.col("fk_id").alias("__fk"), *[F.col(c).alias(f"__p_{c}") for c in kc.slots], F.lit(True).alias("__hit"))
+    cond = [child["fk_id"] == parent["__fk"]] + [child[c].eqNullSafe(parent[f"__p_{c}"]) for c in kc.slots]
+    j = child.join(parent, cond, "left")
+    width = {i: len(ck) for i, (_, ck, _, _) in enumerate(fks)}
+    has_key = reduce(lambda a, b: a | b, [
+        (F.col("fk_id") == i) & reduce(lambda x, y: x & y, [
+            F.coalesce(F.col(f"k{k}l").cast("string"), F.col(f"k{k}d").cast("string"), F.col(f"k{k}s")).isNotNull()
+            for k in range(w)]) for i, w in width.items()])
+    orphan = has_key & F.col("__hit").isNull()
+    s = j.groupBy("fk_id", "child", "child_cols", "parent", "parent_cols").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("rows"),
+        F.coalesce(F.sum(F.when(orphan, F.col("n"))), F.lit(0)).cast("long").alias("orphans"),
+        F.count_if(orphan).alias("orphan_keys"),
+        F.coalesce(F.sum(F.when(has_key & F.col("__hit"), F.col("n"))), F.lit(0)).cast("long").alias("matched"))
+    return s.drop("fk_id")
 
 
 def fk_orphans(tables: Mapping[str, DataFrame],
-               fks: Sequence[tuple[str, Sequence[str], str, Sequence[str]]]) -> DataFrame:
+               fks: Sequence[tuple[str, Sequence[str], str, Sequence[str]]],
+               counts: KeyCounts | None = None) -> DataFrame:
     """Child rows whose non-NULL key has no parent row."""
-    s = fk_stats(tables, fks)
+    s = fk_stats(tables, fks, counts)
     label = F.concat(F.col("child"), F.lit("("), F.col("child_cols"), F.lit(") -> "), F.col("parent"), F.lit("("),
                      F.col("parent_cols"), F.lit(")"))
     detail = F.concat(num("orphans"), F.lit(" of "), num("rows"), F.lit(" rows ("), num("orphan_keys"),
@@ -383,26 +465,25 @@ def fk_orphans(tables: Mapping[str, DataFrame],
 
 
 def key_skew(tables: Mapping[str, DataFrame], skew_keys: Mapping[str, Sequence[str]],
-             max_ratio: int = 10) -> DataFrame:
+             max_ratio: int = 10, counts: KeyCounts | None = None) -> DataFrame:
     """L12 (key frequency): rows of the most frequent value vs the average per value.
 
     Anomaly when the top value holds more than ``max_ratio`` times the average.
-    One partial aggregate per (table, column); the ratio is decimal arithmetic.
+    Read from the shared ``KeyCounts`` aggregate; the ratio is decimal arithmetic.
     """
-    out = []
-    for table, cols in skew_keys.items():
-        for col in cols:
-            counts = key_counts(tables[table], [col])
-            s = counts.agg(F.max("n").alias("top"), F.count(F.lit(1)).alias("keys"),
-                           F.sum("n").cast("long").alias("total"))
-            detail = F.concat(F.lit("Most frequent value holds "), num("top"), F.lit(" of "), num("total"),
-                              F.lit(" rows ("), pct_text("top", "total"), F.lit(") over "), num("keys"),
-                              F.lit(" distinct values; top/average "),
-                              ratio_text(F.col("top").cast("decimal(38,0)") * F.col("keys"), F.col("total")))
-            anomaly = F.coalesce(F.col("top").cast("decimal(38,0)") * F.col("keys")
-                                 > F.col("total").cast("decimal(38,0)") * max_ratio, F.lit(False))
-            out.append(s.select(F.lit("L12K").alias("rule_id"), F.lit(table).alias("table_id"),
-                                F.lit("dbo").alias("schema_name"), F.lit(table).alias("table_name"),
-                                F.lit(col).alias("column_name"), detail.alias("detail"),
-                                anomaly.alias("is_anomaly")))
-    return reduce(lambda a, b: a.unionByName(b), out)
+    sets = [(t, (c,)) for t, cols in skew_keys.items() for c in cols]
+    kc = counts if counts is not None and all(s in counts.ids for s in sets) else KeyCounts(tables, sets)
+    spark = next(iter(tables.values())).sparkSession
+    m = kc.set_map(spark, [(kc.ids[s], s[0], s[1][0]) for s in sets], "set_id int, table_name string, col string")
+    g = kc.counts.groupBy("set_id").agg(F.max("n").alias("top"), F.count(F.lit(1)).alias("keys"),
+                                        F.sum("n").cast("long").alias("total"))
+    s = F.broadcast(m).join(g, "set_id")
+    detail = F.concat(F.lit("Most frequent value holds "), num("top"), F.lit(" of "), num("total"),
+                      F.lit(" rows ("), pct_text("top", "total"), F.lit(") over "), num("keys"),
+                      F.lit(" distinct values; top/average "),
+                      ratio_text(F.col("top").cast("decimal(38,0)") * F.col("keys"), F.col("total")))
+    anomaly = F.coalesce(F.col("top").cast("decimal(38,0)") * F.col("keys")
+                         > F.col("total").cast("decimal(38,0)") * max_ratio, F.lit(False))
+    return s.select(F.lit("L12K").alias("rule_id"), F.col("table_name").alias("table_id"),
+                    F.lit("dbo").alias("schema_name"), "table_name", F.col("col").alias("column_name"),
+                    detail.alias("detail"), anomaly.alias("is_anomaly"))

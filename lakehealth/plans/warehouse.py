@@ -35,14 +35,19 @@ def data_checks(tables: Mapping[str, DataFrame], *, older_than: str = "1996-01-0
     ])]
     present = set(tables)
     k = {t: v for t, v in keys.items() if t in present}
-    if k:
-        parts.append(quality.duplicates(tables, k))
     f = [x for x in fks if x[0] in present and x[2] in present]
-    if f:
-        parts.append(quality.fk_orphans(tables, f))
     s = {t: v for t, v in skew_keys.items() if t in present}
+    # one shared key-count aggregate (one scan per table) for Q4, Q2 and L12
+    sets = ([(t, tuple(ks)) for t, kss in k.items() for ks in kss if quality._narrow(tables[t], ks)]
+            + [(c, tuple(ck)) for c, ck, _, _ in f] + [(p, tuple(pk)) for _, _, p, pk in f]
+            + [(t, (c,)) for t, cols in s.items() for c in cols])
+    kc = quality.KeyCounts(tables, sets) if sets else None
+    if k:
+        parts.append(quality.duplicates(tables, k, kc))
+    if f:
+        parts.append(quality.fk_orphans(tables, f, kc))
     if s:
-        parts.append(quality.key_skew(tables, s))
+        parts.append(quality.key_skew(tables, s, counts=kc))
     return union_all(parts, schemas.CHECKS)
 
 
