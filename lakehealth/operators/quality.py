@@ -39,55 +39,83 @@ def kind_of(dt: T.DataType) -> str:
     return "complex"
 
 
+def union_tree(frames: list[DataFrame]) -> DataFrame:
+    """Positional union of same-schema frames as a balanced tree.
+
+    PySpark analyses each ``union`` eagerly; a left-deep chain of n inputs
+    re-walks a growing plan n times, a balanced tree only log n levels deep.
+    """
+    frames = list(frames)
+    while len(frames) > 1:
+        frames = [frames[i].union(frames[i + 1]) if i + 1 < len(frames) else frames[i]
+                  for i in range(0, len(frames), 2)]
+    return frames[0]
+
+
+def ident(name: str) -> str:
+    """A column name as a quoted SQL identifier."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_str(value: str) -> str:
+    """A Python string as a SQL string literal (backslash escapes are on by default)."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _profile_one(name: str, df: DataFrame, metrics: frozenset, exact_distinct: bool,
                  older_than: str | None) -> DataFrame:
-    aggs: list[Column] = [F.count(F.lit(1)).alias("__rows")]
-    rows: list[Column] = []
-    null_l = F.lit(None).cast("long")
-    null_s = F.lit(None).cast("string")
+    """One table's profile: a single global aggregate then an ``inline`` unpivot.
+
+    Expressions are generated as SQL text and passed in one ``selectExpr``
+    call per step, so building the plan costs a few JVM calls per table
+    instead of several per metric and column.
+    """
+    aggs = ["count(1) AS `__rows`"]
+    rows = []
     for i, f in enumerate(df.schema.fields):
-        c = F.col(f"`{f.name}`")
+        c = ident(f.name)
         k = kind_of(f.dataType)
-        m = {}
+        m: dict[str, str] = {}
 
-        def add(key: str, expr: Column) -> Column:
-            alias = f"__{i}_{key}"
-            aggs.append(expr.alias(alias))
-            return F.col(alias)
+        def add(key: str, expr: str) -> str:
+            alias = f"`__{i}_{key}`"
+            aggs.append(f"{expr} AS {alias}")
+            return alias
 
-        m["nonnull"] = add("nn", F.count(c))
+        m["nonnull"] = add("nn", f"count({c})")
         if "ndv" in metrics and k != "complex" and not exact_distinct:
-            m["ndv"] = add("ndv", F.approx_count_distinct(c))
+            m["ndv"] = add("ndv", f"approx_count_distinct({c})")
         if "length" in metrics and k == "string":
-            m["max_len"] = add("mx", F.max(F.length(c)).cast("long"))
-            m["sum_len"] = add("sl", F.sum(F.length(c)).cast("long"))
+            m["max_len"] = add("mx", f"CAST(max(length({c})) AS BIGINT)")
+            m["sum_len"] = add("sl", f"CAST(sum(length({c})) AS BIGINT)")
         if "shape" in metrics and k == "string":
-            m["numeric_like"] = add("nl", F.count_if(c.rlike(NUMERIC_TEXT)))
-            m["date_like"] = add("dl", F.count_if(c.rlike(DATE_TEXT)))
+            m["numeric_like"] = add("nl", f"count_if({c} RLIKE {sql_str(NUMERIC_TEXT)})")
+            m["date_like"] = add("dl", f"count_if({c} RLIKE {sql_str(DATE_TEXT)})")
         if "minmax" in metrics and k in ("integral", "temporal"):
-            fmt = ((lambda x: F.date_format(x, "yyyy-MM-dd HH:mm:ss")) if k == "temporal"
-                   else (lambda x: x.cast("string")))
-            m["min_text"] = add("mn", fmt(F.min(c)))
-            m["max_text"] = add("mxv", fmt(F.max(c)))
+            fmt = ((lambda x: f"date_format({x}, 'yyyy-MM-dd HH:mm:ss')") if k == "temporal"
+                   else (lambda x: f"CAST({x} AS STRING)"))
+            m["min_text"] = add("mn", fmt(f"min({c})"))
+            m["max_text"] = add("mxv", fmt(f"max({c})"))
         if "older" in metrics and k == "temporal" and older_than:
-            m["older"] = add("old", F.count_if(c < F.lit(older_than).cast(f.dataType)))
-        rows.append(F.struct(
-            F.lit(i + 1).alias("ordinal"), F.lit(f.name).alias("column_name"), F.lit(k).alias("kind"),
-            m["nonnull"].cast("long").alias("nonnull"),
-            m.get("ndv", null_l).cast("long").alias("ndv"),
-            m.get("max_len", null_l).alias("max_len"), m.get("sum_len", null_l).alias("sum_len"),
-            m.get("numeric_like", null_l).cast("long").alias("numeric_like"),
-            m.get("date_like", null_l).cast("long").alias("date_like"),
-            m.get("min_text", null_s).alias("min_text"), m.get("max_text", null_s).alias("max_text"),
-            m.get("older", null_l).cast("long").alias("older"),
-        ))
-    one_row = df.agg(*aggs)
-    return one_row.select(F.lit(name).alias("table_name"), F.col("__rows").alias("rows"),
-                          F.inline(F.array(*rows)))
-
-
-def _ndv_slots(f: T.StructField) -> tuple[Column, Column, Column] | None:
-    """Typed value slots (long, double, text) of one column; None for complex types.
+            m["older"] = add("old", f"count_if({c} < CAST({sql_str(older_than)} AS {f.dataType.simpleString()}))")
+
+        def get(key: str, typ: str) -> str:
+            return f"CAST({m[key]} AS {typ})" if key in m else f"CAST(NULL AS {typ})"
+
+        rows.append(
+            f"named_struct('ordinal', {i + 1}, 'column_name', {sql_str(f.name)}, 'kind', '{k}', "
+            f"'nonnull', {get('nonnull', 'BIGINT')}, 'ndv', {get('ndv', 'BIGINT')}, "
+            f"'max_len', {get('max_len', 'BIGINT')}, 'sum_len', {get('sum_len', 'BIGINT')}, "
+            f"'numeric_like', {get('numeric_like', 'BIGINT')}, 'date_like', {get('date_like', 'BIGINT')}, "
+            f"'min_text', {get('min_text', 'STRING')}, 'max_text', {get('max_text', 'STRING')}, "
+            f"'older', {get('older', 'BIGINT')})")
+    one_row = df.selectExpr(*aggs)   # global aggregate
+    return one_row.selectExpr(f"{sql_str(name)} AS table_name", "`__rows` AS rows",
+                              f"inline(array({', '.join(rows)}))")
+
+
+def _ndv_slots(f: T.StructField) -> tuple[str, str, str] | None:
+    """Typed value slots (long, double, text) of one column as SQL expressions; None for complex types.
 
     Integers and booleans go to the long slot, floating point to the double
     slot (``-0.0`` normalised to ``0.0``, as distinct counting does), text,
@@ -97,39 +125,48 @@ def _ndv_slots(f: T.StructField) -> tuple[Column, Column, Column] | None:
     k = kind_of(f.dataType)
     if k == "complex":
         return None
-    c = F.col(f"`{f.name}`")
-    nl, nd, ns = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
+    c = ident(f.name)
+    nl, nd, ns = "CAST(NULL AS BIGINT)", "CAST(NULL AS DOUBLE)", "CAST(NULL AS STRING)"
     if k == "fractional":
-        return nl, F.when(c == 0, F.lit(0.0)).otherwise(c.cast("double")), ns
+        return nl, f"CASE WHEN {c} = 0 THEN CAST(0.0 AS DOUBLE) ELSE CAST({c} AS DOUBLE) END", ns
     if k == "boolean" or (k == "integral" and not isinstance(f.dataType, T.DecimalType)):
-        return c.cast("long"), nd, ns
-    return nl, nd, (c if k == "string" else c.cast("string"))
+        return f"CAST({c} AS BIGINT)", nd, ns
+    return nl, nd, (c if k == "string" else f"CAST({c} AS STRING)")
 
 
-def _ndv_values(name: str, df: DataFrame) -> list[DataFrame]:
-    """``(table_name, column_name, vl, vd, vs)`` rows of every non-NULL atomic value.
+def _unpivot_sql(df: DataFrame, items: list[list[str]], names: list[str],
+                 present: list[str] | None = None) -> DataFrame:
+    """Rows of ``items`` (lists of SQL expressions named ``names``) for every input row.
 
-    A table that already scans as at least as many splits as there are cores
-    is read once and unpivoted with ``explode`` (one scan, however wide the
-    table). An under-split table (e.g. a single row group) gets one
-    single-column projection per column instead, so its columns are deduped by
-    parallel tasks rather than in the one task that owns the split.
+    A table scanned as at least as many splits as there are cores is read once
+    and unpivoted with ``explode``. An under-split table (a single row group)
+    gets one projection per item instead, so the items are processed by
+    parallel tasks rather than by the one task that owns the split.
+    ``present[i]`` (optional) is a condition that must hold for item ``i``.
     """
-    fields = [(f, _ndv_slots(f)) for f in df.schema.fields]
-    fields = [(f, sl) for f, sl in fields if sl is not None]
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    conds = present or ["true"] * len(items)
+    if len(items) > 1 and df.rdd.getNumPartitions() >= cores:
+        structs = [f"CASE WHEN {cond} THEN named_struct({', '.join(f'{sql_str(n)}, {e}' for n, e in zip(names, it))}) END"
+                   for it, cond in zip(items, conds)]
+        x = df.selectExpr(f"explode(array({', '.join(structs)})) AS __e").where("__e IS NOT NULL")
+        return x.selectExpr(*[f"__e.{ident(n)} AS {ident(n)}" for n in names])
+    parts = [df.where(cond).selectExpr(*[f"{e} AS {ident(n)}" for n, e in zip(names, it)])
+             for it, cond in zip(items, conds)]
+    return union_tree(parts)
+
+
+NDV_NAMES = ["table_name", "column_name", "vl", "vd", "vs"]
+
+
+def _ndv_values(name: str, df: DataFrame) -> list[DataFrame]:
+    """``(table_name, column_name, vl, vd, vs)`` rows of every non-NULL atomic value."""
+    fields = [(f, sl) for f in df.schema.fields if (sl := _ndv_slots(f)) is not None]
     if not fields:
         return []
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    head = [F.lit(name).alias("table_name")]
-    if df.rdd.getNumPartitions() >= cores:
-        structs = [F.when(F.col(f"`{f.name}`").isNotNull(), F.struct(
-            F.lit(f.name).alias("column_name"), sl[0].alias("vl"), sl[1].alias("vd"), sl[2].alias("vs")))
-            for f, sl in fields]
-        x = df.select(*head, F.explode(F.array(*structs)).alias("e")).where(F.col("e").isNotNull())
-        return [x.select("table_name", "e.column_name", "e.vl", "e.vd", "e.vs")]
-    return [df.where(F.col(f"`{f.name}`").isNotNull()).select(
-        *head, F.lit(f.name).alias("column_name"), sl[0].alias("vl"), sl[1].alias("vd"), sl[2].alias("vs"))
-        for f, sl in fields]
+    items = [[sql_str(name), sql_str(f.name), *sl] for f, sl in fields]
+    present = [f"{ident(f.name)} IS NOT NULL" for f, _ in fields]
+    return [_unpivot_sql(df, items, NDV_NAMES, present)]
 
 
 def exact_ndv(tables: Mapping[str, DataFrame]) -> DataFrame | None:
@@ -144,7 +181,7 @@ def exact_ndv(tables: Mapping[str, DataFrame]) -> DataFrame | None:
     parts = [p for n, df in tables.items() for p in _ndv_values(n, df)]
     if not parts:
         return None
-    u = reduce(lambda a, b: a.unionByName(b), parts)
+    u = union_tree(parts)   # identical schemas: positional union
     return u.distinct().groupBy("table_name", "column_name").agg(F.count(F.lit(1)).alias("ndv"))
 
 
@@ -159,7 +196,7 @@ def column_profile(tables: Mapping[str, DataFrame], metrics: Iterable[str] = ALL
     """
     metrics = frozenset(metrics)
     parts = [_profile_one(n, df, metrics, exact_distinct, older_than) for n, df in tables.items()]
-    prof = reduce(lambda a, b: a.unionByName(b), parts)
+    prof = union_tree(parts)
     if "ndv" in metrics and exact_distinct:
         ndv = exact_ndv(tables)
         if ndv is not None:
@@ -285,21 +322,6 @@ def profile_checks(profile: DataFrame, entries: list[Entry]) -> DataFrame:
                     F.col("e.detail").alias("detail"), F.col("e.is_anomaly").alias("is_anomaly"))
 
 
-def _unpivot(df: DataFrame, items: list[list[Column]]) -> DataFrame:
-    """Rows of ``items`` (each a list of aliased columns, same schema) for every input row.
-
-    A table scanned as at least as many splits as there are cores is read once
-    and unpivoted with ``explode``. An under-split table (a single row group)
-    gets one projection per item instead, so the items are processed by
-    parallel tasks rather than by the one task that owns the split.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(items) > 1 and df.rdd.getNumPartitions() >= cores:
-        x = df.select(F.explode(F.array(*[F.struct(*it) for it in items])).alias("__e"))
-        return x.select("__e.*")
-    return reduce(lambda a, b: a.unionByName(b), [df.select(*it) for it in items])
-
-
 def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows per key value: ``groupBy(keys).agg(count(1) as n)`` with the original names."""
     return df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias("n"))
@@ -326,24 +348,25 @@ class KeyCounts:
         self.width = max(len(ks) for _, ks in uniq)
         self.slots = [f"k{i}{x}" for i in range(self.width) for x in ("l", "d", "s")]
         parts = []
+        names = ["set_id", *self.slots]
         for table in sorted({t for t, _ in uniq}):
             df = tables[table]
             items = []
             for (t, ks), sid in self.ids.items():
                 if t != table:
                     continue
-                cols = [F.lit(sid).alias("set_id")]
+                cols = [str(sid)]
                 for i in range(self.width):
                     if i < len(ks):
                         sl = _ndv_slots(df.schema[ks[i]])
                         if sl is None:
                             raise ValueError(f"key column {table}.{ks[i]} has a complex type")
                     else:
-                        sl = (F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string"))
-                    cols += [sl[0].alias(f"k{i}l"), sl[1].alias(f"k{i}d"), sl[2].alias(f"k{i}s")]
+                        sl = ("CAST(NULL AS BIGINT)", "CAST(NULL AS DOUBLE)", "CAST(NULL AS STRING)")
+                    cols += list(sl)
                 items.append(cols)
-            parts.append(_unpivot(df, items))
-        u = reduce(lambda a, b: a.unionByName(b), parts)
+            parts.append(_unpivot_sql(df, items, names))
+        u = union_tree(parts)
         self.counts = u.groupBy("set_id", *self.slots).agg(F.count(F.lit(1)).alias("n"))
 
     def set_map(self, spark, rows: list[tuple], schema: str) -> DataFrame:
