@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,8 +14,17 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def write_latest(findings: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """K1: replace the whole latest table.
+def _observed(findings: DataFrame) -> tuple[DataFrame, Observation]:
+    """A2: row and anomaly counts gathered while the sink writes (no extra job)."""
+    obs = Observation("lakehealth_findings")
+    metrics = [F.count(F.lit(1)).alias("rows")]
+    if "is_anomaly" in findings.columns:
+        metrics.append(F.count_if(F.col("is_anomaly").cast("boolean")).alias("anomalies"))
+    return findings.observe(obs, *metrics), obs
+
+
+def write_latest(findings: DataFrame, path: str, fmt: str = "parquet") -> dict:
+    """K1: replace the whole latest table; returns the observed counts (A2).
 
     The new snapshot is written to a sibling staging folder first and swapped
     in with two FileSystem renames, so a failed job (or lost executors beyond
@@ -24,6 +33,7 @@ def write_latest(findings: DataFrame, path: str, fmt: str = "parquet") -> None:
     """
     spark = findings.sparkSession
     staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex[:8]}"
+    findings, obs = _observed(findings)
     findings.write.mode("overwrite").format(fmt).save(staging)
     fs, target = _fs(spark, path)
     _, new = _fs(spark, staging)
@@ -34,12 +44,15 @@ def write_latest(findings: DataFrame, path: str, fmt: str = "parquet") -> None:
         fs.delete(old, True)
     else:
         fs.rename(new, target)
+    return obs.get
 
 
-def append_history(findings: DataFrame, path: str, fmt: str = "parquet") -> None:
+def append_history(findings: DataFrame, path: str, fmt: str = "parquet") -> dict:
     """K2: append one run, partitioned by scan day (``scan_date`` text, first 10 chars)."""
+    findings, obs = _observed(findings)
     (findings.withColumn("scan_day", F.substring("scan_date", 1, 10))
      .write.mode("append").partitionBy("scan_day").format(fmt).save(path))
+    return obs.get
 
 
 def read_history(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

@@ -106,3 +106,16 @@ def test_exact_ndv_edge_cases(spark):
     prof = quality.column_profile({"t": t}, {"ndv"})
     got = {r.column_name: r.ndv for r in prof.collect()}
     assert got == {"d": 2, "b": 2, "n": 0, "ts": 1, "s": 2}
+
+
+def test_sinks_overwrite_append_and_counts(spark, tmp_path):
+    from lakehealth.plans import sink
+    df = spark.createDataFrame([("a", True, "2025-01-01T00:00:00.000Z"), ("b", False, "2025-01-01T00:00:00.000Z")],
+                               "rule_id string, is_anomaly boolean, scan_date string")
+    latest, hist = str(tmp_path / "latest"), str(tmp_path / "hist")
+    assert sink.write_latest(df, latest) == {"rows": 2, "anomalies": 1}
+    sink.write_latest(spark.read.parquet(latest).limit(1), latest)   # derived from the current snapshot
+    assert spark.read.parquet(latest).count() == 1
+    sink.append_history(df, hist)
+    sink.append_history(df, hist)
+    assert sink.read_history(spark, hist).count() == 4
