@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import num
 from ..sources.tables import spread_for_cpu
+from .quality import ident, sql_str, union_tree
 
 # --- fixed values (RE2 / Java common subset) ------------------------------------
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -26,23 +27,29 @@ PRIVILEGED_ROLES = ["db_owner", "db_securityadmin", "db_accessadmin"]
 
 
 def sensitive_values(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Q8 (values): rows of each text column that contain an e-mail, phone or card-number shape."""
+    """Q8 (values): rows of each text column that contain an e-mail, phone or card-number shape.
+
+    One global aggregate per table over whole texts (three ``count_if`` per
+    text column, built as SQL text in one call), then an ``inline`` unpivot.
+    """
     parts = []
     for name, df in tables.items():
         cols = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
         if not cols:
             continue
-        aggs = [F.count(F.lit(1)).alias("__rows")]
+        aggs = ["count(1) AS `__rows`"]
+        rows = []
         for i, c in enumerate(cols):
-            x = F.col(f"`{c}`")
+            x = ident(c)
             # contains('@') is a cheap guard evaluated first, so the e-mail regex only scans candidates.
-            aggs += [F.count_if(x.contains("@") & x.rlike(EMAIL)).alias(f"e{i}"), F.count_if(x.rlike(PHONE)).alias(f"p{i}"),
-                     F.count_if(x.rlike(CARD)).alias(f"c{i}")]
-        one = spread_for_cpu(df.select(*[F.col(f"`{c}`") for c in cols])).agg(*aggs)
-        rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"e{i}").alias("e"),
-                                  F.col(f"p{i}").alias("p"), F.col(f"c{i}").alias("c")) for i, c in enumerate(cols)])
-        parts.append(one.select(F.lit(name).alias("table_name"), F.col("__rows").alias("rows"), F.inline(rows)))
-    prof = reduce(lambda a, b: a.unionByName(b), parts)
+            aggs += [f"count_if(contains({x}, '@') AND {x} RLIKE {sql_str(EMAIL)}) AS `e{i}`",
+                     f"count_if({x} RLIKE {sql_str(PHONE)}) AS `p{i}`",
+                     f"count_if({x} RLIKE {sql_str(CARD)}) AS `c{i}`"]
+            rows.append(f"named_struct('column_name', {sql_str(c)}, 'e', `e{i}`, 'p', `p{i}`, 'c', `c{i}`)")
+        one = spread_for_cpu(df.select(*[F.col(ident(c)) for c in cols])).selectExpr(*aggs)
+        parts.append(one.selectExpr(f"{sql_str(name)} AS table_name", "`__rows` AS rows",
+                                    f"inline(array({', '.join(rows)}))"))
+    prof = union_tree(parts)
     detail = F.concat(F.lit("Column "), F.col("column_name"), F.lit(": "), num("e"), F.lit(" e-mail, "), num("p"),
                       F.lit(" phone and "), num("c"), F.lit(" card-number shaped values in "), num("rows"),
                       F.lit(" rows"))

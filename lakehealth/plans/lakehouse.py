@@ -70,4 +70,4 @@ def tables_of(md: Metadata) -> DataFrame:
 
 
 __all__ = ["Metadata", "folder_metadata", "storage_checks", "schema_checks_all",
-           "register_metadata_views", "tables_of", "F"]
+           "register_metadata_views", "tables_of"]

@@ -62,4 +62,4 @@ def warehouse_findings(spark: SparkSession, tables: Mapping[str, DataFrame], *,
     return assemble(data_checks(tables, **kw), rules, scan_ts=scan_ts, source=src)
 
 
-__all__ = ["check_view", "data_checks", "warehouse_findings", "F"]
+__all__ = ["check_view", "data_checks", "warehouse_findings"]
