@@ -11,6 +11,7 @@ from .. import schemas
 from ..operators import schema as schema_checks
 from ..operators import storage
 from ..sources import footers
+from ..session import shared_dir
 from .findings import union_all
 
 
@@ -33,6 +34,7 @@ def folder_metadata(spark: SparkSession, folder: str, *, max_files_per_table: in
     chunks = footers.footer_chunks(files)
     columns = footers.table_columns(footers.file_schemas(files))
     if persist:
+        shared_dir(spark)   # the cluster's checkpoint folder (a local one only where unset, as in tests)
         chunks = chunks.checkpoint(eager=True)
         columns = columns.checkpoint(eager=True)
     return Metadata(files, chunks, columns)

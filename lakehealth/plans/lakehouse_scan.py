@@ -20,6 +20,7 @@ from .catalog import builtin_rules
 from .evaluate import metadata_rule
 from .findings import assemble, union_all
 from .lakehouse import Metadata, register_metadata_views, schema_checks_all, storage_checks
+from ..session import shared_dir
 from .scan import GZIP_RULE
 
 
@@ -41,6 +42,7 @@ def lake_metadata(spark: SparkSession, root: str, tables: DataFrame, persist: bo
     chunks = footers.footer_chunks(files)
     columns = footers.table_columns(footers.file_schemas(files))
     if persist:
+        shared_dir(spark)
         chunks = chunks.checkpoint(eager=True)
         columns = columns.checkpoint(eager=True)
     return Metadata(files, chunks, columns)
@@ -58,6 +60,7 @@ def lakehouse_checks(spark: SparkSession, root: str, inventory: DataFrame | None
                      persist: bool = True) -> tuple[DataFrame, DataFrame]:
     tables = delta_log.discover_tables(spark, root, inventory)
     if persist:
+        shared_dir(spark)
         tables = tables.checkpoint(eager=True)
     log = delta_log.read_log(spark, root)
     md = lake_metadata(spark, root, tables, persist)
