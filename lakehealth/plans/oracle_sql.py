@@ -878,3 +878,48 @@ def history_two_runs() -> str:
     a = folder_findings()
     b = a.replace("'2025-01-01T00:00:00.000Z' AS scan_date", "'2025-01-02T00:00:00.000Z' AS scan_date")
     return f"SELECT * FROM ({a}) UNION ALL SELECT * FROM ({b})"
+
+
+def _per_rule() -> str:
+    return (f"SELECT rule_id, count(*) AS findings, count_if(is_anomaly) AS anomalies FROM ({rule_table_sql()}) "
+            f"GROUP BY rule_id")
+
+
+# fixed values: the sample catalog's ids, raw status text and enabled readings (warehouse / lakehouse)
+_CATALOG = [("WR001", "'true'", True, True), ("WR002", "'true'", True, True), ("WR003", "'1'", True, False),
+            ("WR004", "'true'", True, True), ("WR005", "'true'", True, True), ("WR006", "'false'", False, False),
+            ("WR007", "CAST(NULL AS VARCHAR)", False, True), ("WR008", "'true'", True, True)]
+
+
+def rule_catalog() -> str:
+    vals = ", ".join(f"('{r}', {s}, {str(e).lower()}, {str(lh).lower()})" for r, s, e, lh in _CATALOG)
+    return (f"SELECT c.rule_id, c.status, c.enabled, c.enabled_lakehouse, coalesce(p.findings, 0) AS findings, "
+            f"coalesce(p.anomalies, 0) AS anomalies FROM (VALUES {vals}) c(rule_id, status, enabled, enabled_lakehouse) "
+            f"LEFT JOIN ({_per_rule()}) p USING (rule_id)")
+
+
+# rule_id, kind, level, content, severity after warehouse defaults
+_ATTRS = [("WR001", "query", "column", "query", 1), ("WR002", "query", "column", "query", 2),
+          ("WR003", "query", "schema", "query", 3), ("WR004", "query", "table", "query", 2),
+          ("WR005", "guidance", "database", "guidance", 1), ("WR006", "query", "database", "query", 3),
+          ("WR007", "query", "database", "query", 3), ("WR008", "query", "table", "query", 2)]
+
+
+def active_rules() -> str:
+    active = {"WR001", "WR002", "WR003", "WR004", "WR005", "WR008"}
+    vals = ", ".join(f"('{r}', '{k}', '{lv}', {sev})" for r, k, lv, _, sev in _ATTRS if r in active)
+    return (f"SELECT a.rule_id, a.kind, a.level, a.severity, coalesce(p.findings, 0) AS findings, "
+            f"coalesce(p.anomalies, 0) AS anomalies FROM (VALUES {vals}) a(rule_id, kind, level, severity) "
+            f"LEFT JOIN ({_per_rule()}) p USING (rule_id)")
+
+
+def rule_defaults() -> str:
+    vals = ", ".join(f"('{r}', '{lv}', '{c}', {sev})" for r, _, lv, c, sev in _ATTRS)
+    return (f"SELECT a.rule_id, a.level, a.content, a.severity, coalesce(p.findings, 0) AS findings, "
+            f"coalesce(p.anomalies, 0) AS anomalies FROM (VALUES {vals}) a(rule_id, level, content, severity) "
+            f"LEFT JOIN ({_per_rule()}) p USING (rule_id)")
+
+
+def rule_rows_where(cond: str, extra: bool = False) -> str:
+    cols = "rule_id, level, schema_name, table_name, column_name, category, severity, result, is_anomaly, remediation_script"
+    return f"SELECT {cols}{', extra' if extra else ''} FROM ({rule_table_sql()}) WHERE {cond}"

@@ -666,3 +666,62 @@ def sink_history(spark, sf_dir):
     sink.append_history(snap, hist)
     sink.append_history(snap.withColumn("scan_date", F.lit("2025-01-02T00:00:00.000Z")), hist)
     return sink.read_history(spark, hist).drop("scan_day")
+
+
+# -- catalog views: each runs the sample catalog over the tables and reports one aspect ---------
+
+def _rule_findings(spark, sf_dir):
+    register_views(load_tables(spark, sf_dir))
+    return warehouse_rule_findings(spark, cat.read_rules(spark, WAREHOUSE_RULES), source_name="testdata",
+                                   scan_ts=FIXED_SCAN_TS)
+
+
+def _per_rule(f):
+    return f.groupBy("rule_id").agg(F.count(F.lit(1)).alias("findings"),
+                                    F.count_if("is_anomaly").alias("anomalies"))
+
+
+@register("rule_catalog", oracle_sql.rule_catalog())
+def rule_catalog(spark, sf_dir):
+    """Every catalog rule with its raw status, both enabled readings and its findings."""
+    rules = cat.read_rules(spark, WAREHOUSE_RULES)
+    r = rules.select(F.col("id").alias("rule_id"), "status",
+                     cat.enabled("status", "warehouse").alias("enabled"),
+                     cat.enabled("status", "lakehouse").alias("enabled_lakehouse"))
+    return (r.join(_per_rule(_rule_findings(spark, sf_dir)), "rule_id", "left")
+            .fillna(0, ["findings", "anomalies"]))
+
+
+@register("active_rules", oracle_sql.active_rules())
+def active_rules(spark, sf_dir):
+    """The enabled rules, their kind and what they found."""
+    a = cat.active_rules(cat.read_rules(spark, WAREHOUSE_RULES)).select("rule_id", "kind", "level", "severity")
+    return a.join(_per_rule(_rule_findings(spark, sf_dir)), "rule_id", "left").fillna(0, ["findings", "anomalies"])
+
+
+@register("rule_defaults", oracle_sql.rule_defaults())
+def rule_defaults(spark, sf_dir):
+    """Catalog attributes after warehouse defaults, with the findings of each rule."""
+    d = cat.with_defaults(cat.read_rules(spark, WAREHOUSE_RULES)).select("rule_id", "level", "content", "severity")
+    return d.join(_per_rule(_rule_findings(spark, sf_dir)), "rule_id", "left").fillna(0, ["findings", "anomalies"])
+
+
+@register("guidance_findings", oracle_sql.rule_rows_where("result = 'General guidance - no query executed'"))
+def guidance_findings(spark, sf_dir):
+    """Active rules without a query give a guidance finding."""
+    f = _rule_findings(spark, sf_dir)
+    return f.filter(F.col("result") == "General guidance - no query executed").select(*RULE_COLUMNS)
+
+
+@register("rule_error_finding", oracle_sql.rule_rows_where("starts_with(result, 'Error executing query: ')"))
+def rule_error_finding(spark, sf_dir):
+    """A rule whose SQL fails becomes an error finding; the other rules still run."""
+    f = _rule_findings(spark, sf_dir)
+    return f.filter(F.col("result").startswith("Error executing query: ")).select(*RULE_COLUMNS)
+
+
+@register("standardize_columns", oracle_sql.rule_rows_where("rule_id = 'WR002'", extra=True))
+def standardize_columns(spark, sf_dir):
+    """A rule returning tablename / columnname and no result column."""
+    f = _rule_findings(spark, sf_dir)
+    return f.filter(F.col("rule_id") == "WR002").select(*RULE_COLUMNS, F.to_json("extra").alias("extra"))
