@@ -6,10 +6,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lakehealth.llm import bpe
+from lakehealth.llm import bpe, tokenfile
 from lakehealth.llm.common import table
 
 
+#: Id that ends every document in the token files.
+END_ID = 2
+
+
+def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenfile.fresh_path(spark)
+    tokenfile.write_token_files(table(spark, sf_dir, "documents"), path,
+                                public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+    return tokenfile.read_documents(spark, path)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_documents(table(spark, sf_dir, "documents"),
                                  public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -17,6 +28,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_token_file": op6_token_file,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
