@@ -6,10 +6,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lakehealth.llm import bpe, tokenfile
+from lakehealth.llm import bpe, langid, sharding, tokenfile
 from lakehealth.llm.common import table
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), 16)
+
+
 #: Id that ends every document in the token files.
 END_ID = 2
 
@@ -28,6 +36,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_language_id": op3_language_id,
+    "op4_hilbert_shards": op4_hilbert_shards,
     "op6_token_file": op6_token_file,
     "op10_byte_bpe": op10_byte_bpe,
 }
