@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakehealth.llm import bpe, langid, sharding, tokenfile, topk
+from lakehealth.llm import bpe, htmltext, langid, sharding, tokenfile, topk
 from lakehealth.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), 16)
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 #: Id that ends every document in the token files.
 END_ID = 2
 
@@ -44,6 +48,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_hilbert_shards": op4_hilbert_shards,
+    "op5_main_text": op5_main_text,
     "op6_token_file": op6_token_file,
     "op7_exact_topk": op7_exact_topk,
     "op10_byte_bpe": op10_byte_bpe,
