@@ -186,6 +186,14 @@ LABELLED: list[list[tuple[int, int, int, int, int]]] = [
     [(8, 0, 1, 0, 1), (150, 4, 0, 0, 1), (9, 0, 0, 0, 1), (110, 0, 0, 0, 1), (200, 10, 0, 0, 1), (6, 5, 0, 0, 0)],
     [(2, 0, 0, 0, 0), (3, 2, 0, 0, 0), (6, 0, 1, 0, 1), (18, 0, 0, 0, 1), (24, 0, 0, 0, 1), (2, 1, 0, 0, 0),
      (3, 0, 0, 0, 0)],
+    # nothing after the text
+    [(1, 1, 0, 2, 0), (8, 0, 1, 1, 1), (60, 0, 0, 1, 1), (22, 0, 0, 1, 1)],
+    [(5, 0, 1, 1, 1), (40, 3, 0, 1, 1), (2, 0, 0, 1, 1)],
+    [(9, 0, 0, 1, 1), (3, 0, 0, 1, 1)],
+    [(12, 5, 0, 1, 1), (4, 2, 0, 1, 1)],
+    [(2, 2, 0, 0, 0), (6, 0, 1, 0, 1), (40, 0, 0, 0, 1), (35, 0, 0, 0, 1)],
+    [(7, 0, 0, 0, 1), (52, 3, 0, 0, 1), (11, 0, 0, 0, 1)],
+    [(3, 0, 1, 0, 1), (14, 0, 0, 0, 1), (9, 0, 0, 0, 1)],
     # framing only
     [(12, 12, 0, 0, 0), (3, 3, 0, 0, 0), (4, 4, 0, 0, 0), (5, 4, 0, 0, 0), (2, 0, 0, 0, 0)],
     [(60, 0, 0, 2, 0), (140, 2, 0, 2, 0), (7, 0, 1, 2, 0), (22, 0, 0, 2, 0)],

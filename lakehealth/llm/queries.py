@@ -7,10 +7,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakehealth.llm import bpe, htmltext, langid, sharding, tokenfile, topk
+from lakehealth.llm import bpe, decontam, htmltext, langid, quality, sharding, tokenfile, topk
 from lakehealth.llm.common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "source", "quality_score", "quality_keep")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -39,6 +44,10 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, F.col("vec_id") % 50 == 0, 5)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_documents(table(spark, sf_dir, "documents"),
                                  public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -46,11 +55,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op3_language_id": op3_language_id,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_main_text": op5_main_text,
     "op6_token_file": op6_token_file,
     "op7_exact_topk": op7_exact_topk,
+    "op8_decontamination": op8_decontamination,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
