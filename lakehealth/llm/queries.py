@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakehealth.llm import bpe, decontam, htmltext, langid, quality, sharding, tokenfile, topk
+from lakehealth.llm import bpe, decontam, htmltext, jaccard, langid, linededup, quality, sharding, tokenfile, topk
 from lakehealth.llm.common import table
 
 
@@ -16,6 +16,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "source", "quality_score", "quality_keep")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = linededup.mark(table(spark, sf_dir, "documents"))
+    return marked.select("row.doc_id", "text", "n_lines", "n_equal", "n_near")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -48,6 +53,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_documents(table(spark, sf_dir, "documents"),
                                  public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -56,12 +65,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_line_dedup": op2_line_dedup,
     "op3_language_id": op3_language_id,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_main_text": op5_main_text,
     "op6_token_file": op6_token_file,
     "op7_exact_topk": op7_exact_topk,
     "op8_decontamination": op8_decontamination,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
