@@ -47,6 +47,8 @@ LIST_EVIDENCE = 12.0
 LIST_SHARE = 0.75
 #: Lengths of the word beginnings that the list may hold (inflected words share them).
 STEMS = (4, 5, 6, 7)
+#: Words without findings that are added to every text's shares.
+SHRINK = 20
 #: Ridge penalty on standardised weights; evidence is cut off at this many log odds.
 RIDGE = 1.0
 MOST_EVIDENCE = 12.0
@@ -79,23 +81,25 @@ def shape(text: str | None, flags: Flags) -> list[float]:
     if not n:
         return [0.0] * FEATURES
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4")
-    visible = max(int((codes > 32).sum()), 1)
+    visible = int((codes > 32).sum())
     upper = int((((codes >= 65) & (codes <= 90)) | ((codes >= 192) & (codes <= 222))).sum())
     digits = int(((codes >= 48) & (codes <= 57)).sum())
     in_words = sum(map(len, found))
     lines = text.split("\n")
+    # A few extra words, characters and lines without findings keep short texts near the middle.
+    most, room = n + SHRINK, visible + 5 * SHRINK
     hits = sum(map(flags.__getitem__, found)) if flags.word_list else 0
     return [
         float(np.log1p(n)),
-        1 - min(in_words / visible, 1.0),                       # symbols
-        upper / visible,
-        digits / visible,
+        max(visible - in_words, 0) / room,                      # symbols
+        upper / room,
+        digits / room,
         float(np.log1p(len(set(found))) / np.log1p(n)),         # variety
-        sum(map(operator.eq, found, found[1:])) / n,            # stuttering
+        sum(map(operator.eq, found, found[1:])) / most,         # stuttering
         in_words / n,                                           # word length
-        1 - len(set(lines)) / len(lines),                       # repeated lines
+        (len(lines) - len(set(lines))) / (len(lines) + SHRINK / 4),  # repeated lines
         float(np.log1p(hits)),
-        hits / n * 100,
+        hits / most * 100,
     ]
 
 
