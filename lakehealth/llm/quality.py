@@ -44,7 +44,7 @@ MAX_LABELLED = 20_000
 #: divergence of its share of bad rows from the overall share, and that share itself.
 MAX_LIST = 2_000
 LIST_EVIDENCE = 12.0
-LIST_SHARE = 0.75
+LIST_SHARE = 0.95
 #: Lengths of the word beginnings that the list may hold (inflected words share them).
 STEMS = (4, 5, 6, 7)
 #: Words without findings that are added to every text's shares.
@@ -96,7 +96,7 @@ def shape(text: str | None, flags: Flags) -> list[float]:
         digits / room,
         float(np.log1p(len(set(found))) / np.log1p(n)),         # variety
         sum(map(operator.eq, found, found[1:])) / most,         # stuttering
-        in_words / n,                                           # word length
+        (in_words + 5 * SHRINK) / most,                         # word length
         (len(lines) - len(set(lines))) / (len(lines) + SHRINK / 4),  # repeated lines
         float(np.log1p(hits)),
         hits / most * 100,
