@@ -60,6 +60,15 @@ def stems(word: str) -> list[str]:
     return [word, *(word[:k] + "-" for k in STEMS if k < len(word))]
 
 
+def telling(found: dict[str, int]) -> frozenset[str]:
+    """The list without beginnings that say no more than a longer entry: nearly the same rows."""
+    vague = set()
+    for entry, rows in found.items():
+        word = entry.removesuffix("-")
+        vague.update(s for k in STEMS if k < len(word) and rows >= 0.9 * found.get(s := word[:k] + "-", 1 << 62))
+    return frozenset(found.keys() - vague)
+
+
 class Flags(dict):
     """word -> whether it or a beginning of it is in the word list; kept for words seen before."""
 
@@ -184,8 +193,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
     counted = (sample.mapInArrow(count_words, "word string, bad long, well long").groupBy("word")
                .agg(F.sum("bad").alias("bad"), F.sum("well").alias("well")).where(b > 0)
                .where((part >= max(LIST_SHARE, share)) & (evidence >= LIST_EVIDENCE)))
-    top = counted.orderBy(evidence.desc(), "word").limit(MAX_LIST).select("word").collect()
-    word_list = frozenset(r[0] for r in top)
+    top = counted.orderBy(evidence.desc(), "word").limit(MAX_LIST).select("word", "bad").collect()
+    word_list = telling({r[0]: r[1] for r in top})
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = Flags(word_list)
