@@ -32,9 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakehealth.llm.common import rows_of
+from lakehealth.llm.pieces import PieceEncoder
 
-#: Entries after which a worker's cache of encoded pieces starts anew.
-CACHE_PIECES = 500_000
 
 
 
@@ -91,7 +90,7 @@ class PrefixCoder:
         key = left, right
         known = self._pairs.get(key)
         if known is None:
-            if len(self._pairs) > 1_000_000:
+            if len(self._pairs) > 500_000:
                 self._pairs.clear()
             known = self._pairs[key] = self._survives(left, right)
         return known
@@ -163,59 +162,23 @@ class PrefixText:
         return self.coder.walk(self.last)
 
 
-class PieceCache(dict):
-    """piece between two spaces -> its ids as little-endian 32-bit bytes.
-
-    The split pattern always cuts before a space that stands between two other
-    characters, so the pieces of ``text.split(" ")`` (each but the first with its space)
-    can be encoded one by one. A space beside other white space need not be a cut: such
-    a piece (empty, or with white space at its start) maps to None, and its text
-    is split by the pattern as a whole.
-    """
-
-    def __init__(self, encode_text, lead: str):
-        super().__init__()
-        self.encode_text, self.lead = encode_text, lead
-
-    def __missing__(self, piece: str) -> bytes | None:
-        if len(self) >= CACHE_PIECES:
-            self.clear()
-        plain = piece and not piece[0].isspace()
-        value = self.encode_text(self.lead + piece) if plain else None
-        if len(piece) <= 64:
-            self[piece] = value
-        return value
-
-
 class TextEncoder:
     """Whole texts to ids, with caches for the worker's life."""
 
     def __init__(self, coder: PrefixCoder, pattern: str):
         self.coder, self.matches = coder, regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
-        self.first, self.inner = PieceCache(self.by_pattern, ""), PieceCache(self.by_pattern, " ")
+        self.pieces = PieceEncoder(self.match, self.by_pattern, pattern)
+
+    def match(self, match: str) -> bytes:
+        ids = self.coder.encode(match.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def by_pattern(self, text: str) -> bytes:
-        parts = []
-        for match in self.matches(text):
-            ids = self.known.get(match)
-            if ids is None:
-                coded = self.coder.encode(match.encode())
-                ids = struct.pack(f"<{len(coded)}I", *coded)
-                if len(match) <= 64:
-                    if len(self.known) >= CACHE_PIECES:
-                        self.known.clear()
-                    self.known[match] = ids
-            parts.append(ids)
-        return b"".join(parts)
+        return b"".join(map(self.pieces.match, self.matches(text)))
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        pieces = text.split(" ")
-        parts = [self.first[pieces[0]], *map(self.inner.__getitem__, pieces[1:])]
-        return self.by_pattern(text) if None in parts else b"".join(parts)
+        return self.pieces.encode(text)
 
 
 _encoders: dict[tuple[str, str], TextEncoder] = {}

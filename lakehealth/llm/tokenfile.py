@@ -31,14 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakehealth.llm.common import ensure_checkpoint_dir, rows_of
+from lakehealth.llm.pieces import PieceEncoder
 
 #: Tokens after which a segment is closed at the next document end.
 SEGMENT_TOKENS = 1 << 18
 #: Bits between two entries of a rank directory.
 RANK_BITS = 512
 MAGIC = b"DAC1"
-#: Entries after which a worker's piece cache starts anew.
-CACHE_PIECES = 500_000
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -106,82 +105,47 @@ class Segment:
         return value
 
 
-class LibraryEncoder:
-    """The tokenizers library behind a cache of the pieces between spaces.
+def byte_alphabet() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable Latin-1
+    characters for themselves, the others, in order, from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
 
-    Its byte-level split cuts before every space between two other characters, so the
-    pieces of ``text.split(" ")`` (each but the first with its space) can be encoded on
-    their own. Unseen pieces go to the library in one call, a vertical tab between
-    them: a lone white-space character always is a token of its own there. A text with
-    white space beside a space, or with a special token's string, goes to it whole.
-    """
+class LibraryEncoder:
+    """The tokenizers library behind a cache of pieces.
 
-    MARK = "\x0b"
+    Matches of the byte-level pattern go to the library's BPE model; what the cache cannot cut and texts
+    with a special token's string go through the library whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model, self.alphabet = self.library.model, byte_alphabet()
+        self.space = self.alphabet[ord(" ")]
+        self.ids = [struct.pack("<I", i) for i in range(self.library.get_vocab_size())]
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        (self.mark,) = self.library.encode(self.MARK, add_special_tokens=False).ids
-        self.first: dict[str, bytes] = {}
-        self.inner: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        coded = self.library.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in coded]
-
-    def learn(self, pieces: set[str], lead: str, known: dict[str, bytes]) -> None:
-        """Encode unseen pieces; those whose ends are not sure cuts stay unknown."""
-        if len(known) > CACHE_PIECES:
-            known.clear()
-        new = [p for p in pieces if p and not p[0].isspace() and not p[-1].isspace() and self.MARK not in p]
-        for i in range(0, len(new), 512):
-            some = new[i:i + 512]
-            ids = np.array(self.library.encode(self.MARK.join(lead + p for p in some), add_special_tokens=False).ids,
-                           dtype="<u4")
-            cuts = np.flatnonzero(ids == self.mark).tolist()
-            if len(cuts) != len(some) - 1:
-                raise ValueError("the tokenizer's split differs from the byte-level one")
-            data = ids.tobytes()
-            for p, a, b in zip(some, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)]):
-                known[p] = data[4 * a:4 * b]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        first, inner = self.first.get, self.inner.get
-        out: list[bytes | None] = []
-        again: list[int] = []
-        new_first: set[str] = set()
-        new_inner: set[str] = set()
-        for i, text in enumerate(texts):
-            if not text or any(s in text for s in self.special):
-                out.append(None if text else b"")
-                continue
-            pieces = text.split(" ")
-            parts = list(map(inner, pieces))
-            parts[0] = first(pieces[0])
-            if None in parts:
-                if parts[0] is None:
-                    new_first.add(pieces[0])
-                new_inner.update(p for p, known in zip(pieces[1:], parts[1:]) if known is None)
-                again.append(i)
-                out.append(None)
-            else:
-                out.append(b"".join(parts))
-        self.learn(new_first, "", self.first)
-        self.learn(new_inner, " ", self.inner)
-        for i in again:
-            pieces = texts[i].split(" ")
-            parts = list(map(inner, pieces))
-            parts[0] = first(pieces[0])
-            if None not in parts:
-                out[i] = b"".join(parts)
-        left = [i for i, coded in enumerate(out) if coded is None]
-        for i, coded in zip(left, self.whole([texts[i] for i in left]) if left else ()):
-            out[i] = coded
-        return out
+        self.pieces = PieceEncoder(self.match, self.whole)
+
+    def whole(self, text: str) -> bytes:
+        ids = self.library.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def match(self, match: str) -> bytes:
+        if match.isascii() and match.isprintable():
+            plain = match.replace(" ", self.space)
+        else:
+            plain = match.encode().decode("latin-1").translate(self.alphabet)
+        return b"".join([self.ids[t.id] for t in self.model.tokenize(plain)])
+
+    def encode(self, text: str | None) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
+        if text and any(s in text for s in self.special):
+            return self.whole(text)
+        return self.pieces.encode(text)
 
 
 _encoders: dict[str, LibraryEncoder] = {}
@@ -210,7 +174,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
         for rows in rows_of(batches):
             part = rows.column(2)[0].as_py()
-            for doc_id, coded in zip(rows.column(0).to_pylist(), enc.encode(rows.column(1).to_pylist())):
+            for doc_id, coded in zip(rows.column(0).to_pylist(), map(enc.encode, rows.column(1).to_pylist())):
                 ids += [coded, end]
                 held += len(coded) // 4 + 1
                 doc_ids.append(doc_id)
