@@ -5,7 +5,7 @@ probability in a language is the sum, over all ways to cut it into pieces, of th
 of the piece probabilities; the forward algorithm computes that sum. A text's score is the
 sum of its words' log probabilities, so each distinct word is scored once per batch and cached.
 
-``fit`` learns the tables by one expectation step over all training rows: starting from
+``fit`` learns the tables by one expectation step over at most ``MAX_ROWS`` training rows a language: starting from
 equal piece probabilities, the forward-backward algorithm gives the expected count of each piece
 in each language; tasks add up counts of the fixed vocabulary and only these sums are shuffled.
 ``predict`` scores whole texts. Only text and lang of the training rows are used.
@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakehealth.llm.common import rows_of
+from lakehealth.llm.words import mix
 
 #: Runs of letters.
 find_runs = re.compile(r"[^\W\d_]+").findall
@@ -39,8 +41,11 @@ MAX_WORD = 32
 ALPHA = 0.01
 #: Probability of a character that no piece covers.
 UNKNOWN = 1e-9
-#: Word scores (words times languages) a worker keeps before it starts anew.
-CACHE_SCORES = 2_000_000
+#: Training rows of a language, at most (chosen by a hash of the text).
+MAX_ROWS = 4_000
+#: Words a worker keeps scores of, and scores (words times languages).
+CACHE_WORDS = 1_000_000
+CACHE_SCORES = 4_000_000
 #: Sums (words times positions times languages) of one forward-backward batch.
 BATCH_SUMS = 600_000
 #: Words a task counts before it turns them into piece counts.
@@ -67,36 +72,80 @@ def read_pieces(model_path: str) -> list[str]:
 
 
 class Lattice:
-    """Forward and backward sums over all segmentations, for many words at once."""
+    """Forward and backward sums over all segmentations, for many words at once.
+
+    Pieces are found by a rolling hash of their characters in a direct-address table; 64 bits of
+    hash stand for the piece. The word start counts as one character, so a word of n letters has n + 1 places."""
+
+    BASE = 0x9E3779B97F4A7C15
+    BITS = 20
 
     def __init__(self, pieces: list[str]):
-        self.index = {p: i for i, p in enumerate(pieces)}
+        self.pieces = pieces
         self.longest = max(map(len, pieces), default=1)
         self.unknown = len(pieces)
+        powers = [pow(self.BASE, k, 1 << 64) for k in range(max(MAX_WORD, self.longest) + 2)]
+        self.powers = np.array(powers, dtype=np.uint64)
+        self.hashes = np.zeros(len(pieces), dtype=np.uint64)
+        for i, p in enumerate(pieces):
+            self.hashes[i] = self.span(self.codes([p], False), 0, len(p))[0]
+        # A first table by low bits, a second by high bits for pieces whose place was taken.
+        self.low = np.full(1 << self.BITS, -1, dtype=np.int32)
+        self.high = np.full(1 << self.BITS, -1, dtype=np.int32)
+        self.rest: dict[int, int] = {}
+        for i, h in enumerate(self.hashes.tolist()):
+            x, y = h & (1 << self.BITS) - 1, h >> 64 - self.BITS
+            if self.low[x] < 0:
+                self.low[x] = i
+            elif self.high[y] < 0:
+                self.high[y] = i
+            else:
+                self.rest[h] = i
+
+    def codes(self, words: list[str], start: bool = True) -> np.ndarray:
+        """Prefix hashes [word, place] of equally long words, a space before each."""
+        n = len(words[0])
+        letters = np.array(words, dtype=f"<U{n}").view("<u4").reshape(len(words), n).astype(np.uint64)
+        if start:
+            letters = np.concatenate([np.full((len(words), 1), 32, dtype=np.uint64), letters], axis=1)
+        out = np.zeros((len(words), letters.shape[1] + 1), dtype=np.uint64)
+        for k in range(letters.shape[1]):
+            out[:, k + 1] = out[:, k] * np.uint64(self.BASE) + letters[:, k]
+        return out
+
+    def span(self, codes: np.ndarray, first: int, end: int) -> np.ndarray:
+        return mix(codes[:, end] - codes[:, first] * self.powers[end - first] + np.uint64(end - first))
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The piece of each hash, or -1."""
+        out = np.full(len(hashes), -1, dtype=np.int32)
+        if not self.unknown:
+            return out
+        for table, place in ((self.low, hashes & np.uint64((1 << self.BITS) - 1)),
+                             (self.high, hashes >> np.uint64(64 - self.BITS))):
+            k = table[place]
+            hit = (k >= 0) & (self.hashes[k] == hashes)
+            out[hit] = k[hit]
+        for h, k in self.rest.items():
+            out[hashes == np.uint64(h)] = k
+        return out
 
     def edges(self, words: list[str]) -> np.ndarray:
-        """Piece of every span [word, start, length - 1] of equally long words; -1 if none.
-        The word start counts as one character, so a word of n letters has n + 1 positions."""
-        n = len(words[0]) + 1
+        """Piece of every span [word, start, length - 1] of equally long words; -1 if none. A letter
+        without a piece is an unknown one, the word start alone the entry after it."""
+        n, codes = len(words[0]) + 1, self.codes(words)
         width = min(n, self.longest)
         out = np.full((len(words), n, width), -1, dtype=np.int32)
-        get = self.index.get
-        for w, word in enumerate(words):
-            spaced = " " + word
-            found = [(i, j - i - 1, k) for i in range(n) for j in range(i + 1, min(n, i + width) + 1)
-                     if (k := get(spaced[i:j])) is not None]
-            covered = {(i, 0) for i, length, _ in found if length == 0}
-            for i, length, k in found:
-                out[w, i, length] = k
-            for i in range(n):
-                if (i, 0) not in covered and i:
-                    out[w, i, 0] = self.unknown
-        # The start mark alone is always a piece of its own.
-        out[:, 0, 0] = np.where(out[:, 0, 0] < 0, self.unknown + 1, out[:, 0, 0])
+        for start in range(n):
+            for length in range(1, min(width, n - start) + 1):
+                out[:, start, length - 1] = self.find(self.span(codes, start, start + length))
+        single = out[:, :, 0]
+        single[:, 1:][single[:, 1:] < 0] = self.unknown
+        single[:, 0][single[:, 0] < 0] = self.unknown + 1
         return out
 
     def forward(self, edges: np.ndarray, prob: np.ndarray) -> np.ndarray:
-        """Sums over the segmentations of each prefix: [word, position, language]."""
+        """Sums over the segmentations of each prefix: [word, place, language]."""
         m, n, width = edges.shape
         alpha = np.zeros((m, n + 1, prob.shape[1]))
         alpha[:, 0] = 1
@@ -114,13 +163,15 @@ class Lattice:
         for start in range(n - 1, -1, -1):
             for length in range(1, min(n - start, width) + 1):
                 beta[:, start] += prob[edges[:, start, length - 1]] * beta[:, start + length]
-        out = np.zeros((len(prob), weight.shape[1]))
+        pieces, shares = [], []
         for start in range(n):
             for length in range(1, min(n - start, width) + 1):
                 k = edges[:, start, length - 1]
-                share = alpha[:, start] * prob[k] * beta[:, start + length] / alpha[:, n]
-                np.add.at(out, k, share * weight)
-        return out
+                pieces.append(k)
+                shares.append(alpha[:, start] * prob[k] * beta[:, start + length] / alpha[:, n] * weight)
+        at, share = np.concatenate(pieces), np.concatenate(shares)
+        at = np.where(at < 0, len(prob) - 1, at)
+        return np.stack([np.bincount(at, share[:, c], len(prob)) for c in range(weight.shape[1])], axis=1)
 
 
 def table_of(counts: np.ndarray, size: int) -> np.ndarray:
@@ -152,13 +203,23 @@ def lattice(path: str) -> Lattice:
     return _lattices[path]
 
 
-def fit(train: DataFrame, vocabulary: str) -> tuple[list[str], np.ndarray]:
+def sample(train: DataFrame, most: int) -> DataFrame:
+    """About ``most`` rows of each language at most, evenly by a hash of the text."""
+    counts = train.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    parts = 1_000_000
+    limit = F.create_map(*(F.lit(x) for lang, n in counts for x in (lang, min(parts, -(-parts * most // n))))) \
+        if counts else F.lit(None)
+    return train.where(F.pmod(F.xxhash64("text"), F.lit(parts)) < limit[F.col("lang")]) if counts else train
+
+
+def fit(train: DataFrame, vocabulary: str, most: int = MAX_ROWS) -> tuple[list[str], np.ndarray]:
     """(languages, piece probabilities) from the ``text`` and ``lang`` of ``train``."""
     train = train.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")) \
         .where("lang IS NOT NULL AND text IS NOT NULL")
-    languages = [r[0] for r in train.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    languages = sorted(r[0] for r in train.select("lang").distinct().collect())  # MAX_LANGUAGES are checked next
+    train = sample(train, most)
     at = {name: i for i, name in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,41 +265,49 @@ def predict(docs: DataFrame, languages: list[str], prob: np.ndarray, vocabulary:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat, prob = lattice(vocabulary), model.value
         place: dict[str, int] = {}
-        most = max(1000, CACHE_SCORES // max(len(languages), 1))
+        most = max(1000, min(CACHE_WORDS, CACHE_SCORES // max(len(languages), 1)))
         scores = np.zeros((most + 1, len(languages)))
 
-        def learn(new: list[str]) -> None:
+        def settle(step: list[tuple[int, list[str]]], totals: np.ndarray) -> None:
+            """Score words not seen before, all at once, and add up the rows' words."""
+            if not languages:
+                return
+            new = list({w for _, words in step for w in words if w not in place})
+            if len(place) + len(new) > most:
+                kept = dict(islice(place.items(), max(0, min(most // 2, most - len(new)))))
+                place.clear()
+                place.update(kept)  # the words met first are the frequent ones
+                new = list({w for _, words in step for w in words if w not in place})
             for same in by_length(new, len(languages)):
                 end = lat.forward(lat.edges(same), prob)[:, -1]
                 first = len(place)
                 scores[first:first + len(same)] = np.log(np.maximum(end, 1e-300))
                 place.update(zip(same, range(first, first + len(same))))
+            for row, words in step:
+                totals[row] += scores[list(map(place.__getitem__, words))].sum(axis=0)
 
         for part in rows_of(batches):
-            preds, shares = [], []
-            for text in part.column(1).to_pylist():
+            texts = part.column(1).to_pylist()
+            totals, letters_of = np.zeros((len(texts), len(languages))), np.zeros(len(texts), dtype=np.int64)
+            step: list[tuple[int, list[str]]] = []  # (row, words), at most `most` words in all
+            size = 0
+            for row, text in enumerate(texts):
                 found = letters(text)
-                if not found or not languages:
-                    preds.append("und")
-                    shares.append(0.0)
-                    continue
-                total = np.zeros(len(languages))
-                for i in range(0, len(found), most // 2):
-                    some = found[i:i + most // 2]
-                    rows = list(map(place.get, some))
-                    if None in rows:
-                        new = list({w for w, r in zip(some, rows) if r is None})
-                        if len(place) + len(new) > most:
-                            place.clear()
-                            new = list(set(some))
-                        learn(new)
-                        rows = list(map(place.__getitem__, some))
-                    total += scores[rows].sum(axis=0)
-                best = int(np.argmax(total))
-                preds.append(languages[best])
-                shares.append(float(1 / np.exp(np.maximum(total - total[best], -700)).sum()))
+                letters_of[row] = len(found)
+                for i in range(0, len(found), most // 4):
+                    if size + most // 4 > most:
+                        settle(step, totals)
+                        step, size = [], 0
+                    step.append((row, found[i:i + most // 4]))
+                    size += len(step[-1][1])
+            settle(step, totals)
+            known = (letters_of > 0) & (len(languages) > 0)
+            best = totals.argmax(axis=1) if languages else np.zeros(len(texts), dtype=int)
+            gap = np.maximum(totals - totals.max(axis=1, keepdims=True), -700) if languages else totals
+            share = np.where(known, 1 / np.maximum(np.exp(gap).sum(axis=1), 1e-300), 0.0)
+            preds = [languages[k] if ok else "und" for k, ok in zip(best.tolist(), known.tolist())]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(preds, pa.string()), pa.array(shares, pa.float64())],
+                [part.column(0), pa.array(preds, pa.string()), pa.array(np.clip(share, 0, 1), pa.float64())],
                 names=["doc_id", "lang_pred", "score"])
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -124,7 +124,8 @@ def test_forward_sums_all_segmentations():
     prob = np.zeros((lattice.unknown + 3, 1))
     prob[:lattice.unknown, 0] = [.1, .2, .3, .15, .05, .2]
     prob[lattice.unknown + 1] = 1
-    p = {k: prob[i, 0] for k, i in lattice.index.items()} | {" ": 1.0}
+    index = {k: i for i, k in enumerate(lattice.pieces)}
+    p = {k: prob[i, 0] for k, i in index.items()} | {" ": 1.0}
 
     def total(s):
         return 1.0 if not s else sum(p[s[:k]] * total(s[k:]) for k in range(1, len(s) + 1) if s[:k] in p)
@@ -134,7 +135,7 @@ def test_forward_sums_all_segmentations():
         assert lattice.forward(edges, prob)[0, -1, 0] == pytest.approx(total(" " + word))
     counts = lattice.expected(lattice.edges(["ab"]), prob, np.array([[2.0]]))
     # every segmentation covers three characters, the start mark among them
-    covered = sum(counts[i, 0] * len(k) for k, i in lattice.index.items()) + counts[lattice.unknown + 1, 0]
+    covered = sum(counts[i, 0] * len(k) for k, i in index.items()) + counts[lattice.unknown + 1, 0]
     assert covered == pytest.approx(6)
 
 
