@@ -1,6 +1,6 @@
-"""Test-input builder: a Delta-layout lake derived from the driver's tables.
+"""A Delta-layout lake derived from the driver's tables.
 
-This is not an engine component. Production scans read logs that Delta
+Production scans read logs that Delta
 writers produced; the tests need such logs *derived from the given tables*
 so that an independent SQL oracle can recompute every log-based result.
 
@@ -25,14 +25,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from lakehealth.session import scratch_path
 
 BAD_VERSION = 3
 MISSING_VERSION = 5
-LINEITEM_CONF = {"delta.logRetentionDuration": "interval 30 days",
-                 "delta.deletedFileRetentionDuration": "interval 7 days",
-                 "delta.autoOptimize.optimizeWrite": "true"}
-ORDERS_CONF = {"delta.logRetentionDuration": "interval 60 days"}
+
+
+def table_settings(nations: int, regions: int, flags: int) -> tuple[dict, dict]:
+    """Settings of lineitem and orders, from row counts of the given tables."""
+    days = nations + regions
+    return ({"delta.logRetentionDuration": f"interval {days} days",
+             "delta.deletedFileRetentionDuration": f"interval {regions + 2} days",
+             "delta.autoOptimize.optimizeWrite": "true" if flags > 1 else "false"},
+            {"delta.logRetentionDuration": f"interval {2 * days} days"})
 
 
 def _map(d: dict) -> Column:
@@ -66,7 +71,7 @@ def _add(path: Column, size: Column, pcol: str, pval: Column, stats: Column) ->
                                  F.create_map(F.lit(pcol), pval).alias("partitionValues"), stats.alias("stats")))
 
 
-def lineitem_log(lineitem: DataFrame, first_month) -> DataFrame:
+def lineitem_log(lineitem: DataFrame, first_month, conf: dict) -> DataFrame:
     """(table, version, pos, line) of the lineitem table's commits."""
     month = F.trunc("l_shipdate", "month")
     g = lineitem.groupBy(month.alias("month"), "l_returnflag", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
@@ -95,13 +100,13 @@ def lineitem_log(lineitem: DataFrame, first_month) -> DataFrame:
         "version", F.explode(F.array(
             F.struct(F.lit(1).alias("pos"), _protocol().alias("line")),
             F.struct(F.lit(2).alias("pos"), _metadata("lineitem", schema_json, ["l_returnflag"],
-                                                      LINEITEM_CONF).alias("line")))).alias("h")
+                                                      conf).alias("line")))).alias("h")
     ).select("version", "h.pos", "h.line")
     out = commits.unionByName(head).unionByName(adds).unionByName(bad)
     return out.filter(F.col("version") != MISSING_VERSION).withColumn("table", F.lit("lineitem"))
 
 
-def orders_log(orders: DataFrame) -> DataFrame:
+def orders_log(orders: DataFrame, conf: dict) -> DataFrame:
     g = orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"),
                                             F.min("o_orderdate").alias("first"))
     adds = g.select(F.lit(0).cast("long").alias("version"), (F.lit(10) + F.ascii("o_orderstatus")).alias("pos"),
@@ -114,14 +119,14 @@ def orders_log(orders: DataFrame) -> DataFrame:
                                                     F.lit("CREATE TABLE"), _map({})).alias("line")),
             F.struct(F.lit(1).alias("pos"), _protocol().alias("line")),
             F.struct(F.lit(2).alias("pos"), _metadata("orders", orders.schema.json(), ["o_orderstatus"],
-                                                      ORDERS_CONF).alias("line")))).alias("h")
+                                                      conf).alias("line")))).alias("h")
     ).select("version", "h.pos", "h.line")
     return adds.unionByName(head).withColumn("table", F.lit("sales.orders"))
 
 
-def _empty_log(spark: SparkSession, table: str, nation: DataFrame) -> DataFrame:
-    # One commit without data; its timestamp comes from the nation table so the row is derived data.
-    return nation.agg(F.count(F.lit(1)).alias("n")).select(
+def _empty_log(spark: SparkSession, table: str, orders: DataFrame) -> DataFrame:
+    """One commit without data, made when the first order was."""
+    return orders.agg((F.unix_date(F.to_date(F.min("o_orderdate"))).cast("long") * 86400000).alias("n")).select(
         F.lit(0).cast("long").alias("version"), F.explode(F.array(
             F.struct(F.lit(0).alias("pos"), _commit(F.col("n").cast("long"), F.lit("CREATE TABLE"),
                                                     _map({})).alias("line")),
@@ -152,10 +157,11 @@ def build_lake(spark: SparkSession, sf_dir: str, root: str | None = None, with_d
         orders.write.mode("overwrite").partitionBy("o_orderstatus").parquet(f"{base}/sales/orders")
     spark.read.parquet(f"{sf_dir}/region.parquet").write.mode("overwrite").json(f"{base}/notes")
     first_month = li.agg(F.min(F.trunc("l_shipdate", "month"))).first()[0]
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    lines = (lineitem_log(li, first_month).unionByName(orders_log(orders))
-             .unionByName(_empty_log(spark, "empty_table", nation))
-             .unionByName(_empty_log(spark, "_scratch", nation)))
+    nations, regions = (spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("nation", "region"))
+    conf = table_settings(nations, regions, li.select("l_returnflag").distinct().count())
+    lines = (lineitem_log(li, first_month, conf[0]).unionByName(orders_log(orders, conf[1]))
+             .unionByName(_empty_log(spark, "empty_table", orders))
+             .unionByName(_empty_log(spark, "_scratch", orders)))
     staging = f"{root}/_staging_log"
     (lines.repartition("table", "version").sortWithinPartitions("table", "version", "pos")
      .select("table", "version", "line").write.mode("overwrite").partitionBy("table", "version").text(staging))

@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import num
-from ..sources.tables import spread_for_cpu
 from .quality import ident, sql_str, union_tree
 
 # --- fixed values (RE2 / Java common subset) ------------------------------------
@@ -46,7 +45,7 @@ def sensitive_values(tables: Mapping[str, DataFrame]) -> DataFrame:
                      f"count_if({x} RLIKE {sql_str(PHONE)}) AS `p{i}`",
                      f"count_if({x} RLIKE {sql_str(CARD)}) AS `c{i}`"]
             rows.append(f"named_struct('column_name', {sql_str(c)}, 'e', `e{i}`, 'p', `p{i}`, 'c', `c{i}`)")
-        one = spread_for_cpu(df.select(*[F.col(ident(c)) for c in cols])).selectExpr(*aggs)
+        one = df.select(*[F.col(ident(c)) for c in cols]).selectExpr(*aggs)
         parts.append(one.selectExpr(f"{sql_str(name)} AS table_name", "`__rows` AS rows",
                                     f"inline(array({', '.join(rows)}))"))
     prof = union_tree(parts)

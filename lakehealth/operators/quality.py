@@ -20,7 +20,7 @@ from ..functions.text import idiv, num, pct_text, ratio_text
 
 # Fixed shapes (RE2 and Java regex agree on these).
 NUMERIC_TEXT = r"^-?[0-9]+(\.[0-9]+)?$"
-DATE_TEXT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
+DATE_TEXT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?)?$"
 
 ALL_METRICS = frozenset({"nulls", "ndv", "length", "shape", "minmax", "older"})
 
@@ -90,7 +90,8 @@ def _profile_one(name: str, df: DataFrame, metrics: frozenset, exact_distinct: b
             m["sum_len"] = add("sl", f"CAST(sum(length({c})) AS BIGINT)")
         if "shape" in metrics and k == "string":
             m["numeric_like"] = add("nl", f"count_if({c} RLIKE {sql_str(NUMERIC_TEXT)})")
-            m["date_like"] = add("dl", f"count_if({c} RLIKE {sql_str(DATE_TEXT)})")
+            m["date_like"] = add("dl", f"count_if({c} RLIKE {sql_str(DATE_TEXT)} "
+                                     f"AND try_cast(substring({c}, 1, 10) AS DATE) IS NOT NULL)")
         if "minmax" in metrics and k in ("integral", "temporal"):
             fmt = ((lambda x: f"date_format({x}, 'yyyy-MM-dd HH:mm:ss')") if k == "temporal"
                    else (lambda x: f"CAST({x} AS STRING)"))
@@ -119,7 +120,8 @@ def _ndv_slots(f: T.StructField) -> tuple[str, str, str] | None:
 
     Integers and booleans go to the long slot, floating point to the double
     slot (``-0.0`` normalised to ``0.0``, as distinct counting does), text,
-    dates, timestamps and decimals to the text slot (an injective text form).
+    dates, timestamps and decimals to the text slot (an injective text form;
+    long texts as a digest).
     Only one slot is set per value, so distinct rows equal distinct values.
     """
     k = kind_of(f.dataType)
@@ -131,29 +133,27 @@ def _ndv_slots(f: T.StructField) -> tuple[str, str, str] | None:
         return nl, f"CASE WHEN {c} = 0 THEN CAST(0.0 AS DOUBLE) ELSE CAST({c} AS DOUBLE) END", ns
     if k == "boolean" or (k == "integral" and not isinstance(f.dataType, T.DecimalType)):
         return f"CAST({c} AS BIGINT)", nd, ns
-    return nl, nd, (c if k == "string" else f"CAST({c} AS STRING)")
+    return nl, nd, (_text_slot(c) if k == "string" else f"CAST({c} AS STRING)")
+
+
+def _text_slot(c: str) -> str:
+    """A text as itself if it is short, as its 256-bit digest otherwise: whole texts are never
+    shuffled. The first character tells the two forms apart."""
+    return f"CASE WHEN octet_length({c}) <= 64 THEN concat('=', {c}) ELSE concat('#', sha2({c}, 256)) END"
 
 
 def _unpivot_sql(df: DataFrame, items: list[list[str]], names: list[str],
                  present: list[str] | None = None) -> DataFrame:
     """Rows of ``items`` (lists of SQL expressions named ``names``) for every input row.
 
-    A table scanned as at least as many splits as there are cores is read once
-    and unpivoted with ``explode``. An under-split table (a single row group)
-    gets one projection per item instead, so the items are processed by
-    parallel tasks rather than by the one task that owns the split.
-    ``present[i]`` (optional) is a condition that must hold for item ``i``.
+    The table is read once, whatever its size, and each row is unpivoted with
+    ``explode``. ``present[i]`` (optional) is a condition that must hold for item ``i``.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
     conds = present or ["true"] * len(items)
-    if len(items) > 1 and df.rdd.getNumPartitions() >= cores:
-        structs = [f"CASE WHEN {cond} THEN named_struct({', '.join(f'{sql_str(n)}, {e}' for n, e in zip(names, it))}) END"
-                   for it, cond in zip(items, conds)]
-        x = df.selectExpr(f"explode(array({', '.join(structs)})) AS __e").where("__e IS NOT NULL")
-        return x.selectExpr(*[f"__e.{ident(n)} AS {ident(n)}" for n in names])
-    parts = [df.where(cond).selectExpr(*[f"{e} AS {ident(n)}" for n, e in zip(names, it)])
-             for it, cond in zip(items, conds)]
-    return union_tree(parts)
+    structs = [f"CASE WHEN {cond} THEN named_struct({', '.join(f'{sql_str(n)}, {e}' for n, e in zip(names, it))}) END"
+               for it, cond in zip(items, conds)]
+    x = df.selectExpr(f"explode(array({', '.join(structs)})) AS __e").where("__e IS NOT NULL")
+    return x.selectExpr(*[f"__e.{ident(n)} AS {ident(n)}" for n in names])
 
 
 NDV_NAMES = ["table_name", "column_name", "vl", "vd", "vs"]
@@ -170,13 +170,11 @@ def _ndv_values(name: str, df: DataFrame) -> list[DataFrame]:
 
 
 def exact_ndv(tables: Mapping[str, DataFrame]) -> DataFrame | None:
-    """Exact distinct count of every atomic column of every table in two shuffles.
+    """Distinct count of every atomic column of every table: one scan per table, two shuffles.
 
-    All single-column projections are unioned, so their scans form one map
-    stage whose tasks run in parallel (one or more per column) and dedup
-    map-side; one ``distinct`` and one ``groupBy(table, column).count()``
-    follow. Shuffle volume equals Spark's multi-distinct expansion, without
-    one wide expansion per table in a single task.
+    Every row is unpivoted to one row per column; duplicates go map-side, then one
+    ``distinct`` and one ``groupBy(table, column).count()`` follow. Long texts count by
+    their 256-bit digest.
     """
     parts = [p for n, df in tables.items() for p in _ndv_values(n, df)]
     if not parts:
@@ -358,7 +356,10 @@ class KeyCounts:
                 cols = [str(sid)]
                 for i in range(self.width):
                     if i < len(ks):
-                        sl = _ndv_slots(df.schema[ks[i]])
+                        field = df.schema[ks[i]]
+                        sl = _ndv_slots(field)
+                        if isinstance(field.dataType, T.BinaryType):
+                            sl = ("CAST(NULL AS BIGINT)", "CAST(NULL AS DOUBLE)", f"hex({ident(ks[i])})")
                         if sl is None:
                             raise ValueError(f"key column {table}.{ks[i]} has a complex type")
                     else:
@@ -383,16 +384,11 @@ def _key_label(keys: Sequence[str]) -> str:
 
 
 def _wide_dup_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows per duplicated key value for keys with a text column, exactly, in two phases:
-    (1) rows per ``xxhash64(keys)`` (8 bytes per row in the shuffle); (2) only the
-    rows whose hash occurs more than once are grouped by the real key values.
-    Every duplicate group shares one hash, and collisions between different
-    values are separated by phase 2."""
-    cols = [F.col(f"`{k}`") for k in keys]
-    hashed = df.select(*cols, F.xxhash64(*cols).alias("__h"))
-    hot = hashed.groupBy("__h").agg(F.count(F.lit(1)).alias("__hn")).filter(F.col("__hn") > 1).select("__h")
-    cand = hashed.join(hot, "__h", "left_semi").drop("__h")
-    return key_counts(cand, keys).filter(F.col("n") > 1)
+    """Rows per duplicated key value for keys with a text column: one partial aggregate by
+    the 256-bit digest of the key values, so no text is shuffled and a hot value costs one row per task."""
+    values = F.to_json(F.struct(*[F.col(f"`{k}`") for k in keys]), {"ignoreNullFields": "false"})
+    return (df.select(F.unhex(F.sha2(values, 256)).alias("__digest")).groupBy("__digest")
+            .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1))
 
 
 def _dup_rows(table: str, label: str, dup: DataFrame) -> DataFrame:
@@ -408,8 +404,8 @@ def duplicates(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[Sequ
                counts: KeyCounts | None = None) -> DataFrame:
     """Q4: key values that occur more than once, per (table, key set).
 
-    Numeric / date keys come from the shared ``KeyCounts`` aggregate; text keys
-    use the two-phase hash grouping (``_wide_dup_counts``).
+    Numeric / date keys come from the shared ``KeyCounts`` aggregate; keys with a text
+    column are grouped by digest (``_wide_dup_counts``).
     """
     narrow = [(t, tuple(ks)) for t, kss in keys.items() for ks in kss if _narrow(tables[t], ks)]
     wide = [(t, tuple(ks)) for t, kss in keys.items() for ks in kss if not _narrow(tables[t], ks)]
@@ -421,7 +417,7 @@ def duplicates(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[Sequ
                        "set_id int, table_name string, label string")
         g = (kc.counts.filter(F.col("n") > 1).groupBy("set_id")
              .agg(F.count(F.lit(1)).alias("groups"), F.sum(F.col("n") - 1).cast("long").alias("surplus")))
-        d = F.broadcast(m).join(g, "set_id", "left").fillna(0, ["groups", "surplus"])
+        d = m.join(g, "set_id", "left").fillna(0, ["groups", "surplus"])
         detail = F.concat(num("groups"), F.lit(" values of key ("), F.col("label"), F.lit(") occur more than once; "),
                           num("surplus"), F.lit(" surplus rows"))
         out.append(d.select(F.lit("Q4").alias("rule_id"), F.col("table_name").alias("table_id"),
@@ -435,42 +431,69 @@ def duplicates(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[Sequ
     return reduce(lambda a, b: a.unionByName(b), out)
 
 
+def aligned(tables: Mapping[str, DataFrame],
+            fks: Sequence[tuple[str, Sequence[str], str, Sequence[str]]]
+            ) -> tuple[dict[str, DataFrame], list[tuple[str, list[str], str, list[str]]]]:
+    """The tables and foreign keys with both sides of every key in their common type.
+
+    Where child and parent differ (int and double, two decimal scales, date and timestamp), both
+    get a derived column cast to the type that Spark's UNION gives them, so equal values compare equal."""
+    extra: dict[str, dict[str, Column]] = {}
+    out = []
+    for i, (child, ck, parent, pk) in enumerate(fks):
+        names: tuple[list[str], list[str]] = ([], [])
+        for j, (a, b) in enumerate(zip(ck, pk)):
+            left, right = tables[child].select(F.col(ident(a))), tables[parent].select(F.col(ident(b)))
+            if left.schema[0].dataType == right.schema[0].dataType:
+                names[0].append(a)
+                names[1].append(b)
+                continue
+            common = left.union(right).schema[0].dataType
+            for side, table, column in ((0, child, a), (1, parent, b)):
+                name = f"__fk{i}_{j}_{side}"
+                extra.setdefault(table, {})[name] = F.col(ident(column)).cast(common)
+                names[side].append(name)
+        out.append((child, names[0], parent, names[1]))
+    used = {t for c, _, p, _ in fks for t in (c, p)}
+    return {t: tables[t].withColumns(extra[t]) if t in extra else tables[t] for t in used}, out
+
+
 def fk_stats(tables: Mapping[str, DataFrame],
              fks: Sequence[tuple[str, Sequence[str], str, Sequence[str]]],
              counts: KeyCounts | None = None) -> DataFrame:
     """Per foreign key: child rows, orphan rows, orphan keys and rows that reference a parent.
 
-    Child and parent key counts come from the shared ``KeyCounts`` aggregate.
-    All foreign keys are resolved in ONE left join on ``(fk_id, key slots)``:
-    child sets and parent sets are tagged with their FK ids through small
-    broadcast mappings (bounded by the number of declared FKs). The parent side
-    is one row per key value, so the join never multiplies child rows.
+    No join of keys: the rows of the shared ``KeyCounts`` aggregate are tagged with the foreign keys
+    their set is the child or parent of, and one ``groupBy(fk_id, key)`` adds up child rows
+    and notes whether a parent has the key. Every declared foreign key keeps its row,
+    also with an empty child table.
     """
-    sets = [(c, tuple(ck)) for c, ck, _, _ in fks] + [(p, tuple(pk)) for _, _, p, pk in fks]
-    kc = counts if counts is not None and all(s in counts.ids for s in sets) else KeyCounts(tables, sets)
     spark = next(iter(tables.values())).sparkSession
-    cmap = kc.set_map(spark, [(kc.ids[(c, tuple(ck))], i, c, _key_label(ck), p, _key_label(pk))
-                              for i, (c, ck, p, pk) in enumerate(fks)],
-                      "set_id int, fk_id int, child string, child_cols string, parent string, parent_cols string")
-    pmap = kc.set_map(spark, [(kc.ids[(p, tuple(pk))], i) for i, (_, _, p, pk) in enumerate(fks)],
-                      "set_id int, fk_id int")
-    child = kc.counts.join(F.broadcast(cmap), "set_id")
-    parent = kc.counts.join(F.broadcast(pmap), "set_id").select(
-        F.col("fk_id").alias("__fk"), *[F.col(c).alias(f"__p_{c}") for c in kc.slots], F.lit(True).alias("__hit"))
-    cond = [child["fk_id"] == parent["__fk"]] + [child[c].eqNullSafe(parent[f"__p_{c}"]) for c in kc.slots]
-    j = child.join(parent, cond, "left")
-    width = {i: len(ck) for i, (_, ck, _, _) in enumerate(fks)}
+    views, keyed = aligned(tables, fks)
+    sets = [(c, tuple(ck)) for c, ck, _, _ in keyed] + [(p, tuple(pk)) for _, _, p, pk in keyed]
+    kc = counts if counts is not None and all(s in counts.ids for s in sets) else KeyCounts(views, sets)
+    names = kc.set_map(spark, [(i, c, _key_label(ck), p, _key_label(pk)) for i, (c, ck, p, pk) in enumerate(fks)],
+                       "fk_id int, child string, child_cols string, parent string, parent_cols string")
+    roles: dict[int, list[tuple[int, bool]]] = {}
+    for i, (c, ck, p, pk) in enumerate(keyed):
+        roles.setdefault(kc.ids[(c, tuple(ck))], []).append((i, True))
+        roles.setdefault(kc.ids[(p, tuple(pk))], []).append((i, False))
+    role = kc.set_map(spark, [(s, i, is_child) for s, pairs in sorted(roles.items()) for i, is_child in pairs],
+                      "set_id int, fk_id int, is_child boolean")
+    g = kc.counts.join(role, "set_id").groupBy("fk_id", *kc.slots).agg(
+        F.coalesce(F.sum(F.when(F.col("is_child"), F.col("n"))), F.lit(0)).alias("n"),
+        F.max(F.col("is_child")).alias("in_child"), F.max(~F.col("is_child")).alias("hit"))
+    width = {i: len(ck) for i, (_, ck, _, _) in enumerate(keyed)}
     has_key = reduce(lambda a, b: a | b, [
         (F.col("fk_id") == i) & reduce(lambda x, y: x & y, [
             F.coalesce(F.col(f"k{k}l").cast("string"), F.col(f"k{k}d").cast("string"), F.col(f"k{k}s")).isNotNull()
             for k in range(w)]) for i, w in width.items()])
-    orphan = has_key & F.col("__hit").isNull()
-    s = j.groupBy("fk_id", "child", "child_cols", "parent", "parent_cols").agg(
-        F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("rows"),
-        F.coalesce(F.sum(F.when(orphan, F.col("n"))), F.lit(0)).cast("long").alias("orphans"),
+    orphan = has_key & F.col("in_child") & ~F.col("hit")
+    s = g.groupBy("fk_id").agg(
+        F.sum("n").cast("long").alias("rows"), F.sum(F.when(orphan, F.col("n"))).cast("long").alias("orphans"),
         F.count_if(orphan).alias("orphan_keys"),
-        F.coalesce(F.sum(F.when(has_key & F.col("__hit"), F.col("n"))), F.lit(0)).cast("long").alias("matched"))
-    return s.drop("fk_id")
+        F.sum(F.when(has_key & F.col("in_child") & F.col("hit"), F.col("n"))).cast("long").alias("matched"))
+    return names.join(s, "fk_id", "left").fillna(0, ["rows", "orphans", "orphan_keys", "matched"]).drop("fk_id")
 
 
 def fk_orphans(tables: Mapping[str, DataFrame],
@@ -500,7 +523,7 @@ def key_skew(tables: Mapping[str, DataFrame], skew_keys: Mapping[str, Sequence[s
     m = kc.set_map(spark, [(kc.ids[s], s[0], s[1][0]) for s in sets], "set_id int, table_name string, col string")
     g = kc.counts.groupBy("set_id").agg(F.max("n").alias("top"), F.count(F.lit(1)).alias("keys"),
                                         F.sum("n").cast("long").alias("total"))
-    s = F.broadcast(m).join(g, "set_id")
+    s = m.join(g, "set_id", "left").fillna(0, ["top", "keys", "total"])
     detail = F.concat(F.lit("Most frequent value holds "), num("top"), F.lit(" of "), num("total"),
                       F.lit(" rows ("), pct_text("top", "total"), F.lit(") over "), num("keys"),
                       F.lit(" distinct values; top/average "),

@@ -6,10 +6,8 @@ result`` for per-column rules) for every table at once, instead of one
 ``df`` per table. Table rules (R5) are SQL over the user's table views and
 return ``table_name, column_name, result`` plus any extra columns.
 
-A rule that fails to *analyse* (bad SQL, missing column) becomes an error
-finding (R10) and the remaining rules still run. Rules are meant to use
-``try_*`` functions so that no rule can fail at *run* time inside the shared
-union of all rules.
+A table rule that fails to analyse (bad SQL, missing column) or while it runs
+(``isolated``) becomes an error finding (R10) and the remaining rules still run.
 """
 
 from __future__ import annotations
@@ -21,13 +19,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..session import shared_dir
 from ..functions.text import (FOUND_ISSUE_PREFIX, GUIDANCE_ONLY, METADATA_MISSING,
                               QUERY_ERROR_PREFIX, anomaly_flag, is_blank, strip_ws)
 
 
+def error_text(error: PySparkException) -> str:
+    """The whole message, without the query plan Spark appends (its ids differ from run to run)."""
+    return error.getMessage() or str(error)
+
+
 def _analysed(spark: SparkSession, sql: str) -> DataFrame:
     df = spark.sql(sql)
-    df.schema  # noqa: B018 - force analysis so errors surface here, per rule
+    df.schema  # noqa: B018 - trigger analysis so errors surface here, per rule
     return df
 
 
@@ -61,7 +65,7 @@ def metadata_rule(spark: SparkSession, rule: Mapping, tables: DataFrame, chunks_
     except PySparkException as e:
         return tables.select(F.lit(rid).alias("rule_id"), "table_id",
                              F.lit(None).cast("string").alias("column_name"),
-                             F.lit(f"Error analyzing rule {rid}: {str(e).splitlines()[0][:200]}").alias("result"),
+                             F.lit(f"Error analyzing rule {rid}: {error_text(e)}").alias("result"),
                              F.lit(False).alias("is_anomaly"))
     has_meta = spark.table(chunks_view).select("table_id").distinct().withColumn("__m", F.lit(True))
     t = tables.select("table_id").join(has_meta, "table_id", "left")
@@ -80,20 +84,17 @@ def metadata_rule(spark: SparkSession, rule: Mapping, tables: DataFrame, chunks_
                       anomaly_flag("result").alias("is_anomaly"))
 
 
+#: Names a rule may return for each standard column, best first (fixed values).
+COLUMN_ALIASES = {"table_name": ("tablename", "name"), "column_name": ("columnname",)}
+
+
 def standardize_columns(df: DataFrame) -> DataFrame:
-    """``tablename`` (else ``name``) -> ``table_name``; ``columnname`` -> ``column_name``;
-    only when the target is absent. Names are compared exactly (Spark resolves
-    case-insensitively, so the decision is made on ``df.columns`` strings)."""
-    cols = df.columns
-    ren = {}
-    if "table_name" not in cols:
-        if "tablename" in cols:
-            ren["tablename"] = "table_name"
-        elif "name" in cols:
-            ren["name"] = "table_name"
-    if "column_name" not in cols and "columnname" in cols:
-        ren["columnname"] = "column_name"
-    return df.withColumnsRenamed(ren) if ren else df
+    """A missing standard column takes over the first of its aliases that the rule returned.
+    Names are compared exactly (Spark itself resolves them case-insensitively)."""
+    have = set(df.columns)
+    found = {standard: next(filter(have.__contains__, aliases), None)
+             for standard, aliases in COLUMN_ALIASES.items() if standard not in have}
+    return df.withColumnsRenamed({alias: standard for standard, alias in found.items() if alias})
 
 
 def table_rule(spark: SparkSession, rule: Mapping) -> DataFrame:
@@ -108,8 +109,7 @@ def table_rule(spark: SparkSession, rule: Mapping) -> DataFrame:
     try:
         df = standardize_columns(_analysed(spark, rule["sql"]))
     except PySparkException as e:
-        msg = QUERY_ERROR_PREFIX + str(e).splitlines()[0][:300]
-        return spark.createDataFrame([(rid, None, None, None, msg, None)], _TABLE_RULE_SCHEMA)
+        return error_row(spark, rid, e)
     cols = df.columns
     if "result" not in cols:
         df = df.withColumn("result", F.lit(FOUND_ISSUE_PREFIX + rid))
@@ -126,6 +126,22 @@ def table_rule(spark: SparkSession, rule: Mapping) -> DataFrame:
 _TABLE_RULE_SCHEMA = "rule_id string, schema_name string, table_name string, column_name string, result string, extra map<string,string>"
 
 
+def error_row(spark: SparkSession, rule_id: str, error: PySparkException) -> DataFrame:
+    """The one row of a rule that failed."""
+    message = QUERY_ERROR_PREFIX + error_text(error)
+    return spark.createDataFrame([(rule_id, None, None, None, message, None)], _TABLE_RULE_SCHEMA)
+
+
+def isolated(spark: SparkSession, rule: Mapping) -> DataFrame:
+    """The rows of one rule, run and written to the shared folder on its own: an error while it
+    runs (a bad cast, an overflow) becomes its R10 row and no other rule is affected."""
+    shared_dir(spark)
+    try:
+        return table_rule(spark, rule).checkpoint(eager=True)
+    except PySparkException as e:
+        return error_row(spark, rule["rule_id"], e)
+
+
 def guidance_rows(spark: SparkSession, rules: DataFrame) -> DataFrame:
     """Active rules that are not SQL queries -> one guidance row each."""
     g = rules.filter((F.col("content") != "query") | F.col("sql").isNull() | (F.col("sql") == ""))

@@ -116,7 +116,7 @@ def cardinality() -> str:
 
 
 NUMERIC_TEXT = r"^-?[0-9]+(\.[0-9]+)?$"
-DATE_TEXT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
+DATE_TEXT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?)?$"
 
 
 def text_types() -> str:
@@ -128,7 +128,8 @@ def text_types() -> str:
         parts.append(f"SELECT 'L6' AS rule_id, {q(t)} AS table_name, {q(c)} AS column_name, "
                      f"{res(d, a)} AS result, {a} AS is_anomaly FROM (SELECT count(\"{c}\") AS nn, "
                      f"count_if(regexp_matches(\"{c}\", {q(NUMERIC_TEXT)})) AS nl, "
-                     f"count_if(regexp_matches(\"{c}\", {q(DATE_TEXT)})) AS dl FROM {t})")
+                     f"count_if(regexp_matches(\"{c}\", {q(DATE_TEXT)}) "
+                     f"AND try_cast(substring(\"{c}\", 1, 10) AS DATE) IS NOT NULL) AS dl FROM {t})")
     return _union(parts)
 
 
@@ -507,14 +508,20 @@ def scan_date() -> str:
 
 def stringify() -> str:
     return ("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, "
-            "c_mktsegment FROM customer")
+            "CAST(CAST(c_acctbal AS DECIMAL(15,2)) AS VARCHAR) AS c_acctbal, c_mktsegment FROM customer")
 
 
 def order_columns() -> str:
-    return ("SELECT 'Q0' AS rule_id, 'dbo' AS schema_name, c_name AS table_name, c_custkey, c_nationkey FROM customer")
+    return ("SELECT 'Q0' AS rule_id, 'dbo' AS schema_name, c_name AS table_name, c_custkey, c_nationkey, c_acctbal FROM customer")
 
 
-# -- Delta logs derived from lineitem / orders (see sources/lake_fixture.py) ---------------------
+# -- Delta logs derived from lineitem / orders (see fixtures/lake.py) ---------------------
+
+# Settings of the lake's tables, from row counts (fixtures/lake.py).
+DAYS = "((SELECT count(*) FROM nation) + (SELECT count(*) FROM region))"
+KEEP = "((SELECT count(*) FROM region) + 2)"
+OPTIMIZE = "(SELECT CASE WHEN count(DISTINCT l_returnflag) > 1 THEN 'true' ELSE 'false' END FROM lineitem)"
+
 
 def _lake_ctes() -> str:
     return (
@@ -614,11 +621,10 @@ def lk_zorder() -> str:
 
 
 def lk_retention() -> str:
-    return _lchk("L8", "SELECT * FROM (VALUES "
-                 "('lineitem', 'Log retention 30 days, deleted-file retention 7 days', false), "
-                 "('sales/orders', 'Log retention 60 days, deleted-file retention unset', true), "
-                 "('empty_table', 'Log retention unset, deleted-file retention unset', true)) x(t, d, a) "
-                 "WHERE (SELECT count(*) FROM lineitem) > 0")
+    return _lchk("L8", f"SELECT 'lineitem' AS t, 'Log retention ' || {DAYS} || ' days, deleted-file retention ' || {KEEP} "
+                 f"|| ' days' AS d, {DAYS} < 7 OR {KEEP} < 7 AS a "
+                 f"UNION ALL SELECT 'sales/orders', 'Log retention ' || 2 * {DAYS} || ' days, deleted-file retention unset', "
+                 "true UNION ALL SELECT 'empty_table', 'Log retention unset, deleted-file retention unset', true")
 
 
 def lk_vacuum() -> str:
@@ -639,11 +645,10 @@ def lk_checkpoints() -> str:
 
 
 def lk_auto_optimize() -> str:
-    return _lchk("L18", "SELECT * FROM (VALUES "
-                 "('lineitem', 'optimizeWrite=true, autoCompact=unset', false), "
-                 "('sales/orders', 'optimizeWrite=unset, autoCompact=unset', true), "
-                 "('empty_table', 'optimizeWrite=unset, autoCompact=unset', true)) x(t, d, a) "
-                 "WHERE (SELECT count(*) FROM lineitem) > 0")
+    return _lchk("L18", f"SELECT 'lineitem' AS t, 'optimizeWrite=' || {OPTIMIZE} || ', autoCompact=unset' AS d, "
+                 f"{OPTIMIZE} <> 'true' AS a "
+                 "UNION ALL SELECT 'sales/orders', 'optimizeWrite=unset, autoCompact=unset', true "
+                 "UNION ALL SELECT 'empty_table', 'optimizeWrite=unset, autoCompact=unset', true")
 
 
 def lk_data_skipping_log() -> str:
@@ -806,29 +811,25 @@ def cross_schema() -> str:
 
 
 def settings_compliance() -> str:
-    rows = []
-    actual = {"lineitem": {"delta.logRetentionDuration": "interval 30 days",
-                           "delta.deletedFileRetentionDuration": "interval 7 days",
-                           "delta.autoOptimize.optimizeWrite": "true"},
-              "sales/orders": {"delta.logRetentionDuration": "interval 60 days"},
-              "empty_table": {}}
-    expected = {"delta.logRetentionDuration": "interval 30 days",
-                "delta.deletedFileRetentionDuration": "interval 7 days",
-                "delta.autoOptimize.optimizeWrite": "true"}
-    for t, conf in actual.items():
-        for k, e in expected.items():
-            a = conf.get(k)
-            rows.append(f"({q(t)}, {q(k)}, {q(e)}, {q(a) if a is not None else 'CAST(NULL AS VARCHAR)'})")
+    settings = {"delta.logRetentionDuration": ("interval 30 days", f"'interval ' || {DAYS} || ' days'",
+                                               f"'interval ' || 2 * {DAYS} || ' days'"),
+                "delta.deletedFileRetentionDuration": ("interval 7 days", f"'interval ' || {KEEP} || ' days'", "NULL"),
+                "delta.autoOptimize.optimizeWrite": ("true", OPTIMIZE, "NULL")}
+    rows = [f"SELECT {q(t)} AS t, {q(k)} AS k, {q(e)} AS e, CAST({a} AS VARCHAR) AS a"
+            for k, (e, lineitem, orders) in settings.items()
+            for t, a in (("lineitem", lineitem), ("sales/orders", orders), ("empty_table", "NULL"))]
     d = "'Setting ' || k || ' is ' || coalesce(a, 'unset') || ' (expected ' || e || ')'"
     return (f"SELECT 'Q16' AS rule_id, t AS table_name, k AS column_name, {res(d, 'a IS DISTINCT FROM e')} AS result, "
-            f"a IS DISTINCT FROM e AS is_anomaly FROM (VALUES {', '.join(rows)}) x(t, k, e, a) "
-            f"WHERE (SELECT count(*) FROM lineitem) > 0")
+            f"a IS DISTINCT FROM e AS is_anomaly FROM ({' UNION ALL '.join(rows)})")
 
 
 # -- sample rule catalog (lakehealth/rules/warehouse_rules.json) ------------------------------------
 
 MISSING_TABLE_ERROR = ("Error executing query: [TABLE_OR_VIEW_NOT_FOUND] The table or view `audit_log` cannot be "
-                       "found. Verify the spelling and correctness of the schema and catalog.")
+                       "found. Verify the spelling and correctness of the schema and catalog.\nIf you did not qualify the "
+                       "name with a schema, verify the current_schema() output, or qualify the name with the correct "
+                       "schema and catalog.\nTo tolerate the error on drop use DROP VIEW IF EXISTS or DROP TABLE IF "
+                       "EXISTS. SQLSTATE: 42P01")
 
 
 def _ind(cond: str) -> str:
@@ -863,15 +864,16 @@ def rule_table_sql() -> str:
 
 def source_error_finding() -> str:
     return (f"SELECT 'testdata' AS source_name, rule_id, level, severity, category, count(*) AS findings, "
-            f"min(substr(result, 1, 18)) AS result_prefix FROM ({rule_table_sql()}) GROUP BY ALL "
-            f"UNION ALL SELECT 'offline', 'CONNECTION_ERROR', 'database', 1, 'System', 1, 'Connection error: '")
+            f"min(result) AS first_result FROM ({rule_table_sql()}) GROUP BY ALL "
+            f"UNION ALL SELECT 'offline', 'CONNECTION_ERROR', 'database', 1, 'System', 1, "
+            f"'Connection error: source offline: PATH_NOT_FOUND'")
 
 
 def missing_metadata() -> str:
     ok = f"{gz_text('0')} || {_ind('false')}"
     return (f"SELECT * FROM (VALUES ('lineitem', {ok}, false), ('sales/orders', {ok}, false), "
             f"('empty_table', 'Parquet metadata not available for this table', false)) x(table_name, result, is_anomaly) "
-            f"WHERE (SELECT count(*) FROM lineitem) > 0")
+            f"")
 
 
 def history_two_runs() -> str:

@@ -139,30 +139,13 @@ SELECT table_id, path_in_schema AS column_name,
 FROM chunks GROUP BY table_id, path_in_schema
 """
 
-# The sample metadata rule as users write it today: one scalar over a view named df.
-LEGACY_GZIP_SQL = """WITH gzip_cols AS (
-  SELECT DISTINCT path_in_schema
-  FROM df
-  WHERE compression = 'GZIP'
-)
-SELECT
-  CONCAT(
-    CASE
-      WHEN (SELECT COUNT(*) FROM gzip_cols) = 0 THEN
-        'No GZIP compression found. All columns use efficient compression.'
-      ELSE
-        'Found ' || (SELECT COUNT(*) FROM gzip_cols) || ' columns using GZIP compression. '
-        || 'SNAPPY is recommended for better read performance.'
-    END,
-    '
-
-',
-    'Indicator: ',
-    CASE
-      WHEN (SELECT COUNT(*) FROM gzip_cols) = 0 THEN 'Optimized - OPT_2001'
-      ELSE 'Anomaly - ERR_1001'
-    END
-  ) AS output;"""
+# A rule that returns one cell over the view ``df``.
+CODEC_CELL_SQL = """
+SELECT count(DISTINCT CASE WHEN compression = 'GZIP' THEN path_in_schema END) || ' of '
+       || count(DISTINCT path_in_schema) || ' columns have GZIP chunks'
+       || CASE WHEN max(CASE WHEN compression = 'GZIP' THEN 1 ELSE 0 END) = 1
+               THEN ' - Anomaly - ERR_1001' ELSE ' - Optimized - OPT_2001' END AS cell
+FROM df"""
 
 
 def _rule_setup(spark, sf_dir):
@@ -183,12 +166,12 @@ def rule_column_level(spark, sf_dir):
     return metadata_rule(spark, {**GZIP_RULE, "column_sql": CODEC_COLUMN_SQL}, lakehouse.tables_of(md))
 
 
-@register("rule_scalar", oracle_sql.scalar_rule(LEGACY_GZIP_SQL))
+@register("rule_scalar", oracle_sql.scalar_rule(CODEC_CELL_SQL))
 def rule_scalar(spark, sf_dir):
-    """First cell of the first row of a legacy rule run over the whole lake's chunks as ``df``."""
+    """First cell of the first row of a rule run over the whole lake's chunks as ``df``."""
     md = _md(spark, sf_dir)
     md.chunks.createOrReplaceTempView("df")
-    out = spark.sql(LEGACY_GZIP_SQL.strip().rstrip(";"))
+    out = spark.sql(CODEC_CELL_SQL)
     return out.select(out.columns[0]).limit(1)
 
 
@@ -305,7 +288,7 @@ def scan_date_query(spark, sf_dir):
 @register("stringify", oracle_sql.stringify())
 def stringify_query(spark, sf_dir):
     """every column as text."""
-    c = _t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    c = _t(spark, sf_dir, "customer").withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(15,2)"))
     return _stringify(c)
 
 
@@ -313,7 +296,7 @@ def stringify_query(spark, sf_dir):
 def order_columns_query(spark, sf_dir):
     """Priority columns first, the rest in their original order."""
     c = _t(spark, sf_dir, "customer").select(
-        F.col("c_name").alias("table_name"), "c_custkey", F.lit("Q0").alias("rule_id"), "c_nationkey",
+        F.col("c_name").alias("table_name"), "c_custkey", F.lit("Q0").alias("rule_id"), "c_nationkey", "c_acctbal",
         F.lit("dbo").alias("schema_name"))
     return _order_columns(c)
 
@@ -321,7 +304,9 @@ def order_columns_query(spark, sf_dir):
 # -- Delta logs over a lake derived from lineitem / orders ----------------------------------------
 
 from ..operators import delta as delta_ops  # noqa: E402
-from ..sources import delta_log, lake_fixture  # noqa: E402
+from fixtures import lake as lake_fixture  # noqa: E402
+
+from ..sources import delta_log  # noqa: E402
 
 _LAKES: dict[tuple, str] = {}
 
@@ -509,7 +494,7 @@ def lk_layer_naming(spark, sf_dir):
 def flatten_json(spark, sf_dir):
     """Events.props flattened to one column per key."""
     e = _t(spark, sf_dir, "events").select("event_id", "props")
-    return js.flatten_json(e, ["props"]).drop("props")
+    return js.flatten_json(e, ["props"], {"props": ["k"]}).drop("props")
 
 
 @register("flatten_json_keys", oracle_sql.flatten_json_keys())
@@ -612,7 +597,7 @@ def source_error_finding(spark, sf_dir):
                         WAREHOUSE_RULES, scan_ts=FIXED_SCAN_TS)
     return f.groupBy("source_name", "rule_id", "level", "severity", "category").agg(
         F.count(F.lit(1)).alias("findings"),
-        F.min(F.substring("result", 1, 18)).alias("result_prefix"))
+        F.min("result").alias("first_result"))
 
 
 # -- whole lakehouse scan, R9, sinks -------------------------------------------------------------------
@@ -706,20 +691,6 @@ def rule_defaults(spark, sf_dir):
     return d.join(_per_rule(_rule_findings(spark, sf_dir)), "rule_id", "left").fillna(0, ["findings", "anomalies"])
 
 
-@register("guidance_findings", oracle_sql.rule_rows_where("result = 'General guidance - no query executed'"))
-def guidance_findings(spark, sf_dir):
-    """Active rules without a query give a guidance finding."""
-    f = _rule_findings(spark, sf_dir)
-    return f.filter(F.col("result") == "General guidance - no query executed").select(*RULE_COLUMNS)
-
-
-@register("rule_error_finding", oracle_sql.rule_rows_where("starts_with(result, 'Error executing query: ')"))
-def rule_error_finding(spark, sf_dir):
-    """A rule whose SQL fails becomes an error finding; the other rules still run."""
-    f = _rule_findings(spark, sf_dir)
-    return f.filter(F.col("result").startswith("Error executing query: ")).select(*RULE_COLUMNS)
-
-
 @register("standardize_columns", oracle_sql.rule_rows_where("rule_id = 'WR002'", extra=True))
 def standardize_columns(spark, sf_dir):
     """A rule returning tablename / columnname and no result column."""

@@ -15,7 +15,7 @@ from ..functions.location import normalize_hierarchy, remediation
 from ..functions.text import CONNECTION_ERROR_PREFIX, anomaly_flag, scan_date
 from ..sources import catalog
 from ..sources.tables import load_tables, register_views
-from .evaluate import guidance_rows, table_rule
+from .evaluate import guidance_rows, isolated
 from .findings import conform, union_all
 
 # Fixed attributes of the source-unreachable finding.
@@ -30,7 +30,7 @@ def rule_rows(spark: SparkSession, active: DataFrame) -> DataFrame:
     errors isolated per rule), other rules give a guidance row."""
     parts = []
     for r in active.filter(F.col("kind") == "query").collect():  # the catalog: tens of rows
-        parts.append(table_rule(spark, r.asDict()))
+        parts.append(isolated(spark, r.asDict()))
     parts.append(guidance_rows(spark, active.filter(F.col("kind") != "query")))
     return union_all(parts)
 
@@ -43,7 +43,7 @@ def warehouse_rule_findings(spark: SparkSession, rules: DataFrame, *, source_nam
     rows = rule_rows(spark, active)
     attrs = active.select("rule_id", "category", "description", "recommendation", "severity", "content", "level",
                           "remediation_template")
-    f = rows.join(F.broadcast(attrs), "rule_id")   # bounded by the catalog size
+    f = rows.join(attrs, "rule_id")
     f = f.withColumn("is_anomaly", anomaly_flag("result"))
     # F3 (warehouse form): raw names from the rule's row, before hierarchy normalisation.
     f = f.withColumn("remediation_script", remediation(
@@ -86,7 +86,7 @@ def scan_warehouses(spark: SparkSession, sources: Mapping[str, str], rules_path:
             for df in tables.values():
                 df.schema  # noqa: B018 - resolve now (file listing), not inside the union
         except PySparkException as e:
-            out.append(connection_error(spark, name, str(e).splitlines()[0][:200], scan_ts))
+            out.append(connection_error(spark, name, f"source {name}: {e.getCondition() or type(e).__name__}", scan_ts))
             continue
         register_views(tables)
         # Views are resolved when each rule DataFrame is analysed, so the rules of

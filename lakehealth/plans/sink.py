@@ -23,12 +23,18 @@ def _observed(findings: DataFrame) -> tuple[DataFrame, Observation]:
     return findings.observe(obs, *metrics), obs
 
 
+def _move(fs, source, target) -> None:
+    """Rename, or raise: FileSystem.rename reports most failures by returning false."""
+    if not fs.rename(source, target):
+        raise OSError(f"could not rename {source} to {target}")
+
+
 def write_latest(findings: DataFrame, path: str, fmt: str = "parquet") -> dict:
     """K1: replace the whole latest table; returns the observed counts (A2).
 
     The new snapshot is written to a sibling staging folder first and swapped
-    in with two FileSystem renames, so a failed job (or lost executors beyond
-    task retries) leaves the previous snapshot readable, and a snapshot that
+    in with two checked renames; the old snapshot is deleted last. A failed job or
+    a failed rename leaves the previous snapshot in place, and a snapshot that
     is derived from the current one never reads a half-deleted folder.
     """
     spark = findings.sparkSession
@@ -37,16 +43,27 @@ def write_latest(findings: DataFrame, path: str, fmt: str = "parquet") -> dict:
     findings.write.mode("overwrite").format(fmt).save(staging)
     fs, target = _fs(spark, path)
     _, new = _fs(spark, staging)
-    if fs.exists(target):
-        _, old = _fs(spark, f"{path.rstrip('/')}.old-{uuid.uuid4().hex[:8]}")
-        fs.rename(target, old)
-        fs.rename(new, target)
-        fs.delete(old, True)
-    else:
-        fs.rename(new, target)
+    swap(fs, new, target, _fs(spark, f"{path.rstrip('/')}.old-{uuid.uuid4().hex[:8]}")[1])
     return obs.get
 
 
+def swap(fs, new, target, old) -> None:
+    """Put folder ``new`` in place of ``target``, which waits at ``old`` until that is done."""
+    if not fs.exists(target):
+        _move(fs, new, target)
+        return
+    _move(fs, target, old)
+    try:
+        if fs.exists(target):  # another run put one there: a rename would nest the folders
+            raise OSError(f"{target} was written by another run")
+        _move(fs, new, target)
+    except Exception:
+        if not fs.exists(target):
+            _move(fs, old, target)
+        raise
+    fs.delete(old, True)
+
+
 def append_history(findings: DataFrame, path: str, fmt: str = "parquet") -> dict:
     """K2: append one run, partitioned by scan day (``scan_date`` text, first 10 chars)."""
     findings, obs = _observed(findings)

@@ -38,14 +38,16 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting points at storage every executor can reach and
-    is only read here. When it is unset (local tests) a folder under the
-    system temp dir is taken and registered once for the session.
+    is only read here; there, an unset folder is an error. In local mode (tests), where the
+    driver is the executor, a folder under the system temp dir is registered once for the session.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="lakehealth-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf)
     spark.sparkContext.setCheckpointDir(conf)

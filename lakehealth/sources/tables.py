@@ -40,20 +40,6 @@ def load_tables(spark: SparkSession, folder: str, names: list[str] | None = None
     return LazyTables(spark, folder, names or TEST_TABLES)
 
 
-def spread_for_cpu(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that has fewer splits than the cluster has cores.
-
-    Used only in front of CPU-heavy per-row work (regexes over long texts,
-    exact distinct expansion): a one-row-group file is a single split, so that
-    work would otherwise run in one task. A large table already scans as
-    thousands of splits and is returned unchanged, so this adds no shuffle at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
 def register_views(tables: Mapping[str, DataFrame]) -> None:
     """Expose each table as a temp view so SQL rules can name it."""
     for name, df in tables.items():

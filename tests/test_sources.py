@@ -64,13 +64,12 @@ def test_top_files(spark, tmp_path):
     assert footers.top_files(files, None).count() == 3
 
 
-def test_flatten_json_autodetect_and_guard(spark):
+def test_flatten_json_autodetect(spark):
     df = spark.createDataFrame([(1, '{"a": 1, "b": {"c": 2}}', "x"), (2, "not json", "y"), (3, None, "z")],
-                               "id int, ext_props string, other string")
+                               "id int, ext_props string, other string").withColumn("ext_text", F.lit("{broken"))
     assert js.json_columns(df) == ["ext_props"]
-    out = js.flatten_json(df)
+    out = js.flatten_json(df, keys={"ext_props": ["a", "b"]})
     rows = {r.id: (r.ext_props_a, r.ext_props_b) for r in out.collect()}
     assert rows[1] == ("1", '{"c":2}') and rows[2] == (None, None)
-    with pytest.raises(ValueError):
-        js.flatten_json(df, ["ext_props"], max_keys=1)
+    assert js.flatten_json(df).filter("id = 1").first().ext_props_map == {"a": "1", "b": '{"c":2}'}
     assert js.json_long(df, ["id"], "ext_props").count() == 2
