@@ -582,10 +582,10 @@ def delta_commit_summary() -> str:
 
 
 def delta_properties() -> str:
-    return ("SELECT * FROM (VALUES ('lineitem', 'delta.logRetentionDuration', 'interval 30 days'), "
-            "('lineitem', 'delta.deletedFileRetentionDuration', 'interval 7 days'), "
-            "('lineitem', 'delta.autoOptimize.optimizeWrite', 'true'), "
-            "('sales/orders', 'delta.logRetentionDuration', 'interval 60 days')) t(table_name, key, value)")
+    return (f"SELECT 'lineitem' AS table_name, 'delta.logRetentionDuration' AS key, 'interval ' || {DAYS} || ' days' AS value "
+            f"UNION ALL SELECT 'lineitem', 'delta.deletedFileRetentionDuration', 'interval ' || {KEEP} || ' days' "
+            f"UNION ALL SELECT 'lineitem', 'delta.autoOptimize.optimizeWrite', {OPTIMIZE} "
+            f"UNION ALL SELECT 'sales/orders', 'delta.logRetentionDuration', 'interval ' || 2 * {DAYS} || ' days'")
 
 
 def discover_tables() -> str:
