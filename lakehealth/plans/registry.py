@@ -175,6 +175,16 @@ def rule_scalar(spark, sf_dir):
     return out.select(out.columns[0]).limit(1)
 
 
+@register("lk_catalog_scan", oracle_sql.catalog_scan())
+def lk_catalog_scan(spark, sf_dir):
+    """The sample lakehouse catalog (SQL, registered functions, failing rules)."""
+    from ..rules import LAKEHOUSE_RULES
+    from .programs import catalog_results
+    md = _md(spark, sf_dir)
+    rules = cat.read_rules(spark, LAKEHOUSE_RULES)
+    return catalog_results(spark, rules, md, lakehouse.tables_of(md))
+
+
 # -- the whole findings table (flagship) -------------------------------------------------------
 
 from .scan import folder_findings  # noqa: E402

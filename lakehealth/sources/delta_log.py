@@ -48,6 +48,12 @@ def existing_globs(spark: SparkSession, globs: list[str]) -> list[str]:
     return out
 
 
+def _plain_path(column: str) -> Column:
+    """The path as the file system has it: ``_metadata.file_path`` is URL-encoded, the path of a
+    listing is not, and tables are joined on it. (``url_decode`` would also turn ``+`` to a space.)"""
+    return F.url_decode(F.replace(F.col(column), F.lit("+"), F.lit("%2B")))
+
+
 def _visible(table_dir: Column) -> Column:
     """No path segment below ``Tables/`` starts with ``_`` or ``.``."""
     return ~table_dir.rlike(r"/Tables/(.*/)?[_.][^/]*$")
@@ -119,7 +125,7 @@ def read_log(spark: SparkSession, root: str, max_versions: int | None = None) ->
     if not globs:
         return spark.createDataFrame([], schemas.LOG_ACTIONS)
     files = (spark.read.text(globs, wholetext=True)
-             .select(F.col("value"), F.col("_metadata.file_path").alias("file_path"))
+             .select(F.col("value"), _plain_path("_metadata.file_path").alias("file_path"))
              .filter(_visible(_table_dir(F.col("file_path")))))
     name = F.element_at(F.split("file_path", "/"), -1)
     files = (files.withColumn("version", F.regexp_extract(name, VERSION_FILE, 1))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
-from urllib.parse import unquote, urlparse
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -54,13 +54,16 @@ def top_files(files: DataFrame, n: int | None) -> DataFrame:
 
 
 def _open(uri: str):
-    """Random-access file for a Hadoop-style URI (``file:/x``, ``s3a://b/k``, ...)."""
+    """Random-access file for a path as Spark lists it (``file:/x``, ``s3a://b/k``, ...). Such a path is
+    not URL-encoded: ``%``, ``#`` and spaces stand for themselves, so only the scheme is taken off."""
     from pyarrow import fs as pafs
-    u = urlparse(uri)
-    if u.scheme in ("", "file"):
-        return pafs.LocalFileSystem().open_input_file(unquote(u.path))
-    scheme = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}.get(u.scheme, u.scheme)
-    filesystem, path = pafs.FileSystem.from_uri(uri.replace(u.scheme + "://", scheme + "://", 1))
+    scheme, colon, rest = uri.partition(":")
+    if not colon or "/" in scheme or scheme == "file":
+        path = uri if not colon or "/" in scheme else rest
+        return pafs.LocalFileSystem().open_input_file("/" + path.lstrip("/"))
+    scheme = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}.get(scheme, scheme)
+    authority, _, path = rest.removeprefix("//").partition("/")
+    filesystem, path = pafs.FileSystem.from_uri(f"{scheme}://{authority}/{quote(path)}")
     return filesystem.open_input_file(path)
 
 
@@ -115,8 +118,8 @@ def _read_chunks(batches: Iterator[pa.RecordBatch], arrow_schema: pa.Schema) ->
         for tid, path in zip(d["table_id"], d["file_path"]):
             try:
                 rows = _chunk_rows(tid, path)
-            except (OSError, ValueError, pa.ArrowException):
-                continue  # unreadable file: skipped, like the reference
+            except (pa.ArrowInvalid, FileNotFoundError):
+                continue  # no Parquet file, or gone since it was listed: see unreadable_files
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow_schema)
 
@@ -157,7 +160,7 @@ def _read_schemas(batches: Iterator[pa.RecordBatch], arrow_schema: pa.Schema) ->
             try:
                 with _open(path) as f:
                     sch = pq.ParquetFile(f).schema_arrow
-            except (OSError, ValueError, pa.ArrowException):
+            except (pa.ArrowInvalid, FileNotFoundError):
                 continue
             rows = [{"table_id": tid, "file_path": path, "ordinal": i + 1, "column_name": fld.name,
                      "data_type": spark_type_name(fld.type), "nullable": fld.nullable}
@@ -195,6 +198,13 @@ def file_schemas(files: DataFrame, tasks_per_core: int = 2) -> DataFrame:
         .mapInArrow(_schema_reader(_arrow_schema(schemas.FILE_SCHEMA)), schemas.FILE_SCHEMA)
 
 
+def unreadable_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Listed files that no footer was read from (not Parquet, or gone since): table_id, file_path. Other
+    I/O errors fail the task, so that a store that cannot be reached never looks like an empty table.
+    A file without a column has no chunk either and is listed here as well."""
+    return files.select("table_id", "file_path").join(chunks.select("file_path").distinct(), "file_path", "left_anti")
+
+
 def table_columns(file_schema: DataFrame) -> DataFrame:
     """``columns`` frame: one row per (table, column) over all files of the table.
 
