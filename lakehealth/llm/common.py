@@ -12,8 +12,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +28,24 @@ BROADCAST_BYTES = 32 << 20
 SLICE_ROWS = 256
 
 
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, whatever folder they start in.
+    (Where executors do not see that folder, ship the package with --py-files.)"""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([*known, root])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    share_package(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one only in local mode, where
     the driver is also the executor. On a cluster an unset folder is an error."""
+    share_package(spark)
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known
