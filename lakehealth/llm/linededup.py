@@ -176,16 +176,19 @@ def near_lines(docs: DataFrame, texts: DataFrame) -> DataFrame:
                                                  names=["k1", "k2", "doc_id", "line", "text"])
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = cut(join_bounded(picked, wanted, F.col("doc_id").eqNullSafe(F.col("_doc")))
-                .select("doc_id", "text", "lines")
-                .mapInArrow(pick, "k1 long, k2 long, doc_id long, line int, text string")
-                .dropDuplicates(["k1", "k2"]))
+    lines = (join_bounded(picked, wanted, F.col("doc_id").eqNullSafe(F.col("_doc")))
+             .select("doc_id", "text", "lines")
+             .mapInArrow(pick, "k1 long, k2 long, doc_id long, line int, text string")
+             .dropDuplicates(["k1", "k2"]))
+    # After a range partitioning by document and line the ids that Spark counts up follow that order.
+    lines = cut(lines.repartitionByRange("doc_id", "line").sortWithinPartitions("doc_id", "line")
+                .select("k1", "k2", "text", F.monotonically_increasing_id().alias("at")))
 
     def neighbourhood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """key, role: 0 line without a word, 1 whole line, 2 line without a word at a place."""
         of = WordHash().of
         for part in rows_of(batches):
-            split = [units(t) for t in part.column(4).to_pylist()]
+            split = [units(t) for t in part.column(0).to_pylist()]
             n = np.array([len(s) for s in split], dtype=np.int64)
             lines = Lines(of([w for s in split for w in s]), n)
             line, rest = lines.without_one()
@@ -194,14 +197,12 @@ def near_lines(docs: DataFrame, texts: DataFrame) -> DataFrame:
             keys = [mix(rest * MIX + (n[line] - 1).astype(U64))[plain], mix(lines.span(zero, n) * MIX + n.astype(U64)),
                     mix((rest + lines.place.astype(U64) * U64(BASES[1])) * MIX + U64(1 << 62) + n[line].astype(U64))]
             rows = np.concatenate([line[plain], np.arange(len(n)), line])
-            role = np.repeat([0, 1, 2], [len(k) for k in keys])
-            at = pa.array(rows)
+            role = np.repeat(np.array([0, 1, 2], dtype=np.int8), [len(k) for k in keys])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(role, pa.int32()),
-                 *(part.column(c).take(at) for c in range(4))], names=["key", "role", "k1", "k2", "doc_id", "line"])
+                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(role), part.column(1).take(pa.array(rows))],
+                names=["key", "role", "at"])
 
-    around = lines.mapInArrow(neighbourhood, "key long, role int, k1 long, k2 long, doc_id long, line int") \
-        .select("key", "role", "k1", "k2", F.struct("doc_id", "line").alias("at"))
+    around = lines.select("text", "at").mapInArrow(neighbourhood, "key long, role byte, at long")
     first = around.groupBy("key").agg(
         *(F.min(F.when(F.col("role") == r, F.col("at"))).alias(f"first{r}") for r in range(3)),
         F.count("*").alias("rows")).where("rows > 1")
@@ -209,10 +210,9 @@ def near_lines(docs: DataFrame, texts: DataFrame) -> DataFrame:
     earlier = F.when(F.col("role") == 2, F.col("first2")).when(F.col("role") == 0, F.col("first1")) \
         .otherwise(F.col("first0"))
     pairs = (around.join(first, "key").withColumn("earlier", earlier).where(F.col("earlier") < F.col("at"))
-             .groupBy("k1", "k2").agg(F.min("earlier").alias("earlier")))
-    other = lines.select(F.col("doc_id").alias("_doc"), F.col("line").alias("_line"), F.col("text").alias("_text"))
-    both = (pairs.join(lines.select("k1", "k2", "text"), ["k1", "k2"])
-            .join(other, F.col("earlier.doc_id").eqNullSafe(F.col("_doc")) & (F.col("earlier.line") == F.col("_line"))))
+             .groupBy("at").agg(F.min("earlier").alias("earlier")))
+    other = lines.select(F.col("at").alias("earlier"), F.col("text").alias("_text"))
+    both = pairs.join(lines, "at").join(other, "earlier")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows_of(batches):

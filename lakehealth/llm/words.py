@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 import numpy as np
 import xxhash
@@ -11,8 +12,8 @@ import xxhash
 find_words = re.compile(r"\w+").findall
 #: Words of a shingle.
 SHINGLE = 5
-#: Entries after which a worker's word cache starts anew.
-CACHE_WORDS = 400_000
+#: Entries of a worker's word cache. When it is full, its older half stays: what is met first is frequent.
+CACHE_WORDS = 800_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -26,7 +27,9 @@ class WordHash(dict):
 
     def __missing__(self, word: str) -> int:
         if len(self) >= CACHE_WORDS:
+            kept = dict(islice(self.items(), CACHE_WORDS // 2))
             self.clear()
+            self.update(kept)
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
