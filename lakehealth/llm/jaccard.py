@@ -40,7 +40,7 @@ TREES = 16
 DEPTH = 8
 RECALL = 0.99
 #: Texts and features of a block; two blocks meet in one task.
-BLOCK_ROWS = 512
+BLOCK_ROWS = 128
 BLOCK_FEATURES = 400_000
 #: Features compared at once as a dense matrix.
 STEP = 4096
