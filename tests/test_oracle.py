@@ -1,6 +1,7 @@
 """Registered queries vs their DuckDB oracle SQL on sf0.01 (the driver's correctness gate)."""
 
 import math
+import re
 
 import duckdb
 import pytest
@@ -36,7 +37,8 @@ def con(sf001):
 def test_every_query_has_oracle_or_is_documented():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) - set(o) == {"findings_lakehouse"}
+    optional = {k for k in q if k == "pipeline" or re.match(r"op\d+_", k)}  # tested beside their operators
+    assert set(q) - set(o) - optional == {"findings_lakehouse"}
 
 
 @pytest.mark.parametrize("key", KEYS)
