@@ -597,7 +597,7 @@ def delta_commit_summary() -> str:
         "UNION ALL SELECT 'sales/orders', 0, (SELECT epoch_ms(date_trunc('day', min(o_orderdate))) FROM orders), "
         "'CREATE TABLE', CAST(3 + count(*) AS BIGINT), 0, CAST(count(*) AS BIGINT), CAST(sum(n * 64 + 1024) AS BIGINT), "
         "CAST(sum(n) AS BIGINT) FROM od "
-        "UNION ALL SELECT 'empty_table', 0, (SELECT count(*) FROM nation), 'CREATE TABLE', 2, 0, 0, 0, 0")
+        "UNION ALL SELECT 'empty_table', 0, (SELECT epoch_ms(date_trunc('day', min(o_orderdate))) FROM orders), 'CREATE TABLE', 2, 0, 0, 0, 0")
 
 
 def delta_properties() -> str:
