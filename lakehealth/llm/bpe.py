@@ -90,7 +90,7 @@ class PrefixCoder:
         key = left, right
         known = self._pairs.get(key)
         if known is None:
-            if len(self._pairs) > 500_000:
+            if len(self._pairs) > 200_000:
                 self._pairs.clear()
             known = self._pairs[key] = self._survives(left, right)
         return known

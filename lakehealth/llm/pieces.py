@@ -14,8 +14,9 @@ from itertools import islice
 import public_tokenizers
 import regex
 
-#: Entries of a worker's caches. When one is full, its older half stays: what is met first is frequent.
-CACHE_ENTRIES = 1_100_000
+#: Entries of each of a worker's two caches, unless the caller says otherwise. When one is full, its
+#: older half stays: what is met first is frequent.
+CACHE_ENTRIES = 400_000
 #: Longer pieces are not kept.
 LONGEST = 64
 #: Letters below it are letters in all versions of Unicode.
@@ -25,7 +26,7 @@ MARKS = frozenset(",.;:!?")
 
 
 def trim(cache: dict) -> None:
-    kept = dict(islice(cache.items(), CACHE_ENTRIES // 2))
+    kept = dict(islice(cache.items(), len(cache) // 2))
     cache.clear()
     cache.update(kept)
 
@@ -33,12 +34,12 @@ def trim(cache: dict) -> None:
 class Pieces(dict):
     """piece -> ids as little-endian 32-bit bytes; None if its start is no sure cut."""
 
-    def __init__(self, encode: Callable[[str], bytes], lead: str):
+    def __init__(self, encode: Callable[[str], bytes], lead: str, most: int):
         super().__init__()
-        self.encode, self.lead = encode, lead
+        self.encode, self.lead, self.most = encode, lead, most
 
     def __missing__(self, piece: str) -> bytes | None:
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= self.most:
             trim(self)
         value = self.encode(self.lead, piece) if piece and not piece[0].isspace() else None
         if len(piece) <= LONGEST:
@@ -50,18 +51,18 @@ class PieceEncoder:
     """``match_ids`` encodes one match of the pattern, ``text_ids`` any text, the slow way."""
 
     def __init__(self, match_ids: Callable[[str], bytes], text_ids: Callable[[str], bytes],
-                 pattern: str = public_tokenizers.PATTERN):
-        self.match_ids, self.text_ids = match_ids, text_ids
+                 pattern: str = public_tokenizers.PATTERN, most: int = CACHE_ENTRIES):
+        self.match_ids, self.text_ids, self.most = match_ids, text_ids, most
         self.matches = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
-        self.first, self.inner = Pieces(self.piece, ""), Pieces(self.piece, " ")
+        self.first, self.inner = Pieces(self.piece, "", most), Pieces(self.piece, " ", most)
 
     def match(self, match: str) -> bytes:
         ids = self.known.get(match)
         if ids is None:
             ids = self.match_ids(match)
             if len(match) <= LONGEST:
-                if len(self.known) >= CACHE_ENTRIES:
+                if len(self.known) >= self.most:
                     trim(self.known)
                 self.known[match] = ids
         return ids

@@ -77,7 +77,7 @@ class Flags(dict):
         self.word_list = word_list
 
     def __missing__(self, word: str) -> bool:
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= CACHE_WORDS // 2:
             self.clear()
         value = self[word] = not self.word_list.isdisjoint(stems(word))
         return value

@@ -38,6 +38,8 @@ SEGMENT_TOKENS = 1 << 18
 #: Bits between two entries of a rank directory.
 RANK_BITS = 512
 MAGIC = b"DAC1"
+#: Entries of each of a worker's two caches of encoded pieces.
+CACHE_PIECES = 1_100_000
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -128,7 +130,7 @@ class LibraryEncoder:
         self.space = self.alphabet[ord(" ")]
         self.ids = [struct.pack("<I", i) for i in range(self.library.get_vocab_size())]
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.pieces = PieceEncoder(self.match, self.whole)
+        self.pieces = PieceEncoder(self.match, self.whole, most=CACHE_PIECES)
 
     def whole(self, text: str) -> bytes:
         ids = self.library.encode(text, add_special_tokens=False).ids
