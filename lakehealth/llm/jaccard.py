@@ -238,7 +238,7 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     odd = cut(many.where("NOT _stays OR _rows > 1"))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     keyed = docs.select(row, F.col("doc_id").cast("long").alias("_id"),
-                        words_key(F.col("text").cast("string")).alias("_of"))
+                        words_key.asNondeterministic()(F.col("text").cast("string")).alias("_of"))
     same = F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_of") == F.col("_key"))
     once = odd.where("_stays")
     out = join_bounded(keyed, odd, same, "left_anti")

@@ -227,8 +227,10 @@ def with_evidence(docs: DataFrame, model: Model) -> DataFrame:
             found = [np.array([shape(t, flags) for t in texts.iloc[i:i + 256]]) for i in range(0, len(texts), 256)]
             yield pd.Series(model.evidence(np.concatenate(found) if found else np.zeros((0, FEATURES))))
 
+    # Called non-deterministic, it is run once per row and not again in every filter and column made of it.
+    once = evidence.asNondeterministic()
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
-                       host.alias("host"), path.alias("path"), evidence(text).alias("evidence"))
+                       host.alias("host"), path.alias("path"), once(text).alias("evidence"))
 
 
 def posteriors(scored: DataFrame, base: float) -> DataFrame:
