@@ -1,9 +1,10 @@
 """Line dedup by a deletion-neighbourhood join.
 
 A line is dropped if an earlier line (by document id, then line number) of any document equals it or is
-within one word edit of it (a word put in, taken out or changed). The first one stays.
+within ``bound`` word edits of it (words put in, taken out or changed): one for every ``WORDS_PER_EDIT`` words
+of the shorter of the two lines, and at least one. The first one stays.
 
-A line's deletion neighbourhood is the line without one of its parts; two lines within the bound share
+A line's deletion neighbourhood is the line without one of its parts; two lines within one edit share
 a member of it. It is emitted in two rounds, so that long lines do not emit one key per word unless needed:
 
 1. Parts are halves. One edit leaves one half as it is, so each line emits its hashed halves, cut as
@@ -15,7 +16,13 @@ a member of it. It is emitted in two rounds, so that long lines do not emit one
    plain key within one edit of the line itself; so the earliest line of a key
    settles the others, and only (line, earlier line) pairs are made, at most one per key.
 
-The pairs are verified on the lines' words. Equal lines are grouped first, by a 128-bit hash;
+Lines long enough for a bound of two edits or more (``far``) have too many variants without that many words. Edits
+within the bound leave a run of ``RUN`` words as it is, whatever the length, so two such lines
+share the least of the hashed word grams of that run (a minimizer); a line has about two in nine of its
+grams as such keys. They join the halves in round 1. In round 2 the lines under a key are compared
+with its earliest one; where that is not near, with all earlier ones of the key, dealt into cells of bounded size.
+
+The pairs are verified on the lines' words, by the exact edit distance. Equal lines are grouped first, by a 128-bit hash;
 counts and minima are partial per task, so a line that stands in a third of all documents costs a row per task.
 
 Words are what stands between white space, lower-cased. Lines of fewer than ``MIN_WORDS`` words are
@@ -35,11 +42,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakehealth.llm.common import cut, join_bounded, rows_of
+from lakehealth.llm.common import cut, join_bounded, rows_of, runs
+from lakehealth.llm.jaccard import common_features
 from lakehealth.llm.words import MIX, WordHash, mix
 
 #: Words a line needs to be compared by edits.
 MIN_WORDS = 8
+#: Words of a line for each edit that two near lines may be apart.
+WORDS_PER_EDIT = 20
+#: Words of a line whose bound is two edits or more, and of a run that edits within the bound leave as it is:
+#: n // 20 edits leave at most n // 20 + 1 runs of together n - n // 20 words, least at 40 words (38 / 3).
+FAR_WORDS = 2 * WORDS_PER_EDIT
+RUN = -(-(FAR_WORDS - 2) // 3)
+#: Words of a gram, and lines of a block in round 2.
+GRAM = 6
+BLOCK_LINES = 128
 # Odd multipliers of the two polynomial hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 U64 = np.uint64
@@ -90,6 +107,24 @@ class Lines:
                 out.append(mix(span * MIX + (m * 4 + kind).astype(U64)))
         return out
 
+    def minimizers(self) -> tuple[np.ndarray, np.ndarray]:
+        """(line, key) of the least gram of every run of ``RUN`` words of the lines that have ``FAR_WORDS``."""
+        grams = len(self.place) - GRAM + 1
+        if grams < RUN - GRAM + 1:
+            return np.zeros(0, np.int64), np.zeros(0, U64)
+        s, p = self.sums[0], self.powers[0]
+        own = mix((s[GRAM:] - s[:grams]) * p.down[self.place[:grams]] * MIX + U64(3))
+        line = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        least = np.lib.stride_tricks.sliding_window_view(own, RUN - GRAM + 1).min(axis=1)
+        n, place = self.lengths[line[:len(least)]], self.place[:len(least)]
+        good = np.flatnonzero((n >= FAR_WORDS) & (place + RUN <= n))
+        line, least = line[good], least[good]
+        order = np.lexsort((least, line))
+        line, least = line[order], least[order]
+        fresh = np.ones(len(line), dtype=bool)
+        fresh[1:] = (line[1:] != line[:-1]) | (least[1:] != least[:-1])
+        return line[fresh], least[fresh]
+
     def without_one(self) -> tuple[np.ndarray, np.ndarray]:
         """(line, hash of the line without that word) for every word of every line."""
         line = np.repeat(np.arange(len(self.lengths)), self.lengths)
@@ -117,8 +152,56 @@ def within_one(a: list[str], b: list[str]) -> bool:
     return short[same + (len(a) == len(b)):] == long[same + 1:]
 
 
+def bound(n: int) -> int:
+    """Word edits that a line of n words may be away from one that is not shorter."""
+    return max(1, n // WORDS_PER_EDIT)
+
+
+def within(a: list[str], b: list[str], most: int) -> bool:
+    """Whether ``most`` word edits or fewer make a into b: on every diagonal, the furthest place that e edits reach."""
+    last = len(b) - len(a)
+    if abs(last) > most:
+        return False
+    reach: dict[int, int] = {}  # diagonal (place in b less place in a) -> words of a that are through
+    for e in range(most + 1):
+        now = {}
+        for d in range(-e, e + 1):
+            at = 0 if not e else max(reach.get(d, -2) + 1, reach.get(d + 1, -2) + 1, reach.get(d - 1, -2))
+            at = min(at, len(a), len(b) - d)
+            if at < 0 or at + d < 0:
+                continue
+            while at < len(a) and at + d < len(b) and a[at] == b[at + d]:
+                at += 1
+            now[d] = at
+        if now.get(last) == len(a):
+            return True
+        reach = now
+    return False
+
+
+def near(a: str, b: str) -> bool:
+    """Whether two lines that differ are near enough for the later one to go."""
+    x, y = units(a), units(b)
+    return within(x, y, bound(min(len(x), len(y))))
+
+
+def lists(line: np.ndarray, keys: np.ndarray, count: int) -> pa.ListArray:
+    """The keys of each of ``count`` lines."""
+    order = np.argsort(line, kind="stable")
+    offsets = np.searchsorted(line[order], np.arange(count + 1))
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(keys[order].view(np.int64)))
+
+
+def round_one(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key): the keys that lines alone under them have no near line."""
+    n = lines.lengths
+    masks = [n >= MIN_WORDS] * 2 + [n > MIN_WORDS] * 2
+    halves = [(np.flatnonzero(m), k[m]) for k, m in zip(lines.halves(), masks)]
+    return tuple(np.concatenate(c) for c in zip(*halves, lines.minimizers()))
+
+
 def line_rows(docs: DataFrame) -> DataFrame:
-    """``doc_id, line, n, k1, k2, v0..v3`` of every line with a word; v: the keys of round 1."""
+    """``doc_id, line, n, k1, k2, keys`` of every line with a word; keys: those of round 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = WordHash().of
@@ -134,24 +217,22 @@ def line_rows(docs: DataFrame) -> DataFrame:
                         found += some
             n = np.array(lengths, dtype=np.int64)
             lines = Lines(of(found), n)
-            short = [n < MIN_WORDS] * 2 + [n <= MIN_WORDS] * 2
-            keys = [pa.array(k.view(np.int64), mask=m) for k, m in zip(lines.halves(), short)] if len(n) \
-                else [pa.array([], pa.int64())] * 4
+            keys = lists(*round_one(lines), len(n)) if len(n) else pa.array([], pa.list_(pa.int64()))
             whole = [pa.array(k.view(np.int64)) for k in lines.whole()] if len(n) else [pa.array([], pa.int64())] * 2
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(n), *whole, *keys],
-                names=["doc_id", "line", "n", "k1", "k2", "v0", "v1", "v2", "v3"])
+                [pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(n), *whole, keys],
+                names=["doc_id", "line", "n", "k1", "k2", "keys"])
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, line int, n long, k1 long, k2 long, "
-                                  "v0 long, v1 long, v2 long, v3 long")
+    return picked.mapInArrow(run, "doc_id long, line int, n long, k1 long, k2 long, keys array<long>")
 
 
 def near_lines(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``k1, k2`` of the distinct lines within one edit of an earlier line (``texts``: k1, k2, at, v0..v3)."""
-    halves = texts.select("k1", "k2", F.explode(F.array("v0", "v1", "v2", "v3")).alias("v")).where("v IS NOT NULL")
-    shared = halves.groupBy("v").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low != high")
-    partners = halves.join(shared.select("v"), "v").select("k1", "k2").distinct()
+    """``k1, k2`` of the distinct lines near an earlier line (``texts``: k1, k2, at, keys)."""
+    placed = texts.select("k1", "k2", F.explode("keys").alias("v"))
+    shared = cut(placed.groupBy("v").agg(F.min("k1").alias("low"), F.max("k1").alias("high"))
+                 .where("low != high").select("v"))
+    partners = join_bounded(placed, shared, "v").select("k1", "k2").distinct()
     wanted = cut(partners.join(texts.select("k1", "k2", "at"), ["k1", "k2"])
                  .groupBy(F.col("at.doc_id").alias("_doc"))
                  .agg(F.collect_list(F.struct(F.col("at.line").alias("line"), "k1", "k2")).alias("lines")))
@@ -211,15 +292,75 @@ def near_lines(docs: DataFrame, texts: DataFrame) -> DataFrame:
         .otherwise(F.col("first0"))
     pairs = (around.join(first, "key").withColumn("earlier", earlier).where(F.col("earlier") < F.col("at"))
              .groupBy("at").agg(F.min("earlier").alias("earlier")))
+    one = verified(pairs, lines)
+    settled = one.unionByName(far_lines(lines, one))
+    return lines.join(settled.distinct(), "at").select("k1", "k2")
+
+
+def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """``at`` of the lines that are near the other line of a pair (``at, earlier``)."""
     other = lines.select(F.col("at").alias("earlier"), F.col("text").alias("_text"))
-    both = pairs.join(lines, "at").join(other, "earlier")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows_of(batches):
-            near = [within_one(units(a), units(b)) for a, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
-            yield part.select([0, 1]).filter(pa.array(near, pa.bool_()))
+            good = [near(a, b) for a, b in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+            yield part.select([0]).filter(pa.array(good, pa.bool_()))
+
+    both = pairs.join(lines, "at").join(other, "earlier").select("at", "text", "_text")
+    return cut(both.mapInArrow(verify, "at long").distinct())
+
 
-    return both.select("k1", "k2", "text", "_text").mapInArrow(verify, "k1 long, k2 long").distinct()
+def far_lines(lines: DataFrame, one: DataFrame) -> DataFrame:
+    """``at`` of the lines of ``FAR_WORDS`` words or more near an earlier one; of those in ``one`` some or none."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = WordHash().of
+        for part in rows_of(batches):
+            split = [units(t) for t in part.column(0).to_pylist()]
+            n = np.array([len(w) for w in split], dtype=np.int64)
+            line, key = Lines(of([w for x in split for w in x]), n).minimizers()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.view(np.int64)), part.column(1).take(pa.array(line))], names=["key", "at"])
+
+    spots = lines.select("text", "at").mapInArrow(keys, "key long, at long")
+    first = spots.groupBy("key").agg(F.min("at").alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    later = cut(spots.join(first, "key").where("at > first"))
+    open_ = later.join(one, "at", "left_anti")
+    least = verified(open_.select("at", F.col("first").alias("earlier")).distinct(), lines)
+    # Keys of two lines are settled by the first; in longer ones the lines still open meet all the later ones.
+    blocks = F.ceil(F.col("rows") / BLOCK_LINES).cast("int")
+    rest = cut(open_.where("rows > 2").join(least, "at", "left_anti")
+               .select("key", "at", blocks.alias("blocks")))
+    index = later.where("rows > 2").join(rest.select("key").distinct(), "key", "left_semi") \
+        .select("key", "at", blocks.alias("blocks"))
+    mine, every = F.pmod(F.xxhash64("at"), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
+    cells = rest.select("key", mine.alias("i"), F.explode(every).alias("j"), F.lit(True).alias("asks"), "at").unionByName(
+        index.select("key", F.explode(every).alias("i"), mine.alias("j"), F.lit(False).alias("asks"), "at"))
+    dealt = cells.join(lines.select("at", "text"), "at").repartition("key", "i", "j") \
+        .select("key", "i", "j", "asks", "at", "text").sortWithinPartitions("key", "i", "j")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = WordHash().of
+        for group in runs(batches, ["key", "i", "j"]):
+            asks, at = group["asks"].to_pylist(), group["at"].to_pylist()
+            texts = group["text"].to_pylist()
+            left = [k for k in range(len(at)) if asks[k]]
+            right = [k for k in range(len(at)) if not asks[k]]
+            if not left or not right:
+                continue
+            split = [units(t) for t in texts]
+            sets = [np.unique(of(w)) for w in split]
+            both = common_features([sets[k] for k in left], [sets[k] for k in right])
+            found = []
+            for x, k in enumerate(left):
+                most = bound(len(split[k]))
+                # A word that the other line lacks costs an edit of its own.
+                like = np.flatnonzero(len(sets[k]) - both[x] <= most + 0.5).tolist()
+                if any(at[right[y]] < at[k] and near(texts[k], texts[right[y]]) for y in like):
+                    found.append(at[k])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["at"])
+
+    return least.unionByName(dealt.mapInArrow(compare, "at long"))
 
 
 def mark(docs: DataFrame) -> DataFrame:
@@ -228,9 +369,9 @@ def mark(docs: DataFrame) -> DataFrame:
     lines = cut(line_rows(docs))
     at = F.struct("doc_id", "line")
     texts = cut(lines.groupBy("k1", "k2").agg(
-        F.min(at).alias("at"), F.count("*").alias("copies"), *(F.max(v).alias(v) for v in ("v0", "v1", "v2", "v3"))))
-    near = near_lines(docs, texts).withColumn("near", F.lit(True))
-    settled = cut(texts.select("k1", "k2", "at", "copies").join(near, ["k1", "k2"], "left")
+        F.min(at).alias("at"), F.count("*").alias("copies"), F.max("keys").alias("keys")))
+    close = near_lines(docs, texts).withColumn("near", F.lit(True))
+    settled = cut(texts.select("k1", "k2", "at", "copies").join(close, ["k1", "k2"], "left")
                   .select("k1", "k2", F.col("at").alias("first"), F.coalesce("near", F.lit(False)).alias("near"), "copies")
                   .where("near OR copies > 1").drop("copies"))
     gone = cut(lines.select("doc_id", "line", "k1", "k2").join(settled, ["k1", "k2"])
