@@ -2,7 +2,10 @@
 
 A line is dropped if an earlier line (by document id, then line number) of any document equals it or is
 within ``bound`` word edits of it (words put in, taken out or changed): one for every ``WORDS_PER_EDIT`` words
-of the shorter of the two lines, and at least one. The first one stays.
+of the shorter of the two lines, and at least one. Where the shorter one has fewer than ``MIN_WORDS`` words,
+a whole word is much of it; such lines are near within one character put in, taken out or changed,
+the words joined by one space (so "log in" is near "login"). One character is an eighth of ``MIN_CHARS``, as
+one word is of ``MIN_WORDS``: where the shorter line has fewer characters ("1", "b)"), only equal lines are dropped. The first one stays.
 
 A line's deletion neighbourhood is the line without one of its parts; two lines within one edit share
 a member of it. It is emitted in two rounds, so that long lines do not emit one key per word unless needed:
@@ -16,6 +19,9 @@ a member of it. It is emitted in two rounds, so that long lines do not emit one
    plain key within one edit of the line itself; so the earliest line of a key
    settles the others, and only (line, earlier line) pairs are made, at most one per key.
 
+Lines of up to ``MIN_WORDS`` words do the same with their characters (those of ``MIN_WORDS`` words with both, as their
+partner may have a word less).
+
 Lines long enough for a bound of two edits or more (``far``) have too many variants without that many words. Edits
 within the bound leave a run of ``RUN`` words as it is, whatever the length, so two such lines
 share the least of the hashed word grams of that run (a minimizer); a line has about two in nine of its
@@ -25,8 +31,7 @@ with its earliest one; where that is not near, with all earlier ones of the key,
 The pairs are verified on the lines' words, by the exact edit distance. Equal lines are grouped first, by a 128-bit hash;
 counts and minima are partial per task, so a line that stands in a third of all documents costs a row per task.
 
-Words are what stands between white space, lower-cased. Lines of fewer than ``MIN_WORDS`` words are
-compared for equality only: one edit is a large part of them.
+Words are what stands between white space, lower-cased.
 
 Edge cases: lines without a word are never dropped; null texts stay null; null ids sort first; rows
 that share an id are one document to the order, so a line both have at the same place stays in both; an empty
@@ -46,8 +51,11 @@ from lakehealth.llm.common import cut, join_bounded, rows_of, runs
 from lakehealth.llm.jaccard import common_features
 from lakehealth.llm.words import MIX, WordHash, mix
 
-#: Words a line needs to be compared by edits.
+#: Words a line needs to be compared by word edits, and characters to be compared by character edits.
 MIN_WORDS = 8
+MIN_CHARS = 8
+#: What tells keys of characters from keys of words.
+SPELLED = np.uint64(0x5851F42D4C957F2E)
 #: Words of a line for each edit that two near lines may be apart.
 WORDS_PER_EDIT = 20
 #: Words of a line whose bound is two edits or more, and of a run that edits within the bound leave as it is:
@@ -141,8 +149,15 @@ def units(line: str) -> list[str]:
     return line.lower().split()
 
 
-def within_one(a: list[str], b: list[str]) -> bool:
-    """Whether one word put in, taken out or changed (or nothing) makes a into b."""
+def spelled(split: list[list[str]]) -> Lines:
+    """Lines whose units are the characters of the words, joined by one space."""
+    texts = [" ".join(words) for words in split]
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(U64)
+    return Lines(mix((codes + U64(1)) * MIX), np.array([len(t) for t in texts], dtype=np.int64))
+
+
+def within_one(a: list[str] | str, b: list[str] | str) -> bool:
+    """Whether one word (or character, of strings) put in, taken out or changed (or nothing) makes a into b."""
     if abs(len(a) - len(b)) > 1:
         return False
     short, long = sorted((a, b), key=len)
@@ -182,7 +197,10 @@ def within(a: list[str], b: list[str], most: int) -> bool:
 def near(a: str, b: str) -> bool:
     """Whether two lines that differ are near enough for the later one to go."""
     x, y = units(a), units(b)
-    return within(x, y, bound(min(len(x), len(y))))
+    if min(len(x), len(y)) >= MIN_WORDS:
+        return within(x, y, bound(min(len(x), len(y))))
+    p, q = " ".join(x), " ".join(y)
+    return min(len(p), len(q)) >= MIN_CHARS and within_one(p, q)
 
 
 def lists(line: np.ndarray, keys: np.ndarray, count: int) -> pa.ListArray:
@@ -192,50 +210,79 @@ def lists(line: np.ndarray, keys: np.ndarray, count: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(keys[order].view(np.int64)))
 
 
-def round_one(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
-    """(line, key): the keys that lines alone under them have no near line."""
+def halves_of(lines: Lines, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) of the halves of lines that have ``least`` units, and one more to be cut as for one unit less."""
     n = lines.lengths
-    masks = [n >= MIN_WORDS] * 2 + [n > MIN_WORDS] * 2
-    halves = [(np.flatnonzero(m), k[m]) for k, m in zip(lines.halves(), masks)]
-    return tuple(np.concatenate(c) for c in zip(*halves, lines.minimizers()))
+    masks = [n >= least] * 2 + [n > least] * 2
+    found = [(np.flatnonzero(m), k[m]) for k, m in zip(lines.halves(), masks)]
+    return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def line_rows(docs: DataFrame) -> DataFrame:
-    """``doc_id, line, n, k1, k2, keys`` of every line with a word; keys: those of round 1."""
+def round_one(lines: Lines, short: np.ndarray, chars: Lines) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key): lines alone under all their keys have no near line. Keys of runs are odd, of halves even.
+    ``chars`` are the characters of the lines ``short``."""
+    line, words = halves_of(lines, MIN_WORDS)
+    row, letters = halves_of(chars, MIN_CHARS)
+    far, runs_ = lines.minimizers()
+    odd = U64(1)
+    return (np.concatenate([line, short[row], far]),
+            np.concatenate([words & ~odd, (letters ^ SPELLED) & ~odd, runs_ | odd]))
+
+
+def variants(lines: Lines, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, key, role) of lines that have ``least`` units;
+    role: 0 line without a unit, 1 whole line, 2 line without a unit at a place."""
+    n = lines.lengths
+    line, rest = lines.without_one()
+    plain, zero = n[line] > least, np.zeros_like(n)
+    keys = [mix(rest * MIX + (n[line] - 1).astype(U64))[plain], mix(lines.span(zero, n) * MIX + n.astype(U64)),
+            mix((rest + lines.place.astype(U64) * U64(BASES[1])) * MIX + U64(1 << 62) + n[line].astype(U64))]
+    role = np.repeat(np.array([0, 1, 2], dtype=np.int8), [len(k) for k in keys])
+    return np.concatenate([line[plain], np.arange(len(n)), line]), np.concatenate(keys), role
+
+
+def line_rows(docs: DataFrame, keyed: bool) -> DataFrame:
+    """``doc_id, line, k1, k2`` of every line with a word, ``keyed`` with its ``keys`` of round 1."""
+    kinds = "doc_id long, line int, k1 long, k2 long" + (", keys array<long>" if keyed else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = WordHash().of
         for part in rows_of(batches):
-            ids, numbers, lengths, found = [], [], [], []
+            ids, numbers, lengths, found, short = [], [], [], [], {}
             for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 for number, line in enumerate((text or "").lower().split("\n")):
                     some = line.split()
                     if some:
+                        if keyed and len(some) <= MIN_WORDS:
+                            short[len(ids)] = some
                         ids.append(doc_id)
                         numbers.append(number)
                         lengths.append(len(some))
                         found += some
             n = np.array(lengths, dtype=np.int64)
             lines = Lines(of(found), n)
-            keys = lists(*round_one(lines), len(n)) if len(n) else pa.array([], pa.list_(pa.int64()))
             whole = [pa.array(k.view(np.int64)) for k in lines.whole()] if len(n) else [pa.array([], pa.int64())] * 2
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(n), *whole, keys],
-                names=["doc_id", "line", "n", "k1", "k2", "keys"])
+            columns = [pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), *whole]
+            if keyed:
+                columns.append(lists(*round_one(lines, np.array([*short], np.int64), spelled([*short.values()])), len(n))
+                               if len(n) else pa.array([], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "k1", "k2", "keys"][:len(columns)])
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, line int, n long, k1 long, k2 long, keys array<long>")
+    return picked.mapInArrow(run, kinds)
 
 
 def near_lines(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """``k1, k2`` of the distinct lines near an earlier line (``texts``: k1, k2, at, keys)."""
     placed = texts.select("k1", "k2", F.explode("keys").alias("v"))
-    shared = cut(placed.groupBy("v").agg(F.min("k1").alias("low"), F.max("k1").alias("high"))
-                 .where("low != high").select("v"))
-    partners = join_bounded(placed, shared, "v").select("k1", "k2").distinct()
+    # A line has each of its keys once.
+    shared = cut(placed.groupBy("v").agg(F.count("*").alias("rows")).where("rows > 1").select("v"))
+    odd = F.pmod("v", F.lit(2)) == 1
+    partners = join_bounded(placed, shared, "v").groupBy("k1", "k2").agg(
+        F.max(~odd).alias("half"), F.max(odd).alias("run"))
     wanted = cut(partners.join(texts.select("k1", "k2", "at"), ["k1", "k2"])
                  .groupBy(F.col("at.doc_id").alias("_doc"))
-                 .agg(F.collect_list(F.struct(F.col("at.line").alias("line"), "k1", "k2")).alias("lines")))
+                 .agg(F.collect_list(F.struct(F.col("at.line").alias("line"), "k1", "k2", "half", "run")).alias("lines")))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = WordHash().of
@@ -250,40 +297,38 @@ def near_lines(docs: DataFrame, texts: DataFrame) -> DataFrame:
                         continue
                     own = Lines(of(found), np.array([len(found)])).whole()
                     if int(own[0].view(np.int64)[0]) == w["k1"] and int(own[1].view(np.int64)[0]) == w["k2"]:
-                        rows.append((w["k1"], w["k2"], doc_id, w["line"], line))
+                        rows.append((w["k1"], w["k2"], doc_id, w["line"], line, w["half"], w["run"]))
             if rows:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
-                                                 names=["k1", "k2", "doc_id", "line", "text"])
+                                                 names=["k1", "k2", "doc_id", "line", "text", "half", "run"])
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lines = (join_bounded(picked, wanted, F.col("doc_id").eqNullSafe(F.col("_doc")))
              .select("doc_id", "text", "lines")
-             .mapInArrow(pick, "k1 long, k2 long, doc_id long, line int, text string")
+             .mapInArrow(pick, "k1 long, k2 long, doc_id long, line int, text string, half boolean, run boolean")
              .dropDuplicates(["k1", "k2"]))
     # After a range partitioning by document and line the ids that Spark counts up follow that order.
     lines = cut(lines.repartitionByRange("doc_id", "line").sortWithinPartitions("doc_id", "line")
-                .select("k1", "k2", "text", F.monotonically_increasing_id().alias("at")))
+                .select("k1", "k2", "text", "half", "run", F.monotonically_increasing_id().alias("at")))
 
     def neighbourhood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """key, role: 0 line without a word, 1 whole line, 2 line without a word at a place."""
+        """``key, role, at`` of the lines' words, or of their characters where they have few words, or of both."""
         of = WordHash().of
         for part in rows_of(batches):
             split = [units(t) for t in part.column(0).to_pylist()]
-            n = np.array([len(s) for s in split], dtype=np.int64)
-            lines = Lines(of([w for s in split for w in s]), n)
-            line, rest = lines.without_one()
-            plain = n[line] > MIN_WORDS
-            zero = np.zeros_like(n)
-            keys = [mix(rest * MIX + (n[line] - 1).astype(U64))[plain], mix(lines.span(zero, n) * MIX + n.astype(U64)),
-                    mix((rest + lines.place.astype(U64) * U64(BASES[1])) * MIX + U64(1 << 62) + n[line].astype(U64))]
-            rows = np.concatenate([line[plain], np.arange(len(n)), line])
-            role = np.repeat(np.array([0, 1, 2], dtype=np.int8), [len(k) for k in keys])
+            long = [k for k, w in enumerate(split) if len(w) >= MIN_WORDS]
+            short = [k for k, w in enumerate(split) if len(w) <= MIN_WORDS and len(" ".join(w)) >= MIN_CHARS]
+            by_word = Lines(of([w for k in long for w in split[k]]), np.array([len(split[k]) for k in long], dtype=np.int64))
+            some = [(long, U64(0), *variants(by_word, MIN_WORDS)),
+                    (short, SPELLED, *variants(spelled([split[k] for k in short]), MIN_CHARS))]
+            rows = np.concatenate([np.array(mine, dtype=np.int64)[line] for mine, _, line, _, _ in some])
+            keys = np.concatenate([key ^ salt for _, salt, _, key, _ in some])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(role), part.column(1).take(pa.array(rows))],
-                names=["key", "role", "at"])
+                [pa.array(keys.view(np.int64)), pa.array(np.concatenate([x[4] for x in some])),
+                 part.column(1).take(pa.array(rows))], names=["key", "role", "at"])
 
-    around = lines.select("text", "at").mapInArrow(neighbourhood, "key long, role byte, at long")
+    around = lines.where("half").select("text", "at").mapInArrow(neighbourhood, "key long, role byte, at long")
     first = around.groupBy("key").agg(
         *(F.min(F.when(F.col("role") == r, F.col("at"))).alias(f"first{r}") for r in range(3)),
         F.count("*").alias("rows")).where("rows > 1")
@@ -306,7 +351,7 @@ def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
             good = [near(a, b) for a, b in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
             yield part.select([0]).filter(pa.array(good, pa.bool_()))
 
-    both = pairs.join(lines, "at").join(other, "earlier").select("at", "text", "_text")
+    both = pairs.join(lines.select("at", "text"), "at").join(other, "earlier").select("at", "text", "_text")
     return cut(both.mapInArrow(verify, "at long").distinct())
 
 
@@ -322,7 +367,7 @@ def far_lines(lines: DataFrame, one: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key.view(np.int64)), part.column(1).take(pa.array(line))], names=["key", "at"])
 
-    spots = lines.select("text", "at").mapInArrow(keys, "key long, at long")
+    spots = lines.where("run").select("text", "at").mapInArrow(keys, "key long, at long")
     first = spots.groupBy("key").agg(F.min("at").alias("first"), F.count("*").alias("rows")).where("rows > 1")
     later = cut(spots.join(first, "key").where("at > first"))
     open_ = later.join(one, "at", "left_anti")
@@ -366,9 +411,10 @@ def far_lines(lines: DataFrame, one: DataFrame) -> DataFrame:
 def mark(docs: DataFrame) -> DataFrame:
     """``row`` (the columns of ``docs`` but text), ``text`` without dropped lines, and the number of
     its lines with a word (``n_lines``), dropped as equal (``n_equal``) and as near (``n_near``)."""
-    lines = cut(line_rows(docs))
+    # The keys are most of a line's bytes: they are made again rather than written with every copy of a line.
+    lines = cut(line_rows(docs, False))
     at = F.struct("doc_id", "line")
-    texts = cut(lines.groupBy("k1", "k2").agg(
+    texts = cut(line_rows(docs, True).groupBy("k1", "k2").agg(
         F.min(at).alias("at"), F.count("*").alias("copies"), F.max("keys").alias("keys")))
     close = near_lines(docs, texts).withColumn("near", F.lit(True))
     settled = cut(texts.select("k1", "k2", "at", "copies").join(close, ["k1", "k2"], "left")

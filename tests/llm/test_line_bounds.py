@@ -59,3 +59,35 @@ def test_long_lines_equal_brute_force(spark, monkeypatch, block):
         edit_distance(a, b) <= max(1, min(len(a), len(b)) // 20) for b in split[:k])}
     assert left(spark, lines) == want
     assert len(want) < len(lines) - 50
+
+
+def mistyped(rng, line, k):
+    c = list(line)
+    for _ in range(k):
+        kind, at = rng.randrange(3), rng.randrange(len(c))
+        if kind == 0:
+            c[at] = rng.choice("xyz")
+        elif kind == 1:
+            c.insert(at, rng.choice("xyz "))
+        else:
+            del c[at]
+    return "".join(c)
+
+
+def test_short_lines_equal_brute_force(spark):
+    rng = random.Random(6)
+    base = [made(rng, n) for n in (1, 2, 3, 4, 5, 6, 7, 8, 9) for _ in range(4)]
+    lines = base + [mistyped(rng, rng.choice(base), rng.randint(1, 2)) for _ in range(200)]
+    lines += ["Read more here", "read more hére", "log in to reply", "login to reply", "1", "2", "b)", "c)", "1234567", "1234568"]
+    split = [" ".join(line.lower().split()) for line in lines]
+
+    def near(a, b):
+        x, y = a.split(), b.split()
+        if min(len(x), len(y)) < 8:
+            return a == b or (min(len(a), len(b)) >= 8 and edit_distance(a, b) <= 1)
+        return edit_distance(x, y) <= 1
+
+    got = linededup.dedup(frame(spark, list(enumerate(lines)))).collect()
+    assert {r.doc_id for r in got if r.text.strip()} == {
+        k for k, a in enumerate(split) if a and not any(near(a, b) for b in split[:k])}
+    assert {len(lines) - 9, len(lines) - 7}.isdisjoint({r.doc_id for r in got})
