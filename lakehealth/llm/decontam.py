@@ -10,7 +10,8 @@ An item contaminates a document if some run of the document's words is within ``
   moves on by a random bit of (j, word). Words edited in or out put two walks out of step only until
   they meet again, so edit distance becomes Hamming distance. ``SAMPLE`` random steps of a walk make
   an LSH key; walks are repeated until a match at the edit bound is found with chance ``RECALL``,
-  measured on randomly edited items of each size.
+  measured on randomly edited items of each size. Long items (a few hundred words) have so many edits
+  that ``MOST_WALKS`` walks do not reach it: for these sizes every window left is verified, without loss.
 * Windows whose key equals one of an item's are verified by the exact edit distance (item against
   any run of words around the window).
 
@@ -104,8 +105,9 @@ class Walks:
         return key
 
 
-def repeats_for(n: int, items: list[np.ndarray], vocabulary: int) -> int:
-    """Walks needed to find an item at its edit bound with chance RECALL, measured on random edits."""
+def repeats_for(n: int, items: list[np.ndarray], vocabulary: int) -> int | None:
+    """Walks needed to find an item at its edit bound with chance RECALL, measured on random edits;
+    None where they, with a margin for the small sample, are more than MOST_WALKS."""
     bound = edits(n)
     if not bound:
         return 1  # equal words have equal keys
@@ -130,8 +132,9 @@ def repeats_for(n: int, items: list[np.ndarray], vocabulary: int) -> int:
     equal = walks.keys(np.array(plain)) == walks.keys(np.array(changed))
     for repeats in range(1, MOST_WALKS + 1):
         if equal[:repeats].any(axis=0).mean() >= RECALL:
-            return min(MOST_WALKS, repeats + repeats // 2)  # a margin for the small sample
-    return MOST_WALKS
+            wanted = repeats + repeats // 2
+            return wanted if wanted <= MOST_WALKS else None
+    return None
 
 
 class Index:
@@ -158,11 +161,14 @@ class Index:
                 by_gram[q][gram].append(k)
             by_length[n].append(k)
         self.by_gram = {q: (np.array(sorted(table)), [table[g] for g in sorted(table)]) for q, table in by_gram.items()}
-        self.walks: dict[int, Walks] = {}
+        self.walks: dict[int, Walks] = {}  # of the sizes that walks find
         self.keys: dict[int, np.ndarray] = {}  # item -> its key in every repetition
         for n, members in sorted(by_length.items()):
             own = [self.items[k] for k in members]
-            walks = self.walks[n] = Walks(n, repeats_for(n, own, len(self.vocabulary)))
+            repeats = repeats_for(n, own, len(self.vocabulary))
+            if repeats is None:
+                continue
+            walks = self.walks[n] = Walks(n, repeats)
             self.keys.update(zip(members, walks.keys(np.array(own)).T))
 
     def grams(self, ids: np.ndarray, q: int) -> np.ndarray:
@@ -217,8 +223,8 @@ class Index:
         places = np.unique(np.fromiter(chain.from_iterable(starts), np.int64))
         padded = np.concatenate([ids, np.zeros(n, dtype=np.int64)])
         best = None
-        held: list[int] = []
-        for a in range(0, len(places), 2048):
+        held: list[int] = [] if n in self.walks else places.tolist()
+        for a in range(0, len(places) if n in self.walks else 0, 2048):
             some = places[a:a + 2048]
             keys = self.walks[n].keys(padded[some[:, None] + np.arange(n)])
             held += some[(keys == self.keys[k][:, None]).any(axis=0)].tolist()
