@@ -39,7 +39,6 @@ BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements that hold no part of an article, wherever they stand; a header in an article is its own.
 ASIDES = {"nav", "aside", "footer", "form", "menu", "dialog", "search", "fieldset"}
-MAIN = {"article", "main"}
 #: Words of class, id and role attributes that name something other than the article.
 ASIDE_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "breadcrumb",
@@ -55,8 +54,18 @@ TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+
 BROKEN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PARTS = re.compile(r"[a-z]+")
+ARTICLE = re.compile(r"<article\b", re.I)
 
-PLAIN, INSIDE, ASIDE = 0, 1, 2
+#: Words of a name that turn it into a property of the element ("no-sidebar", "has-comments").
+MODIFIERS = {"no", "not", "non", "has", "have", "with", "without", "is", "hide", "show", "enable", "enabled",
+             "disable", "disabled", "under", "below", "above", "before", "after"}
+#: Last words of a name that say no more than that it holds something ("comment-list", "ad-slot").
+HOLDERS = {"area", "bar", "block", "body", "box", "button", "buttons", "container", "form", "group", "holder", "icons",
+           "inner", "item", "items", "label", "link", "links", "list", "outer", "panel", "posts", "section", "slot",
+           "unit", "wrap", "wrapper"}
+
+#: Kinds of a block; NAMED is an ASIDE by its names, which a main element or the only article inside undoes.
+PLAIN, INSIDE, ASIDE, NAMED = 0, 1, 2, 3
 
 
 @dataclass
@@ -68,16 +77,35 @@ class Block:
     kind: int
 
 
-def container_kind(name: str, attributes: str, around: int) -> int:
-    """Kind of the content of an element in a container of kind ``around``."""
+def aside_name(token: str) -> str | None:
+    """The word of ``ASIDE_WORDS`` that one whole name is about: its last word, holders left out."""
+    parts = PARTS.findall(token)
+    if MODIFIERS.intersection(parts):
+        return None
+    while len(parts) > 1 and (parts[-1] in HOLDERS or len(parts[-1]) == 1):
+        parts.pop()
+    return parts[-1] if parts and parts[-1] in ASIDE_WORDS else None
+
+
+def container_kind(name: str, attributes: str, around: int, only: bool = False) -> int:
+    """Kind of the content of an element in a container of kind ``around``; ``only``: no other article is in the page.
+
+    Names never make a main element an aside, and an article only if they name nothing else."""
     if around == ASIDE or name in ASIDES or (name == "header" and around != INSIDE):
         return ASIDE
+    if name == "main":
+        return INSIDE
+    named = False
     if attributes and name not in ("html", "body"):
         for match in NAMES.finditer(attributes):
-            named = set(PARTS.findall((match[1] or match[2] or match[3] or "").lower()))
-            if named & ASIDE_WORDS and not (around == INSIDE and named & {"header", "byline"}):
-                return ASIDE
-    return INSIDE if name in MAIN else around
+            tokens = (match[1] or match[2] or match[3] or "").lower().split()
+            about = [aside_name(t) for t in tokens]
+            some = {a for a in about if a}
+            if some and not (around == INSIDE and some & {"header", "byline"}):
+                named |= name != "article" or all(about)
+    if named or (around == NAMED and not (name == "article" and only)):
+        return NAMED
+    return INSIDE if name == "article" else around
 
 
 def blocks(page: str) -> list[Block]:
@@ -88,13 +116,14 @@ def blocks(page: str) -> list[Block]:
     linked: list[str] = []
     in_link = 0
     at, size = 0, len(page)
+    only = len(ARTICLE.findall(page)) == 1
 
     def close() -> None:
         text = " ".join(html.unescape("".join(pieces)).split()) if pieces else ""
         if text:
             link_words = len(html.unescape(" ".join(linked)).split()) if linked else 0
             _, kind, heading = stack[-1] if stack else ("", PLAIN, False)
-            found.append(Block(text, len(text.split()), link_words, heading, kind))
+            found.append(Block(text, len(text.split()), link_words, heading, ASIDE if kind == NAMED else kind))
         pieces.clear()
         linked.clear()
 
@@ -145,7 +174,7 @@ def blocks(page: str) -> list[Block]:
                 if name in ("p", "li", "td", "th", "dd", "dt", "tr") and stack and stack[-1][0] == name:
                     stack.pop()
                     _, around, heading = stack[-1] if stack else ("", PLAIN, False)
-                stack.append((name, container_kind(name, attributes, around), heading or name in HEADINGS))
+                stack.append((name, container_kind(name, attributes, around, only), heading or name in HEADINGS))
             elif any(name == x[0] for x in stack):
                 while stack.pop()[0] != name:
                     pass
