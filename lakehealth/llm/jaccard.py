@@ -1,10 +1,9 @@
-"""Jaccard join on word five-grams by an LSH forest, with exact verification.
+"""Jaccard join on word five-grams by MinHash banding, with exact verification.
 
-A text's features are its sets of five consecutive words. ``TREES`` tries hold every text under
-a label of ``DEPTH`` min-hashes each; texts that share a long prefix of a label are likely similar.
-The matched prefix is shortened from the full depth until a pair at the
-similarity bound shares one, in some tree, with chance ``RECALL``. Texts under one such trie
-node are candidates.
+A text's features are its sets of five consecutive words. Each of ``TREES`` bands keys a text by
+as many min-hashes (``DEPTH`` at most) as a pair at the similarity bound shares, in some band, with
+chance ``RECALL``. The number follows from the threshold before data is read; this is fixed
+banding, not an LSH forest, which would shorten prefixes on data. Texts under one key are candidates.
 
 Candidates are verified exactly, on whole feature sets. Nodes that share members are joined to
 candidate groups (connected components), so that each text meets its candidates once and not
