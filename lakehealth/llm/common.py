@@ -19,7 +19,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A measured side of at most this many bytes may be broadcast.
@@ -120,3 +120,20 @@ def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
             last = key
     if held:
         yield pa.Table.from_batches(held)
+
+
+def ranked(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` (cut) with ``place``, the rank of each row by ``order`` from 0; rows that agree in it stand in
+    either order. Range partitions are sorted side by side; only one count a partition is looked at as a whole,
+    and ties are split between partitions by a row number."""
+    rows = (df.withColumn("_tie", F.monotonically_increasing_id())
+            .repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie")
+            .withColumn("_at", F.monotonically_increasing_id()).drop("_tie"))
+    rows = cut(rows)  # the id holds the partition above bit 33 and the place in it below
+    part = F.shiftright("_at", 33)
+    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    start = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_part", start.alias("_start"))  # one row per partition
+    return (rows.withColumn("_part", part).join(F.broadcast(starts), "_part")
+            .withColumn("place", F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1))
+            .drop("_part", "_start", "_at"))

@@ -7,7 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakehealth.llm import bpe, decontam, htmltext, jaccard, langid, linededup, quality, sharding, tokenfile, topk
+from lakehealth.llm import (bpe, decontam, hardneg, htmltext, jaccard, langid, linededup, merkle, quality, sharding, tokenfile,
+                            topk, weakrules)
 from lakehealth.llm.common import table
 
 
@@ -63,6 +64,21 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = weakrules.judge(table(spark, sf_dir, "documents"), ["doc_id"])
+    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"), merkle.fresh_path(spark))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hardneg.prepared(hardneg.shifted_labels(table(spark, sf_dir, "embeddings")))
+    return hardneg.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_line_dedup": op2_line_dedup,
@@ -74,6 +90,9 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE: dict[str, str] = {
@@ -90,4 +109,7 @@ ORACLE: dict[str, str] = {
         r AS (
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op11_quality_rules": weakrules.oracle_sql(),
+    "op12_merkle_manifest": merkle.oracle_sql(),
+    "op13_hard_negatives": hardneg.ORACLE_SQL,
 }
