@@ -33,14 +33,17 @@ def _per_table(tables: DataFrame, agg: DataFrame) -> DataFrame:
     return tables.select("table_id").join(agg, "table_id", "left")
 
 
-def partitioning(log: DataFrame, tables: DataFrame, min_partition_bytes: int = GIB) -> DataFrame:
+def partitioning(log: DataFrame, tables: DataFrame, min_partition_bytes: int = GIB,
+                 every_table: bool = False) -> DataFrame:
     """L2: live bytes per partition value; anomaly when a partitioned table averages
-    less than ``min_partition_bytes`` per partition."""
+    less than ``min_partition_bytes`` per partition. ``every_table`` also gives a row to tables without a live file."""
     lf = live_files(log).withColumn("part", F.to_json(F.col("partition_values")))
     per = lf.groupBy("table_id", "part").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("f"))
     g = per.groupBy("table_id").agg(
         F.count_if(F.col("part") != "{}").alias("parts"), F.sum("b").cast("long").alias("bytes"),
         F.sum("f").cast("long").alias("files"))
+    if every_table:
+        g = _per_table(tables, g).fillna(0, ["parts", "bytes", "files"])
     detail = F.when(F.col("parts") > 0, F.concat(
         num("parts"), F.lit(" partitions over "), num("files"), F.lit(" files; average "),
         num(F.call_function("div", F.col("bytes"), F.col("parts"))), F.lit(" bytes per partition"))) \

@@ -115,6 +115,13 @@ def nullability(columns: DataFrame, chunks: DataFrame) -> DataFrame:
     return _col_checks(j, "L5", detail, anomaly)
 
 
+def nullable_tables(columns: DataFrame) -> DataFrame:
+    """L5 (table part, id L5T): tables that declare no column NOT NULL."""
+    g = columns.groupBy("table_id").agg(F.count_if(F.col("nullable")).alias("k"), F.count(F.lit(1)).alias("n"))
+    detail = F.concat(num("k"), F.lit(" of "), num("n"), F.lit(" columns are nullable"))
+    return _tbl_checks(g, "L5T", detail, F.col("k") == F.col("n"))
+
+
 def deprecated_types(chunks: DataFrame) -> DataFrame:
     """Q13: columns stored with a deprecated physical type (INT96 timestamps)."""
     g = (chunks.groupBy("table_id", _top_level(F.col("path_in_schema")).alias("column_name"))

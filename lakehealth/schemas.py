@@ -48,16 +48,25 @@ CHUNKS = _struct(("table_id", S), ("file_name", S), ("file_path", S), ("row_grou
 FILE_SCHEMA = _struct(("table_id", S), ("file_path", S), ("ordinal", I), ("column_name", S),
                       ("data_type", S), ("nullable", B))
 
+# Rows of a data file that are deleted without writing it anew; part of the file's identity in the log.
+DELETION_VECTOR = _struct(("storageType", S), ("pathOrInlineDv", S), ("offset", I), ("sizeInBytes", I),
+                          ("cardinality", L))
+
 LOG_ACTIONS = T.StructType([
     T.StructField("table_id", S), T.StructField("version", L), T.StructField("pos", I),
     T.StructField("action", S), T.StructField("line", S),
     T.StructField("commit_info", _struct(("timestamp", L), ("operation", S),
                                          ("operationParameters", MAP_SS))),
     T.StructField("meta_data", _struct(("id", S), ("name", S), ("schemaString", S),
-                                       ("partitionColumns", T.ArrayType(S)), ("configuration", MAP_SS))),
-    T.StructField("protocol", _struct(("minReaderVersion", I), ("minWriterVersion", I))),
-    T.StructField("add", _struct(("path", S), ("size", L), ("partitionValues", MAP_SS), ("stats", S))),
-    T.StructField("remove", _struct(("path", S))),
+                                       ("partitionColumns", T.ArrayType(S)), ("configuration", MAP_SS),
+                                       ("description", S), ("createdTime", L),
+                                       ("format", _struct(("provider", S), ("options", MAP_SS))))),
+    T.StructField("protocol", _struct(("minReaderVersion", I), ("minWriterVersion", I),
+                                      ("readerFeatures", T.ArrayType(S)), ("writerFeatures", T.ArrayType(S)))),
+    T.StructField("add", _struct(("path", S), ("size", L), ("partitionValues", MAP_SS), ("stats", S),
+                                 ("modificationTime", L), ("dataChange", B), ("deletionVector", DELETION_VECTOR))),
+    T.StructField("remove", _struct(("path", S), ("deletionTimestamp", L), ("dataChange", B),
+                                    ("deletionVector", DELETION_VECTOR))),
 ])
 
 

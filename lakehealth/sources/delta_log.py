@@ -115,11 +115,13 @@ def discover_tables(spark: SparkSession, root: str, inventory: DataFrame | None
     return t.filter(F.col("table_path").isNotNull()).select(*schemas.TABLES.fieldNames())
 
 
-def read_log(spark: SparkSession, root: str, max_versions: int | None = None) -> DataFrame:
+def read_log(spark: SparkSession, root: str, max_versions: int | None = None,
+             after: DataFrame | None = None) -> DataFrame:
     """One row per log line of every table: table_id, version, pos, action, typed payloads.
 
     ``max_versions`` keeps versions ``< n`` (the reference reads 0-9); the
-    default reads all. Non-version files (``*.checkpoint.json`` etc.) are skipped.
+    default reads all. ``after`` (``table_id, checkpoint_version``) leaves out, before any line is
+    parsed, the versions that a table's checkpoint covers. Non-version files (``*.checkpoint.json`` etc.) are skipped.
     """
     globs = existing_globs(spark, log_globs(root))
     if not globs:
@@ -133,7 +135,11 @@ def read_log(spark: SparkSession, root: str, max_versions: int | None = None) ->
              .withColumn("version", F.col("version").cast("long")))
     if max_versions is not None:
         files = files.filter(F.col("version") < max_versions)
-    lines = files.select(_table_dir(F.col("file_path")).alias("table_id"), "version",
+    files = files.withColumn("table_id", _table_dir(F.col("file_path")))
+    if after is not None:
+        files = (files.join(after.select("table_id", "checkpoint_version"), "table_id", "left")
+                 .filter(F.col("version") > F.coalesce("checkpoint_version", F.lit(-1))))
+    lines = files.select("table_id", "version",
                          F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("pos", "line"))
     lines = lines.filter(F.col("line") != "")
     parsed = F.from_json("line", _ACTION_SCHEMA)
@@ -175,17 +181,47 @@ def table_properties(log: DataFrame) -> DataFrame:
     return latest.select("table_id", F.explode("conf").alias("key", "value"))
 
 
+def commit_attributes(log: DataFrame) -> DataFrame:
+    """A4: ``metadata_*`` and ``format_*`` values of a commit, one row per (table, version, key).
+
+    A commit may hold several metaData or protocol actions; each key keeps the value of the last action that *has*
+    it. The actions' JSON objects are read as maps and folded in line order, so a later action without a
+    key leaves the earlier value. Nested values stay JSON text.
+    """
+    def payload(name: str, prefix: str) -> Column:
+        found = F.from_json(F.get_json_object("line", f"$.{name}"), schemas.MAP_SS)
+        return F.when(F.col("action") == name, F.transform_keys(found, lambda k, _: F.concat(F.lit(prefix), k)))
+
+    some = log.withColumn("attributes", F.coalesce(payload("metaData", "metadata_"), payload("protocol", "format_")))
+    some = some.filter(F.col("attributes").isNotNull()).groupBy("table_id", "version").agg(
+        F.sort_array(F.collect_list(F.struct("pos", F.map_entries("attributes").alias("entries")))).alias("actions"))
+    folded = F.aggregate(
+        "actions", F.create_map().cast(schemas.MAP_SS),
+        lambda held, a: F.map_concat(
+            F.map_filter(held, lambda k, _: ~F.exists(a["entries"], lambda e: e["key"] == k)),
+            F.map_from_entries(a["entries"])))
+    return some.select("table_id", "version", F.explode(folded).alias("key", "value"))
+
+
+def _vector_id(action: str) -> Column:
+    """Identity of the deletion vector of an add or remove action; empty without one."""
+    v = F.col(f"{action}.deletionVector")
+    return F.coalesce(F.concat(v["storageType"], v["pathOrInlineDv"],
+                               F.coalesce(F.concat(F.lit("@"), v["offset"].cast("string")), F.lit(""))), F.lit(""))
+
+
 def live_files(log: DataFrame) -> DataFrame:
-    """Files added and not removed later (last action per path wins)."""
+    """Files added and not removed later (last action per path and deletion vector wins)."""
     adds = log.filter(F.col("add").isNotNull()).select(
-        "table_id", F.col("add.path").alias("path"), "version", "pos", F.lit(True).alias("is_add"),
-        F.col("add.size").alias("size"), F.col("add.stats").alias("stats"),
+        "table_id", F.col("add.path").alias("path"), _vector_id("add").alias("vector"), "version", "pos",
+        F.lit(True).alias("is_add"), F.col("add.size").alias("size"), F.col("add.stats").alias("stats"),
         F.col("add.partitionValues").alias("partition_values"))
     rems = log.filter(F.col("remove").isNotNull()).select(
-        "table_id", F.col("remove.path").alias("path"), "version", "pos", F.lit(False).alias("is_add"),
+        "table_id", F.col("remove.path").alias("path"), _vector_id("remove").alias("vector"), "version", "pos",
+        F.lit(False).alias("is_add"),
         F.lit(None).cast("long").alias("size"), F.lit(None).cast("string").alias("stats"),
         F.lit(None).cast(schemas.MAP_SS).alias("partition_values"))
-    last = adds.unionByName(rems).groupBy("table_id", "path").agg(
+    last = adds.unionByName(rems).groupBy("table_id", "path", "vector").agg(
         F.max_by(F.struct("is_add", "size", "stats", "partition_values"), F.struct("version", "pos")).alias("s"))
     return last.filter(F.col("s.is_add")).select("table_id", "path", "s.size", "s.stats", "s.partition_values")
 

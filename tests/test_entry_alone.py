@@ -26,9 +26,9 @@ def _listed(repo: Path) -> tuple[list[str], list[str]]:
 @pytest.mark.parametrize("left_out", [("lakehealth/llm", "tests/llm"),
                                       ("lakehealth/llm", "tests/llm", "corpus_pipeline.py")])
 def test_queries_without_the_optional_folders(tmp_path, left_out):
-    from lakehealth.plans import registry
+    import __spark_entry__ as entry
     keys, oracles = _listed(_copy(tmp_path / "copy", *left_out))
-    assert keys == sorted(registry.QUERIES) and oracles == sorted(registry.ORACLE)
+    assert keys == sorted(entry.ALWAYS) and oracles == sorted(entry.ORACLES)
 
 
 def test_an_error_inside_the_subpackage_is_not_hidden(tmp_path):
