@@ -22,6 +22,16 @@ from ..functions.text import idiv, num, pct_text, ratio_text
 NUMERIC_TEXT = r"^-?[0-9]+(\.[0-9]+)?$"
 DATE_TEXT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?)?$"
 
+# Types a text may stand for, narrowest first, with the shape of a whole value; casts reject impossible ones.
+# A value of a type is also one of the wider types of its line: boolean, or long < double, or date < timestamp.
+TEXT_TYPES = {
+    "boolean": (r"^(true|false|TRUE|FALSE|True|False)$", None),
+    "bigint": (r"^[+-]?[0-9]{1,18}$", None),
+    "double": (r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]{1,3})?$", "double"),
+    "date": (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", "date"),
+    "timestamp": (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,6})?)?)?$", "timestamp_ntz"),
+}
+
 ALL_METRICS = frozenset({"nulls", "ndv", "length", "shape", "minmax", "older"})
 
 
@@ -510,6 +520,66 @@ def fk_orphans(tables: Mapping[str, DataFrame],
                     detail.alias("detail"), (F.col("orphans") > 0).alias("is_anomaly"))
 
 
+def narrowest_types(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """L6 / Q3 as a type lattice (id L6T): the narrowest type that *every* value of a text column has.
+
+    Each whole value becomes a bit mask of the types it can stand for; the masks of a column meet in one ``bit_and``,
+    so one partial aggregate per table folds all its text columns, and the lowest bit left is the answer. A column with another
+    type than text is an anomaly; one without values has no type.
+    """
+    names = [*TEXT_TYPES, "string"]
+
+    def mask(c: str) -> str:
+        bits = [str(1 << len(TEXT_TYPES))]
+        for k, (shape, cast) in enumerate(TEXT_TYPES.values()):
+            held = f"{c} RLIKE {sql_str(shape)}" + (f" AND try_cast({c} AS {cast}) IS NOT NULL" if cast else "")
+            bits.append(f"IF({held}, {1 << k}, 0)")
+        return f"IF({c} IS NULL, NULL, {' + '.join(bits)})"
+
+    parts = []
+    for name, df in tables.items():
+        cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+        if not cols:
+            continue
+        aggs = [x for i, c in enumerate(cols) for x in (f"bit_and({mask(ident(c))}) AS m{i}", f"count({ident(c)}) AS n{i}")]
+        rows = ", ".join(f"named_struct('column_name', {sql_str(c)}, 'mask', m{i}, 'n', n{i})" for i, c in enumerate(cols))
+        parts.append(df.selectExpr(*aggs).selectExpr(f"{sql_str(name)} AS table_name", f"inline(array({rows}))"))
+    folded = union_tree(parts)
+    kind = F.coalesce(*(F.when(F.col("mask").bitwiseAND(1 << k) != 0, F.lit(t)) for k, t in enumerate(names)), F.lit("none"))
+    detail = F.concat(F.lit("Column "), F.col("column_name"), F.lit(": "), num("n"), F.lit(" values, narrowest type "), F.col("kind"))
+    return folded.withColumn("kind", kind).select(
+        F.lit("L6T").alias("rule_id"), F.col("table_name").alias("table_id"), F.lit("dbo").alias("schema_name"), "table_name",
+        "column_name", detail.alias("detail"), (~F.col("kind").isin("string", "none")).alias("is_anomaly"))
+
+
+def column_ranges(tables: Mapping[str, DataFrame], shown: int = 40) -> DataFrame:
+    """Q7 for every atomic type (id Q7R): smallest and largest value of each column, found over whole values; long
+    texts are shown by their first ``shown`` characters and their length. Times are shown to the microsecond, fractions
+    to four places."""
+    def form(f: T.StructField, x: str) -> str:
+        k = kind_of(f.dataType)
+        if k == "string":
+            return f"concat(left({x}, {shown}), IF(length({x}) > {shown}, concat('... (', length({x}), ')'), ''))"
+        if k == "temporal":
+            return f"date_format({x}, 'yyyy-MM-dd HH:mm:ss.SSSSSS')"
+        return f"CAST(CAST({x} AS DECIMAL(30,4)) AS STRING)" if k == "fractional" else f"CAST({x} AS STRING)"
+
+    parts = []
+    for name, df in tables.items():
+        atomic = [f for f in df.schema.fields if kind_of(f.dataType) != "complex"]
+        if not atomic:
+            continue
+        aggs = [f"{fn}({ident(f.name)}) AS {fn}{i}" for i, f in enumerate(atomic) for fn in ("min", "max")]
+        rows = ", ".join(f"named_struct('column_name', {sql_str(f.name)}, 'lo', {form(f, f'min{i}')}, 'hi', {form(f, f'max{i}')})"
+                         for i, f in enumerate(atomic))
+        parts.append(df.selectExpr(*aggs).selectExpr(f"{sql_str(name)} AS table_name", f"inline(array({rows}))"))
+    detail = F.concat(F.lit("Column "), F.col("column_name"), F.coalesce(
+        F.concat(F.lit(": min "), F.col("lo"), F.lit(", max "), F.col("hi")), F.lit(": no values")))
+    return union_tree(parts).select(
+        F.lit("Q7R").alias("rule_id"), F.col("table_name").alias("table_id"), F.lit("dbo").alias("schema_name"), "table_name",
+        "column_name", detail.alias("detail"), F.lit(False).alias("is_anomaly"))
+
+
 def key_skew(tables: Mapping[str, DataFrame], skew_keys: Mapping[str, Sequence[str]],
              max_ratio: int = 10, counts: KeyCounts | None = None) -> DataFrame:
     """L12 (key frequency): rows of the most frequent value vs the average per value.

@@ -123,6 +123,41 @@ def offset_continuity(chunks: DataFrame) -> DataFrame:
     return _checks(g, "L22", detail, F.col("gaps") > 0)
 
 
+FIRST_BYTE = 4  # data starts after the magic bytes
+
+
+def offset_sweep(chunks: DataFrame) -> DataFrame:
+    """L22 / W1 over whole files (id L22F): an interval sweep with the furthest end so far.
+
+    Chunks of a file stand in order of their first byte, across row groups; one that starts after the
+    furthest end of all before it leaves a gap, one that starts before it lies over another, also where a
+    longer chunk further back reaches past its neighbour. The window holds one file's chunks, which one footer lists.
+    """
+    before = (Window.partitionBy("table_id", "file_path").orderBy("__start", "row_group_id", "column_id")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    c = (chunks.withColumn("__start", chunk_start(chunks))
+         .withColumn("__reach", F.coalesce(F.max(F.col("__start") + F.col("total_compressed_size")).over(before),
+                                           F.lit(FIRST_BYTE))))
+    g = c.groupBy("table_id").agg(
+        F.count_if(F.col("__start") > F.col("__reach")).alias("gaps"),
+        F.sum(F.greatest(F.col("__start") - F.col("__reach"), F.lit(0))).cast("long").alias("lost"),
+        F.count_if(F.col("__start") < F.col("__reach")).alias("overlaps"), F.count(F.lit(1)).alias("n"))
+    detail = F.concat(num("gaps"), F.lit(" gaps of "), num("lost"), F.lit(" bytes and "), num("overlaps"),
+                      F.lit(" overlaps among "), num("n"), F.lit(" column chunks"))
+    return _checks(g, "L22F", detail, (F.col("gaps") > 0) | (F.col("overlaps") > 0))
+
+
+def file_row_skew(chunks: DataFrame, max_ratio: int = 4) -> DataFrame:
+    """L12 (file rows, id L12F): rows of a table's largest file vs the average file."""
+    groups = chunks.groupBy("table_id", "file_path", "row_group_id").agg(F.max("row_group_num_rows").alias("rows"))
+    files = groups.groupBy("table_id", "file_path").agg(F.sum("rows").alias("rows"))
+    g = files.groupBy("table_id").agg(F.max("rows").cast("long").alias("top"), F.sum("rows").cast("long").alias("total"),
+                                      F.count(F.lit(1)).alias("files"))
+    detail = F.concat(F.lit("Largest of "), num("files"), F.lit(" files holds "), num("top"), F.lit(" of "), num("total"),
+                      F.lit(" rows"))
+    return _checks(g, "L12F", detail, F.col("top") * F.col("files") > F.col("total") * max_ratio)
+
+
 def file_sizes(files: DataFrame, small_bytes: int = 32 * MIB) -> DataFrame:
     """Small-file share per table from the listing (``table_id``, ``length``)."""
     g = files.groupBy("table_id").agg(F.count(F.lit(1)).alias("files"),

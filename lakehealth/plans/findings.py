@@ -23,8 +23,10 @@ def conform(df: DataFrame, schema) -> DataFrame:
 
 
 def union_all(frames: Iterable[DataFrame], schema=None) -> DataFrame:
-    """Union by name, absent columns NULL."""
+    """Union by name, absent columns NULL; of no frames, an empty one with ``schema`` (the findings' by default)."""
     frames = list(frames)
+    if not frames:
+        return SparkSession.active().createDataFrame([], schema or schemas.FINDINGS)
     if schema is not None:
         frames = [conform(f, schema) for f in frames]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

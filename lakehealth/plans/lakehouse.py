@@ -66,10 +66,16 @@ def register_metadata_views(md: Metadata) -> None:
     md.files.createOrReplaceTempView("files")
 
 
+def register_log_views(log: DataFrame, tables: DataFrame) -> None:
+    """The log frame and the discovered tables as SQL views for catalog rules."""
+    log.createOrReplaceTempView("log_actions")
+    tables.createOrReplaceTempView("tables")
+
+
 def tables_of(md: Metadata) -> DataFrame:
     """One row per table seen in the listing."""
     return md.files.select("table_id").distinct()
 
 
 __all__ = ["Metadata", "folder_metadata", "storage_checks", "schema_checks_all",
-           "register_metadata_views", "tables_of"]
+           "register_metadata_views", "register_log_views", "tables_of"]

@@ -10,10 +10,13 @@ columns, so the schema is fixed.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import scan_date
+
 # --- fixed values -------------------------------------------------------------
 LAKEHOUSE_KEY = "Lakehouse"
 WAREHOUSE_KEY = "warehouses"
@@ -32,6 +35,52 @@ def read_payload(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path).withColumnRenamed("value", "doc")
 
 
+def read_documents(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
+    """Scan documents as ``file_path, doc`` (a VARIANT; NULL where the text is no JSON).
+
+    ``multi_line``: one document per file, however it is laid out over lines; a document is one
+    batch of the service's and so bounded. Otherwise one document per line, and long files are split.
+    """
+    raw = spark.read.text(path, wholetext=multi_line).filter(F.trim("value") != "")
+    return raw.select(F.col("_metadata.file_path").alias("file_path"), F.try_parse_json("value").alias("doc"))
+
+
+def bad_documents(documents: DataFrame) -> DataFrame:
+    """Documents that are no JSON, per file."""
+    return documents.filter(F.col("doc").isNull()).groupBy("file_path").agg(F.count(F.lit(1)).alias("documents"))
+
+
+def _text(value: Column) -> Column:
+    """A VARIANT as text: strings as they are, everything else as JSON; JSON null is NULL."""
+    plain = F.schema_of_variant(value) == "STRING"
+    return F.when(plain, F.try_variant_get(value, "$", "string")).when(~F.is_variant_null(value), F.to_json(value))
+
+
+def item_properties(documents: DataFrame, scan_ts: datetime | str) -> DataFrame:
+    """Every property of every item of every list-valued key of a workspace, one row each.
+
+    ``workspace_id, workspace_name, item_type, id, name, property, value, scan_date``. Properties of
+    ``extendedProperties`` come one by one as ``ext_<key>``; other nested values stay JSON text. Neither item kinds nor properties
+    need to be known; an item that is no object has the one property ``value``. Keys are matched as they are written.
+    """
+    get = F.try_variant_get
+    ws = documents.select(F.explode(get("doc", "$.workspaces", "array<variant>")).alias("w"))
+    kinds = ws.select(get("w", "$.id", "string").alias("workspace_id"), get("w", "$.name", "string").alias("workspace_name"),
+                      F.explode(get("w", "$", "map<string,variant>")).alias("item_type", "list"))
+    items = kinds.select("workspace_id", "workspace_name", "item_type",
+                         F.explode(get("list", "$", "array<variant>")).alias("item"))
+    fields = F.coalesce(get("item", "$", "map<string,variant>"), F.create_map(F.lit("value"), F.col("item")))
+    own = items.select("workspace_id", "workspace_name", "item_type", get("item", "$.id", "string").alias("id"),
+                       F.coalesce(get("item", "$.name", "string"), get("item", "$.displayName", "string"),
+                                  F.concat(F.lit("Warehouse_"), get("item", "$.id", "string"))).alias("name"),  # P13
+                       F.explode(fields).alias("key", "held"))
+    extended = F.when(F.col("key") == "extendedProperties", get("held", "$", "map<string,variant>"))
+    parts = F.coalesce(F.transform_keys(extended, lambda k, _: F.concat(F.lit("ext_"), k)), F.create_map("key", "held"))
+    return (own.select("workspace_id", "workspace_name", "item_type", "id", "name", F.explode(parts).alias("property", "held"))
+            .select("workspace_id", "workspace_name", "item_type", "id", "name", "property", _text(F.col("held")).alias("value"),
+                    scan_date(scan_ts).alias("scan_date")))
+
+
 def lakehouse_items(payload: DataFrame, item_key: str = LAKEHOUSE_KEY, exclude_staging: bool = True) -> DataFrame:
     """One row per lakehouse item (key matched exactly); staging items and the
     system workspace are dropped (P2) unless ``exclude_staging=False``."""
