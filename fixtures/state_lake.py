@@ -26,6 +26,13 @@ AGE = 6  # versions after which files of flag R are removed
 COMMENTED = ["l_orderkey", "l_partkey", "l_quantity"]
 
 
+def _columns_oracle(table: str) -> str:
+    """SQL: ordinal, name and log type of the columns of a given table."""
+    return f"""(SELECT row_number() OVER () AS i, column_name AS name, CASE column_type WHEN 'BIGINT' THEN 'long'
+                WHEN 'INTEGER' THEN 'integer' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string'
+                ELSE 'timestamp_ntz' END AS kind FROM (DESCRIBE {table}))"""
+
+
 def commented(schema: T.StructType, names: list[str]) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, f.nullable, {"comment": f"Comment on {f.name}"} if f.name in names else {})
                          for f in schema])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fixtures import state_lake
+from fixtures.state_lake import _columns_oracle as _columns
 from lakehealth import schemas
 from lakehealth.operators import delta as delta_ops
 from lakehealth.operators import schema as schema_ops
@@ -122,12 +123,6 @@ _SETTINGS = """
         UNION ALL SELECT 'sales/orders', 'delta.autoOptimize.optimizeWrite', 'true')"""
 
 
-def _columns(table: str) -> str:
-    return f"""(SELECT row_number() OVER () AS i, column_name AS name, CASE column_type WHEN 'BIGINT' THEN 'long'
-                WHEN 'INTEGER' THEN 'integer' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string'
-                ELSE 'timestamp_ntz' END AS kind FROM (DESCRIBE {table}))"""
-
-
 _COMMENTED = ", ".join(f"'{c}'" for c in state_lake.COMMENTED)
 #: The nested column of the changed schema: depth, ordinal, path, type, nullable.
 _NOTE = """(VALUES (2, 1, 'l_note.tags', 'array', true), (3, 1, 'l_note.tags.element', 'struct', false),

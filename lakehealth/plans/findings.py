@@ -42,15 +42,14 @@ def assemble(checks: DataFrame, rules: DataFrame, *, scan_ts: datetime | str,
              tables: DataFrame | None = None) -> DataFrame:
     """F8: attach rule attributes and location to check rows.
 
-    ``rules`` is the rule catalog (bounded by the number of rules) and is
-    broadcast. ``tables`` (one row per table, grows with the lake) is joined
-    on ``table_id`` without a hint so AQE picks the strategy from its size.
+    ``rules`` (the rule catalog) and ``tables`` (one row per table, grows with the lake) are joined
+    without a hint, so that their measured size decides how.
     ``source`` gives constant location columns for a single warehouse.
     """
     checks = conform(checks, schemas.CHECKS)
     rule_cols = rules.select("rule_id", "category", "description", "recommendation", "severity",
                              "content", "level", "remediation_template")
-    f = checks.join(F.broadcast(rule_cols), "rule_id")
+    f = checks.join(rule_cols, "rule_id")
     if tables is not None:
         loc = tables.select("table_id", "workspace_name", "workspace_id",
                             F.col("lakehouse_name").alias("source_name"),
