@@ -7,7 +7,8 @@ labelled table below, keeps or drops each block. The kept blocks, white space
 turned into single spaces, are joined in page order by a line feed.
 
 Script, style and other text that is not shown, comments and markup never make a block. Character
-references are decoded. A tag that is never closed ends with the container around it; a page
+references are decoded. A tag that is never closed ends with the container around it, and a hidden element
+other than a script and the like hides nothing then; a page
 cut off inside a tag, comment or script loses that part only. ``<br>`` is white space.
 
 Edge cases: a null or empty page and a page without a kept block give an empty text; repeated
@@ -30,7 +31,11 @@ from lakehealth.llm.common import rows_of
 
 # Fixed values of HTML: elements whose text is not shown, void elements, block-level elements.
 HIDDEN = {"script", "style", "noscript", "template", "textarea", "select", "option", "svg", "iframe", "object",
-          "title", "math", "button", "canvas", "datalist"}
+          "title", "annotation", "annotation-xml", "button", "canvas", "datalist"}
+#: Hidden elements whose content is plain text up to their end tag; without one it is the rest of the page.
+RAW = {"script", "style", "textarea", "title", "iframe", "noscript"}
+#: Hidden elements that hold none of their own kind.
+NOT_NESTED = {"button", "select", "option", "canvas", "datalist"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div",
          "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
@@ -77,6 +82,25 @@ class Block:
     kind: int
 
 
+def hidden_end(page: str, name: str, at: int) -> int:
+    """Where the content of a hidden element that starts at ``at`` ends. An element other than ``RAW`` ones
+    may hold others of its name; one that is never closed hides nothing."""
+    if name in RAW:
+        over = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+        return over.end() if over else len(page)
+    depth = 1
+    for tag in re.compile(rf"<(/?){re.escape(name)}(?![\w-])[^>]*>", re.I).finditer(page, at):
+        if tag[1]:
+            depth -= 1
+        elif name in NOT_NESTED:
+            return at  # the next one starts before this one ended: it is not closed
+        elif not tag[0].endswith("/>"):
+            depth += 1
+        if not depth:
+            return tag.end()
+    return at
+
+
 def aside_name(token: str) -> str | None:
     """The word of ``ASIDE_WORDS`` that one whole name is about: its last word, holders left out."""
     parts = PARTS.findall(token)
@@ -84,7 +108,10 @@ def aside_name(token: str) -> str | None:
         return None
     while len(parts) > 1 and (parts[-1] in HOLDERS or len(parts[-1]) == 1):
         parts.pop()
-    return parts[-1] if parts and parts[-1] in ASIDE_WORDS else None
+    if not parts or parts[-1] in ASIDE_WORDS:
+        return parts[-1] if parts else None
+    stems = (parts[-1].removesuffix(h) for h in HOLDERS if parts[-1].endswith(h))  # "commentlist"
+    return next((stem for stem in stems if stem in ASIDE_WORDS), None)
 
 
 def container_kind(name: str, attributes: str, around: int, only: bool = False) -> int:
@@ -161,8 +188,7 @@ def blocks(page: str) -> list[Block]:
         elif name in HIDDEN and not ending:
             if attributes.endswith("/"):
                 continue
-            over = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = over.end() if over else size
+            at = hidden_end(page, name, at)
         elif name in BLOCK:
             close()
             if name in VOID:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from lakehealth.llm.common import rows_of
 from lakehealth.llm.words import mix
 
-#: Runs of letters.
+#: Runs of letters, and of numerals that are no digits ("½", "²"), which ``letters`` takes out.
 find_runs = re.compile(r"[^\W\d_]+").findall
 MAX_WORD = 32
 #: Smoothing count of every piece in every language.
@@ -56,6 +56,8 @@ MAX_LANGUAGES = 500
 
 def letters(text: str | None) -> list[str]:
     found = find_runs(text.lower()) if text else []
+    if not all(map(str.isalpha, found)):
+        found = [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
     if found and max(map(len, found)) > MAX_WORD:
         found = [w[i:i + MAX_WORD] for w in found for i in range(0, len(w), MAX_WORD)]
     return found
@@ -203,11 +205,16 @@ def lattice(path: str) -> Lattice:
     return _lattices[path]
 
 
-def sample(train: DataFrame, most: int) -> DataFrame:
-    """About ``most`` rows of each language at most, evenly by a hash of the text."""
+def row_counts(train: DataFrame) -> list[tuple[str, int]]:
+    """Rows of each language, in order; of more than ``MAX_LANGUAGES`` only so many come to the driver as show it."""
     counts = train.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    return sorted((lang, n) for lang, n in counts)
+
+
+def sample(train: DataFrame, counts: list[tuple[str, int]], most: int) -> DataFrame:
+    """About ``most`` rows of each language at most, evenly by a hash of the text."""
     parts = 1_000_000
     limit = F.create_map(*(F.lit(x) for lang, n in counts for x in (lang, min(parts, -(-parts * most // n))))) \
         if counts else F.lit(None)
@@ -218,8 +225,9 @@ def fit(train: DataFrame, vocabulary: str, most: int = MAX_ROWS) -> tuple[list[s
     """(languages, piece probabilities) from the ``text`` and ``lang`` of ``train``."""
     train = train.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")) \
         .where("lang IS NOT NULL AND text IS NOT NULL")
-    languages = sorted(r[0] for r in train.select("lang").distinct().collect())  # MAX_LANGUAGES are checked next
-    train = sample(train, most)
+    rows = row_counts(train)
+    languages = [lang for lang, _ in rows]
+    train = sample(train, rows, most)
     at = {name: i for i, name in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
