@@ -8,6 +8,7 @@ piece that is empty or starts with white space makes its text take the slow way.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 from itertools import islice
 
@@ -21,8 +22,8 @@ CACHE_ENTRIES = 400_000
 LONGEST = 64
 #: Letters below it are letters in all versions of Unicode.
 PLAIN = "ɐ"
-#: Marks that, alone after a word, are a match of their own.
-MARKS = frozenset(",.;:!?")
+#: Characters that are neither letter, number nor white space: a run of them at the end of a word is a match.
+MARKS = string.punctuation
 
 
 def trim(cache: dict) -> None:
@@ -32,20 +33,45 @@ def trim(cache: dict) -> None:
 
 
 class Pieces(dict):
-    """piece -> ids as little-endian 32-bit bytes; None if its start is no sure cut."""
+    """piece -> ids as little-endian 32-bit bytes; None if its start is no sure cut. ``lead`` stands before each."""
 
-    def __init__(self, encode: Callable[[str], bytes], lead: str, most: int):
+    def __init__(self, owner: PieceEncoder, lead: str, most: int, first: Pieces | None = None):
         super().__init__()
-        self.encode, self.lead, self.most = encode, lead, most
+        self.match_ids, self.other, self.mark = owner.match_ids, owner.other, owner.match
+        self.lead, self.most = lead, most
+        self.first = self if first is None else first  # the pieces that nothing stands before
 
     def __missing__(self, piece: str) -> bytes | None:
         if len(self) >= self.most:
             trim(self)
-        value = self.encode(self.lead, piece) if piece and not piece[0].isspace() else None
+        if not piece or piece[0].isspace():
+            value = None
+        elif "\n" in piece:
+            return self.lines(piece)  # mostly met once: kept by its parts
+        elif not (piece.isascii() or max(piece) < PLAIN):
+            value = self.other(self.lead + piece, True)
+        elif piece.isalpha():
+            value = self.match_ids(self.lead + piece)  # one match, kept here alone
+        else:
+            word = piece.rstrip(MARKS)
+            if word.isalpha() and len(word) < len(piece):
+                value = self[word] + self.mark(piece[len(word):])
+            else:
+                value = self.other(self.lead + piece, False)
         if len(piece) <= LONGEST:
             self[piece] = value
         return value
 
+    def lines(self, piece: str) -> bytes:
+        """A line feed between two characters that are no white space is a match, and so a sure cut on both sides."""
+        parts = piece.split("\n")
+        if not all(parts) or any(p[0].isspace() or p[-1].isspace() for p in parts):
+            return self.other(self.lead + piece, not (piece.isascii() or max(piece) < PLAIN))
+        out = [self[parts[0]]]
+        for part in parts[1:]:
+            out += [self.mark("\n"), self.first[part]]
+        return b"".join(out)
+
 
 class PieceEncoder:
     """``match_ids`` encodes one match of the pattern, ``text_ids`` any text, the slow way."""
@@ -54,8 +80,9 @@ class PieceEncoder:
                  pattern: str = public_tokenizers.PATTERN, most: int = CACHE_ENTRIES):
         self.match_ids, self.text_ids, self.most = match_ids, text_ids, most
         self.matches = regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
-        self.first, self.inner = Pieces(self.piece, "", most), Pieces(self.piece, " ", most)
+        self.known: dict[str, bytes] = {}  # matches that are no whole piece
+        self.first = Pieces(self, "", most)
+        self.inner = Pieces(self, " ", most, self.first)
 
     def match(self, match: str) -> bytes:
         ids = self.known.get(match)
@@ -67,14 +94,9 @@ class PieceEncoder:
                 self.known[match] = ids
         return ids
 
-    def piece(self, lead: str, piece: str) -> bytes:
-        if not (piece.isascii() or max(piece) < PLAIN):
-            return self.text_ids(lead + piece)
-        if piece.isalpha():
-            return self.match(lead + piece)
-        if piece[-1] in MARKS and piece[:-1].isalpha():
-            return self.match(lead + piece[:-1]) + self.match(piece[-1])
-        return b"".join(map(self.match, self.matches(lead + piece)))
+    def other(self, piece: str, rare: bool) -> bytes:
+        """A piece of several matches, or with letters that not every version of Unicode has."""
+        return self.text_ids(piece) if rare else b"".join(map(self.match, self.matches(piece)))
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""

@@ -141,7 +141,8 @@ class LibraryEncoder:
             plain = match.replace(" ", self.space)
         else:
             plain = match.encode().decode("latin-1").translate(self.alphabet)
-        return b"".join([self.ids[t.id] for t in self.model.tokenize(plain)])
+        tokens = self.model.tokenize(plain)
+        return self.ids[tokens[0].id] if len(tokens) == 1 else b"".join([self.ids[t.id] for t in tokens])
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""

@@ -126,3 +126,26 @@ def test_the_article_survives(page):
 def test_formulas_are_part_of_the_text():
     page = f"<html><body><article><h1>A headline of six words here</h1><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be. {WORDS}</p></article></body></html>"
     assert "Let x=1 be. plain words" in htmltext.main_texts([page], htmltext.train())[0]
+
+
+# piece encoder
+
+def test_cuts_of_pieces_are_sure():
+    import public_tokenizers
+    import tiktoken
+
+    from lakehealth.llm import bpe, tokenfile
+
+    library = tokenfile.LibraryEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    own = bpe.encoder(ranks, public_tokenizers.PATTERN)
+    reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, special_tokens={}, mergeable_ranks=bpe.read_ranks(ranks))
+    parts = ["a", "B", "é", "ß", "中", "ق", " ", "  ", "\n", "\n\n", "\t", "\r\n", " ", "\x1c", "\x85", ".", "!!", "'s", "'", "_", "1",
+             "½", "²", "-", "|", "word", "The", "😀", "é", "​", "###"]
+    rng = random.Random(1)
+    for _ in range(6000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        assert library.encode(text) == library.whole(text)
+        assert own.encode(text) == np.array(reference.encode_ordinary(text), "<u4").tobytes()
+    lines = "a\n" * 50_000 + "b"
+    assert library.encode(lines) == library.whole(lines)
