@@ -1,4 +1,4 @@
-"""Operators over whole corpora, against brute force."""
+"""Operators over whole corpora, against exhaustive versions."""
 
 import itertools
 import random
@@ -28,7 +28,7 @@ def odd_texts():
 
 # line dedup
 
-def brute_lines(texts):
+def exhaustive_lines(texts):
     order = sorted(texts, key=lambda r: (r[0] is not None, r[0] or 0))
     first, near = {}, set()
     for i, t in order:
@@ -71,10 +71,10 @@ def line_corpus():
                           for _ in range(rng.randint(1, 6)))) for i in range(60)]
 
 
-def test_line_dedup_equals_brute_force(spark):
+def test_line_dedup_equals_an_exhaustive_version(spark):
     texts = line_corpus()
     got = {r.doc_id: r.text for r in linededup.mark(frame(spark, texts)).select("row.doc_id", "text").collect()}
-    assert got == dict(brute_lines(texts))
+    assert got == dict(exhaustive_lines(texts))
 
 
 def test_line_dedup_edge_cases(spark):
@@ -98,7 +98,7 @@ def test_within_one(a, b, near):
 
 # n-gram Jaccard join
 
-def brute_links(texts, threshold=0.8):
+def exhaustive_links(texts, threshold=0.8):
     of = WordHash().of
     sets = [set(shingles(of(words(t))).tolist()) for _, t in texts]
     links, root = Counter(), list(range(len(texts)))
@@ -133,9 +133,9 @@ def near_corpus(groups=12, size=12):
     return list(enumerate(out))
 
 
-def test_jaccard_join_equals_brute_force(spark, monkeypatch):
+def test_jaccard_join_equals_an_exhaustive_version(spark, monkeypatch):
     texts = near_corpus()
-    want = sorted(brute_links(texts))
+    want = sorted(exhaustive_links(texts))
     got = sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.link(frame(spark, texts)).collect())
     found, all_links = sum(r[2] for r in got), sum(r[2] for r in want)
     assert all(g[2] <= w[2] for g, w in zip(got, want)) and found >= 0.98 * all_links
@@ -178,7 +178,7 @@ def test_components(spark):
 
 # decontamination
 
-def test_best_run_equals_brute_force():
+def test_best_run_equals_an_exhaustive_version():
     def cost(a, b):
         row = list(range(len(b) + 1))
         for i, x in enumerate(a, 1):
@@ -355,7 +355,7 @@ def test_shards_edge_cases(spark, tmp_path):
 
 # top-k
 
-def brute_top(rows, k=5, every=50):
+def exhaustive_top(rows, k=5, every=50):
     out = []
     rows = sorted({(i, tuple(v)) for i, v in rows})
     for q, v in rows:
@@ -370,7 +370,7 @@ def vectors(spark, rows):
 
 
 @pytest.mark.parametrize("copies", [0, 120])
-def test_topk_equals_brute_force(spark, copies, monkeypatch):
+def test_topk_equals_an_exhaustive_version(spark, copies, monkeypatch):
     from pyspark.sql import functions as F
 
     monkeypatch.setattr(topk, "CELL_QUERIES", 4)
@@ -380,7 +380,7 @@ def test_topk_equals_brute_force(spark, copies, monkeypatch):
     rows += [(300 + i, [50] * 10) for i in range(copies)]
     rows += rows[:3]
     got = topk.search(vectors(spark, rows), F.col("vec_id") % 50 == 0, 5).collect()
-    assert sorted(tuple(r) for r in got) == brute_top(rows)
+    assert sorted(tuple(r) for r in got) == exhaustive_top(rows)
 
 
 def test_topk_edge_cases(spark):

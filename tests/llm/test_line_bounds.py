@@ -45,7 +45,7 @@ def test_within_equals_the_edit_distance():
 
 
 @pytest.mark.parametrize("block", [128, 3])
-def test_long_lines_equal_brute_force(spark, monkeypatch, block):
+def test_long_lines_equal_an_exhaustive_version(spark, monkeypatch, block):
     monkeypatch.setattr(linededup, "BLOCK_LINES", block)
     rng = random.Random(3)
     base = [made(rng, n) for n in (20, 39, 40, 41, 59, 60, 79, 85, 120, 200)]
@@ -74,7 +74,7 @@ def mistyped(rng, line, k):
     return "".join(c)
 
 
-def test_short_lines_equal_brute_force(spark):
+def test_short_lines_equal_an_exhaustive_version(spark):
     rng = random.Random(6)
     base = [made(rng, n) for n in (1, 2, 3, 4, 5, 6, 7, 8, 9) for _ in range(4)]
     lines = base + [mistyped(rng, rng.choice(base), rng.randint(1, 2)) for _ in range(200)]

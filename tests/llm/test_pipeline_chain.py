@@ -1,4 +1,4 @@
-"""run() of the pipeline on a planted table, against a chain of brute-force stages."""
+"""run() of the pipeline on a planted table, against a chain of exhaustive stages."""
 
 import hashlib
 import random
@@ -10,7 +10,7 @@ import tiktoken
 import corpus_pipeline
 from lakehealth.llm import bpe, decontam
 from lakehealth.llm.words import words
-from tests.llm.test_corpus_operators import brute_lines, brute_links, made
+from tests.llm.test_corpus_operators import exhaustive_lines, exhaustive_links, made
 
 
 def planted_table():
@@ -46,11 +46,11 @@ def planted_table():
 
 
 def chain(docs, items, toxic):
-    """Documents (id -> text) that are left, each stage by brute force."""
-    rows = brute_lines([d for d in docs if d[0] not in toxic])
+    """Documents (id -> text) that are left, each stage exhaustively."""
+    rows = exhaustive_lines([d for d in docs if d[0] not in toxic])
     before = dict(docs)
     rows = [(i, t) for i, t in rows if t.strip() or not before[i].strip()]
-    rows = [rows[k] for k, (i, least, _) in enumerate(brute_links(rows)) if i == least]
+    rows = [rows[k] for k, (i, least, _) in enumerate(exhaustive_links(rows)) if i == least]
     index = [(words(t), decontam.edits(len(words(t)))) for _, t in items]
 
     def near(item, most, found):
@@ -64,7 +64,7 @@ def chain(docs, items, toxic):
     return {i: t for i, t in rows if not any(near(item, most, words(t)) for item, most in index)}
 
 
-def test_run_equals_the_brute_chain(spark, tmp_path):
+def test_run_equals_the_exhaustive_chain(spark, tmp_path):
     docs, labels, items, toxic = planted_table()
     spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in docs],
                           "doc_id long, text string, lang string, source string, n_chars long") \
