@@ -56,7 +56,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("byte-level BPE encoding and decoding", byte_bpe),
 ]
 
-#: SQL can express none of the stages; tests compare them with brute force.
+#: SQL can express none of the stages; tests compare them with exhaustive versions.
 ORACLE_SQL: str | None = None
 
 

@@ -54,6 +54,7 @@ BUILTIN_RULES: list[dict] = [
       "Investigate columns that are mostly NULL.", 3, "column"),
     R("L22", "Parquet File Structure", "Column chunks of a row group are contiguous in the file.",
       "Rewrite files that have gaps or overlaps between column chunks.", 2, "table"),
+    # Fixed texts of the two published sample rules.
     R("L23", "Schema", "Check for tables with excessive column count.",
       "Tables with many columns can impact scan performance. Consider vertical partitioning for wide tables.", 3, "table"),
     R("L24", "Compression", "Check for columns using GZIP compression instead of SNAPPY.",
