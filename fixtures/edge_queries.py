@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fixtures import lake
 from lakehealth import schemas
 from lakehealth.functions import json as js
-from lakehealth.operators import governance, quality, storage
+from lakehealth.operators import governance, quality, sketches, storage
 from lakehealth.operators import schema as schema_ops
 from lakehealth.plans.oracle_sql import TEST_SCHEMA, _sens_rows, q, res
 from lakehealth.plans.registry import policies_from_regions
@@ -184,6 +184,20 @@ def wh_policy_coverage_all(spark, sf_dir):
     return check_view(governance.policy_coverage(sensitive, policies))
 
 
+def wh_sketch_profile(spark, sf_dir):
+    """Sketches of three runs over parts of every table, added up and held against the exact form."""
+    tables = load_tables(spark, sf_dir)
+    first = {t: F.col(f"`{df.columns[0]}`") for t, df in tables.items()}
+    runs = [sketches.sketch({t: df.where(F.pmod(F.coalesce(F.xxhash64(first[t]), F.lit(0)), F.lit(3)) == k)
+                             for t, df in tables.items()}, f"run {k}") for k in range(3)]
+    found = sketches.estimates(sketches.merge(runs[0].unionByName(runs[1]).unionByName(runs[2])))
+    exact = quality.column_profile(tables, {"ndv"}).select("table_name", "column_name", F.col("ndv").alias("exact"))
+    both = found.join(exact, ["table_name", "column_name"])
+    return both.select("table_name", "column_name", "rows", "nonnull", "numbers",
+                       F.when(F.col("exact") <= 1000, F.col("top_count")).alias("top_count"),
+                       (F.abs(F.col("distinct") - F.col("exact")) * 100 <= F.col("exact") * 8 + 100).alias("distinct_close"))
+
+
 def flatten_json_detected(spark, sf_dir):
     """T4: JSON columns found by parsing whole columns; look-alikes are left alone."""
     e = _t(spark, sf_dir, "events").select(
@@ -208,7 +222,7 @@ def rule_problems(spark, sf_dir):
 
 
 QUERIES = {fn.__name__: fn for fn in (
-    inv_item_properties, inv_bad_documents, lk_offset_sweep, lk_file_row_skew, footer_first_files, lk_narrowest_types, wh_column_ranges,
+    inv_item_properties, inv_bad_documents, lk_offset_sweep, lk_file_row_skew, footer_first_files, lk_narrowest_types, wh_column_ranges, wh_sketch_profile,
     wh_policy_coverage_all, flatten_json_detected, rule_problems)}
 
 
@@ -252,6 +266,13 @@ def _ranges_oracle() -> str:
         for t, cols in TEST_SCHEMA.items() for c, k in cols if k != "c")
 
 
+def _sketch_oracle() -> str:
+    return " UNION ALL ".join(f"""SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS rows, count("{c}") AS nonnull,
+        {'count("' + c + '")' if k in "ift" else 'CAST(NULL AS BIGINT)'} AS numbers, CASE WHEN count(DISTINCT "{c}") <= 1000 THEN
+        (SELECT max(n) FROM (SELECT count(*) AS n FROM {t} WHERE "{c}" IS NOT NULL GROUP BY "{c}")) END AS top_count,
+        true AS distinct_close FROM {t}""" for t, cols in TEST_SCHEMA.items() for c, k in cols if k != "c")
+
+
 def _policy_oracle() -> str:
     named = [(t, c) for t, cols in TEST_SCHEMA.items() for c, _ in cols if re.search(schema_ops.SENSITIVE_NAME, c)]
     named += [("contacts", "email_address"), ("contacts", "salary")]
@@ -288,6 +309,7 @@ ORACLE = {
         QUALIFY row_number() OVER (PARTITION BY t ORDER BY path) <= 5""",
     "lk_narrowest_types": _types_oracle(),
     "wh_column_ranges": _ranges_oracle(),
+    "wh_sketch_profile": _sketch_oracle(),
     "wh_policy_coverage_all": _policy_oracle(),
     "flatten_json_detected": """SELECT event_id, 'event_id,ext_braces,ext_kind,ext_none,ext_props,ext_props_map' AS columns,
         json_extract_string(props, '$.k') AS k FROM events""",

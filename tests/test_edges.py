@@ -6,7 +6,7 @@ import pytest
 
 from fixtures import edge_queries
 from lakehealth import schemas
-from lakehealth.operators import quality, storage
+from lakehealth.operators import quality, sketches, storage
 from lakehealth.plans.findings import conform, union_all
 from lakehealth.plans.lakehouse import register_log_views
 from lakehealth.sources import catalog, delta_log, inventory
@@ -89,6 +89,19 @@ def test_narrowest_type_of_whole_values(spark, values, kind):
     assert row.detail.endswith(f"narrowest type {kind}") and row.is_anomaly == (kind not in ("string", "none"))
 
 
+def test_sketches_of_runs_add_up(spark):
+    frame = spark.range(60_000).selectExpr("CAST(id % 5000 AS BIGINT) AS k", "IF(id % 3 = 0, 'hot', CAST(id AS STRING)) AS t",
+                                           "IF(id % 2 = 0, CAST(id AS DOUBLE), NULL) AS d", "CAST(NULL AS STRING) AS e")
+    runs = [sketches.sketch({"x": frame.where(f"k % 4 = {i}")}, f"r{i}") for i in range(4)]
+    merged = sketches.merge(runs[0].union(runs[1]).union(runs[2]).union(runs[3]))
+    rows = {r.column_name: r for r in sketches.estimates(merged).collect()}
+    assert {c: (r.rows, r.nonnull) for c, r in rows.items()} == {"k": (60_000, 60_000), "t": (60_000, 60_000), "d": (60_000, 30_000), "e": (60_000, 0)}
+    assert abs(rows["k"].distinct - 5000) < 400 and abs(rows["t"].distinct - 40_001) < 3200 and rows["e"].distinct == 0
+    assert rows["t"].top_value == "hot" and abs(rows["t"].top_count - 20_000) <= 3.5 / sketches.TOP_ITEMS * 60_000
+    assert rows["d"].numbers == 30_000 and all(abs(q / 60_000 - p) < 0.04 for q, p in zip(rows["d"].quantiles, (0.25, 0.5, 0.75)))
+    assert rows["e"].top_value is None and rows["t"].quantiles is None and rows["e"].numbers is None
+
+
 def test_log_views_for_catalog_sql(spark, tmp_path):
     folder = tmp_path / "ws" / "lh.Lakehouse" / "Tables" / "t" / "_delta_log"
     folder.mkdir(parents=True)
