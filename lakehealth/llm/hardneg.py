@@ -40,7 +40,7 @@ PRIMES = [251, 241, 239, 233, 229, 227, 223, 211, 199, 197, 193, 191, 181, 179,
 #: Anchors and rows of one cell.
 CELL_ANCHORS = 1024
 CELL_ROWS = 8192
-#: Row blocks that one task goes through for a block of anchors.
+#: Row blocks that one task goes through for a block of anchors, at most.
 STRIP = 16
 #: Anchors scored at once in a cell.
 STEP = 128
@@ -175,11 +175,12 @@ def prepared(df: DataFrame, scale: int = SCALE) -> DataFrame:
                            F.transform("e", lambda x: F.floor(x * scale)).alias("vec")))
 
 
-def cells(anchors: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Both sides, spread over partitions by block of anchors and strip of row blocks, sorted cell by cell."""
-    strip = F.floor(F.col("down") / STRIP)
+def cells(anchors: DataFrame, rows: DataFrame, keys: list[str], count: int) -> DataFrame:
+    """Both sides of ``count`` cells, spread over partitions by block of anchors and strip of row blocks, sorted cell by
+    cell. A strip is as long as leaves every task one, so that a block's best rows meet early where there are many."""
+    tasks = 16 * rows.sparkSession.sparkContext.defaultParallelism
+    strip = F.floor(F.col("down") / max(1, min(STRIP, count // tasks)))
     both = anchors.withColumn("side", F.lit(0)).unionByName(rows.withColumn("side", F.lit(1)), allowMissingColumns=True)
-    tasks = 16 * both.sparkSession.sparkContext.defaultParallelism
     return both.repartition(tasks, *keys, "across", strip).sortWithinPartitions(*keys, "across", "down", "side", "vec_id")
 
 
@@ -214,7 +215,8 @@ def positives(anchors: DataFrame, rows: DataFrame, k: int = POSITIVES) -> DataFr
                     names=["rid", "positive_id", "positive_score"])
 
     order = Window.partitionBy("rid").orderBy(F.desc("positive_score"), "positive_id")
-    found = cells(asked, given, ["label"]).mapInArrow(score, "rid long, positive_id long, positive_score long")
+    count = sizes.agg(F.coalesce(F.sum(F.col("n_down") * F.col("n_across")), F.lit(0))).first()[0]
+    found = cells(asked, given, ["label"], count).mapInArrow(score, "rid long, positive_id long, positive_score long")
     return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
 
 
@@ -246,7 +248,7 @@ def negatives(anchors: DataFrame, rows: DataFrame, k: int = NEGATIVES, low: int
                          pa.array(cell.id[cell.rows][c]), pa.array(part[a, c])],
                         names=["rid", "window", "negative_id", "negative_score"])
 
-    found = cells(asked, given, []).mapInArrow(score, "rid long, window int, negative_id long, negative_score long")
+    found = cells(asked, given, [], across * down).mapInArrow(score, "rid long, window int, negative_id long, negative_score long")
     order = Window.partitionBy("rid", "window").orderBy(F.desc("negative_score"), "negative_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
