@@ -22,20 +22,25 @@ a member of it. It is emitted in two rounds, so that long lines do not emit one
 Lines of up to ``MIN_WORDS`` words do the same with their characters (those of ``MIN_WORDS`` words with both, as their
 partner may have a word less).
 
-Lines long enough for a bound of two edits or more (``far``) have too many variants without that many words. Edits
-within the bound leave a run of ``RUN`` words as it is, whatever the length, so two such lines
-share the least of the hashed word grams of that run (a minimizer); a line has about two in nine of its
-grams as such keys. They join the halves in round 1. In round 2 the lines under a key are compared
+Lines long enough for a bound of k = two edits or more (``far``) have too many variants without that many words (820
+of 40 words, 79 million of 100). Their keys are what such a deletion leaves whole: of all windows of ``RUN`` words
+an edit touches at most ``RUN``, so the windows that two near lines share are all but ``RUN`` k. A window is
+known by the least of its hashed word grams (a minimizer, weighted with the windows it stands for). A line
+puts its keys in order, those of the fewest lines first, and needs the first of them only, up to a weight of
+``RUN`` k + 1: near lines share one of these. Keys no other line has count towards that weight, so a
+line that shares a passage and has as many words of its own has no partner, and a passage of very many lines is a key of
+those only that hold little else. In round 2 the lines under such a key are compared
 with its earliest one; where that is not near, with all earlier ones of the key, dealt into cells of bounded size.
 
 The pairs are verified on the lines' words, by the exact edit distance. Equal lines are grouped first, by a 128-bit hash;
-counts and minima are partial per task, so a line that stands in a third of all documents costs a row per task.
+counts and minima are partial per task. A line that holds over one in ``HOT_PART`` of all rows (there are fewer than that many)
+is joined where its rows are; no other line can bring more than that part of all rows to one task.
 
 Words are what stands between white space, lower-cased.
 
 Edge cases: lines without a word are never dropped; null texts stay null; null ids sort first; rows
-that share an id are one document to the order, so a line both have at the same place stays in both; an empty
-table gives an empty table; other columns pass untouched.
+that share an id (or have none) follow the 64-bit hash of their text; rows that share id and text are one
+document to the order, so what stays in one stays in both; an empty table gives an empty table; other columns pass untouched.
 """
 
 from __future__ import annotations
@@ -44,6 +49,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,14 +64,15 @@ MIN_CHARS = 8
 SPELLED = np.uint64(0x5851F42D4C957F2E)
 #: Words of a line for each edit that two near lines may be apart.
 WORDS_PER_EDIT = 20
-#: Words of a line whose bound is two edits or more, and of a run that edits within the bound leave as it is:
-#: n // 20 edits leave at most n // 20 + 1 runs of together n - n // 20 words, least at 40 words (38 / 3).
+#: Words of a line whose bound is two edits or more, words of a window and of its grams. Near lines share at least
+#: n - RUN + 1 - RUN (n // 20) windows: 14 of 32 at 40 words, never less.
 FAR_WORDS = 2 * WORDS_PER_EDIT
-RUN = -(-(FAR_WORDS - 2) // 3)
-#: Words of a gram, and lines of a block in round 2.
-GRAM = 6
+RUN = 9
+GRAM = 5
+#: Lines of a block in round 2, and the part of all rows beyond which a line's rows are not shuffled.
 BLOCK_LINES = 128
-# Odd multipliers of the two polynomial hashes.
+HOT_PART = 1024
+# Odd multipliers, of the polynomial hash and of a deleted word's place.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 U64 = np.uint64
 
@@ -94,17 +101,13 @@ class Lines:
         self.starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64) if len(lengths) else lengths
         place = np.arange(len(words)) - np.repeat(self.starts, lengths)
         self.place, top = place, int(lengths.max(initial=0))
-        self.powers = [POWERS[b].upto(top) for b in BASES]
-        self.sums = [np.concatenate([np.zeros(1, U64), np.cumsum(words * p.up[place], dtype=U64)]) for p in self.powers]
+        self.powers = POWERS.upto(top)
+        self.sums = np.concatenate([np.zeros(1, U64), np.cumsum(words * self.powers.up[place], dtype=U64)])
 
-    def span(self, first: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    def span(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of the words [first, end) of each line, as a text of its own."""
-        s, p = self.sums[which], self.powers[which]
-        return (s[self.starts + end] - s[self.starts + first]) * p.down[first]
-
-    def whole(self) -> tuple[np.ndarray, np.ndarray]:
-        zero = np.zeros_like(self.lengths)
-        return tuple(mix(self.span(zero, self.lengths, w) + self.lengths.astype(U64)) for w in (0, 1))
+        s = self.sums
+        return (s[self.starts + end] - s[self.starts + first]) * self.powers.down[first]
 
     def halves(self) -> list[np.ndarray]:
         """The two halves for the line's own length and for a length shorter by one."""
@@ -115,40 +118,48 @@ class Lines:
                 out.append(mix(span * MIX + (m * 4 + kind).astype(U64)))
         return out
 
-    def minimizers(self) -> tuple[np.ndarray, np.ndarray]:
-        """(line, key) of the least gram of every run of ``RUN`` words of the lines that have ``FAR_WORDS``."""
+    def minimizers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(line, key, windows) of the least grams of the windows of ``RUN`` words of lines that have ``FAR_WORDS``."""
         grams = len(self.place) - GRAM + 1
         if grams < RUN - GRAM + 1:
-            return np.zeros(0, np.int64), np.zeros(0, U64)
-        s, p = self.sums[0], self.powers[0]
+            return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64)
+        s, p = self.sums, self.powers
         own = mix((s[GRAM:] - s[:grams]) * p.down[self.place[:grams]] * MIX + U64(3))
         line = np.repeat(np.arange(len(self.lengths)), self.lengths)
         least = np.lib.stride_tricks.sliding_window_view(own, RUN - GRAM + 1).min(axis=1)
         n, place = self.lengths[line[:len(least)]], self.place[:len(least)]
         good = np.flatnonzero((n >= FAR_WORDS) & (place + RUN <= n))
-        line, least = line[good], least[good]
+        # Keys of windows are odd, those of halves even.
+        line, least = line[good], least[good] | U64(1)
         order = np.lexsort((least, line))
         line, least = line[order], least[order]
         fresh = np.ones(len(line), dtype=bool)
         fresh[1:] = (line[1:] != line[:-1]) | (least[1:] != least[:-1])
-        return line[fresh], least[fresh]
+        first = np.flatnonzero(fresh)
+        return line[first], least[first], np.diff(np.append(first, len(line)))
 
     def without_one(self) -> tuple[np.ndarray, np.ndarray]:
         """(line, hash of the line without that word) for every word of every line."""
         line = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        first, n, s, p = self.starts[line], self.lengths[line], self.sums[0], self.powers[0]
+        first, n, s, p = self.starts[line], self.lengths[line], self.sums, self.powers
         before = s[first + self.place] - s[first]
         after = s[first + n] - s[first + self.place + 1]
         return line, before + after * p.down[1]
 
 
-POWERS = {b: Powers(b) for b in BASES}
+POWERS = Powers(BASES[0])
 
 
 def units(line: str) -> list[str]:
     return line.lower().split()
 
 
+def digests(split: list[list[str]]) -> np.ndarray:
+    """The 128-bit hash of each line's words, as two long columns."""
+    whole = b"".join([xxhash.xxh3_128_digest(" ".join(words)) for words in split])
+    return np.frombuffer(whole, dtype=np.int64).reshape(-1, 2)
+
+
 def spelled(split: list[list[str]]) -> Lines:
     """Lines whose units are the characters of the words, joined by one space."""
     texts = [" ".join(words) for words in split]
@@ -203,11 +214,13 @@ def near(a: str, b: str) -> bool:
     return min(len(p), len(q)) >= MIN_CHARS and within_one(p, q)
 
 
-def lists(line: np.ndarray, keys: np.ndarray, count: int) -> pa.ListArray:
-    """The keys of each of ``count`` lines."""
+def lists(line: np.ndarray, keys: np.ndarray, weights: np.ndarray, count: int) -> pa.ListArray:
+    """The keys of each of ``count`` lines, with their weights."""
     order = np.argsort(line, kind="stable")
     offsets = np.searchsorted(line[order], np.arange(count + 1))
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(keys[order].view(np.int64)))
+    rows = pa.StructArray.from_arrays(
+        [pa.array(keys[order].view(np.int64)), pa.array(weights[order].astype(np.int32))], names=["v", "w"])
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), rows)
 
 
 def halves_of(lines: Lines, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -218,15 +231,15 @@ def halves_of(lines: Lines, least: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def round_one(lines: Lines, short: np.ndarray, chars: Lines) -> tuple[np.ndarray, np.ndarray]:
-    """(line, key): lines alone under all their keys have no near line. Keys of runs are odd, of halves even.
+def round_one(lines: Lines, short: np.ndarray, chars: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, key, weight): lines alone under all their keys have no near line. Weights of halves are 0.
     ``chars`` are the characters of the lines ``short``."""
     line, words = halves_of(lines, MIN_WORDS)
     row, letters = halves_of(chars, MIN_CHARS)
-    far, runs_ = lines.minimizers()
-    odd = U64(1)
-    return (np.concatenate([line, short[row], far]),
-            np.concatenate([words & ~odd, (letters ^ SPELLED) & ~odd, runs_ | odd]))
+    far, windows, weights = lines.minimizers()
+    half = np.concatenate([words, letters ^ SPELLED]) & ~U64(1)
+    return (np.concatenate([line, short[row], far]), np.concatenate([half, windows]),
+            np.concatenate([np.zeros(len(half), np.int64), weights]))
 
 
 def variants(lines: Lines, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -241,76 +254,86 @@ def variants(lines: Lines, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return np.concatenate([line[plain], np.arange(len(n)), line]), np.concatenate(keys), role
 
 
+def picked(docs: DataFrame) -> DataFrame:
+    """``doc_id, digest, text``: what lines are taken from, and what tells documents apart that share an id."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text"))
+
+
 def line_rows(docs: DataFrame, keyed: bool) -> DataFrame:
-    """``doc_id, line, k1, k2`` of every line with a word, ``keyed`` with its ``keys`` of round 1."""
-    kinds = "doc_id long, line int, k1 long, k2 long" + (", keys array<long>" if keyed else "")
+    """``doc_id, digest, line, k1, k2`` of every line with a word, ``keyed`` with its ``words`` and ``keys`` of round 1."""
+    names = ["doc_id", "digest", "line", "k1", "k2"] + (["words", "keys"] if keyed else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = WordHash().of
         for part in rows_of(batches):
-            ids, numbers, lengths, found, short = [], [], [], [], {}
-            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            docs_, numbers, split = [], [], []
+            for place, text in enumerate(part.column(2).to_pylist()):
                 for number, line in enumerate((text or "").lower().split("\n")):
                     some = line.split()
                     if some:
-                        if keyed and len(some) <= MIN_WORDS:
-                            short[len(ids)] = some
-                        ids.append(doc_id)
+                        docs_.append(place)
                         numbers.append(number)
-                        lengths.append(len(some))
-                        found += some
-            n = np.array(lengths, dtype=np.int64)
-            lines = Lines(of(found), n)
-            whole = [pa.array(k.view(np.int64)) for k in lines.whole()] if len(n) else [pa.array([], pa.int64())] * 2
-            columns = [pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), *whole]
+                        split.append(some)
+            if not split:
+                continue
+            whole, at = digests(split), pa.array(docs_)
+            columns = [part.column(0).take(at), part.column(1).take(at), pa.array(numbers, pa.int32()),
+                       pa.array(whole[:, 0]), pa.array(whole[:, 1])]
             if keyed:
-                columns.append(lists(*round_one(lines, np.array([*short], np.int64), spelled([*short.values()])), len(n))
-                               if len(n) else pa.array([], pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "k1", "k2", "keys"][:len(columns)])
+                n = np.array([len(w) for w in split], dtype=np.int64)
+                short = np.flatnonzero(n <= MIN_WORDS)
+                found = round_one(Lines(of([w for some in split for w in some]), n), short,
+                                  spelled([split[k] for k in short.tolist()]))
+                columns += [pa.array(n.astype(np.int32)), lists(*found, len(n))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    kinds = "doc_id long, digest long, line int, k1 long, k2 long"
+    return picked(docs).mapInArrow(run, kinds + (", words int, keys array<struct<v: long, w: int>>" if keyed else ""))
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(run, kinds)
+
+def same_document():
+    return F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("digest") == F.col("_digest"))
 
 
 def near_lines(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``k1, k2`` of the distinct lines near an earlier line (``texts``: k1, k2, at, keys)."""
-    placed = texts.select("k1", "k2", F.explode("keys").alias("v"))
+    """``k1, k2`` of the distinct lines near an earlier line (``texts``: k1, k2, at, words, keys)."""
+    placed = texts.select("k1", "k2", F.inline("keys"))
     # A line has each of its keys once.
-    shared = cut(placed.groupBy("v").agg(F.count("*").alias("rows")).where("rows > 1").select("v"))
-    odd = F.pmod("v", F.lit(2)) == 1
+    shared = cut(placed.groupBy("v").agg(F.count("*").alias("rows")).where("rows > 1"))
     partners = join_bounded(placed, shared, "v").groupBy("k1", "k2").agg(
-        F.max(~odd).alias("half"), F.max(odd).alias("run"))
-    wanted = cut(partners.join(texts.select("k1", "k2", "at"), ["k1", "k2"])
-                 .groupBy(F.col("at.doc_id").alias("_doc"))
-                 .agg(F.collect_list(F.struct(F.col("at.line").alias("line"), "k1", "k2", "half", "run")).alias("lines")))
+        F.max(F.col("w") == 0).alias("half"),
+        F.sort_array(F.collect_list(F.when(F.col("w") > 0, F.struct("rows", "v", "w")))).alias("windows"))
+    # The keys that come before a weight of RUN k is passed; those of no other line come first.
+    free = F.greatest(F.lit(1), F.expr(f"words div {WORDS_PER_EDIT}")) * RUN
+    alone = F.col("words") - (RUN - 1) - F.aggregate("windows", F.lit(0), lambda a, x: a + x["w"])
+    taken = F.aggregate(
+        "windows", F.struct(alone.cast("int").alias("weight"), F.lit(0).alias("keys")),
+        lambda a, x: F.struct((a["weight"] + x["w"]).alias("weight"),
+                              (a["keys"] + (a["weight"] <= free).cast("int")).alias("keys")), lambda a: a["keys"])
+    least = F.transform(F.slice("windows", F.lit(1), taken), lambda x: x["v"])
+    wanted = cut(partners.join(texts.select("k1", "k2", "at", "words"), ["k1", "k2"])
+                 .select("k1", "k2", "at", "half", least.alias("windows")).where("half OR size(windows) > 0")
+                 .groupBy(F.col("at.doc_id").alias("_doc"), F.col("at.digest").alias("_digest"))
+                 .agg(F.collect_list(F.struct(F.col("at.line").alias("line"), "k1", "k2", "half", "windows")).alias("lines")))
+    kinds = "k1 long, k2 long, doc_id long, digest long, line int, text string, half boolean, windows array<long>"
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = WordHash().of
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.list_(pa.int64())]
+        names = ["k1", "k2", "doc_id", "digest", "line", "text", "half", "windows"]
         for part in rows_of(batches):
             rows = []
-            for doc_id, text, lines in zip(*(c.to_pylist() for c in part.columns)):
-                split = text.split("\n") if text else []
-                for w in lines:
-                    line = split[w["line"]] if w["line"] < len(split) else ""
-                    found = units(line)
-                    if not found:
-                        continue
-                    own = Lines(of(found), np.array([len(found)])).whole()
-                    if int(own[0].view(np.int64)[0]) == w["k1"] and int(own[1].view(np.int64)[0]) == w["k2"]:
-                        rows.append((w["k1"], w["k2"], doc_id, w["line"], line, w["half"], w["run"]))
+            for doc_id, digest, text, lines in zip(*(c.to_pylist() for c in part.columns)):
+                split = text.split("\n")
+                rows += [(w["k1"], w["k2"], doc_id, digest, w["line"], split[w["line"]], w["half"], w["windows"]) for w in lines]
             if rows:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
-                                                 names=["k1", "k2", "doc_id", "line", "text", "half", "run"])
-
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = (join_bounded(picked, wanted, F.col("doc_id").eqNullSafe(F.col("_doc")))
-             .select("doc_id", "text", "lines")
-             .mapInArrow(pick, "k1 long, k2 long, doc_id long, line int, text string, half boolean, run boolean")
-             .dropDuplicates(["k1", "k2"]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+    lines = (join_bounded(picked(docs), wanted, same_document())
+             .select("doc_id", "digest", "text", "lines").mapInArrow(pick, kinds).dropDuplicates(["k1", "k2"]))
     # After a range partitioning by document and line the ids that Spark counts up follow that order.
-    lines = cut(lines.repartitionByRange("doc_id", "line").sortWithinPartitions("doc_id", "line")
-                .select("k1", "k2", "text", "half", "run", F.monotonically_increasing_id().alias("at")))
+    lines = cut(lines.repartitionByRange("doc_id", "digest", "line").sortWithinPartitions("doc_id", "digest", "line")
+                .select("k1", "k2", "text", "half", "windows", F.monotonically_increasing_id().alias("at")))
 
     def neighbourhood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """``key, role, at`` of the lines' words, or of their characters where they have few words, or of both."""
@@ -358,16 +381,7 @@ def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 def far_lines(lines: DataFrame, one: DataFrame) -> DataFrame:
     """``at`` of the lines of ``FAR_WORDS`` words or more near an earlier one; of those in ``one`` some or none."""
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = WordHash().of
-        for part in rows_of(batches):
-            split = [units(t) for t in part.column(0).to_pylist()]
-            n = np.array([len(w) for w in split], dtype=np.int64)
-            line, key = Lines(of([w for x in split for w in x]), n).minimizers()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), part.column(1).take(pa.array(line))], names=["key", "at"])
-
-    spots = lines.where("run").select("text", "at").mapInArrow(keys, "key long, at long")
+    spots = lines.select(F.explode("windows").alias("key"), "at")
     first = spots.groupBy("key").agg(F.min("at").alias("first"), F.count("*").alias("rows")).where("rows > 1")
     later = cut(spots.join(first, "key").where("at > first"))
     open_ = later.join(one, "at", "left_anti")
@@ -408,39 +422,40 @@ def far_lines(lines: DataFrame, one: DataFrame) -> DataFrame:
     return least.unionByName(dealt.mapInArrow(compare, "at long"))
 
 
+def dropped(lines: DataFrame, settled: DataFrame) -> DataFrame:
+    """``lines`` with the row of their line in ``settled`` (k1, k2, first, near, copies)."""
+    least = lines.count() // HOT_PART
+    hot = F.broadcast(settled.where(F.col("copies") > least))  # fewer than HOT_PART rows
+    few = lines.join(hot.select("k1", "k2"), ["k1", "k2"], "left_anti")
+    return few.join(settled.where(F.col("copies") <= least), ["k1", "k2"]).unionByName(lines.join(hot, ["k1", "k2"]))
+
+
 def mark(docs: DataFrame) -> DataFrame:
     """``row`` (the columns of ``docs`` but text), ``text`` without dropped lines, and the number of
     its lines with a word (``n_lines``), dropped as equal (``n_equal``) and as near (``n_near``)."""
     # The keys are most of a line's bytes: they are made again rather than written with every copy of a line.
     lines = cut(line_rows(docs, False))
-    at = F.struct("doc_id", "line")
+    at = F.struct("doc_id", "digest", "line")
     texts = cut(line_rows(docs, True).groupBy("k1", "k2").agg(
-        F.min(at).alias("at"), F.count("*").alias("copies"), F.max("keys").alias("keys")))
+        F.min(at).alias("at"), F.count("*").alias("copies"), F.max("words").alias("words"), F.max("keys").alias("keys")))
     close = near_lines(docs, texts).withColumn("near", F.lit(True))
     settled = cut(texts.select("k1", "k2", "at", "copies").join(close, ["k1", "k2"], "left")
                   .select("k1", "k2", F.col("at").alias("first"), F.coalesce("near", F.lit(False)).alias("near"), "copies")
-                  .where("near OR copies > 1").drop("copies"))
-    gone = cut(lines.select("doc_id", "line", "k1", "k2").join(settled, ["k1", "k2"])
-               .where(F.col("near") | (at != F.col("first")))
-               .groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("line", "k1", "near")).alias("gone")))
+                  .where("near OR copies > 1"))
+    gone = cut(dropped(lines, settled).where(F.col("near") | (at != F.col("first")))
+               .groupBy(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"))
+               .agg(F.collect_set(F.struct("line", "near")).alias("gone")))
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = WordHash().of
         for part in rows_of(batches):
             out = []
             for text, drop in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                 split = text.split("\n") if text is not None else []
                 full = sum(1 for s in split if s and not s.isspace())
-                equal = close = 0
-                lost = set()
-                for d in drop or ():
-                    found = units(split[d["line"]]) if d["line"] < len(split) else []
-                    if found and int(Lines(of(found), np.array([len(found)])).whole()[0].view(np.int64)[0]) == d["k1"]:
-                        lost.add(d["line"])
-                        close += d["near"]
-                        equal += not d["near"]
+                lost = {d["line"]: d["near"] for d in drop or ()}
+                close = sum(lost.values())
                 kept = text if not lost else "\n".join(s for i, s in enumerate(split) if i not in lost)
-                out.append((kept, full, equal, close))
+                out.append((kept, full, len(lost) - close, close))
             kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), *(pa.array(c, t) for c, t in zip(zip(*out), kinds))],
@@ -448,7 +463,8 @@ def mark(docs: DataFrame) -> DataFrame:
 
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     rows = docs.select(F.struct(*rest).alias("row"), F.col("text").cast("string").alias("text"))
-    joined = join_bounded(rows, gone, F.col("row.doc_id").cast("long").eqNullSafe(F.col("_doc")), "left") \
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_digest"))
+    joined = join_bounded(rows, gone, same, "left") \
         .select("row", "text", "gone")
     schema = joined.select("row", "text").schema.add("n_lines", "integer").add("n_equal", "integer").add("n_near", "integer")
     return joined.mapInArrow(rebuild, schema)

@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from lakehealth.llm import linededup
+from lakehealth.llm.words import WordHash
 from tests.llm.test_corpus_operators import frame, made
 
 
@@ -48,8 +50,8 @@ def test_within_equals_the_edit_distance():
 def test_long_lines_equal_an_exhaustive_version(spark, monkeypatch, block):
     monkeypatch.setattr(linededup, "BLOCK_LINES", block)
     rng = random.Random(3)
-    base = [made(rng, n) for n in (20, 39, 40, 41, 59, 60, 79, 85, 120, 200)]
-    lines = base + [edited(rng, b, rng.randint(1, len(b.split()) // 12)) for b in base for _ in range(10)]
+    base = [made(rng, n) for n in (9, 20, 39, 40, 41, 59, 60, 79, 85, 120, 200, 400)]
+    lines = base + [edited(rng, b, rng.randint(1, max(1, len(b.split()) // 12))) for b in base for _ in range(10)]
     # Lines that share a passage and little else, near a later one than the first of the passage.
     passage = made(rng, 25)
     held = [f"{made(rng, 15)} {passage} {made(rng, 15)}" for _ in range(8)]
@@ -61,6 +63,49 @@ def test_long_lines_equal_an_exhaustive_version(spark, monkeypatch, block):
     assert len(want) < len(lines) - 50
 
 
+def test_lines_that_are_mostly_a_shared_passage(spark):
+    rng = random.Random(8)
+    passage = made(rng, 60)
+    lines = [f"{made(rng, a)} {passage} {made(rng, b)}" for a, b in [(0, 1), (2, 0), (3, 3), (1, 5), (20, 4), (30, 30)] * 8]
+    lines += [edited(rng, line, rng.randint(1, 5)) for line in lines]
+    split = [line.split() for line in lines]
+    want = {k for k, a in enumerate(split) if not any(
+        edit_distance(a, b) <= max(1, min(len(a), len(b)) // 20) for b in split[:k])}
+    assert left(spark, lines) == want
+
+
+def test_windows_before_the_weight_hold_one_that_near_lines_share():
+    """Whatever the order of the keys, as long as both lines follow the same."""
+    rng = random.Random(9)
+    words = WordHash()
+    for _ in range(300):
+        a = made(rng, rng.randint(40, 160)).split()
+        b = edited(rng, " ".join(a), len(a) // 20).split()
+        if min(len(a), len(b)) < 40 or not linededup.within(a, b, linededup.bound(min(len(a), len(b)))):
+            continue
+        lines = linededup.Lines(words.of(a + b), np.array([len(a), len(b)]))
+        line, key, weight = lines.minimizers()
+        first = []
+        for k, n in enumerate((len(a), len(b))):
+            mine = np.flatnonzero(line == k)
+            assert weight[mine].sum() == n - linededup.RUN + 1
+            mine = mine[np.argsort(key[mine] * np.uint64(0x9E3779B97F4A7C15))]
+            before = np.cumsum(weight[mine]) - weight[mine]
+            first.append(set(key[mine][before <= linededup.RUN * linededup.bound(n)].tolist()))
+        assert first[0] & first[1]
+
+
+@pytest.mark.parametrize("part", [1024, 3])
+def test_rows_without_an_id_follow_their_text(spark, monkeypatch, part):
+    monkeypatch.setattr(linededup, "HOT_PART", part)
+    rng = random.Random(10)
+    texts = [f"the same first line of all\n{made(rng, 12)}" for _ in range(200)]
+    got = linededup.mark(frame(spark, [(None, t) for t in texts] + [(5, texts[0])])).collect()
+    assert len(got) == 201 and sum(r.n_equal for r in got) == 201
+    assert sum(r.text.startswith("the same") for r in got) == 1
+    assert not next(r for r in got if r.row.doc_id == 5).text
+
+
 def mistyped(rng, line, k):
     c = list(line)
     for _ in range(k):
