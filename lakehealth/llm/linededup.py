@@ -65,10 +65,10 @@ SPELLED = np.uint64(0x5851F42D4C957F2E)
 #: Words of a line for each edit that two near lines may be apart.
 WORDS_PER_EDIT = 20
 #: Words of a line whose bound is two edits or more, words of a window and of its grams. Near lines share at least
-#: n - RUN + 1 - RUN (n // 20) windows: 14 of 32 at 40 words, never less.
+#: n - RUN + 1 - RUN (n // 20) windows: 8 of 30 at 40 words, never less.
 FAR_WORDS = 2 * WORDS_PER_EDIT
-RUN = 9
-GRAM = 5
+RUN = 11
+GRAM = 4
 #: Lines of a block in round 2, and the part of all rows beyond which a line's rows are not shuffled.
 BLOCK_LINES = 128
 HOT_PART = 1024
@@ -214,13 +214,11 @@ def near(a: str, b: str) -> bool:
     return min(len(p), len(q)) >= MIN_CHARS and within_one(p, q)
 
 
-def lists(line: np.ndarray, keys: np.ndarray, weights: np.ndarray, count: int) -> pa.ListArray:
-    """The keys of each of ``count`` lines, with their weights."""
+def lists(line: np.ndarray, count: int, *values: tuple[np.ndarray, pa.DataType]) -> list[pa.ListArray]:
+    """The values of each of ``count`` lines, one column of lists for each."""
     order = np.argsort(line, kind="stable")
-    offsets = np.searchsorted(line[order], np.arange(count + 1))
-    rows = pa.StructArray.from_arrays(
-        [pa.array(keys[order].view(np.int64)), pa.array(weights[order].astype(np.int32))], names=["v", "w"])
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), rows)
+    offsets = pa.array(np.searchsorted(line[order], np.arange(count + 1)).astype(np.int32))
+    return [pa.ListArray.from_arrays(offsets, pa.array(v[order], t)) for v, t in values]
 
 
 def halves_of(lines: Lines, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -231,15 +229,16 @@ def halves_of(lines: Lines, least: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def round_one(lines: Lines, short: np.ndarray, chars: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, key, weight): lines alone under all their keys have no near line. Weights of halves are 0.
-    ``chars`` are the characters of the lines ``short``."""
+def round_one(lines: Lines, short: np.ndarray, chars: Lines) -> list[pa.ListArray]:
+    """Lists of keys of halves, keys of windows and weights of these; lines alone under all their keys
+    have no near line. ``chars`` are the characters of the lines ``short``."""
     line, words = halves_of(lines, MIN_WORDS)
     row, letters = halves_of(chars, MIN_CHARS)
-    far, windows, weights = lines.minimizers()
     half = np.concatenate([words, letters ^ SPELLED]) & ~U64(1)
-    return (np.concatenate([line, short[row], far]), np.concatenate([half, windows]),
-            np.concatenate([np.zeros(len(half), np.int64), weights]))
+    far, windows, weights = lines.minimizers()
+    n = len(lines.lengths)
+    return [*lists(np.concatenate([line, short[row]]), n, (half.view(np.int64), pa.int64())),
+            *lists(far, n, (windows.view(np.int64), pa.int64()), (weights, pa.int32()))]
 
 
 def variants(lines: Lines, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -261,8 +260,8 @@ def picked(docs: DataFrame) -> DataFrame:
 
 
 def line_rows(docs: DataFrame, keyed: bool) -> DataFrame:
-    """``doc_id, digest, line, k1, k2`` of every line with a word, ``keyed`` with its ``words`` and ``keys`` of round 1."""
-    names = ["doc_id", "digest", "line", "k1", "k2"] + (["words", "keys"] if keyed else [])
+    """``doc_id, digest, line, k1, k2`` of every line with a word, ``keyed`` with its ``words`` and keys of round 1."""
+    names = ["doc_id", "digest", "line", "k1", "k2"] + (["words", "halves", "windows", "weights"] if keyed else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = WordHash().of
@@ -285,11 +284,12 @@ def line_rows(docs: DataFrame, keyed: bool) -> DataFrame:
                 short = np.flatnonzero(n <= MIN_WORDS)
                 found = round_one(Lines(of([w for some in split for w in some]), n), short,
                                   spelled([split[k] for k in short.tolist()]))
-                columns += [pa.array(n.astype(np.int32)), lists(*found, len(n))]
+                columns += [pa.array(n.astype(np.int32)), *found]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kinds = "doc_id long, digest long, line int, k1 long, k2 long"
-    return picked(docs).mapInArrow(run, kinds + (", words int, keys array<struct<v: long, w: int>>" if keyed else ""))
+    extra = ", words int, halves array<long>, windows array<long>, weights array<int>"
+    return picked(docs).mapInArrow(run, kinds + (extra if keyed else ""))
 
 
 def same_document():
@@ -297,11 +297,12 @@ def same_document():
 
 
 def near_lines(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``k1, k2`` of the distinct lines near an earlier line (``texts``: k1, k2, at, words, keys)."""
-    placed = texts.select("k1", "k2", F.inline("keys"))
+    """``id`` of the distinct lines near an earlier line (``texts``: id, at, words, halves, windows, weights)."""
+    placed = texts.select("id", F.inline(F.arrays_zip(F.col("windows").alias("v"), F.col("weights").alias("w")))) \
+        .unionByName(texts.select("id", F.explode("halves").alias("v"), F.lit(0).alias("w")))
     # A line has each of its keys once.
     shared = cut(placed.groupBy("v").agg(F.count("*").alias("rows")).where("rows > 1"))
-    partners = join_bounded(placed, shared, "v").groupBy("k1", "k2").agg(
+    partners = join_bounded(placed, shared, "v").groupBy("id").agg(
         F.max(F.col("w") == 0).alias("half"),
         F.sort_array(F.collect_list(F.when(F.col("w") > 0, F.struct("rows", "v", "w")))).alias("windows"))
     # The keys that come before a weight of RUN k is passed; those of no other line come first.
@@ -312,28 +313,28 @@ def near_lines(docs: DataFrame, texts: DataFrame) -> DataFrame:
         lambda a, x: F.struct((a["weight"] + x["w"]).alias("weight"),
                               (a["keys"] + (a["weight"] <= free).cast("int")).alias("keys")), lambda a: a["keys"])
     least = F.transform(F.slice("windows", F.lit(1), taken), lambda x: x["v"])
-    wanted = cut(partners.join(texts.select("k1", "k2", "at", "words"), ["k1", "k2"])
-                 .select("k1", "k2", "at", "half", least.alias("windows")).where("half OR size(windows) > 0")
+    wanted = cut(partners.join(texts.select("id", "at", "words"), "id")
+                 .select("id", "at", "half", least.alias("windows")).where("half OR size(windows) > 0")
                  .groupBy(F.col("at.doc_id").alias("_doc"), F.col("at.digest").alias("_digest"))
-                 .agg(F.collect_list(F.struct(F.col("at.line").alias("line"), "k1", "k2", "half", "windows")).alias("lines")))
-    kinds = "k1 long, k2 long, doc_id long, digest long, line int, text string, half boolean, windows array<long>"
+                 .agg(F.collect_list(F.struct(F.col("at.line").alias("line"), "id", "half", "windows")).alias("lines")))
+    kinds = "id long, doc_id long, digest long, line int, text string, half boolean, windows array<long>"
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.list_(pa.int64())]
-        names = ["k1", "k2", "doc_id", "digest", "line", "text", "half", "windows"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.list_(pa.int64())]
+        names = ["id", "doc_id", "digest", "line", "text", "half", "windows"]
         for part in rows_of(batches):
             rows = []
             for doc_id, digest, text, lines in zip(*(c.to_pylist() for c in part.columns)):
                 split = text.split("\n")
-                rows += [(w["k1"], w["k2"], doc_id, digest, w["line"], split[w["line"]], w["half"], w["windows"]) for w in lines]
+                rows += [(w["id"], doc_id, digest, w["line"], split[w["line"]], w["half"], w["windows"]) for w in lines]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     lines = (join_bounded(picked(docs), wanted, same_document())
-             .select("doc_id", "digest", "text", "lines").mapInArrow(pick, kinds).dropDuplicates(["k1", "k2"]))
+             .select("doc_id", "digest", "text", "lines").mapInArrow(pick, kinds).dropDuplicates(["id"]))
     # After a range partitioning by document and line the ids that Spark counts up follow that order.
     lines = cut(lines.repartitionByRange("doc_id", "digest", "line").sortWithinPartitions("doc_id", "digest", "line")
-                .select("k1", "k2", "text", "half", "windows", F.monotonically_increasing_id().alias("at")))
+                .select("id", "text", "half", "windows", F.monotonically_increasing_id().alias("at")))
 
     def neighbourhood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """``key, role, at`` of the lines' words, or of their characters where they have few words, or of both."""
@@ -362,7 +363,7 @@ def near_lines(docs: DataFrame, texts: DataFrame) -> DataFrame:
              .groupBy("at").agg(F.min("earlier").alias("earlier")))
     one = verified(pairs, lines)
     settled = one.unionByName(far_lines(lines, one))
-    return lines.join(settled.distinct(), "at").select("k1", "k2")
+    return lines.join(settled.distinct(), "at").select("id")
 
 
 def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -437,9 +438,11 @@ def mark(docs: DataFrame) -> DataFrame:
     lines = cut(line_rows(docs, False))
     at = F.struct("doc_id", "digest", "line")
     texts = cut(line_rows(docs, True).groupBy("k1", "k2").agg(
-        F.min(at).alias("at"), F.count("*").alias("copies"), F.max("words").alias("words"), F.max("keys").alias("keys")))
+        F.min(at).alias("at"), F.count("*").alias("copies"),
+        *(F.max(c).alias(c) for c in ("words", "halves", "windows", "weights")))
+        .withColumn("id", F.monotonically_increasing_id()))
     close = near_lines(docs, texts).withColumn("near", F.lit(True))
-    settled = cut(texts.select("k1", "k2", "at", "copies").join(close, ["k1", "k2"], "left")
+    settled = cut(texts.select("id", "k1", "k2", "at", "copies").join(close, "id", "left")
                   .select("k1", "k2", F.col("at").alias("first"), F.coalesce("near", F.lit(False)).alias("near"), "copies")
                   .where("near OR copies > 1"))
     gone = cut(dropped(lines, settled).where(F.col("near") | (at != F.col("first")))
