@@ -13,7 +13,7 @@ find_words = re.compile(r"\w+").findall
 #: Words of a shingle.
 SHINGLE = 5
 #: Entries of a worker's word cache. When it is full, its older half stays: what is met first is frequent.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 
