@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 from collections.abc import Iterable, Iterator
@@ -90,7 +91,17 @@ def join_bounded(left: DataFrame, right: DataFrame, on, how: str = "inner",
     return left.join(side, on, how)
 
 
+def give_back() -> None:
+    """Return to the system what earlier tasks of this worker, which outlives them, have freed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only the GNU library has it
+        pass
+
+
 def rows_of(batches: Iterable[pa.RecordBatch], size: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    give_back()
     for batch in batches:
         for start in range(0, batch.num_rows, size):
             yield batch.slice(start, size)
@@ -98,6 +109,7 @@ def rows_of(batches: Iterable[pa.RecordBatch], size: int = SLICE_ROWS) -> Iterat
 
 def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The groups of equal ``keys`` of a partition that is sorted by them, one table each."""
+    give_back()
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
