@@ -474,7 +474,8 @@ def fk_stats(tables: Mapping[str, DataFrame],
     """Per foreign key: child rows, orphan rows, orphan keys and rows that reference a parent.
 
     No join of keys: the rows of the shared ``KeyCounts`` aggregate are tagged with the foreign keys
-    their set is the child or parent of, and one ``groupBy(fk_id, key)`` adds up child rows
+    their set is the child or parent of (where they are, by an expression: a join on the set would bring all keys
+    of a set to one task), and one ``groupBy(fk_id, key)`` adds up child rows
     and notes whether a parent has the key. Every declared foreign key keeps its row,
     also with an empty child table.
     """
@@ -488,9 +489,11 @@ def fk_stats(tables: Mapping[str, DataFrame],
     for i, (c, ck, p, pk) in enumerate(keyed):
         roles.setdefault(kc.ids[(c, tuple(ck))], []).append((i, True))
         roles.setdefault(kc.ids[(p, tuple(pk))], []).append((i, False))
-    role = kc.set_map(spark, [(s, i, is_child) for s, pairs in sorted(roles.items()) for i, is_child in pairs],
-                      "set_id int, fk_id int, is_child boolean")
-    g = kc.counts.join(role, "set_id").groupBy("fk_id", *kc.slots).agg(
+    role = F.coalesce(*(F.when(F.col("set_id") == s, F.array(*(
+        F.struct(F.lit(i).alias("fk_id"), F.lit(is_child).alias("is_child")) for i, is_child in pairs)))
+        for s, pairs in sorted(roles.items())))
+    tagged = kc.counts.select(*kc.slots, "n", F.inline(role))  # sets of no foreign key have no role and no row
+    g = tagged.groupBy("fk_id", *kc.slots).agg(
         F.coalesce(F.sum(F.when(F.col("is_child"), F.col("n"))), F.lit(0)).alias("n"),
         F.max(F.col("is_child")).alias("in_child"), F.max(~F.col("is_child")).alias("hit"))
     width = {i: len(ck) for i, (_, ck, _, _) in enumerate(keyed)}

@@ -55,6 +55,17 @@ def test_foreign_key_of_an_empty_child_keeps_its_row(spark):
     assert _fk(spark, "SELECT 2 AS k UNION ALL SELECT NULL", "SELECT 1 AS k").orphans == 1
 
 
+def test_keys_of_a_set_are_not_joined_to_its_foreign_keys(spark):
+    tables = {"c": spark.sql("SELECT * FROM VALUES (1, 5), (1, 6), (2, NULL) t(k, m)"), "d": spark.sql("SELECT 1 AS k"),
+              "p": spark.sql("SELECT * FROM VALUES (1), (5) t(k)")}
+    stats = quality.fk_stats(tables, [("c", ["k"], "p", ["k"]), ("c", ["m"], "p", ["k"]), ("d", ["k"], "p", ["k"])])
+    plan = stats._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.split("\n") if "Join" in line]
+    assert joins and not [line for line in joins if "set_id" in line]
+    got = {(r.child, r.child_cols): (r.rows, r.orphans, r.orphan_keys, r.matched) for r in stats.collect()}
+    assert got == {("c", "k"): (3, 1, 1, 2), ("c", "m"): (3, 1, 1, 1), ("d", "k"): (1, 0, 0, 1)}
+
+
 def test_date_shapes_need_whole_dates(spark):
     df = spark.sql("SELECT '2024-01-01 server restarted' AS a, '2024-13-99' AS b, '2024-02-28 10:11' AS c")
     rows = {r.column_name: r.date_like for r in quality.column_profile({"t": df}, {"shape"}).collect()}
