@@ -4,8 +4,8 @@ Layout under ``root`` (one workspace, one lakehouse)::
 
     Tables/lineitem/      one commit per ship month (version = months since the first), one add per (month, return
                           flag, supplier); a commit removes the files of flag R that are six versions old.
-                          Checkpoints: an older one, the newest complete one (version C, two parts) and a newer one
-                          whose second part is missing. Commits before C - 3 are cleaned away. Version C + 2 changes
+                          Checkpoints: an older one, the newest complete one (version C, two parts or more, by the number
+                          of files) and a newer one whose last part is missing. Commits before C - 3 are cleaned away. Version C + 2 changes
                           the schema and the settings, with two metaData actions.
     Tables/sales/orders/  one commit per year; one checkpoint at the last version, of another shape (parsed statistics,
                           no removes); all commits but the last cleaned away
@@ -23,6 +23,7 @@ from fixtures.lake import _add, _commit, _line, _map, _protocol, _publish, lake_
 from lakehealth.session import scratch_path
 
 AGE = 6  # versions after which files of flag R are removed
+PART_ROWS = 500_000  # files of the table for each part of a checkpoint
 COMMENTED = ["l_orderkey", "l_partkey", "l_quantity"]
 
 
@@ -67,21 +68,24 @@ def _rows(df: DataFrame, **columns) -> DataFrame:
 
 def write_checkpoint(spark, rows: list[DataFrame], staging: str, base: str, table: str, version: int, parts: int = 1,
                      written: int | None = None) -> None:
-    """The rows as one checkpoint file, or as ``parts`` files of which ``written`` are there."""
+    """The rows as one checkpoint file, or as ``parts`` files of which ``written`` are there. One job writes all the parts."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path
     all_rows = rows[0]
     for r in rows[1:]:
         all_rows = all_rows.unionByName(r, allowMissingColumns=True)
+    folder = f"{staging}/{table.replace('/', '.')}-{version}"
+    dealt = all_rows.withColumn("part_of", F.pmod(F.xxhash64(F.to_json(F.struct("*"))), F.lit(parts)) + 1)
+    dealt.repartition(parts, "part_of").write.partitionBy("part_of").parquet(folder)
+    target = path(f"{base}/{table}/_delta_log")
+    fs = target.getFileSystem(conf)
+    fs.mkdirs(target)
     for part in range(1, (written or parts) + 1):
-        folder = f"{staging}/{table.replace('/', '.')}-{version}-{part}"
-        mine = all_rows.filter(F.pmod(F.xxhash64(F.to_json(F.struct("*"))), F.lit(parts)) == part - 1)
-        mine.coalesce(1).write.parquet(folder)
+        mine = path(f"{folder}/part_of={part}")
+        if not fs.exists(mine):  # no row was dealt to this part
+            all_rows.limit(0).coalesce(1).write.parquet(mine.toString())
         number = f".{part:010d}.{parts:010d}" if parts > 1 else ""
-        target = path(f"{base}/{table}/_delta_log")
-        fs = target.getFileSystem(conf)
-        fs.mkdirs(target)
-        for st in fs.globStatus(path(f"{folder}/part-*")):
+        for st in fs.globStatus(path(mine, "part-*")):
             fs.rename(st.getPath(), path(target, f"{version:020d}.checkpoint{number}.parquet"))
 
 
@@ -99,7 +103,8 @@ def build_state_lake(spark: SparkSession, sf_dir: str, root: str | None = None)
     files = li.groupBy(F.trunc("l_shipdate", "month").alias("month"), "l_returnflag", "l_suppkey").agg(F.count("*").alias("n")) \
         .withColumn("version", F.months_between("month", F.lit(first).cast("date")).cast("long"))
     files = files.checkpoint(eager=True)
-    last = files.agg(F.max("version")).first()[0]
+    last, count = files.agg(F.max("version"), F.count("*")).first()
+    parts = -(-count // PART_ROWS)
     at = last // 10 * 10 - 10
     name = F.concat(F.lit("l_returnflag="), "l_returnflag", F.lit("/part-"), F.lpad(F.col("version").cast("string"), 5, "0"),
                     F.lit("-"), F.col("l_suppkey").cast("string"), F.lit(".parquet"))
@@ -122,9 +127,10 @@ def build_state_lake(spark: SparkSession, sf_dir: str, root: str | None = None)
                 _rows(seen.filter(gone), remove=tombstone(F.lit(1).cast("long"))), _rows(one, metaData=metas[0]),
                 _rows(one, protocol=F.struct(F.lit(1).alias("minReaderVersion"), F.lit(2).alias("minWriterVersion")))]
 
-    write_checkpoint(spark, state(at - 10), staging, base, "lineitem", at - 10)
-    write_checkpoint(spark, state(at), staging, base, "lineitem", at, parts=2)
-    write_checkpoint(spark, state(at + 10), staging, base, "lineitem", at + 10, parts=2, written=1)
+    write_checkpoint(spark, state(at - 10), staging, base, "lineitem", at - 10, parts=parts)
+    parts = max(parts, 2)
+    write_checkpoint(spark, state(at), staging, base, "lineitem", at, parts=parts)
+    write_checkpoint(spark, state(at + 10), staging, base, "lineitem", at + 10, parts=parts, written=parts - 1)
     months = files.select("version").distinct()
     lines = [
         _rows(months, version=F.col("version"), pos=F.lit(0).cast("long"), line=_commit(F.col("version"), F.lit("WRITE"), _map({}))),

@@ -137,10 +137,11 @@ def read_log(spark: SparkSession, root: str, max_versions: int | None = None,
         files = files.filter(F.col("version") < max_versions)
     files = files.withColumn("table_id", _table_dir(F.col("file_path")))
     if after is not None:
-        files = (files.join(after.select("table_id", "checkpoint_version"), "table_id", "left")
+        # One row a table: broadcast, as a join by shuffle brings all commits of a table to one task.
+        files = (files.join(F.broadcast(after.select("table_id", "checkpoint_version")), "table_id", "left")
                  .filter(F.col("version") > F.coalesce("checkpoint_version", F.lit(-1))))
     lines = files.select("table_id", "version",
-                         F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("pos", "line"))
+                         F.posexplode(F.split("value", "\n")).alias("pos", "line"))
     lines = lines.filter(F.col("line") != "")
     parsed = F.from_json("line", _ACTION_SCHEMA)
     return lines.select(

@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from fixtures import state_queries
+from fixtures import state_lake, state_queries
 from lakehealth.sources import delta_log, delta_state
 from tests.test_oracle import _rows, con  # noqa: F401
 
@@ -111,3 +111,66 @@ def test_state_queries_equal_sql(spark, con, sf001, key):  # noqa: F811
     df = state_queries.QUERIES[key](spark, sf001)
     cur = con.execute(state_queries.ORACLE[key])
     assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows([d[0] for d in cur.description], cur.fetchall())
+
+
+def joins_above(plan, scan):
+    """The nearest join above each scan of that kind in a plan's text."""
+    lines, found = plan.split("\n"), []
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for k, line in enumerate(lines):
+        if scan not in line:
+            continue
+        at = depth(line)
+        for above in reversed(lines[:k]):
+            if depth(above) < at:
+                at = depth(above)
+                if "Join" in above:
+                    found.append(above.strip(" :+-").split(" ")[0])
+                    break
+    return found
+
+
+def test_rows_of_checkpoints_and_commits_are_picked_without_a_shuffle(spark, log):
+    checkpoint(spark, log, f"{1:020d}.checkpoint.parquet", [(("a", 1, {}, None), None, None)])
+    commit(log, 2, add("b"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where the files are many and their sizes add up
+    try:
+        plan = delta_state.read_state(spark, str(log.parents[4]))._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert joins_above(plan, "FileScan parquet") == ["BroadcastHashJoin"]
+    assert joins_above(plan, "FileScan text") == ["BroadcastHashJoin"]
+
+
+def test_a_large_table_has_checkpoints_of_more_parts_and_the_same_state(spark, sf0001, tmp_path, monkeypatch):
+    def files(root):
+        state = delta_state.read_state(spark, root)
+        return sorted((r.table_id[len(root):], r.path, r.size, r.stats) for r in delta_log.live_files(state).select(
+            "table_id", "path", "size", "stats").collect())
+
+    roots = []
+    for rows in (500_000, 100):
+        monkeypatch.setattr(state_lake, "PART_ROWS", rows)
+        roots.append(state_lake.build_state_lake(spark, sf0001, str(tmp_path / f"lake{rows}")))
+    parts = [r.parts for root in roots for r in delta_state.newest_checkpoints(delta_log.log_listing(spark, root)).collect()
+             if r.table_id.endswith("/lineitem")]
+    assert parts[0] == 2 and parts[1] > 2
+    assert [x[1:] for x in files(roots[0])] == [x[1:] for x in files(roots[1])]
+
+
+def test_a_part_without_rows_is_still_written(spark, log):
+    rows = spark.createDataFrame([(("a", 1, {}, None),)], "add struct<path: string, size: bigint, partitionValues: "
+                                                          "map<string,string>, stats: string>")
+    state_lake.write_checkpoint(spark, [rows], str(log.parents[4] / "_staging"), str(log.parents[1]), "t", 3, parts=4)
+    commit(log, 3, add("not-in-the-checkpoint"))
+    assert len(list(log.glob("*.checkpoint.*.parquet"))) == 4
+    assert live(spark, log) == {("a", 1)}
+
+
+def test_checkpoints_under_odd_folder_names_are_found(spark, tmp_path):
+    folder = tmp_path / "Sales Team" / "East 50%+1.Lakehouse" / "Tables" / "my table" / "_delta_log"
+    checkpoint(spark, folder, f"{2:020d}.checkpoint.parquet", [(("a", 1, {}, None), None, None)])
+    commit(folder, 3, add("b", 2))
+    files = delta_log.live_files(delta_state.read_state(spark, str(tmp_path))).collect()
+    assert {(r.table_id.rsplit("/", 1)[1], r.path) for r in files} == {("my table", "a"), ("my table", "b")}
