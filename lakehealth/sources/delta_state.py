@@ -7,7 +7,8 @@ version, in one file or in several parts.
 * Of each table's checkpoints the newest *complete* one counts (all parts there; a writer that died half-way leaves
   fewer). It is found from the listing alone.
 * What a file's name says (table, version, part) is taken from it once a file, not once a row, and meets the rows
-  by a broadcast of the files wanted: no row of a checkpoint is shuffled to be picked.
+  by a broadcast of the files wanted: no row of a checkpoint is shuffled to be picked. Files of checkpoints that do not
+  count are not opened; the paths of the others (one a part) are a condition on the file's path.
 * Checkpoint rows are read with one fixed schema for all tables; columns a writer added (parsed
   statistics, ...) are never read, those it left out are null. They become rows of the log frame, at the checkpoint's version
   and before every commit line (position -1), so that every operator over log frames works on them unchanged: the last
@@ -72,8 +73,9 @@ def read_checkpoints(spark: SparkSession, root: str, newest: DataFrame) -> DataF
     files = files.select("uri", _table_dir(F.col("file_path")).alias("table_id"), version, parts)
     wanted = newest.select("table_id", F.col("checkpoint_version").alias("version"), "parts")
     files = files.join(wanted, ["table_id", "version", "parts"], "left_semi").select("uri", "table_id", "version")
-    rows = spark.read.schema(CHECKPOINT_ROWS).parquet(*globs).select("*", F.col("_metadata.file_path").alias("uri"))
-    rows = rows.join(F.broadcast(files), "uri")
+    uris = [r.uri for r in files.select("uri").collect()]
+    rows = spark.read.schema(CHECKPOINT_ROWS).parquet(*globs).filter(F.col("_metadata.file_path").isin(uris))
+    rows = rows.select("*", F.col("_metadata.file_path").alias("uri")).join(F.broadcast(files), "uri")
     action = F.coalesce(*(F.when(F.col(name).isNotNull(), F.lit(name)) for name in _PAYLOADS))
     columns = {"pos": F.lit(-1), "action": action, **{column: F.col(name) for name, column in _PAYLOADS.items()}}
     return rows.filter(action.isNotNull()).select(*(

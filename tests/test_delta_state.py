@@ -174,3 +174,12 @@ def test_checkpoints_under_odd_folder_names_are_found(spark, tmp_path):
     commit(folder, 3, add("b", 2))
     files = delta_log.live_files(delta_state.read_state(spark, str(tmp_path))).collect()
     assert {(r.table_id.rsplit("/", 1)[1], r.path) for r in files} == {("my table", "a"), ("my table", "b")}
+
+
+def test_files_of_checkpoints_that_do_not_count_are_not_opened(spark, log):
+    log.mkdir(parents=True)
+    (log / f"{1:020d}.checkpoint.parquet").write_text("not Parquet at all")
+    checkpoint(spark, log, f"{3:020d}.checkpoint.parquet", [(("a", 1, {}, None), None, None)])
+    (log / f"{5:020d}.checkpoint.{1:010d}.{2:010d}.parquet").write_text("nor is this")
+    commit(log, 4, add("b", 2))
+    assert live(spark, log) == {("a", 1), ("b", 2)}
