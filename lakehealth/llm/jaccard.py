@@ -14,7 +14,7 @@ similarity that occurs must have ``RECALL`` of its pairs. Where too few pairs ar
 threshold itself decides, so the depth that finds a pair at the threshold with that chance is always enough.
 
 Candidates are verified exactly, on whole feature sets. Nodes that share members are joined to
-candidate groups (connected components), so that each text meets its candidates once and not
+candidate groups (connected components of one edge a row, ``stars``), so that each text meets its candidates once and not
 once per tree. A group of any size is dealt into blocks of bounded weight, and a task compares one
 pair of blocks; it returns link counts and a spanning forest of the links it found, never the
 pairs. So a group of copies costs its comparisons, but no more rows than it has members.
@@ -178,7 +178,18 @@ def forest(texts: DataFrame, least: int, trees: int = TREES, depth: int = DEPTH)
     seams = walked.where("label IS NOT NULL").select("tree", "label", F.col("b").alias("key")) \
         .coalesce(1).sortWithinPartitions(*order).mapInArrow(trie_edges(least, depth), kind)
     tied = walked.where("label IS NULL").unionByName(seams.where("label IS NULL")).where("a != b")
-    return cut(tied.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("level").alias("level")))
+    # A pair tied both ways stays once, under one of its rows, so that a row has one hub a tree at most (and one a seam).
+    return cut(tied.groupBy(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b"))
+               .agg(F.max("level").alias("level"), F.min(F.struct("a", "b")).alias("tie")).select("tie.a", "tie.b", "level"))
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """``a, b`` that join the same nodes as ``edges`` of ``forest``: each row is tied to the least of its hubs alone, and
+    its other hubs to that one. Rows of a group share their hubs, so a group has about one edge a row, not one a row and tree."""
+    hubs = edges.groupBy("b").agg(F.sort_array(F.collect_set("a")).alias("hubs"))
+    least = F.element_at("hubs", 1)
+    others = hubs.where("size(hubs) > 1").select(least.alias("a"), F.explode(F.slice("hubs", 2, TREES * 2)).alias("b"))
+    return hubs.select(least.alias("a"), "b").unionByName(others.distinct())
 
 
 def agreement(edges: DataFrame, texts: DataFrame, trees: int = TREES, depth: int = DEPTH) -> dict[tuple[int, int], int]:
@@ -294,7 +305,7 @@ def link(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         .withColumn("doc", F.when(~F.col("nulls"), F.col("least"))).drop("least", "nulls"))
     edges = forest(texts, prefix_depth(threshold))
     edges = edges.where(F.col("level") >= reached(agreement(edges, texts), threshold))
-    groups = components(edges).withColumnRenamed("node", "key").withColumnRenamed("label", "comp")
+    groups = components(stars(edges)).withColumnRenamed("node", "key").withColumnRenamed("label", "comp")
     members = groups.join(texts.drop("labels"), "key")
     weight = members.groupBy("comp").agg(F.greatest(
         F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_FEATURES)).cast("int").alias("blocks"))

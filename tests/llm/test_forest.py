@@ -63,6 +63,21 @@ def test_runs_that_partitions_cut_apart_are_joined(spark):
     assert len({label[k] for k in copies}) == 1 and len(copies) >= 16
 
 
+def test_a_group_of_near_copies_has_about_one_edge_a_row(spark):
+    rng = random.Random(9)
+    n = 400
+    base = rng.choices(range(10 ** 4), k=jaccard.TREES * jaccard.DEPTH)
+    made = np.array([[b if rng.random() < .97 else rng.randrange(10 ** 4) for b in base] for _ in range(n)], dtype=">u2")
+    keys = [rng.randbytes(16) for _ in range(n)]
+    texts = spark.createDataFrame(list(zip(keys, [m.tobytes() for m in made])), "key binary, labels binary").repartition(3)
+    edges = jaccard.forest(texts, 6)
+    few = jaccard.stars(edges)
+    want = {r.node: r.label for r in graph.components(edges.select("a", "b")).collect()}
+    assert len(want) > n * .95 and {r.node: r.label for r in graph.components(few).collect()} == want
+    # One edge a row and those between hubs, not one a row and tree.
+    assert edges.count() > 2 * n > 1.5 * few.count()
+
+
 def test_prefixes_are_shortened_until_the_recall_is_reached():
     size = jaccard.TREES * jaccard.DEPTH
     least = jaccard.prefix_depth(.8)
