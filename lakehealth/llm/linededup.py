@@ -33,7 +33,9 @@ those only that hold little else. In round 2 the lines under such a key are comp
 with its earliest one; where that is not near, with all earlier ones of the key, dealt into cells of bounded size.
 
 The pairs are verified on the lines' words, by the exact edit distance. Equal lines are grouped first, by a 128-bit hash;
-counts and minima are partial per task. A line that holds over one in ``HOT_PART`` of all rows (there are fewer than that many)
+counts and minima are partial per task. Keys are packed into blocks, dealt by key once, and only those of two lines or more
+come back; a bounded bit filter (``Filter``) then picks the lines concerned in a second pass over the texts, so that no text is
+shuffled for others. A line that holds over one in ``HOT_PART`` of all rows (there are fewer than that many)
 is joined where its rows are; no other line can bring more than that part of all rows to one task.
 
 Words are what stands between white space, lower-cased.
@@ -45,11 +47,13 @@ document to the order, so what stays in one stays in both; an empty table gives
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,12 +75,30 @@ RUN = 11
 GRAM = 4
 #: Lines of a block in round 2, and the part of all rows beyond which a line's rows are not shuffled.
 BLOCK_LINES = 128
+#: Pairs of lines that are compared without counting their common words first.
+FEW_PAIRS = 64
 HOT_PART = 1024
+#: Buckets that keys are dealt into (a task holds one at a time), and keys that a task gathers before it deals them.
+BUCKETS = 1024
+FLUSH = 1 << 20
+#: Bits of a filter for each line in it, the most a filter may have (16 MB), and those of one piece of it.
+FILTER_BITS = 16
+MOST_BITS = 1 << 27
+PIECE_BITS = 1 << 19
 # Odd multipliers, of the polynomial hash and of a deleted word's place.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 U64 = np.uint64
 
 
+def fresh(*columns: np.ndarray) -> np.ndarray:
+    """Which rows differ from the row before."""
+    out = np.ones(len(columns[0]), dtype=bool)
+    out[1:] = False
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
 class Powers:
     """Powers of a multiplier and of its inverse modulo 2**64, as far as needed."""
 
@@ -120,23 +142,30 @@ class Lines:
 
     def minimizers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(line, key, windows) of the least grams of the windows of ``RUN`` words of lines that have ``FAR_WORDS``."""
-        grams = len(self.place) - GRAM + 1
-        if grams < RUN - GRAM + 1:
+        far = self.lengths >= FAR_WORDS
+        n = self.lengths[far]
+        if not len(n):
             return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64)
         s, p = self.sums, self.powers
-        own = mix((s[GRAM:] - s[:grams]) * p.down[self.place[:grams]] * MIX + U64(3))
-        line = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        least = np.lib.stride_tricks.sliding_window_view(own, RUN - GRAM + 1).min(axis=1)
-        n, place = self.lengths[line[:len(least)]], self.place[:len(least)]
-        good = np.flatnonzero((n >= FAR_WORDS) & (place + RUN <= n))
+        at = np.flatnonzero(np.repeat(far, self.lengths))
+        at = at[:-(GRAM - 1)]  # the last grams belong to no window
+        own = mix((s[at + GRAM] - s[at]) * p.down[self.place[at]] * MIX + U64(3))
+        # The least of RUN - GRAM + 1 = 8 grams, by halves; what reaches into another line is left out below.
+        least, wide = own, 1
+        while wide < RUN - GRAM + 1:
+            step = min(wide, RUN - GRAM + 1 - wide)
+            least, wide = np.minimum(least[:-step], least[step:]), wide + step
+        line = np.repeat(np.flatnonzero(far), n)[:len(least)]
+        good = self.place[at[:len(least)]] + RUN <= self.lengths[line]
         # Keys of windows are odd, those of halves even.
         line, least = line[good], least[good] | U64(1)
+        # Windows side by side mostly have one key: they are counted first, the rest is sorted.
+        first = np.flatnonzero(fresh(line, least))
+        count, line, least = np.diff(np.append(first, len(line))), line[first], least[first]
         order = np.lexsort((least, line))
-        line, least = line[order], least[order]
-        fresh = np.ones(len(line), dtype=bool)
-        fresh[1:] = (line[1:] != line[:-1]) | (least[1:] != least[:-1])
-        first = np.flatnonzero(fresh)
-        return line[first], least[first], np.diff(np.append(first, len(line)))
+        line, least, count = line[order], least[order], count[order]
+        first = np.flatnonzero(fresh(line, least))
+        return line[first], least[first], np.add.reduceat(count, first)
 
     def without_one(self) -> tuple[np.ndarray, np.ndarray]:
         """(line, hash of the line without that word) for every word of every line."""
@@ -154,15 +183,57 @@ def units(line: str) -> list[str]:
     return line.lower().split()
 
 
-def digests(split: list[list[str]]) -> np.ndarray:
-    """The 128-bit hash of each line's words, as two long columns."""
-    whole = b"".join([xxhash.xxh3_128_digest(" ".join(words)) for words in split])
-    return np.frombuffer(whole, dtype=np.int64).reshape(-1, 2)
-
-
-def spelled(split: list[list[str]]) -> Lines:
-    """Lines whose units are the characters of the words, joined by one space."""
-    texts = [" ".join(words) for words in split]
+class Plain:
+    """All lines with a word of some texts, lower-cased, with one blank between words: ``whole`` holds them end to
+    end, line k from ``start[k]`` to ``stop[k]``, with ``words[k]`` words; it is line ``number[k]`` of text ``doc[k]``."""
+
+    def __init__(self, texts: list[str | None]):
+        low = [(t or "").lower() for t in texts]
+        low = [t if t.isascii() else ODD_SPACES.sub(" ", t) for t in low]
+        raw = np.frombuffer(("\n".join(low) + "\n").encode(), dtype=np.uint8)
+        space = SPACES[raw]
+        after = space.copy()  # the first blank after a word
+        after[0] = False
+        after[1:] &= ~space[:-1]
+        kept = raw[~space | after]
+        self.ends = np.flatnonzero(SPACES[kept])
+        kept[self.ends] = 32
+        words = np.diff(np.searchsorted(np.flatnonzero(after), np.flatnonzero(raw == 10), "right"), prepend=0)
+        lines = np.array([t.count("\n") + 1 for t in low], dtype=np.int64)
+        full = np.flatnonzero(words)
+        doc = np.repeat(np.arange(len(low)), lines)
+        self.doc, self.words = doc[full], words[full]
+        self.number = (np.arange(len(doc)) - np.repeat(np.cumsum(lines) - lines, lines))[full]
+        self.stop = self.ends[np.cumsum(self.words) - 1]
+        self.start = np.concatenate([np.zeros(min(1, len(full)), np.int64), self.stop[:-1] + 1])
+        self.codes, self.whole = kept, kept.tobytes()
+
+    def digests(self) -> np.ndarray:
+        """The 128-bit hash of each line, as two long columns."""
+        of, whole = xxhash.xxh3_128_digest, self.whole
+        found = b"".join([of(whole[a:b]) for a, b in zip(self.start.tolist(), self.stop.tolist())])
+        return np.frombuffer(found, dtype=np.int64).reshape(-1, 2)
+
+    def hashes(self) -> np.ndarray:
+        """A hash of each word (and the blank behind it) of all lines."""
+        if not len(self.ends):
+            return np.zeros(0, U64)
+        starts = np.concatenate([[0], self.ends[:-1] + 1])
+        sizes = self.ends - starts + 1
+        place = np.arange(len(self.codes)) - np.repeat(starts, sizes)
+        return mix(np.add.reduceat(POWERS.upto(int(sizes.max())).up[place] * self.codes, starts))
+
+    def texts(self, lines: np.ndarray) -> list[str]:
+        return [self.whole[a:b].decode() for a, b in zip(self.start[lines].tolist(), self.stop[lines].tolist())]
+
+
+#: What str.split takes for white space: its bytes in ASCII, and the other characters.
+SPACES = np.array([k < 128 and chr(k).isspace() for k in range(256)])
+ODD_SPACES = re.compile("[" + "".join(chr(k) for k in range(128, 0x10000) if chr(k).isspace()) + "]")
+
+
+def spelled(texts: list[str]) -> Lines:
+    """Lines whose units are the characters of the texts."""
     codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(U64)
     return Lines(mix((codes + U64(1)) * MIX), np.array([len(t) for t in texts], dtype=np.int64))
 
@@ -207,20 +278,16 @@ def within(a: list[str], b: list[str], most: int) -> bool:
 
 def near(a: str, b: str) -> bool:
     """Whether two lines that differ are near enough for the later one to go."""
-    x, y = units(a), units(b)
+    return near_words(units(a), units(b))
+
+
+def near_words(x: list[str], y: list[str]) -> bool:
     if min(len(x), len(y)) >= MIN_WORDS:
         return within(x, y, bound(min(len(x), len(y))))
     p, q = " ".join(x), " ".join(y)
     return min(len(p), len(q)) >= MIN_CHARS and within_one(p, q)
 
 
-def lists(line: np.ndarray, count: int, *values: tuple[np.ndarray, pa.DataType]) -> list[pa.ListArray]:
-    """The values of each of ``count`` lines, one column of lists for each."""
-    order = np.argsort(line, kind="stable")
-    offsets = pa.array(np.searchsorted(line[order], np.arange(count + 1)).astype(np.int32))
-    return [pa.ListArray.from_arrays(offsets, pa.array(v[order], t)) for v, t in values]
-
-
 def halves_of(lines: Lines, least: int) -> tuple[np.ndarray, np.ndarray]:
     """(line, key) of the halves of lines that have ``least`` units, and one more to be cut as for one unit less."""
     n = lines.lengths
@@ -229,16 +296,17 @@ def halves_of(lines: Lines, least: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def round_one(lines: Lines, short: np.ndarray, chars: Lines) -> list[pa.ListArray]:
-    """Lists of keys of halves, keys of windows and weights of these; lines alone under all their keys
-    have no near line. ``chars`` are the characters of the lines ``short``."""
+def round_one(plain: Plain) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, key, weight) of the keys of halves (of weight 0) and of windows of lines; lines alone under all
+    their keys have no near line."""
+    lines = Lines(plain.hashes(), plain.words)
+    short = np.flatnonzero(plain.words <= MIN_WORDS)
     line, words = halves_of(lines, MIN_WORDS)
-    row, letters = halves_of(chars, MIN_CHARS)
+    row, letters = halves_of(spelled(plain.texts(short)), MIN_CHARS)
     half = np.concatenate([words, letters ^ SPELLED]) & ~U64(1)
     far, windows, weights = lines.minimizers()
-    n = len(lines.lengths)
-    return [*lists(np.concatenate([line, short[row]]), n, (half.view(np.int64), pa.int64())),
-            *lists(far, n, (windows.view(np.int64), pa.int64()), (weights, pa.int32()))]
+    return (np.concatenate([line, short[row], far]), np.concatenate([half, windows]),
+            np.concatenate([np.zeros(len(half), np.int64), weights]))
 
 
 def variants(lines: Lines, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -259,51 +327,159 @@ def picked(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text"))
 
 
-def line_rows(docs: DataFrame, keyed: bool) -> DataFrame:
-    """``doc_id, digest, line, k1, k2`` of every line with a word, ``keyed`` with its ``words`` and keys of round 1."""
-    names = ["doc_id", "digest", "line", "k1", "k2"] + (["words", "halves", "windows", "weights"] if keyed else [])
+def planes(values: np.ndarray) -> bytes:
+    """Integers of four bytes, all first bytes before all second ones, so that zeros stand side by side."""
+    return values.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unplaned(block: memoryview) -> np.ndarray:
+    return np.frombuffer(block, np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel()
+
+
+def key_blocks(docs: DataFrame) -> DataFrame:
+    """``bucket, block``: the keys of all lines, dealt into buckets. A block holds ``key, line, weight, words`` of many keys:
+    the key, the first half of the line's hash, the key's weight and the line's words. A key of weight -1 is the
+    line itself, its ``words`` say how often it is there."""
+
+    def dealt(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        key, line, weight, words = (np.concatenate(c) for c in zip(*parts))
+        bucket = ((key >> U64(20)) % U64(BUCKETS)).astype(np.uint16)
+        order = np.argsort(bucket, kind="stable")
+        key, line, weight, words, bucket = key[order], line[order], weight[order], words[order], bucket[order]
+        edges = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1))
+        blocks = [key[a:b].tobytes() + line[a:b].tobytes() + planes(weight[a:b]) + planes(words[a:b])
+                  for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(key)])]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[edges].astype(np.int32)), pa.array(blocks, pa.binary())],
+                                          names=["bucket", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = WordHash().of
+        held, count = [], 0
         for part in rows_of(batches):
-            docs_, numbers, split = [], [], []
-            for place, text in enumerate(part.column(2).to_pylist()):
-                for number, line in enumerate((text or "").lower().split("\n")):
-                    some = line.split()
-                    if some:
-                        docs_.append(place)
-                        numbers.append(number)
-                        split.append(some)
-            if not split:
+            plain = Plain(part.column(0).to_pylist())
+            if not len(plain.words):
                 continue
-            whole, at = digests(split), pa.array(docs_)
-            columns = [part.column(0).take(at), part.column(1).take(at), pa.array(numbers, pa.int32()),
-                       pa.array(whole[:, 0]), pa.array(whole[:, 1])]
-            if keyed:
-                n = np.array([len(w) for w in split], dtype=np.int64)
-                short = np.flatnonzero(n <= MIN_WORDS)
-                found = round_one(Lines(of([w for some in split for w in some]), n), short,
-                                  spelled([split[k] for k in short.tolist()]))
-                columns += [pa.array(n.astype(np.int32)), *found]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    kinds = "doc_id long, digest long, line int, k1 long, k2 long"
-    extra = ", words int, halves array<long>, windows array<long>, weights array<int>"
-    return picked(docs).mapInArrow(run, kinds + (extra if keyed else ""))
-
-
-def same_document():
-    return F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("digest") == F.col("_digest"))
-
-
-def near_lines(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``id`` of the distinct lines near an earlier line (``texts``: id, at, words, halves, windows, weights)."""
-    placed = texts.select("id", F.inline(F.arrays_zip(F.col("windows").alias("v"), F.col("weights").alias("w")))) \
-        .unionByName(texts.select("id", F.explode("halves").alias("v"), F.lit(0).alias("w")))
-    # A line has each of its keys once.
-    shared = cut(placed.groupBy("v").agg(F.count("*").alias("rows")).where("rows > 1"))
-    partners = join_bounded(placed, shared, "v").groupBy("id").agg(
-        F.max(F.col("w") == 0).alias("half"),
+            own = plain.digests()[:, 0].copy().view(U64)
+            name, first, times = np.unique(own, return_index=True, return_counts=True)
+            line, key, weight = round_one(plain)
+            once = np.zeros(len(own), dtype=bool)
+            once[first] = True
+            good = once[line]
+            line, key, weight = line[good], key[good], weight[good]
+            held.append((np.concatenate([key, name]), np.concatenate([own[line], name]),
+                         np.concatenate([weight, np.full(len(name), -1)]), np.concatenate([plain.words[line], times])))
+            count += len(held[-1][0])
+            if count >= FLUSH:
+                yield dealt(held)
+                held, count = [], 0
+        if held:
+            yield dealt(held)
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "bucket int, block binary")
+
+
+def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id, v, w, words, rows`` of the keys of two lines or more: the line, the key, its weight, the line's words and the number of
+    the key's lines; and of the lines that are there more than once, with ``w`` -1."""
+    for group in runs(batches, ["bucket"]):
+        parts = []
+        for block in group["block"].to_pylist():
+            view, n = memoryview(block), len(block) // 24
+            parts.append((np.frombuffer(view[:8 * n], U64), np.frombuffer(view[8 * n:16 * n], U64),
+                          unplaned(view[16 * n:20 * n]), unplaned(view[20 * n:])))
+        key, line, weight, words = (np.concatenate(c) for c in zip(*parts))
+        whole = weight < 0
+        name, at = np.unique(key[whole], return_inverse=True)
+        often = name[np.bincount(at, weights=words[whole], minlength=len(name)) > 1]
+        rest = np.flatnonzero(~whole)
+        rest = rest[np.argsort(key[rest], kind="stable")]
+        k = key[rest]
+        new = np.append(fresh(k), True)
+        rest = rest[~(new[1:] & new[:-1])]
+        rest = rest[np.lexsort((line[rest], key[rest]))]
+        k, x = key[rest], line[rest]
+        # A line may have been met in several tasks.
+        first = np.flatnonzero(fresh(k, x))
+        rest, k = rest[first], k[first]
+        start = np.flatnonzero(fresh(k))
+        size = np.diff(np.append(start, len(k)))
+        rows = np.repeat(size, size)
+        rest, rows = rest[rows > 1], rows[rows > 1]
+        none = np.zeros(len(often), np.int64)
+        columns = [(np.concatenate([line[rest], often]).view(np.int64), pa.int64()),
+                   (np.concatenate([key[rest].view(np.int64), none]), pa.int64()),
+                   (np.concatenate([weight[rest], none - 1]), pa.int32()),
+                   (np.concatenate([words[rest], none]), pa.int32()), (np.concatenate([rows, none]), pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["id", "v", "w", "words", "rows"])
+
+
+class Filter:
+    """Which lines may be among some: one bit for each first part of a line's hash. No line of those is missed; of the others a
+    part passes that grows with their number beyond ``MOST_BITS`` / ``FILTER_BITS``, and is sorted out by the joins that follow."""
+
+    def __init__(self, ids: DataFrame):
+        bits = PIECE_BITS
+        count = ids.count()
+        while bits < min(MOST_BITS, FILTER_BITS * count):
+            bits *= 2
+        self.shift = shift = 64 - (bits.bit_length() - 1)
+        piece = F.shiftrightunsigned(F.shiftrightunsigned("id", shift), PIECE_BITS.bit_length() - 1)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            made: dict[int, np.ndarray] = {}
+            for batch in batches:
+                place = batch.column(1).to_numpy().view(U64) >> U64(shift)
+                which = batch.column(0).to_numpy()
+                for p in np.unique(which).tolist():
+                    own = made.setdefault(p, np.zeros(PIECE_BITS, dtype=bool))
+                    own[(place[which == p] % U64(PIECE_BITS)).astype(np.int64)] = True
+            for p, own in made.items():
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([np.packbits(own).tobytes()], pa.binary())],
+                                                 names=["piece", "bits"])
+
+        pieces = ids.select(piece.alias("piece"), "id").repartition("piece").mapInArrow(run, "piece long, bits binary")
+        whole = np.zeros(bits // 8, dtype=np.uint8)
+        for row in pieces.toLocalIterator():
+            whole[row.piece * (PIECE_BITS // 8):][:PIECE_BITS // 8] = np.frombuffer(row.bits, np.uint8)
+        self.bits: Broadcast = ids.sparkSession.sparkContext.broadcast(whole)
+
+    def has(self, ids: np.ndarray) -> np.ndarray:
+        place = ids.view(U64) >> U64(self.shift)
+        return (self.bits.value[(place >> U64(3)).astype(np.int64)] << (place & U64(7)).astype(np.uint8)) & np.uint8(128) > 0
+
+
+def occurrences(docs: DataFrame, wanted: Filter, again: Filter) -> DataFrame:
+    """``doc_id, digest, line, k1, k2, text`` of every line that may be in one of the filters; the text
+    only where it may be ``wanted`` and no other row beside it holds it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in rows_of(batches):
+            plain = Plain(part.column(2).to_pylist())
+            if not len(plain.words):
+                continue
+            whole = plain.digests()
+            own = whole[:, 0].copy()
+            near = wanted.has(own)
+            some = np.flatnonzero(near | again.has(own))
+            _, first = np.unique(whole[some], axis=0, return_index=True)
+            told = np.zeros(len(some), dtype=bool)
+            told[first] = True
+            told &= near[some]
+            texts = np.full(len(some), None, dtype=object)
+            texts[told] = plain.texts(some[told])
+            at = pa.array(plain.doc[some])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(at), part.column(1).take(at), pa.array(plain.number[some], pa.int32()), pa.array(own[some]),
+                 pa.array(whole[some, 1]), pa.array(texts.tolist(), pa.string())],
+                names=["doc_id", "digest", "line", "k1", "k2", "text"])
+
+    return picked(docs).mapInArrow(run, "doc_id long, digest long, line int, k1 long, k2 long, text string")
+
+
+def candidates(shared: DataFrame) -> DataFrame:
+    """``id, half, windows`` (cut) of the lines that share a half, or a window among the rarest ones that
+    they need, of the rows of ``shared_keys``."""
+    partners = shared.where("w >= 0").groupBy("id").agg(
+        F.max(F.col("w") == 0).alias("half"), F.max("words").alias("words"),
         F.sort_array(F.collect_list(F.when(F.col("w") > 0, F.struct("rows", "v", "w")))).alias("windows"))
     # The keys that come before a weight of RUN k is passed; those of no other line come first.
     free = F.greatest(F.lit(1), F.expr(f"words div {WORDS_PER_EDIT}")) * RUN
@@ -313,40 +489,33 @@ def near_lines(docs: DataFrame, texts: DataFrame) -> DataFrame:
         lambda a, x: F.struct((a["weight"] + x["w"]).alias("weight"),
                               (a["keys"] + (a["weight"] <= free).cast("int")).alias("keys")), lambda a: a["keys"])
     least = F.transform(F.slice("windows", F.lit(1), taken), lambda x: x["v"])
-    wanted = cut(partners.join(texts.select("id", "at", "words"), "id")
-                 .select("id", "at", "half", least.alias("windows")).where("half OR size(windows) > 0")
-                 .groupBy(F.col("at.doc_id").alias("_doc"), F.col("at.digest").alias("_digest"))
-                 .agg(F.collect_list(F.struct(F.col("at.line").alias("line"), "id", "half", "windows")).alias("lines")))
-    kinds = "id long, doc_id long, digest long, line int, text string, half boolean, windows array<long>"
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.list_(pa.int64())]
-        names = ["id", "doc_id", "digest", "line", "text", "half", "windows"]
-        for part in rows_of(batches):
-            rows = []
-            for doc_id, digest, text, lines in zip(*(c.to_pylist() for c in part.columns)):
-                split = text.split("\n")
-                rows += [(w["id"], doc_id, digest, w["line"], split[w["line"]], w["half"], w["windows"]) for w in lines]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-
-    lines = (join_bounded(picked(docs), wanted, same_document())
-             .select("doc_id", "digest", "text", "lines").mapInArrow(pick, kinds).dropDuplicates(["id"]))
+    return cut(partners.select("id", "half", least.alias("windows")).where("half OR size(windows) > 0"))
+
+
+def near_lines(wanted: DataFrame, firsts: DataFrame, texts: DataFrame) -> DataFrame:
+    """``k1, k2`` of the distinct lines near an earlier line (``wanted``: candidates; ``firsts``: where each
+    line is met first; ``texts``: k1, k2, text)."""
     # After a range partitioning by document and line the ids that Spark counts up follow that order.
-    lines = cut(lines.repartitionByRange("doc_id", "digest", "line").sortWithinPartitions("doc_id", "digest", "line")
-                .select("id", "text", "half", "windows", F.monotonically_increasing_id().alias("at")))
+    placed = cut(firsts.join(wanted, F.col("id") == F.col("k1"))
+                 .select("k1", "k2", "half", "windows", "at.doc_id", "at.digest", F.col("at.line").alias("line"))
+                 .repartitionByRange("doc_id", "digest", "line").sortWithinPartitions("doc_id", "digest", "line")
+                 .select("k1", "k2", "half", "windows", F.monotonically_increasing_id().alias("at")))
+    lines = cut(placed.join(texts.dropDuplicates(["k1", "k2"]), ["k1", "k2"]))
 
     def neighbourhood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """``key, role, at`` of the lines' words, or of their characters where they have few words, or of both."""
-        of = WordHash().of
         for part in rows_of(batches):
-            split = [units(t) for t in part.column(0).to_pylist()]
-            long = [k for k, w in enumerate(split) if len(w) >= MIN_WORDS]
-            short = [k for k, w in enumerate(split) if len(w) <= MIN_WORDS and len(" ".join(w)) >= MIN_CHARS]
-            by_word = Lines(of([w for k in long for w in split[k]]), np.array([len(split[k]) for k in long], dtype=np.int64))
+            texts = part.column(0).to_pylist()
+            plain = Plain(texts)
+            n = plain.words
+            chars = plain.stop - plain.start
+            long = np.flatnonzero(n >= MIN_WORDS)
+            short = np.array([k for k in np.flatnonzero((n <= MIN_WORDS) & (chars >= MIN_CHARS)).tolist()
+                              if len(texts[k]) >= MIN_CHARS], dtype=np.int64)
+            by_word = Lines(plain.hashes()[np.repeat(n >= MIN_WORDS, n)], n[long])
             some = [(long, U64(0), *variants(by_word, MIN_WORDS)),
-                    (short, SPELLED, *variants(spelled([split[k] for k in short]), MIN_CHARS))]
-            rows = np.concatenate([np.array(mine, dtype=np.int64)[line] for mine, _, line, _, _ in some])
+                    (short, SPELLED, *variants(spelled([texts[k] for k in short.tolist()]), MIN_CHARS))]
+            rows = np.concatenate([mine[line] for mine, _, line, _, _ in some])
             keys = np.concatenate([key ^ salt for _, salt, _, key, _ in some])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys.view(np.int64)), pa.array(np.concatenate([x[4] for x in some])),
@@ -363,7 +532,7 @@ def near_lines(docs: DataFrame, texts: DataFrame) -> DataFrame:
              .groupBy("at").agg(F.min("earlier").alias("earlier")))
     one = verified(pairs, lines)
     settled = one.unionByName(far_lines(lines, one))
-    return lines.join(settled.distinct(), "at").select("id")
+    return cut(placed.join(settled.distinct(), "at").select("k1", "k2"))
 
 
 def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -409,14 +578,16 @@ def far_lines(lines: DataFrame, one: DataFrame) -> DataFrame:
             if not left or not right:
                 continue
             split = [units(t) for t in texts]
-            sets = [np.unique(of(w)) for w in split]
-            both = common_features([sets[k] for k in left], [sets[k] for k in right])
+            if len(left) * len(right) > FEW_PAIRS:
+                sets = [np.unique(of(w)) for w in split]
+                both = common_features([sets[k] for k in left], [sets[k] for k in right])
             found = []
             for x, k in enumerate(left):
-                most = bound(len(split[k]))
-                # A word that the other line lacks costs an edit of its own.
-                like = np.flatnonzero(len(sets[k]) - both[x] <= most + 0.5).tolist()
-                if any(at[right[y]] < at[k] and near(texts[k], texts[right[y]]) for y in like):
+                like = range(len(right))
+                if len(left) * len(right) > FEW_PAIRS:
+                    # A word that the other line lacks costs an edit of its own.
+                    like = np.flatnonzero(len(sets[k]) - both[x] <= bound(len(split[k])) + 0.5).tolist()
+                if any(at[right[y]] < at[k] and near_words(split[k], split[right[y]]) for y in like):
                     found.append(at[k])
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["at"])
 
@@ -434,17 +605,19 @@ def dropped(lines: DataFrame, settled: DataFrame) -> DataFrame:
 def mark(docs: DataFrame) -> DataFrame:
     """``row`` (the columns of ``docs`` but text), ``text`` without dropped lines, and the number of
     its lines with a word (``n_lines``), dropped as equal (``n_equal``) and as near (``n_near``)."""
-    # The keys are most of a line's bytes: they are made again rather than written with every copy of a line.
-    lines = cut(line_rows(docs, False))
+    # The keys are most of a line's bytes: they are dealt once, and only lines that share some are told further.
+    shared = cut(key_blocks(docs).repartition("bucket").sortWithinPartitions("bucket")
+                 .mapInArrow(shared_keys, "id long, v long, w int, words int, rows long"))
+    wanted = candidates(shared)
+    lines = cut(occurrences(docs, Filter(wanted.select("id")), Filter(shared.where("w < 0").select("id"))))
     at = F.struct("doc_id", "digest", "line")
-    texts = cut(line_rows(docs, True).groupBy("k1", "k2").agg(
-        F.min(at).alias("at"), F.count("*").alias("copies"),
-        *(F.max(c).alias(c) for c in ("words", "halves", "windows", "weights")))
-        .withColumn("id", F.monotonically_increasing_id()))
-    close = near_lines(docs, texts).withColumn("near", F.lit(True))
-    settled = cut(texts.select("id", "k1", "k2", "at", "copies").join(close, "id", "left")
+    firsts = cut(lines.groupBy("k1", "k2").agg(F.min(at).alias("at"), F.count("*").alias("copies")))
+    close = near_lines(wanted, firsts, lines.where("text IS NOT NULL").select("k1", "k2", "text")) \
+        .withColumn("near", F.lit(True))
+    settled = cut(firsts.join(close, ["k1", "k2"], "left")
                   .select("k1", "k2", F.col("at").alias("first"), F.coalesce("near", F.lit(False)).alias("near"), "copies")
                   .where("near OR copies > 1"))
+    lines = lines.drop("text")
     gone = cut(dropped(lines, settled).where(F.col("near") | (at != F.col("first")))
                .groupBy(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"))
                .agg(F.collect_set(F.struct("line", "near")).alias("gone")))

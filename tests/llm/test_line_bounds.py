@@ -136,3 +136,33 @@ def test_short_lines_equal_an_exhaustive_version(spark):
     assert {r.doc_id for r in got if r.text.strip()} == {
         k for k, a in enumerate(split) if a and not any(near(a, b) for b in split[:k])}
     assert {len(lines) - 9, len(lines) - 7}.isdisjoint({r.doc_id for r in got})
+
+
+def test_plain_lines_are_those_of_split():
+    texts = ["A  b \x1c c\n\n \t \nİx Σ ΑΣ\x85y\n", None, "", "\n", "a b　 c\nlast", " lead\x0b\x0ctrail "]
+    plain = linededup.Plain(texts)
+    want = [(doc, number, line.split()) for doc, text in enumerate(texts)
+            for number, line in enumerate((text or "").lower().split("\n")) if line.split()]
+    got = plain.texts(np.arange(len(plain.words)))
+    assert [(d, n, t.split(" ")) for d, n, t in zip(plain.doc.tolist(), plain.number.tolist(), got)] == want
+    assert plain.words.tolist() == [len(w) for _, _, w in want] and len(plain.hashes()) == plain.words.sum()
+    assert len(linededup.Plain([None, " \n"]).words) == len(linededup.Plain([]).words) == 0
+
+
+def test_only_shared_keys_come_back_and_filters_miss_nothing(spark):
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(5000)]
+    alone = [" ".join(rng.sample(words, 60)) for _ in range(300)]
+    near = alone[0].replace(alone[0].split()[7], "changed")
+    docs = frame(spark, list(enumerate([*alone, near, alone[1]]))).repartition(3)
+    dealt = linededup.key_blocks(docs)
+    # Rows of many keys are dealt, not one row a key with its line (before: 22 keys a line of 60 words).
+    assert dealt.count() <= 3 * linededup.BUCKETS
+    shared = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+        linededup.shared_keys, "id long, v long, w int, words int, rows long").cache()
+    assert shared.where("w >= 0").select("id").distinct().count() == 2 and shared.where("w < 0").count() == 1
+    assert {r.rows for r in shared.where("w >= 0").collect()} == {2}
+    ids = spark.range(3000).selectExpr("xxhash64(id) AS id")
+    kept = linededup.Filter(ids)
+    mine = np.array([r.id for r in ids.collect()], dtype=np.int64)
+    assert kept.has(mine).all() and kept.has(~mine).mean() < .05
