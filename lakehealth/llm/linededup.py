@@ -30,7 +30,11 @@ puts its keys in order, those of the fewest lines first, and needs the first of
 ``RUN`` k + 1: near lines share one of these. Keys no other line has count towards that weight, so a
 line that shares a passage and has as many words of its own has no partner, and a passage of very many lines is a key of
 those only that hold little else. In round 2 the lines under such a key are compared
-with its earliest one; where that is not near, with all earlier ones of the key, dealt into cells of bounded size.
+with its earliest one. A line that is not near it meets the earlier lines that share both that first line and one of the
+words that both need: of two lines within k edits each lacks at most k of the other's distinct words, so whatever the order of
+the words, the first k + 1 of either hold one that both have. The order puts words that the first line lacks before its own, and
+rare ones before common ones: copies of one text, or lines that hold one passage, then meet by what sets them apart. What meets
+is compared in cells of bounded size.
 
 The pairs are verified on the lines' words, by the exact edit distance. Equal lines are grouped first, by a 128-bit hash;
 counts and minima are partial per task. Keys are packed into blocks, dealt by key once, and only those of two lines or more
@@ -75,6 +79,9 @@ RUN = 11
 GRAM = 4
 #: Lines of a block in round 2, and the part of all rows beyond which a line's rows are not shuffled.
 BLOCK_LINES = 128
+#: Spots that words are counted on by their hash, for their order in round 2, and those of one piece.
+SPOTS = 1 << 16
+PIECE_SPOTS = 1 << 12
 #: Pairs of lines that are compared without counting their common words first.
 FEW_PAIRS = 64
 HOT_PART = 1024
@@ -548,47 +555,138 @@ def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return cut(both.mapInArrow(verify, "at long").distinct())
 
 
+def spots_of(words: np.ndarray) -> np.ndarray:
+    return (words & U64(SPOTS - 1)).astype(np.int64)
+
+
+def commonness(lines: DataFrame) -> Broadcast:
+    """How many words of the lines fall on each of ``SPOTS`` spots, by their hash: a rough order of words from rare to common."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(SPOTS, dtype=np.int64)
+        for part in rows_of(batches):
+            found += np.bincount(spots_of(Plain(part.column(0).to_pylist()).hashes()), minlength=SPOTS)
+        pieces = found.reshape(-1, PIECE_SPOTS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([p.tobytes() for p in pieces], pa.binary())],
+                                         names=["piece", "found"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for p, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                whole[p] = whole.get(p, 0) + np.frombuffer(found, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(whole), pa.int32()), pa.array([x.tobytes() for x in whole.values()], pa.binary())],
+                                         names=["piece", "found"])
+
+    schema = "piece int, found binary"
+    pieces = lines.where("size(windows) > 0").select("text").mapInArrow(count, schema).repartition("piece").mapInArrow(add, schema)
+    out = np.zeros(SPOTS, dtype=np.int64)
+    for row in pieces.toLocalIterator():
+        out[row.piece * PIECE_SPOTS:][:PIECE_SPOTS] = np.frombuffer(row.found, np.int64)
+    return lines.sparkSession.sparkContext.broadcast(out)
+
+
+def rare_words(texts: list[str], firsts: list[str], common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of words of each text, their hashes): the words that a text needs among lines that share its first line: with a bound of k edits k + 1 of them,
+    those that the first line lacks before the others, and rare ones before common ones."""
+    of = []
+    for plain in (Plain(texts), Plain(firsts)):
+        line, word = np.repeat(np.arange(len(plain.words)), plain.words), plain.hashes()
+        order = np.lexsort((word, line))
+        line, word = line[order], word[order]
+        new = fresh(line, word)
+        of.append((line[new], word[new], plain.words))
+    (line, word, n), (line2, word2, _) = of
+    both_line, both_word = np.concatenate([line, line2]), np.concatenate([word, word2])
+    order = np.lexsort((both_word, both_line))  # stable: a text's word stands before the same one of its first line
+    held = np.zeros(len(both_line) + 1, dtype=bool)
+    held[order[:-1]] = ~fresh(both_line[order], both_word[order])[1:]
+    order = np.lexsort((word, common[spots_of(word)], held[:len(word)], line))
+    place = np.arange(len(line)) - np.searchsorted(line, line)
+    need = np.maximum(1, n // WORDS_PER_EDIT) + 1
+    taken = place < need[line]
+    return np.bincount(line[taken], minlength=len(n)), word[order][taken]
+
+
+def told(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """``pairs`` (at, first, wide, done) with ``near`` (whether the line is near the first one; not looked at where it is done) and
+    the ``words`` that it needs (where the pair is wide)."""
+    common = commonness(lines)
+    other = lines.select(F.col("at").alias("first"), F.col("text").alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in rows_of(batches):
+            wide, done, texts, firsts = (part.column(k).to_pylist() for k in range(2, 6))
+            close = [not d and near(a, b) for a, b, d in zip(texts, firsts, done)]
+            ends, some = np.zeros(len(wide) + 1, dtype=np.int32), np.flatnonzero(wide)
+            ends[some + 1], found = rare_words([texts[k] for k in some], [firsts[k] for k in some], common.value)
+            words = pa.ListArray.from_arrays(pa.array(np.cumsum(ends), pa.int32()), pa.array(found.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(4)), pa.array(close, pa.bool_()), words],
+                                             names=["at", "first", "wide", "done", "near", "words"])
+
+    both = pairs.join(lines.select("at", "text"), "at").join(other, "first").select("at", "first", "wide", "done", "text", "_text")
+    return cut(both.mapInArrow(run, "at long, first long, wide boolean, done boolean, near boolean, words array<long>"))
+
+
+def meetings(pairs: DataFrame, least: DataFrame) -> DataFrame:
+    """``first, word, i, j, asks, held, at``: lines that share their first line and a word that both need, dealt into cells, where
+    every line that is open (``asks``; not in ``least``) meets every one that is ``held``."""
+    open_ = pairs.where("wide AND NOT done AND NOT near").join(least, "at", "left_anti") \
+        .select("at", "first", F.lit(True).alias("_asks"))
+    some = pairs.where("wide").join(open_.select("first").distinct(), "first", "left_semi").join(open_, ["at", "first"], "left")
+    spread = cut(some.select("first", F.explode("words").alias("word"), "at", F.coalesce("_asks", F.lit(False)).alias("asks")))
+    sizes = spread.groupBy("first", "word").agg(F.count("*").alias("rows"), F.sum(F.col("asks").cast("long")).alias("asking")) \
+        .where("rows > 1 AND asking > 0")
+    # A row is held in one column of cells and asks in one row of cells; both meet in one cell.
+    down, across = (F.ceil(F.col(c) / BLOCK_LINES).cast("int") for c in ("asking", "rows"))
+    i, j = (F.pmod(F.xxhash64("at"), n).cast("int") for n in (down, across))
+    column = F.transform(F.sequence(F.lit(0), down - 1), lambda x: F.struct(
+        x.alias("i"), j.alias("j"), (F.col("asks") & (x == i)).alias("asks"), F.lit(True).alias("held")))
+    row = F.transform(F.filter(F.sequence(F.lit(0), across - 1), lambda x: F.col("asks") & (x != j)), lambda x: F.struct(
+        i.alias("i"), x.alias("j"), F.lit(True).alias("asks"), F.lit(False).alias("held")))
+    return spread.join(sizes, ["first", "word"]).select("first", "word", "at", F.explode(F.concat(column, row)).alias("cell")) \
+        .select("first", "word", "cell.i", "cell.j", "cell.asks", "cell.held", "at")
+
+
 def far_lines(lines: DataFrame, one: DataFrame) -> DataFrame:
     """``at`` of the lines of ``FAR_WORDS`` words or more near an earlier one; of those in ``one`` some or none."""
 
     spots = lines.select(F.explode("windows").alias("key"), "at")
     first = spots.groupBy("key").agg(F.min("at").alias("first"), F.count("*").alias("rows")).where("rows > 1")
-    later = cut(spots.join(first, "key").where("at > first"))
-    open_ = later.join(one, "at", "left_anti")
-    least = verified(open_.select("at", F.col("first").alias("earlier")).distinct(), lines)
-    # Keys of two lines are settled by the first; in longer ones the lines still open meet all the later ones.
-    blocks = F.ceil(F.col("rows") / BLOCK_LINES).cast("int")
-    rest = cut(open_.where("rows > 2").join(least, "at", "left_anti")
-               .select("key", "at", blocks.alias("blocks")))
-    index = later.where("rows > 2").join(rest.select("key").distinct(), "key", "left_semi") \
-        .select("key", "at", blocks.alias("blocks"))
-    mine, every = F.pmod(F.xxhash64("at"), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
-    cells = rest.select("key", mine.alias("i"), F.explode(every).alias("j"), F.lit(True).alias("asks"), "at").unionByName(
-        index.select("key", F.explode(every).alias("i"), mine.alias("j"), F.lit(False).alias("asks"), "at"))
-    dealt = cells.join(lines.select("at", "text"), "at").repartition("key", "i", "j") \
-        .select("key", "i", "j", "asks", "at", "text").sortWithinPartitions("key", "i", "j")
+    later = spots.join(first, "key").where("at > first").groupBy("at", "first").agg(F.max(F.col("rows") > 2).alias("wide"))
+    settled = one.select("at", F.lit(True).alias("_done")).distinct()
+    later = later.join(settled, "at", "left").select("at", "first", "wide", F.coalesce("_done", F.lit(False)).alias("done"))
+    pairs = told(later.where("wide OR NOT done"), lines)
+    least = cut(pairs.where("near").select("at").distinct())
+    # Keys of two lines are settled by the first; in longer ones the lines still open meet the later ones.
+    cells = meetings(pairs, least)
+    by = ["first", "word", "i", "j"]
+    dealt = cells.join(lines.select("at", "text"), "at").repartition(*by) \
+        .select(*by, "asks", "held", "at", "text").sortWithinPartitions(*by)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = WordHash().of
-        for group in runs(batches, ["key", "i", "j"]):
-            asks, at = group["asks"].to_pylist(), group["at"].to_pylist()
-            texts = group["text"].to_pylist()
+        for group in runs(batches, by):
+            asks, held, at = (group[c].to_pylist() for c in ("asks", "held", "at"))
             left = [k for k in range(len(at)) if asks[k]]
-            right = [k for k in range(len(at)) if not asks[k]]
-            if not left or not right:
+            right = [k for k in range(len(at)) if held[k]]
+            if not left or not right or max(at[k] for k in left) <= min(at[k] for k in right):
                 continue
-            split = [units(t) for t in texts]
-            if len(left) * len(right) > FEW_PAIRS:
-                sets = [np.unique(of(w)) for w in split]
-                both = common_features([sets[k] for k in left], [sets[k] for k in right])
+            split = [units(t) for t in group["text"].to_pylist()]
+            most = [bound(len(w)) for w in split]
+            many = len(left) * len(right) > FEW_PAIRS
+            sets = [np.unique(of(w)) for w in split] if many else [set(w) for w in split]
+            both = common_features([sets[k] for k in left], [sets[k] for k in right]) if many else None
             found = []
             for x, k in enumerate(left):
-                like = range(len(right))
-                if len(left) * len(right) > FEW_PAIRS:
-                    # A word that the other line lacks costs an edit of its own.
-                    like = np.flatnonzero(len(sets[k]) - both[x] <= bound(len(split[k])) + 0.5).tolist()
-                if any(at[right[y]] < at[k] and near_words(split[k], split[right[y]]) for y in like):
-                    found.append(at[k])
+                # A word that the other line lacks costs an edit of its own.
+                like = np.flatnonzero(len(sets[k]) - both[x] <= most[k] + 0.5).tolist() if many else range(len(right))
+                for y in like:
+                    o = right[y]
+                    if at[o] < at[k] and abs(len(split[o]) - len(split[k])) <= most[k] \
+                            and (many or len(sets[k] - sets[o]) <= most[k]) and near_words(split[k], split[o]):
+                        found.append(at[k])
+                        break
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["at"])
 
     return least.unionByName(dealt.mapInArrow(compare, "at long"))

@@ -166,3 +166,39 @@ def test_only_shared_keys_come_back_and_filters_miss_nothing(spark):
     kept = linededup.Filter(ids)
     mine = np.array([r.id for r in ids.collect()], dtype=np.int64)
     assert kept.has(mine).all() and kept.has(~mine).mean() < .05
+
+
+def test_lines_of_a_group_meet_by_what_sets_them_apart(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "BLOCK_LINES", 4)
+    rng = random.Random(14)
+    passage, copied = made(rng, 60), made(rng, 90).split()
+    words = [f"w{k}" for k in range(50_000)]
+
+    def changed(k):
+        at = set(rng.sample(range(90), 12))
+        return " ".join(w if k not in at else rng.choice(words) for k, w in enumerate(copied))
+
+    def rows(n):
+        texts = [f"{' '.join(rng.sample(words, 14))} {passage}" for _ in range(n)] + [changed(k) for k in range(n)]
+        lines = spark.createDataFrame([(k, t, [k // n]) for k, t in enumerate(texts)], "at long, text string, windows array<long>")
+        pairs = lines.selectExpr("at", f"at div {n} * {n} AS first", "true AS wide", "false AS done").where("at > first")
+        found = linededup.told(pairs, lines)
+        assert found.where("near").count() == 0 and found.agg({"at": "count"}).first()[0] == 2 * n - 2
+        return linededup.meetings(found, found.where("near").select("at")).count()
+
+    # Before, each of the n lines of a group was dealt to n / 4 cells: four times the rows for twice the lines.
+    few, many = rows(150), rows(300)
+    assert many < 3 * max(few, 300) and many < 300 * 300 // 4
+
+
+def test_words_needed_hold_one_that_near_lines_share():
+    rng = random.Random(15)
+    common = np.random.default_rng(1).integers(0, 50, linededup.SPOTS)
+    for _ in range(200):
+        a = made(rng, rng.randint(40, 160))
+        b, first = edited(rng, a, len(a.split()) // 20), edited(rng, a, 15)
+        if min(len(a.split()), len(b.split())) < 40 or not linededup.near(a, b):
+            continue
+        size, words = linededup.rare_words([a, b], [first, first], common)
+        assert size.tolist() == [len(x.split()) // 20 + 1 for x in (a, b)]
+        assert set(words[:size[0]].tolist()) & set(words[size[0]:].tolist())
