@@ -629,12 +629,14 @@ def told(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def meetings(pairs: DataFrame, least: DataFrame) -> DataFrame:
-    """``first, word, i, j, asks, held, at``: lines that share their first line and a word that both need, dealt into cells, where
-    every line that is open (``asks``; not in ``least``) meets every one that is ``held``."""
+    """``first, word, i, j, asks, held, at, before``: lines that share their first line and a word that both need, dealt into cells,
+    where every line that is open (``asks``; not in ``least``) meets every one that is ``held``. Lines that share a word of
+    those that come ``before`` this one meet under that one too."""
     open_ = pairs.where("wide AND NOT done AND NOT near").join(least, "at", "left_anti") \
         .select("at", "first", F.lit(True).alias("_asks"))
     some = pairs.where("wide").join(open_.select("first").distinct(), "first", "left_semi").join(open_, ["at", "first"], "left")
-    spread = cut(some.select("first", F.explode("words").alias("word"), "at", F.coalesce("_asks", F.lit(False)).alias("asks")))
+    spread = some.select("first", F.posexplode("words").alias("place", "word"), "at", F.coalesce("_asks", F.lit(False)).alias("asks"), "words")
+    spread = cut(spread.select("first", "word", "at", "asks", F.slice("words", F.lit(1), F.col("place")).alias("before")))
     sizes = spread.groupBy("first", "word").agg(F.count("*").alias("rows"), F.sum(F.col("asks").cast("long")).alias("asking")) \
         .where("rows > 1 AND asking > 0")
     # A row is held in one column of cells and asks in one row of cells; both meet in one cell.
@@ -644,8 +646,8 @@ def meetings(pairs: DataFrame, least: DataFrame) -> DataFrame:
         x.alias("i"), j.alias("j"), (F.col("asks") & (x == i)).alias("asks"), F.lit(True).alias("held")))
     row = F.transform(F.filter(F.sequence(F.lit(0), across - 1), lambda x: F.col("asks") & (x != j)), lambda x: F.struct(
         i.alias("i"), x.alias("j"), F.lit(True).alias("asks"), F.lit(False).alias("held")))
-    return spread.join(sizes, ["first", "word"]).select("first", "word", "at", F.explode(F.concat(column, row)).alias("cell")) \
-        .select("first", "word", "cell.i", "cell.j", "cell.asks", "cell.held", "at")
+    return spread.join(sizes, ["first", "word"]).select("first", "word", "at", "before", F.explode(F.concat(column, row)).alias("cell")) \
+        .select("first", "word", "cell.i", "cell.j", "cell.asks", "cell.held", "at", "before")
 
 
 def far_lines(lines: DataFrame, one: DataFrame) -> DataFrame:
@@ -662,7 +664,7 @@ def far_lines(lines: DataFrame, one: DataFrame) -> DataFrame:
     cells = meetings(pairs, least)
     by = ["first", "word", "i", "j"]
     dealt = cells.join(lines.select("at", "text"), "at").repartition(*by) \
-        .select(*by, "asks", "held", "at", "text").sortWithinPartitions(*by)
+        .select(*by, "asks", "held", "at", "text", "before").sortWithinPartitions(*by)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = WordHash().of
@@ -674,6 +676,7 @@ def far_lines(lines: DataFrame, one: DataFrame) -> DataFrame:
                 continue
             split = [units(t) for t in group["text"].to_pylist()]
             most = [bound(len(w)) for w in split]
+            before = [frozenset(w) for w in group["before"].to_pylist()]
             many = len(left) * len(right) > FEW_PAIRS
             sets = [np.unique(of(w)) for w in split] if many else [set(w) for w in split]
             both = common_features([sets[k] for k in left], [sets[k] for k in right]) if many else None
@@ -684,7 +687,8 @@ def far_lines(lines: DataFrame, one: DataFrame) -> DataFrame:
                 for y in like:
                     o = right[y]
                     if at[o] < at[k] and abs(len(split[o]) - len(split[k])) <= most[k] \
-                            and (many or len(sets[k] - sets[o]) <= most[k]) and near_words(split[k], split[o]):
+                            and before[k].isdisjoint(before[o]) and (many or len(sets[k] - sets[o]) <= most[k]) \
+                            and near_words(split[k], split[o]):
                         found.append(at[k])
                         break
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["at"])
