@@ -37,9 +37,10 @@ rare ones before common ones: copies of one text, or lines that hold one passage
 is compared in cells of bounded size.
 
 The pairs are verified on the lines' words, by the exact edit distance. Equal lines are grouped first, by a 128-bit hash;
-counts and minima are partial per task. Keys are packed into blocks, dealt by key once, and only those of two lines or more
-come back; a bounded bit filter (``Filter``) then picks the lines concerned in a second pass over the texts, so that no text is
-shuffled for others. A line that holds over one in ``HOT_PART`` of all rows (there are fewer than that many)
+counts and minima are partial per task. Keys of both rounds are packed into blocks and dealt by key once, not a row each. In round 1
+only those of two lines or more go on, packed again and dealt by line; a bounded bit filter (``Filter``) then picks the
+lines concerned in a second pass over the texts, so that no text is shuffled for others. In round 2 a task settles the lines that
+meet in it under a key with a place, and deals only the first of them on, so that a key of very many lines brings a few from each task. A line that holds over one in ``HOT_PART`` of all rows (there are fewer than that many)
 is joined where its rows are; no other line can bring more than that part of all rows to one task.
 
 Words are what stands between white space, lower-cased.
@@ -70,6 +71,8 @@ MIN_WORDS = 8
 MIN_CHARS = 8
 #: What tells keys of characters from keys of words.
 SPELLED = np.uint64(0x5851F42D4C957F2E)
+#: Role of a pair that has met in round 2: its key is the earlier line.
+MET = np.int8(3)
 #: Words of a line for each edit that two near lines may be apart.
 WORDS_PER_EDIT = 20
 #: Words of a line whose bound is two edits or more, words of a window and of its grams. Near lines share at least
@@ -335,12 +338,39 @@ def picked(docs: DataFrame) -> DataFrame:
 
 
 def planes(values: np.ndarray) -> bytes:
-    """Integers of four bytes, all first bytes before all second ones, so that zeros stand side by side."""
-    return values.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Integers of some bytes, all first bytes before all second ones, so that zeros stand side by side."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
 
 
-def unplaned(block: memoryview) -> np.ndarray:
-    return np.frombuffer(block, np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel()
+def packed(bucket: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """``bucket, block``: of each bucket one block with its values, column after column; signed ones (ids, counts) by ``planes``,
+    hashes as they are."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, columns = bucket[order], [c[order] for c in columns]
+    edges = np.flatnonzero(fresh(bucket)) if len(bucket) else np.zeros(0, np.int64)
+    blocks = [b"".join(planes(c[a:b]) if c.dtype.kind == "i" else c[a:b].tobytes() for c in columns)
+              for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(bucket)])]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[edges].astype(np.int32)), pa.array(blocks, pa.binary())],
+                                      names=["bucket", "block"])
+
+
+def unpacked(blocks: list[bytes], *kinds: type) -> list[np.ndarray]:
+    """The columns of some blocks of ``packed``, whose types are ``kinds``."""
+    types = [np.dtype(k) for k in kinds]
+    width, parts = sum(t.itemsize for t in types), []
+    for block in blocks:
+        values, n, at = np.frombuffer(block, np.uint8), len(block) // width, 0
+        row = []
+        for t in types:
+            own = values[at:at + n * t.itemsize]
+            row.append((own.reshape(t.itemsize, n).T.copy() if t.kind == "i" else own).view(t).ravel())
+            at += n * t.itemsize
+        parts.append(row)
+    return [np.concatenate(c) for c in zip(*parts)]
+
+
+def bucket_of(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes >> U64(20)) % U64(BUCKETS)).astype(np.uint16)
 
 
 def key_blocks(docs: DataFrame) -> DataFrame:
@@ -349,15 +379,8 @@ def key_blocks(docs: DataFrame) -> DataFrame:
     line itself, its ``words`` say how often it is there."""
 
     def dealt(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        key, line, weight, words = (np.concatenate(c) for c in zip(*parts))
-        bucket = ((key >> U64(20)) % U64(BUCKETS)).astype(np.uint16)
-        order = np.argsort(bucket, kind="stable")
-        key, line, weight, words, bucket = key[order], line[order], weight[order], words[order], bucket[order]
-        edges = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1))
-        blocks = [key[a:b].tobytes() + line[a:b].tobytes() + planes(weight[a:b]) + planes(words[a:b])
-                  for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(key)])]
-        return pa.RecordBatch.from_arrays([pa.array(bucket[edges].astype(np.int32)), pa.array(blocks, pa.binary())],
-                                          names=["bucket", "block"])
+        key, *rest = (np.concatenate(c) for c in zip(*parts))
+        return packed(bucket_of(key), key, *rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -373,7 +396,8 @@ def key_blocks(docs: DataFrame) -> DataFrame:
             good = once[line]
             line, key, weight = line[good], key[good], weight[good]
             held.append((np.concatenate([key, name]), np.concatenate([own[line], name]),
-                         np.concatenate([weight, np.full(len(name), -1)]), np.concatenate([plain.words[line], times])))
+                         np.concatenate([weight, np.full(len(name), -1)]).astype(np.int32),
+                         np.concatenate([plain.words[line], times]).astype(np.int32)))
             count += len(held[-1][0])
             if count >= FLUSH:
                 yield dealt(held)
@@ -388,12 +412,7 @@ def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``id, v, w, words, rows`` of the keys of two lines or more: the line, the key, its weight, the line's words and the number of
     the key's lines; and of the lines that are there more than once, with ``w`` -1."""
     for group in runs(batches, ["bucket"]):
-        parts = []
-        for block in group["block"].to_pylist():
-            view, n = memoryview(block), len(block) // 24
-            parts.append((np.frombuffer(view[:8 * n], U64), np.frombuffer(view[8 * n:16 * n], U64),
-                          unplaned(view[16 * n:20 * n]), unplaned(view[20 * n:])))
-        key, line, weight, words = (np.concatenate(c) for c in zip(*parts))
+        key, line, weight, words = unpacked(group["block"].to_pylist(), U64, U64, np.int32, np.int32)
         whole = weight < 0
         name, at = np.unique(key[whole], return_inverse=True)
         often = name[np.bincount(at, weights=words[whole], minlength=len(name)) > 1]
@@ -419,6 +438,48 @@ def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["id", "v", "w", "words", "rows"])
 
 
+def line_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``bucket, block``: what ``shared_keys`` finds, dealt by line. A block holds ``id, v, w, words, rows`` of many of its rows."""
+    held, count = [], 0
+
+    def dealt() -> pa.RecordBatch:
+        line, *rest = (np.concatenate(c) for c in zip(*held))
+        return packed(bucket_of(line), line, *rest)
+
+    for batch in shared_keys(batches):
+        line, key, *rest = (c.to_numpy() for c in batch.columns)
+        held.append((line.view(U64), key.view(U64), *rest))
+        count += len(line)
+        if count >= FLUSH:
+            yield dealt()
+            held, count = [], 0
+    if count:
+        yield dealt()
+
+
+def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id, half, windows, again`` of the lines in ``line_blocks``: whether the line shares a half, the windows it shares among the
+    rarest ones that it needs, and whether it is there more than once."""
+    for group in runs(batches, ["bucket"]):
+        line, key, weight, words, rows = unpacked(group["block"].to_pylist(), U64, U64, np.int32, np.int32, np.int64)
+        order = np.lexsort((key, rows, line))
+        line, key, weight, words = line[order], key[order], weight[order].astype(np.int64), words[order]
+        start = np.flatnonzero(fresh(line))
+        size = np.diff(np.append(start, len(line)))
+        n, window = np.maximum.reduceat(words, start), np.maximum(weight, 0)
+        # The keys that come before a weight of RUN k is passed; those of no other line come first.
+        before = np.cumsum(window) - window
+        before += np.repeat(n - (RUN - 1) - np.add.reduceat(window, start) - before[start], size)
+        taken = (weight > 0) & (before <= np.repeat(np.maximum(1, n // WORDS_PER_EDIT) * RUN, size))
+        half, again = (np.bitwise_or.reduceat(c, start) for c in (weight == 0, weight < 0))
+        keys = np.add.reduceat(taken.astype(np.int32), start)
+        good = half | again | (keys > 0)
+        windows = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(keys[good])), pa.int32()),
+                                           pa.array(key[taken].view(np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(line[start[good]].view(np.int64)), pa.array(half[good]), windows, pa.array(again[good])],
+                                         names=["id", "half", "windows", "again"])
+
+
 class Filter:
     """Which lines may be among some: one bit for each first part of a line's hash. No line of those is missed; of the others a
     part passes that grows with their number beyond ``MOST_BITS`` / ``FILTER_BITS``, and is sorted out by the joins that follow."""
@@ -482,21 +543,53 @@ def occurrences(docs: DataFrame, wanted: Filter, again: Filter) -> DataFrame:
     return picked(docs).mapInArrow(run, "doc_id long, digest long, line int, k1 long, k2 long, text string")
 
 
-def candidates(shared: DataFrame) -> DataFrame:
-    """``id, half, windows`` (cut) of the lines that share a half, or a window among the rarest ones that
-    they need, of the rows of ``shared_keys``."""
-    partners = shared.where("w >= 0").groupBy("id").agg(
-        F.max(F.col("w") == 0).alias("half"), F.max("words").alias("words"),
-        F.sort_array(F.collect_list(F.when(F.col("w") > 0, F.struct("rows", "v", "w")))).alias("windows"))
-    # The keys that come before a weight of RUN k is passed; those of no other line come first.
-    free = F.greatest(F.lit(1), F.expr(f"words div {WORDS_PER_EDIT}")) * RUN
-    alone = F.col("words") - (RUN - 1) - F.aggregate("windows", F.lit(0), lambda a, x: a + x["w"])
-    taken = F.aggregate(
-        "windows", F.struct(alone.cast("int").alias("weight"), F.lit(0).alias("keys")),
-        lambda a, x: F.struct((a["weight"] + x["w"]).alias("weight"),
-                              (a["keys"] + (a["weight"] <= free).cast("int")).alias("keys")), lambda a: a["keys"])
-    least = F.transform(F.slice("windows", F.lit(1), taken), lambda x: x["v"])
-    return cut(partners.select("id", "half", least.alias("windows")).where("half OR size(windows) > 0"))
+def met_here(key: np.ndarray, role: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of ``variants`` that have to meet others still, and a row of role ``MET`` for each line that the earliest one of
+    these settles: of the lines under a key with a place only the earliest goes on, and a line that it settles
+    needs no whole line either (but stays for longer ones, where it is a key's earliest or whole)."""
+    order = np.argsort(key, kind="stable")
+    new = np.append(fresh(key[order]), True)
+    some = order[~(new[1:] & new[:-1])]
+    some = some[np.lexsort((at[some], role[some], key[some]))]
+    if not len(some):
+        return key, role, at
+    kind, line = role[some], at[some]
+    new = fresh(key[some], kind)
+    first = line[new][np.cumsum(new) - 1]
+    later = (kind == 2) & (line != first)
+    asks, earlier = least_of(line[later], first[later])
+    left = np.ones(len(key), dtype=bool)
+    left[some[later | ((kind == 0) & (line != first) & np.isin(line, asks))]] = False
+    return (np.concatenate([key[left], earlier.view(U64)]), np.concatenate([role[left], np.full(len(asks), MET)]),
+            np.concatenate([at[left], asks]))
+
+
+def met(key: np.ndarray, role: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, earlier line near it), once a line, of all rows of some keys."""
+    past = role == MET
+    asks, earlier = [at[past]], [key[past].view(np.int64)]
+    rest = np.flatnonzero(~past)
+    rest = rest[np.argsort(key[rest], kind="stable")]
+    new = np.append(fresh(key[rest]), True)
+    rest = rest[~(new[1:] & new[:-1])]
+    if len(rest):
+        key, role, at = key[rest], role[rest], at[rest]
+        new = fresh(key)
+        # A changed word is met among its like; a word taken out against the whole shorter line, and the reverse.
+        for mine, other in ((2, 2), (0, 1), (1, 0)):
+            first = np.minimum.reduceat(np.where(role == other, at, np.iinfo(np.int64).max), np.flatnonzero(new))[np.cumsum(new) - 1]
+            good = (role == mine) & (first < at)
+            asks.append(at[good])
+            earlier.append(first[good])
+    return least_of(np.concatenate(asks), np.concatenate(earlier))
+
+
+def least_of(name: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each name once, with its least value."""
+    order = np.lexsort((value, name))
+    name, value = name[order], value[order]
+    first = fresh(name)
+    return name[first], value[first]
 
 
 def near_lines(wanted: DataFrame, firsts: DataFrame, texts: DataFrame) -> DataFrame:
@@ -509,10 +602,16 @@ def near_lines(wanted: DataFrame, firsts: DataFrame, texts: DataFrame) -> DataFr
                  .select("k1", "k2", "half", "windows", F.monotonically_increasing_id().alias("at")))
     lines = cut(placed.join(texts.dropDuplicates(["k1", "k2"]), ["k1", "k2"]))
 
+    def dealt(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        key, role, at = met_here(*(np.concatenate(c) for c in zip(*parts)))
+        # What has met is dealt by its later line, as one line may have settled very many.
+        return packed(np.where(role == MET, (at % BUCKETS).astype(np.uint16), bucket_of(key)), key, role, at)
+
     def neighbourhood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """``key, role, at`` of the lines' words, or of their characters where they have few words, or of both."""
+        """``bucket, block`` (``key, role, at``) of the lines' words, or of their characters where they have few words, or of both."""
+        held, count = [], 0
         for part in rows_of(batches):
-            texts = part.column(0).to_pylist()
+            texts, own = part.column(0).to_pylist(), part.column(1).to_numpy()
             plain = Plain(texts)
             n = plain.words
             chars = plain.stop - plain.start
@@ -520,22 +619,24 @@ def near_lines(wanted: DataFrame, firsts: DataFrame, texts: DataFrame) -> DataFr
             short = np.array([k for k in np.flatnonzero((n <= MIN_WORDS) & (chars >= MIN_CHARS)).tolist()
                               if len(texts[k]) >= MIN_CHARS], dtype=np.int64)
             by_word = Lines(plain.hashes()[np.repeat(n >= MIN_WORDS, n)], n[long])
-            some = [(long, U64(0), *variants(by_word, MIN_WORDS)),
-                    (short, SPELLED, *variants(spelled([texts[k] for k in short.tolist()]), MIN_CHARS))]
-            rows = np.concatenate([mine[line] for mine, _, line, _, _ in some])
-            keys = np.concatenate([key ^ salt for _, salt, _, key, _ in some])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.view(np.int64)), pa.array(np.concatenate([x[4] for x in some])),
-                 part.column(1).take(pa.array(rows))], names=["key", "role", "at"])
-
-    around = lines.where("half").select("text", "at").mapInArrow(neighbourhood, "key long, role byte, at long")
-    first = around.groupBy("key").agg(
-        *(F.min(F.when(F.col("role") == r, F.col("at"))).alias(f"first{r}") for r in range(3)),
-        F.count("*").alias("rows")).where("rows > 1")
-    # A changed word is met among its like; a word taken out against the whole shorter line, and the reverse.
-    earlier = F.when(F.col("role") == 2, F.col("first2")).when(F.col("role") == 0, F.col("first1")) \
-        .otherwise(F.col("first0"))
-    pairs = (around.join(first, "key").withColumn("earlier", earlier).where(F.col("earlier") < F.col("at"))
+            for salt, mine, lines, least in ((U64(0), long, by_word, MIN_WORDS),
+                                             (SPELLED, short, spelled([texts[k] for k in short.tolist()]), MIN_CHARS)):
+                line, key, role = variants(lines, least)
+                held.append((key ^ salt, role, own[mine[line]]))
+                count += len(key)
+            if count >= FLUSH:
+                yield dealt(held)
+                held, count = [], 0
+        if count:
+            yield dealt(held)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ["bucket"]):
+            found = met(*unpacked(group["block"].to_pylist(), U64, np.int8, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["at", "earlier"])
+
+    around = lines.where("half").select("text", "at").mapInArrow(neighbourhood, "bucket int, block binary")
+    pairs = (around.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "at long, earlier long")
              .groupBy("at").agg(F.min("earlier").alias("earlier")))
     one = verified(pairs, lines)
     settled = one.unionByName(far_lines(lines, one))
@@ -708,10 +809,11 @@ def mark(docs: DataFrame) -> DataFrame:
     """``row`` (the columns of ``docs`` but text), ``text`` without dropped lines, and the number of
     its lines with a word (``n_lines``), dropped as equal (``n_equal``) and as near (``n_near``)."""
     # The keys are most of a line's bytes: they are dealt once, and only lines that share some are told further.
-    shared = cut(key_blocks(docs).repartition("bucket").sortWithinPartitions("bucket")
-                 .mapInArrow(shared_keys, "id long, v long, w int, words int, rows long"))
-    wanted = candidates(shared)
-    lines = cut(occurrences(docs, Filter(wanted.select("id")), Filter(shared.where("w < 0").select("id"))))
+    shared = key_blocks(docs).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(line_blocks, "bucket int, block binary")
+    needs = cut(shared.repartition("bucket").sortWithinPartitions("bucket")
+                .mapInArrow(needed, "id long, half boolean, windows array<long>, again boolean"))
+    wanted = needs.where("half OR size(windows) > 0").select("id", "half", "windows")
+    lines = cut(occurrences(docs, Filter(wanted.select("id")), Filter(needs.where("again").select("id"))))
     at = F.struct("doc_id", "digest", "line")
     firsts = cut(lines.groupBy("k1", "k2").agg(F.min(at).alias("at"), F.count("*").alias("copies")))
     close = near_lines(wanted, firsts, lines.where("text IS NOT NULL").select("k1", "k2", "text")) \

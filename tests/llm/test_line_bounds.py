@@ -202,3 +202,64 @@ def test_words_needed_hold_one_that_near_lines_share():
         size, words = linededup.rare_words([a, b], [first, first], common)
         assert size.tolist() == [len(x.split()) // 20 + 1 for x in (a, b)]
         assert set(words[:size[0]].tolist()) & set(words[size[0]:].tolist())
+
+
+def test_blocks_give_back_what_was_packed():
+    rng = np.random.default_rng(2)
+    columns = [rng.integers(0, 1 << 63, 500).astype(np.uint64), rng.integers(-5, 1 << 40, 500),
+               rng.integers(-1, 9, 500).astype(np.int32), rng.integers(0, 4, 500).astype(np.int8)]
+    blocks = linededup.packed(linededup.bucket_of(columns[0]) % 7, *columns)
+    back = linededup.unpacked(blocks.column(1).to_pylist(), np.uint64, np.int64, np.int32, np.int8)
+    assert blocks.column(0).to_pylist() == list(range(7))
+    assert sorted(zip(*map(np.ndarray.tolist, back))) == sorted(zip(*map(np.ndarray.tolist, columns)))
+
+
+def test_lines_settled_where_they_meet_are_those_settled_at_once():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        key, role, at = rng.integers(0, 12, n).astype(np.uint64), rng.integers(0, 3, n).astype(np.int8), rng.integers(0, 25, n)
+        rows = list(zip(key.tolist(), role.tolist(), at.tolist()))
+        want = {a for k, r, a in rows if any(k == k2 and r2 == {2: 2, 0: 1, 1: 0}[r] and a2 < a for k2, r2, a2 in rows)}
+        parts = [linededup.met_here(key[x], role[x], at[x]) for x in np.array_split(rng.permutation(n), 3)]
+        asks, earlier = linededup.met(*(np.concatenate(c) for c in zip(*parts)))
+        assert set(asks.tolist()) == want and len(asks) == len(want) and (earlier < asks).all()
+
+
+def test_a_key_of_very_many_lines_brings_one_row_from_each_task():
+    """Before, every line under a key was a row of its own in the join by that key."""
+    at = np.random.default_rng(4).permutation(10_000)
+    key, role, _ = linededup.met_here(np.full(len(at), 5, np.uint64), np.full(len(at), 2, np.int8), at)
+    assert (role != linededup.MET).sum() == 1 and (role == linededup.MET).sum() == len(at) - 1
+    # A line without a word, under a key that is the same for all and one with the place of that word.
+    both = np.concatenate([np.full(len(at), 5, np.uint64), np.full(len(at), 6, np.uint64)])
+    _, role, _ = linededup.met_here(both, np.repeat(np.array([2, 0], np.int8), len(at)), np.concatenate([at, at]))
+    assert (role == 2).sum() == 1 and (role == 0).sum() == 1
+
+
+def test_lines_need_their_rarest_windows_up_to_the_weight(spark):
+    rng = random.Random(16)
+    passage = made(rng, 30)
+    lines = [f"{made(rng, 12)} {passage} {made(rng, k % 9)}" for k in range(40)]
+    lines += [edited(rng, line, 1) for line in lines[:20]] + ["one and the same short line of eight words"] * 2
+    docs = frame(spark, list(enumerate(lines)))
+    shared = linededup.key_blocks(docs).repartition("bucket").sortWithinPartitions("bucket")
+    rows = shared.mapInArrow(linededup.shared_keys, "id long, v long, w int, words int, rows long").collect()
+    blocks = shared.mapInArrow(linededup.line_blocks, "bucket int, block binary").repartition("bucket").sortWithinPartitions("bucket")
+    got = {r.id: r for r in blocks.mapInArrow(
+        linededup.needed, "id long, half boolean, windows array<long>, again boolean").collect()}
+    for line in {r.id for r in rows}:
+        mine = [r for r in rows if r.id == line]
+        keys = sorted((r.rows, r.v & (1 << 64) - 1, r.w) for r in mine if r.w > 0)
+        n = max(r.words for r in mine)
+        before, want = n - linededup.RUN + 1 - sum(w for *_, w in keys), set()
+        for _, v, w in keys:
+            if before <= linededup.RUN * linededup.bound(n):
+                want.add(v)
+            before += w
+        half, again = any(r.w == 0 for r in mine), any(r.w < 0 for r in mine)
+        if half or again or want:
+            assert ({v & (1 << 64) - 1 for v in got[line].windows}, got[line].half, got[line].again) == (want, half, again)
+        else:
+            assert line not in got
+    assert any(r.again for r in got.values()) and any(r.windows for r in got.values())
