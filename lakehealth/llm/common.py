@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 #: A measured side of at most this many bytes may be broadcast.
 BROADCAST_BYTES = 32 << 20
+#: Whether Spark removes the shuffle files of an action when it ends.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows of a slice that is held as Python objects.
 SLICE_ROWS = 256
 
@@ -59,10 +61,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder; its lineage ends there."""
+def cut(df: DataFrame, tidy: bool = False) -> DataFrame:
+    """``df`` written to the shared checkpoint folder; its lineage ends there. ``tidy``: what was shuffled for it is removed at
+    once, not when the driver happens to collect its garbage (for large shuffles)."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if not tidy:
+        return df.checkpoint(eager=True)
+    conf = df.sparkSession.conf
+    was = conf.get(TIDY, None)
+    conf.set(TIDY, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a frame heeds what was set when it was made
+    finally:
+        if was is None:
+            conf.unset(TIDY)
+        else:
+            conf.set(TIDY, was)
 
 
 def size_bound(df: DataFrame) -> int:

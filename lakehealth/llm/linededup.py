@@ -811,7 +811,7 @@ def mark(docs: DataFrame) -> DataFrame:
     # The keys are most of a line's bytes: they are dealt once, and only lines that share some are told further.
     shared = key_blocks(docs).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(line_blocks, "bucket int, block binary")
     needs = cut(shared.repartition("bucket").sortWithinPartitions("bucket")
-                .mapInArrow(needed, "id long, half boolean, windows array<long>, again boolean"))
+                .mapInArrow(needed, "id long, half boolean, windows array<long>, again boolean"), tidy=True)
     wanted = needs.where("half OR size(windows) > 0").select("id", "half", "windows")
     lines = cut(occurrences(docs, Filter(wanted.select("id")), Filter(needs.where("again").select("id"))))
     at = F.struct("doc_id", "digest", "line")
