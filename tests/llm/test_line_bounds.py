@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from lakehealth.llm import linededup
+from lakehealth.llm.common import TIDY, cut
 from lakehealth.llm.words import WordHash
 from tests.llm.test_corpus_operators import frame, made
 
@@ -263,3 +264,15 @@ def test_lines_need_their_rarest_windows_up_to_the_weight(spark):
         else:
             assert line not in got
     assert any(r.again for r in got.values()) and any(r.windows for r in got.values())
+
+
+def test_a_tidy_cut_keeps_rows_and_settings(spark):
+    rows = spark.range(1000).selectExpr("id % 7 AS k", "id").repartition(3, "k")
+    for was in (None, "false"):
+        if was is not None:
+            spark.conf.set(TIDY, was)
+        before = spark.conf.get(TIDY)
+        out = cut(rows, tidy=True)
+        assert spark.conf.get(TIDY) == before
+        assert out.columns == ["k", "id"] and sorted(r.id for r in out.collect()) == list(range(1000)) and out.count() == 1000
+    spark.conf.unset(TIDY)
