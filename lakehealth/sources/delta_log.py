@@ -1,15 +1,18 @@
 """Delta transaction-log source (S4, S11, A4, X10, X12) and table discovery.
 
 All log files of all tables are read in one job: ``text(wholetext)`` gives one
-row per commit file (a commit is small and bounded), ``posexplode`` over its
+row per commit file, ``posexplode`` over its
 lines gives the action position, and ``from_json`` with a fixed schema parses
 the typed payloads. A malformed line becomes a row with NULL payloads and
 action, so one bad line no longer drops the whole version.
+
+A commit has no greatest size (one that adds a million files has 200 MB), and a row is held in memory several times over
+while it is cut into lines. So files beyond ``WHOLE_COMMIT`` bytes are read line by line, in splits; see ``_numbered_lines``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +22,8 @@ from .. import schemas
 ITEM_SUFFIX = ".Lakehouse"
 LOG_DIR = "_delta_log"
 VERSION_FILE = r"^(\d{20})\.json$"
+#: Bytes up to which a commit is read as one row.
+WHOLE_COMMIT = 8 * 1024 * 1024
 
 _ACTION_SCHEMA = T.StructType([
     T.StructField("commitInfo", schemas.LOG_ACTIONS["commit_info"].dataType),
@@ -115,20 +120,9 @@ def discover_tables(spark: SparkSession, root: str, inventory: DataFrame | None
     return t.filter(F.col("table_path").isNotNull()).select(*schemas.TABLES.fieldNames())
 
 
-def read_log(spark: SparkSession, root: str, max_versions: int | None = None,
-             after: DataFrame | None = None) -> DataFrame:
-    """One row per log line of every table: table_id, version, pos, action, typed payloads.
-
-    ``max_versions`` keeps versions ``< n`` (the reference reads 0-9); the
-    default reads all. ``after`` (``table_id, checkpoint_version``) leaves out, before any line is
-    parsed, the versions that a table's checkpoint covers. Non-version files (``*.checkpoint.json`` etc.) are skipped.
-    """
-    globs = existing_globs(spark, log_globs(root))
-    if not globs:
-        return spark.createDataFrame([], schemas.LOG_ACTIONS)
-    files = (spark.read.text(globs, wholetext=True)
-             .select(F.col("value"), _plain_path("_metadata.file_path").alias("file_path"))
-             .filter(_visible(_table_dir(F.col("file_path")))))
+def _commits(files: DataFrame, max_versions: int | None = None, after: DataFrame | None = None) -> DataFrame:
+    """``table_id`` and ``version`` beside the ``file_path`` of each visible commit that ``read_log`` is asked for."""
+    files = files.filter(_visible(_table_dir(F.col("file_path"))))
     name = F.element_at(F.split("file_path", "/"), -1)
     files = (files.withColumn("version", F.regexp_extract(name, VERSION_FILE, 1))
              .filter(F.col("version") != "")
@@ -140,8 +134,48 @@ def read_log(spark: SparkSession, root: str, max_versions: int | None = None,
         # One row a table: broadcast, as a join by shuffle brings all commits of a table to one task.
         files = (files.join(F.broadcast(after.select("table_id", "checkpoint_version")), "table_id", "left")
                  .filter(F.col("version") > F.coalesce("checkpoint_version", F.lit(-1))))
-    lines = files.select("table_id", "version",
-                         F.posexplode(F.split("value", "\n")).alias("pos", "line"))
+    return files
+
+
+def _numbered_lines(spark: SparkSession, globs: list[str], uris: list[str]) -> DataFrame:
+    """``table_id, version, pos, line`` of the commits at ``uris``, read in splits of their files.
+
+    Within a split the rows' running ids follow the lines; the lines of a file's earlier splits are counted and added. Only
+    these counts, a row a split, are shuffled and broadcast: no line is. Both readings must cut the files alike, and a scan that
+    is planned twice need not (the splits follow from the cores there are at that moment), so both take the rows of one RDD."""
+    scan = (spark.read.text(globs, lineSep="\n").filter(F.col("_metadata.file_path").isin(uris))
+            .select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("uri"),
+                    F.col("_metadata.file_block_start").alias("start")))
+    rows = DataFrame(spark._jsparkSession.createDataFrame(scan._jdf.toJavaRDD(), scan._jdf.schema()), spark)
+    lines = rows.withColumn("at", F.monotonically_increasing_id())
+    splits = lines.groupBy("uri", "start").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("uri").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("uri", "start", _plain_path("uri").alias("file_path"),
+                           (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
+    return lines.join(F.broadcast(_commits(splits)), ["uri", "start"]).select(
+        "table_id", "version", (F.col("at") + F.col("shift")).cast("int").alias("pos"), "line")
+
+
+def read_log(spark: SparkSession, root: str, max_versions: int | None = None,
+             after: DataFrame | None = None) -> DataFrame:
+    """One row per log line of every table: table_id, version, pos, action, typed payloads.
+
+    ``max_versions`` keeps versions ``< n`` (the reference reads 0-9); the
+    default reads all. ``after`` (``table_id, checkpoint_version``) leaves out, before any line is
+    parsed, the versions that a table's checkpoint covers. Non-version files (``*.checkpoint.json`` etc.) are skipped.
+    """
+    globs = existing_globs(spark, log_globs(root))
+    if not globs:
+        return spark.createDataFrame([], schemas.LOG_ACTIONS)
+    files = (spark.read.text(globs, wholetext=True).filter(F.col("_metadata.file_size") <= WHOLE_COMMIT)
+             .select(F.col("value"), _plain_path("_metadata.file_path").alias("file_path")))
+    lines = _commits(files, max_versions, after).select(
+        "table_id", "version", F.posexplode(F.split("value", "\n")).alias("pos", "line"))
+    large = (spark.read.format("binaryFile").load(globs).filter(F.col("length") > WHOLE_COMMIT)
+             .select(F.col("_metadata.file_path").alias("uri")).withColumn("file_path", _plain_path("uri")))
+    uris = [] if large.isEmpty() else [r.uri for r in _commits(large, max_versions, after).select("uri").collect()]
+    if uris:
+        lines = lines.unionByName(_numbered_lines(spark, globs, uris))
     lines = lines.filter(F.col("line") != "")
     parsed = F.from_json("line", _ACTION_SCHEMA)
     return lines.select(

@@ -183,3 +183,50 @@ def test_files_of_checkpoints_that_do_not_count_are_not_opened(spark, log):
     (log / f"{5:020d}.checkpoint.{1:010d}.{2:010d}.parquet").write_text("nor is this")
     commit(log, 4, add("b", 2))
     assert live(spark, log) == {("a", 1), ("b", 2)}
+
+
+@pytest.fixture()
+def small_splits(spark, monkeypatch):
+    """Commits over 500 bytes count as large, and files are read in splits of 1,000 bytes."""
+    monkeypatch.setattr(delta_log, "WHOLE_COMMIT", 500, raising=False)
+    conf = {"spark.sql.files.maxPartitionBytes": "1000", "spark.sql.files.openCostInBytes": "0"}
+    held = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in held.items():
+        spark.conf.set(k, v)
+
+
+def settings(value):
+    return {"metaData": {"id": "i", "configuration": {"k": value}}}
+
+
+def test_a_large_commit_is_read_in_splits_and_its_lines_keep_their_numbers(spark, log, small_splits):
+    lines = [json.dumps(add(f"f{i}", i)) for i in range(200)]
+    lines[7], lines[8], lines[150], lines[199] = "", '{"add": {"path": ', json.dumps(add("é")) + "\r", json.dumps(settings("z"))
+    other = log.parents[1] / "s" / "a b%20+c" / "_delta_log"
+    for folder in (log, other):
+        commit(folder, 0, add("first"), settings("a"))
+        (folder / f"{1:020d}.json").write_bytes("\n".join(lines).encode())
+    found = delta_log.read_log(spark, str(log.parents[4])).selectExpr(
+        "table_id", "version", "pos", "line", "action", "spark_partition_id() AS task").collect()
+    expected = [(1, i, line) for i, line in enumerate(lines) if line]
+    for folder in (log, other):
+        mine = [r for r in found if r.table_id.endswith(str(folder.parent)) and r.version == 1]
+        assert sorted((r.version, r.pos, r.line) for r in mine) == expected
+        assert [r.pos for r in mine if r.action is None] == [8]
+        assert len({r.task for r in mine}) > 5  # no row and no task holds all of it
+    assert len(found) == 2 * (2 + len(expected))
+    assert {r.line for r in delta_log.read_log(spark, str(log.parents[4]), max_versions=1).collect()} \
+        == {json.dumps(add("first")), json.dumps(settings("a"))}
+
+
+def test_the_last_action_of_a_large_commit_wins_across_its_splits(spark, log, small_splits):
+    checkpoint(spark, log, f"{2:020d}.checkpoint.parquet", [(("a", 1, {}, None), None, None)])
+    commit(log, 2, *(add(f"covered{i}") for i in range(100)))
+    commit(log, 3, settings("one"), add("b", 2), *(add(f"n{i}", i) for i in range(100)), settings("two"), {"remove": {"path": "a"}},
+           *({"remove": {"path": f"n{i}"}} for i in range(100)), add("b", 3), settings("three"), *(add("c", i) for i in range(100)))
+    assert live(spark, log) == {("b", 3), ("c", 99)}
+    state = delta_state.read_state(spark, str(log.parents[4]))
+    assert [(r.key, r.value) for r in delta_log.table_properties(state).collect()] == [("k", "three")]
