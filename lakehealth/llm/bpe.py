@@ -9,6 +9,10 @@ follows, so appending bytes only adds entries, and after an edit entries are
 recomputed from the edit on until they agree with the old ones over a whole
 maximal token length (``PrefixText``).
 
+``PrefixCoder.encode`` needs the entries of the token boundaries only. It asks for the last one, and that for the entries
+its candidates stand behind; those of other prefixes, most of a word's, are never worked out. Longer strings get the
+whole table.
+
 ``encode_documents`` applies it to a table: every match of the split pattern is
 encoded on its own, as rank-file encoders do.
 
@@ -34,7 +38,8 @@ from pyspark.sql import functions as F
 from lakehealth.llm.common import rows_of
 from lakehealth.llm.pieces import PieceEncoder
 
-
+#: Bytes up to which ``encode`` asks for entries from the end back; each may ask for one before it.
+SHORT = 200
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -115,13 +120,40 @@ class PrefixCoder:
             end -= len(self.tokens[token])
         return out[::-1]
 
+    def entry(self, data: bytes, end: int, last: list[int | None]) -> int:
+        """The last token of the prefix up to ``end``, which is kept in ``last``, as are the entries it asks for."""
+        get = self.reachable.get
+        for start in range(max(0, end - self.longest), end):
+            token = get(data[start:end])
+            if token is not None:
+                if start:
+                    before = last[start]
+                    if before is None:
+                        before = self.entry(data, start, last)
+                    stands = self._pairs.get((before, token))
+                    if not (self.pair(before, token) if stands is None else stands):
+                        continue
+                last[end] = token
+                return token
+        raise ValueError("the vocabulary lacks a byte")
+
     def encode(self, data: bytes) -> list[int]:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        last: list[int] = []
-        self.extend(data, last)
-        return self.walk(last)
+        if len(data) > SHORT:
+            last: list[int] = []
+            self.extend(data, last)
+            return self.walk(last)
+        known: list[int | None] = [None] * (len(data) + 1)
+        out, end = [], len(data)
+        while end:
+            token = known[end]
+            if token is None:
+                token = self.entry(data, end, known)
+            out.append(token)
+            end -= len(self.tokens[token])
+        return out[::-1]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))

@@ -69,6 +69,37 @@ def test_edit_recomputes_little(coder):
     assert text.ids() == bpe.PrefixText(coder, text.data).ids()
 
 
+def whole_table(coder, data):
+    last = []
+    coder.extend(data, last)
+    return coder.walk(last)
+
+
+@given(st.one_of(st.binary(min_size=1, max_size=260), st.text("abehinrt ü\n.", min_size=1, max_size=260).map(str.encode)))
+@settings(max_examples=400, deadline=None)
+def test_entries_asked_for_from_the_end_equal_the_whole_table(coder, data):
+    whole = coder.ranks.get(data)
+    assert coder.encode(data) == (whole_table(coder, data) if whole is None else [whole])
+
+
+def test_a_word_costs_fewer_lookups_than_its_whole_table():
+    class Counting(dict):
+        asked = 0
+
+        def get(self, key):
+            Counting.asked += 1
+            return super().get(key)
+
+    coder = bpe.PrefixCoder(bpe.read_ranks(RANKS))
+    coder.reachable = Counting(coder.reachable)
+    words = [w.encode() for w in (" scherkeitber", " heitlichtz", " enverzerein", " thenwhreand", " oftionnten", " edblerewas")]
+    assert not any(w in coder.ranks for w in words)
+    tables = [whole_table(coder, w) for w in words]
+    most, Counting.asked = Counting.asked, 0
+    assert [coder.encode(w) for w in words] == tables
+    assert Counting.asked < 0.8 * most
+
+
 def test_bpe_documents(spark, reference):
     rows = odd_rows()
     got = bpe.encode_documents(spark.createDataFrame(rows, SCHEMA), RANKS, keep_text=True).collect()
